@@ -1,7 +1,9 @@
 """Attribute handling (D1, D2, D3): OTLP key/value lists to text maps.
 
-All expressions are native (higher-order functions over the nested arrays), so
-they run in the JVM next to the scan; no Python per row.
+All expressions are native Spark SQL (higher-order functions over the nested
+arrays), so they run in the JVM next to the scan; no Python per row. Each
+``*_sql`` generator takes the SQL text of its input; the Column wrappers take
+a column path such as ``"rm.resource.attributes"``.
 """
 
 from __future__ import annotations
@@ -9,64 +11,81 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from metricmart.functions.text import go_float_text
-from metricmart.schemas import STRMAP
+from metricmart.functions.text import go_float_sql
 
+# Fixed value: the resource attribute that names the service.
 SERVICE_NAME_KEY = "service.name"
+STRMAP_SQL = "MAP<STRING, STRING>"
+
+
+def any_value_sql(v: str) -> str:
+    """AnyValue -> text (D3, rule S9): null -> "", string as is, int as decimal,
+    double as Go %g, bool true/false, bytes / array / kvlist as JSON debug
+    text, empty value -> ""."""
+    return (f"CASE WHEN {v} IS NULL THEN '' "
+            f"WHEN {v}.stringValue IS NOT NULL THEN {v}.stringValue "
+            f"WHEN {v}.intValue IS NOT NULL "
+            f"THEN coalesce(CAST(try_cast({v}.intValue AS BIGINT) AS STRING), {v}.intValue) "
+            f"WHEN {v}.doubleValue IS NOT NULL THEN {go_float_sql(f'{v}.doubleValue')} "
+            f"WHEN {v}.boolValue IS NOT NULL THEN CASE WHEN {v}.boolValue THEN 'true' ELSE 'false' END "
+            f"WHEN {v}.bytesValue IS NOT NULL OR {v}.arrayValue IS NOT NULL "
+            f"OR {v}.kvlistValue IS NOT NULL THEN to_json(named_struct("
+            f"'bytesValue', {v}.bytesValue, 'arrayValue', {v}.arrayValue, "
+            f"'kvlistValue', {v}.kvlistValue)) "
+            f"ELSE '' END")
+
+
+def attribute_entries_sql(attrs: str) -> str:
+    """KeyValue list -> array<struct<key, value>> keeping the LAST duplicate
+    key (S7), independent of the session's map key policy; null -> empty."""
+    lst = f"coalesce({attrs}, array())"
+    keys = f"transform({lst}, ak -> coalesce(ak.key, ''))"
+    last = (f"filter({lst}, (aa, ai) -> NOT array_contains("
+            f"slice({keys}, ai + 2, greatest(size({lst}) - ai - 1, 0)), coalesce(aa.key, '')))")
+    return (f"transform({last}, ae -> named_struct('key', coalesce(ae.key, ''), "
+            f"'value', {any_value_sql('ae.value')}))")
+
+
+def entries_text_sql(entries: str) -> str:
+    """Canonical text of an attribute set (D7, S13): keys ascending bytewise,
+    ``key\\x02value`` joined with ``\\x01``; empty and null are the same."""
+    return (f"coalesce(array_join(transform(array_sort({entries}), "
+            f"te -> concat(te.key, chr(2), te.value)), chr(1)), '')")
 
 
-def any_value_text(v: Column) -> Column:
-    """AnyValue -> text (D3, rule S9).
+def entries_map_sql(entries: str) -> str:
+    return f"coalesce(map_from_entries({entries}), CAST(map() AS {STRMAP_SQL}))"
 
-    null -> "", string as is, int as decimal, double as Go %g, bool true/false,
-    bytes / array / kvlist as JSON debug text, empty value -> "".
-    """
-    int_text = F.coalesce(v["intValue"].try_cast("bigint").cast("string"), v["intValue"])
-    other = F.to_json(F.struct(v["bytesValue"].alias("bytesValue"),
-                               v["arrayValue"].alias("arrayValue"),
-                               v["kvlistValue"].alias("kvlistValue")))
-    return (F.when(v.isNull(), F.lit(""))
-             .when(v["stringValue"].isNotNull(), v["stringValue"])
-             .when(v["intValue"].isNotNull(), int_text)
-             .when(v["doubleValue"].isNotNull(), go_float_text(v["doubleValue"]))
-             .when(v["boolValue"].isNotNull(),
-                   F.when(v["boolValue"], F.lit("true")).otherwise(F.lit("false")))
-             .when(v["bytesValue"].isNotNull() | v["arrayValue"].isNotNull()
-                   | v["kvlistValue"].isNotNull(), other)
-             .otherwise(F.lit("")))
 
+def map_text_sql(m: str) -> str:
+    return entries_text_sql(f"map_entries(coalesce({m}, CAST(map() AS {STRMAP_SQL})))")
 
-def attribute_entries(attrs: Column) -> Column:
-    """KeyValue list -> array<struct<key, value>> with the LAST duplicate key kept.
 
-    De-duplication is explicit so the result does not depend on the session's
-    map key policy. Null list -> empty array.
-    """
-    entries = F.transform(F.coalesce(attrs, F.array()),
-                          lambda a: F.named_struct(F.lit("key"), F.coalesce(a["key"], F.lit("")),
-                                                   F.lit("value"), any_value_text(a["value"])))
-    return F.filter(entries, lambda e, i: F.size(
-        F.filter(entries, lambda e2, j: (j > i) & (e2["key"] == e["key"]))) == 0)
+def service_name_sql(attrs: str) -> str:
+    """First ``service.name`` attribute as a string value (D1, S6); "" otherwise."""
+    return (f"coalesce(get(filter(coalesce({attrs}, array()), sa -> sa.key = '{SERVICE_NAME_KEY}'), 0)"
+            f".value.stringValue, '')")
 
 
-def entries_to_map(entries: Column) -> Column:
-    return F.coalesce(F.map_from_entries(entries), F.create_map().cast(STRMAP))
+def any_value_text(v: str) -> Column:
+    return F.expr(any_value_sql(v))
 
 
-def entries_text(entries: Column) -> Column:
-    """Canonical text of an attribute set (D7, S13): keys ascending bytewise,
-    ``key\\x02value`` joined with ``\\x01``; empty and null are the same."""
-    return F.coalesce(F.array_join(F.transform(F.array_sort(entries),
-                                               lambda e: F.concat(e["key"], F.lit("\x02"), e["value"])),
-                                   "\x01"), F.lit(""))
+def attribute_entries(attrs: str) -> Column:
+    return F.expr(attribute_entries_sql(attrs))
 
 
-def map_text(m: Column) -> Column:
-    """Canonical text of a stored MAP<STRING,STRING> (same rule as entries_text)."""
-    return entries_text(F.map_entries(F.coalesce(m, F.create_map().cast(STRMAP))))
+def entries_text(entries: str) -> Column:
+    return F.expr(entries_text_sql(entries))
 
 
-def service_name(attrs: Column) -> Column:
-    """First ``service.name`` attribute as a string value (D1, S6); "" otherwise."""
-    first = F.get(F.filter(F.coalesce(attrs, F.array()), lambda a: a["key"] == SERVICE_NAME_KEY), 0)
-    return F.coalesce(first["value"]["stringValue"], F.lit(""))
+def entries_to_map(entries: str) -> Column:
+    return F.expr(entries_map_sql(entries))
+
+
+def map_text(m: str) -> Column:
+    return F.expr(map_text_sql(m))
+
+
+def service_name(attrs: str) -> Column:
+    return F.expr(service_name_sql(attrs))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from metricmart.functions.attributes import map_text
+from metricmart.functions.attributes import map_text_sql
 
 # Fixed value: xxhash64(seed=42) of this BIGINT is 0.
 SEED_ZERO_PREFIX = -365884300664092260
@@ -34,9 +34,10 @@ def metric_hash(canonical: Column) -> Column:
     return F.xxhash64(F.lit(SEED_ZERO_PREFIX).cast("bigint"), F.coalesce(canonical, F.lit("")))
 
 
-def identity_text_from_maps(name: Column, service: Column, res: Column, scope: Column,
-                            attrs: Column) -> Column:
-    return identity_text(name, service, map_text(res), map_text(scope), map_text(attrs))
+def identity_text_from_maps(name: str, service: str, res: str, scope: str, attrs: str) -> Column:
+    """Identity text rebuilt from stored columns (names / SQL expressions)."""
+    return F.expr(f"concat_ws(chr(0), coalesce({name}, ''), coalesce({service}, ''), "
+                  f"{map_text_sql(res)}, {map_text_sql(scope)}, {map_text_sql(attrs)})")
 
 
 def series_key(canonical: Column) -> Column:

@@ -48,23 +48,23 @@ def explode_metrics(requests: DataFrame, batch_id: int = 0) -> DataFrame:
         F.posexplode("resourceMetrics").alias("r_pos", "rm"))
     res = req.select(
         "batch_id", "request_seq", "request_part", "r_pos",
-        service_name(F.col("rm.resource.attributes")).alias("service_name"),
-        attribute_entries(F.col("rm.resource.attributes")).alias("res_entries"),
+        service_name("rm.resource.attributes").alias("service_name"),
+        attribute_entries("rm.resource.attributes").alias("res_entries"),
         F.posexplode("rm.scopeMetrics").alias("s_pos", "sm"))
     scope = res.select(
         "batch_id", "request_seq", "request_part", "r_pos", "service_name",
-        entries_to_map(F.col("res_entries")).alias("resource_attributes"),
-        entries_text(F.col("res_entries")).alias("res_text"),
+        entries_to_map("res_entries").alias("resource_attributes"),
+        entries_text("res_entries").alias("res_text"),
         "s_pos",
         F.coalesce(F.col("sm.scope.name"), F.lit("")).alias("scope_name"),
         F.coalesce(F.col("sm.scope.version"), F.lit("")).alias("scope_version"),
-        attribute_entries(F.col("sm.scope.attributes")).alias("scope_entries"),
+        attribute_entries("sm.scope.attributes").alias("scope_entries"),
         F.posexplode("sm.metrics").alias("m_pos", "m"))
     return scope.select(
         "batch_id", "request_seq", "request_part", "r_pos", "s_pos", "m_pos",
         "service_name", "resource_attributes", "res_text", "scope_name", "scope_version",
-        entries_to_map(F.col("scope_entries")).alias("scope_attributes"),
-        entries_text(F.col("scope_entries")).alias("scope_text"),
+        entries_to_map("scope_entries").alias("scope_attributes"),
+        entries_text("scope_entries").alias("scope_text"),
         F.coalesce(F.col("m.name"), F.lit("")).alias("metric_name"),
         F.coalesce(F.col("m.description"), F.lit("")).alias("metric_description"),
         F.coalesce(F.col("m.unit"), F.lit("")).alias("metric_unit"),
@@ -89,16 +89,16 @@ def flatten_points(requests: DataFrame, batch_id: int = 0) -> DataFrame:
                      .otherwise(F.col("m.gauge.dataPoints"))).alias("p_pos", "p"))
     base = pts.select(
         *[c for c in pts.columns if c != "p"],
-        attribute_entries(F.col("p.attributes")).alias("attr_entries"),
+        attribute_entries("p.attributes").alias("attr_entries"),
         unsigned_nanos(F.col("p.startTimeUnixNano")).alias("start_time_unix_nano"),
         unsigned_nanos(F.col("p.timeUnixNano")).alias("time_unix_nano"),
         point_value(F.col("p")).alias("value"),
         F.coalesce(F.col("p.flags"), F.lit(0)).cast("bigint").alias("flags"))
     canonical = identity_text(F.col("metric_name"), F.col("service_name"), F.col("res_text"),
-                              F.col("scope_text"), entries_text(F.col("attr_entries")))
+                              F.col("scope_text"), entries_text("attr_entries"))
     out = base.select(
         "*",
-        entries_to_map(F.col("attr_entries")).alias("attributes"),
+        entries_to_map("attr_entries").alias("attributes"),
         canonical.alias("canonical"),
         F.when(is_sum, F.lit(TYPE_RANK[SUM])).otherwise(F.lit(TYPE_RANK[GAUGE])).alias("type_rank"),
         nanos_to_timestamp(F.col("time_unix_nano")).alias("ts"),

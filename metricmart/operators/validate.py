@@ -2,7 +2,7 @@
 
 All-or-nothing per request (S1): the first violation in traversal order
 (resource, scope, metric, point index — S5) rejects the whole request. The
-check is a native expression over the nested arrays of one row, so it runs
+check is one native expression over the nested arrays of a row, so it runs
 map-side with no shuffle.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricmart.functions import go_quote, unsigned_nanos
+from metricmart.functions.text import go_quote_sql, let_sql
 
 # The three rejection messages.
 MSG_EMPTY_NAME = "metric name must not be empty"
@@ -19,40 +19,42 @@ MSG_ZERO_TIME = "metric {name}: data point {index} has time_unix_nano=0 (require
 MSG_TEMPORALITY = "sum metric {name}: aggregation_temporality must not be UNSPECIFIED"
 
 
-def _zero_time_error(name: Column, points: Column) -> Column:
-    flags = F.transform(F.coalesce(points, F.array()),
-                        lambda p: unsigned_nanos(p["timeUnixNano"]) == 0)
-    idx = F.array_position(flags, True)          # 1-based, 0 when absent
+def _zero_time_sql(name: str, points: str) -> str:
     pre, post = MSG_ZERO_TIME.split("{name}")
     mid, tail = post.split("{index}")
-    return F.when(idx > 0, F.concat(F.lit(pre), go_quote(name), F.lit(mid),
-                                    (idx - 1).cast("string"), F.lit(tail)))
+    # 1-based position of the first point whose time is 0 (missing counts as 0)
+    pos = (f"array_position(transform(coalesce({points}, array()), "
+           f"vp -> coalesce(try_cast(vp.timeUnixNano AS DECIMAL(20,0)), 0) = 0), true)")
+    return let_sql(pos, "vi", f"CASE WHEN vi > 0 THEN concat('{pre}', {go_quote_sql(name)}, "
+                              f"'{mid}', CAST(vi - 1 AS STRING), '{tail}') END")
 
 
-def _metric_error(m: Column) -> Column:
-    name = F.coalesce(m["name"], F.lit(""))
+def _metric_error_sql(m: str) -> str:
+    name = f"coalesce({m}.name, '')"
     pre, tail = MSG_TEMPORALITY.split("{name}")
-    sum_error = F.when(F.coalesce(m["sum"]["aggregationTemporality"], F.lit(0)) == 0,
-                       F.concat(F.lit(pre), go_quote(name), F.lit(tail))) \
-        .otherwise(_zero_time_error(name, m["sum"]["dataPoints"]))
-    return (F.when(name == "", F.lit(MSG_EMPTY_NAME))                       # B1, before type checks (S2)
-             .when(m["gauge"].isNotNull(), _zero_time_error(name, m["gauge"]["dataPoints"]))  # B2
-             .when(m["sum"].isNotNull(), sum_error))                          # B4 then B3 (S4)
-    # other metric types pass with the name check only (S3)
+    return (f"CASE WHEN {name} = '' THEN '{MSG_EMPTY_NAME}' "                     # B1 first (S2)
+            f"WHEN {m}.gauge IS NOT NULL THEN {_zero_time_sql(name, f'{m}.gauge.dataPoints')} "  # B2
+            f"WHEN {m}.sum IS NOT NULL THEN "
+            f"CASE WHEN coalesce({m}.sum.aggregationTemporality, 0) = 0 "        # B4 before B3 (S4)
+            f"THEN concat('{pre}', {go_quote_sql(name)}, '{tail}') "
+            f"ELSE {_zero_time_sql(name, f'{m}.sum.dataPoints')} END "
+            f"END")                                   # other types: name check only (S3)
 
 
-def first_error(resource_metrics: Column) -> Column:
+def first_error_sql(resource_metrics: str) -> str:
     """First violation in traversal order, or NULL for a valid request."""
-    per_metric = F.flatten(F.transform(
-        F.coalesce(resource_metrics, F.array()),
-        lambda r: F.flatten(F.transform(
-            F.coalesce(r["scopeMetrics"], F.array()),
-            lambda s: F.transform(F.coalesce(s["metrics"], F.array()), _metric_error)))))
-    return F.get(F.filter(per_metric, lambda e: e.isNotNull()), 0)
+    per_metric = (f"flatten(transform(coalesce({resource_metrics}, array()), vr -> "
+                  f"flatten(transform(coalesce(vr.scopeMetrics, array()), vs -> "
+                  f"transform(coalesce(vs.metrics, array()), vm -> {_metric_error_sql('vm')})))))")
+    return f"get(filter({per_metric}, ve -> ve IS NOT NULL), 0)"
+
+
+def first_error(resource_metrics: str = "resourceMetrics") -> Column:
+    return F.expr(first_error_sql(resource_metrics))
 
 
 def with_validation(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("error", first_error(F.col("resourceMetrics")))
+    return requests.withColumn("error", first_error("resourceMetrics"))
 
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

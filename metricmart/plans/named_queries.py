@@ -53,9 +53,8 @@ def attrs_display(m: Column) -> Column:
 
 
 def _key_from_meta() -> Column:
-    return series_key(identity_text_from_maps(F.col("metric_name"), F.col("service_name"),
-                                              F.col("resource_attributes"),
-                                              F.col("scope_attributes"), F.col("attributes")))
+    return series_key(identity_text_from_maps("metric_name", "service_name", "resource_attributes",
+                                              "scope_attributes", "attributes"))
 
 
 def _dt_text(c: str = "dt") -> Column:
