@@ -48,7 +48,16 @@ def go_float_sql(x: str) -> str:
     raw = f"named_struct('raw', concat({ip}, {fp}), 'ilen', length({ip}) + {e10})"
     digits = ("named_struct('d', regexp_replace(gn, '0+$', ''), "
               "'p', gw.ilen - (length(gw.raw) - length(gn)))")
-    body = let_sql(f"CAST(abs(gv) AS STRING)", "gs",
+    # JDK 17 may print 17 digits where fewer round-trip: for such texts take the
+    # shortest %.Ne rendering that parses back to the same double.
+    sig = ("length(regexp_replace(regexp_replace(substring_index(gj, 'E', 1), '[.]', ''), "
+           "'^0+|0+$', ''))")
+    shortest = ("upper(coalesce(get(filter(transform(sequence(1, 17), gp -> format_string("
+                "concat('%.', CAST(gp - 1 AS STRING), 'e'), abs(gv))), "
+                "gc -> CAST(gc AS DOUBLE) = abs(gv)), 0), gj))")
+    text = let_sql("CAST(abs(gv) AS STRING)", "gj",
+                   f"CASE WHEN {sig} >= 16 THEN {shortest} ELSE gj END")
+    body = let_sql(text, "gs",
                    let_sql(raw, "gw",
                            let_sql("regexp_replace(gw.raw, '^0+', '')", "gn",
                                    let_sql(digits, "gz", _format_digits_sql("gz")))))
