@@ -94,3 +94,34 @@ def _check_location(store: MetricStore, table: str) -> None:
     if not (have == want or have.endswith(":" + want) or have.endswith(want)):
         raise ValueError(f"{store.name(table)} already exists at {have}, not {want}; "
                          "use another database for another store root")
+
+
+def latest_points_recent(store: MetricStore, kind: str = "gauge", n: int = 20):
+    """G1/G2 on stored tables without a full scan.
+
+    Day partitions are visited newest first (the list comes from the catalog),
+    doubling the window until it holds at least ``n`` points. A point's day is
+    derived from its time, so every point of a newer day is later than every
+    point of an older one and the answer equals the full top-k. The result is
+    at most ``n`` rows and is returned as a small DataFrame.
+    """
+    from pyspark.sql import functions as F
+
+    from metricmart.operators.query import latest_points
+
+    table = "metrics_gauge" if kind == "gauge" else "metrics_sum"
+    days = sorted((r[0].split("=", 1)[1] for r in
+                   store.spark.sql(f"SHOW PARTITIONS {store.name(table)}").collect()),
+                  reverse=True)
+    facts, meta = store.table(table), store.table("series_metadata")
+    window = 1
+    while True:
+        lo = days[min(window, len(days)) - 1] if days else None
+        f = facts if lo is None else facts.where(F.col("dt") >= F.lit(lo).cast("date"))
+        m = meta if lo is None else meta.where(
+            (F.col("month") >= int(lo[:4] + lo[5:7])) & (F.col("dt") >= F.lit(lo).cast("date")))
+        top = latest_points(f, m, n)
+        rows = top.collect()
+        if len(rows) >= n or window >= len(days):
+            return store.spark.createDataFrame(rows, top.schema)
+        window *= 2

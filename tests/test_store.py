@@ -122,3 +122,15 @@ def test_stream_equals_batch(spark, stored, tmp_path):
     assert t.gauge.count() == counts["metrics_gauge"]
     assert t.sum.count() == counts["metrics_sum"]
     assert t.metadata.count() == counts["series_metadata"]
+
+
+def test_latest_recent_equals_full_topk(stored):
+    from metricmart.plans.catalog import latest_points_recent
+    _, store, _, _ = stored
+    t = store.tables()
+    for kind in ("gauge", "sum"):
+        full = [(r.time_unix_nano, r.metric_hash, r.scope_version)
+                for r in Q.latest_points(t.facts(kind), t.metadata, 20).collect()]
+        recent = [(r.time_unix_nano, r.metric_hash, r.scope_version)
+                  for r in latest_points_recent(store, kind, 20).collect()]
+        assert recent == full and len(full) == 20
