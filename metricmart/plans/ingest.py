@@ -10,8 +10,8 @@ One function serves batch jobs and streaming ``foreachBatch`` alike:
 Row counts come from ``Observation`` metrics collected during the writes, so
 no extra pass over the data is made. Facts are sorted within each task by
 (dt, time, hash) before writing (H11): files carry tight time/hash min-max
-statistics for row-group skipping, with no shuffle on the write path. The
-only shuffle in ingest is the keep-first metadata aggregation, which is
+statistics for row-group skipping. Facts are rebalanced by day first so each
+day gets a few well-sized files. The keep-first metadata aggregation is
 combined map-side (one row per series-day per request survives it).
 """
 
@@ -50,19 +50,30 @@ def _append(store: MetricStore, table: str, df: DataFrame, audit: list, batch_id
     return rows
 
 
-def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None) -> dict:
-    """Ingest one batch of requests. Returns row counts per table."""
+def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
+                rebalance: bool = True) -> dict:
+    """Ingest one batch of requests. Returns row counts per table.
+
+    ``rebalance`` shuffles facts by day with Spark's REBALANCE hint: adaptive
+    execution then writes right-sized files per day (splitting a hot day into
+    several tasks, merging small ones) instead of one small file per task and
+    day. Turn it off for micro-batches that already cover a single day.
+    """
     spark = store.spark
     batch_id = new_batch_id() if batch_id is None else batch_id
     accepted, rejected = split_valid(requests)
     points = flatten_points(accepted, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
     audit: list = []
     try:
+        meta = metadata_rows(points)
+        if rebalance:
+            meta = meta.hint("rebalance", "month")
         counts = {"series_metadata": _append(
             store, "series_metadata",
-            metadata_rows(points).sortWithinPartitions("dt", "metric_name", "metric_hash"),  # H12
-            audit, batch_id)}
+            meta.sortWithinPartitions("dt", "metric_name", "metric_hash"), audit, batch_id)}  # H12
         for table, rows in (("metrics_gauge", gauge_rows(points)), ("metrics_sum", sum_rows(points))):
+            if rebalance:
+                rows = rows.hint("rebalance", "dt")
             counts[table] = _append(
                 store, table, rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"),
                 audit, batch_id)
