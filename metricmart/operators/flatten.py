@@ -22,7 +22,7 @@ from metricmart.functions import (attribute_entries, entries_text, entries_to_ma
 # which of two same-identity rows of one request wins the merge.
 GAUGE, SUM = "Gauge", "Sum"
 HISTOGRAM, EXP_HISTOGRAM, SUMMARY = "Histogram", "ExpHistogram", "Summary"
-TYPE_RANK = {GAUGE: 0, SUM: 1}
+TYPE_RANK = {GAUGE: 0, SUM: 1, HISTOGRAM: 2, EXP_HISTOGRAM: 3, SUMMARY: 4}
 
 META_COLS = ["metric_name", "metric_description", "metric_unit", "metric_type", "service_name",
              "resource_attributes", "scope_attributes", "attributes", "scope_name",
@@ -72,41 +72,49 @@ def explode_metrics(requests: DataFrame, batch_id: int = 0) -> DataFrame:
         "m")
 
 
-def flatten_points(requests: DataFrame, batch_id: int = 0) -> DataFrame:
-    """Gauge and Sum points with identity, times and value.
-
-    Other metric types produce no rows here (S22, B9); see ``dropped_points``.
-    """
-    metrics = explode_metrics(requests, batch_id).where(F.col("metric_type").isin(GAUGE, SUM))
-    is_sum = F.col("metric_type") == SUM
-    pts = metrics.select(
-        *[c for c in metrics.columns if c != "m"],
-        F.when(is_sum, F.col("m.sum.aggregationTemporality")).cast("int")
-         .alias("aggregation_temporality"),
-        F.when(is_sum, F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False)))
-         .alias("is_monotonic"),
-        F.posexplode(F.when(is_sum, F.col("m.sum.dataPoints"))
-                     .otherwise(F.col("m.gauge.dataPoints"))).alias("p_pos", "p"))
+def _with_identity(pts: DataFrame, type_rank) -> DataFrame:
+    """Per-point identity, times and partition day for a frame with a point
+    struct ``p`` (shared by every point type)."""
     base = pts.select(
         *[c for c in pts.columns if c != "p"],
         attribute_entries("p.attributes").alias("attr_entries"),
         unsigned_nanos(F.col("p.startTimeUnixNano")).alias("start_time_unix_nano"),
         unsigned_nanos(F.col("p.timeUnixNano")).alias("time_unix_nano"),
-        point_value(F.col("p")).alias("value"),
-        F.coalesce(F.col("p.flags"), F.lit(0)).cast("bigint").alias("flags"))
+        F.coalesce(F.col("p.flags"), F.lit(0)).cast("bigint").alias("flags"),
+        "p")
     canonical = identity_text(F.col("metric_name"), F.col("service_name"), F.col("res_text"),
                               F.col("scope_text"), entries_text("attr_entries"))
     out = base.select(
         "*",
         entries_to_map("attr_entries").alias("attributes"),
         canonical.alias("canonical"),
-        F.when(is_sum, F.lit(TYPE_RANK[SUM])).otherwise(F.lit(TYPE_RANK[GAUGE])).alias("type_rank"),
+        type_rank.alias("type_rank"),
         nanos_to_timestamp(F.col("time_unix_nano")).alias("ts"),
         nanos_to_date(F.col("time_unix_nano")).alias("dt"))
     return out.withColumn("metric_hash", metric_hash(F.col("canonical"))) \
               .drop("attr_entries", "res_text", "scope_text")
 
 
+def flatten_points(requests: DataFrame, batch_id: int = 0) -> DataFrame:
+    """Gauge and Sum points with identity, times and value.
+
+    Other metric types produce no rows here (S22, B9); see ``dropped_points``.
+    """
+    metrics = explode_metrics(requests, batch_id).where(F.col("metric_type").isin(GAUGE, SUM))
+    is_sum = F.col("metric_type") == SUM
+    pts = metrics.select(
+        *[c for c in metrics.columns if c != "m"],
+        F.when(is_sum, F.col("m.sum.aggregationTemporality")).cast("int")
+         .alias("aggregation_temporality"),
+        F.when(is_sum, F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False)))
+         .alias("is_monotonic"),
+        F.posexplode(F.when(is_sum, F.col("m.sum.dataPoints"))
+                     .otherwise(F.col("m.gauge.dataPoints"))).alias("p_pos", "p"))
+    rank = F.when(is_sum, F.lit(TYPE_RANK[SUM])).otherwise(F.lit(TYPE_RANK[GAUGE]))
+    out = _with_identity(pts, rank)
+    return out.withColumn("value", point_value(F.col("p"))).drop("p")
+
+
 def gauge_rows(points: DataFrame) -> DataFrame:
     """Slim gauge facts."""
     return points.where(F.col("metric_type") == GAUGE).select(
@@ -131,3 +139,60 @@ def dropped_points(requests: DataFrame, batch_id: int = 0) -> DataFrame:
           .otherwise(F.size(F.col("m.summary.dataPoints"))))
     return m.select("batch_id", "request_seq", "request_part", "metric_type",
                     F.greatest(n, F.lit(0)).cast("bigint").alias("points"))
+
+
+# ---- extensions X2–X4: points of the other three types (off by default) ----
+_OTHER = {HISTOGRAM: "histogram", EXP_HISTOGRAM: "exponentialHistogram", SUMMARY: "summary"}
+
+
+def _u64_array(c):
+    return F.transform(c, lambda x: x.try_cast("bigint"))
+
+
+def flatten_other_points(requests: DataFrame, metric_type: str, batch_id: int = 0) -> DataFrame:
+    """Histogram / exponential-histogram / summary points with the same
+    identity and metadata columns as gauge and sum points."""
+    field = _OTHER[metric_type]
+    metrics = explode_metrics(requests, batch_id).where(F.col("metric_type") == metric_type)
+    temporality = (F.col(f"m.{field}.aggregationTemporality").cast("int")
+                   if metric_type != SUMMARY else F.lit(None).cast("int"))
+    pts = metrics.select(*[c for c in metrics.columns if c != "m"],
+                         temporality.alias("aggregation_temporality"),
+                         F.posexplode(f"m.{field}.dataPoints").alias("p_pos", "p"))
+    out = _with_identity(pts, F.lit(TYPE_RANK[metric_type]))
+    common = [F.col("p.count").try_cast("bigint").alias("count"), F.col("p.sum").alias("sum")]
+    if metric_type == HISTOGRAM:
+        extra = [_u64_array(F.col("p.bucketCounts")).alias("bucket_counts"),
+                 F.col("p.explicitBounds").alias("explicit_bounds"),
+                 F.col("p.min").alias("min"), F.col("p.max").alias("max")]
+    elif metric_type == EXP_HISTOGRAM:
+        extra = [F.col("p.scale").alias("scale"),
+                 F.col("p.zeroCount").try_cast("bigint").alias("zero_count"),
+                 F.col("p.positive.offset").alias("positive_offset"),
+                 _u64_array(F.col("p.positive.bucketCounts")).alias("positive_bucket_counts"),
+                 F.col("p.negative.offset").alias("negative_offset"),
+                 _u64_array(F.col("p.negative.bucketCounts")).alias("negative_bucket_counts"),
+                 F.col("p.min").alias("min"), F.col("p.max").alias("max")]
+    else:
+        extra = [F.col("p.quantileValues").alias("value_at_quantiles")]
+    return out.select("*", *common, *extra).drop("p")
+
+
+OTHER_COLUMNS = {
+    "metrics_histogram": ["metric_hash", "start_time_unix_nano", "time_unix_nano", "count", "sum",
+                          "bucket_counts", "explicit_bounds", "min", "max", "flags",
+                          "aggregation_temporality", "dt"],
+    "metrics_exponential_histogram": [
+        "metric_hash", "start_time_unix_nano", "time_unix_nano", "count", "sum", "scale",
+        "zero_count", "positive_offset", "positive_bucket_counts", "negative_offset",
+        "negative_bucket_counts", "min", "max", "flags", "aggregation_temporality", "dt"],
+    "metrics_summary": ["metric_hash", "start_time_unix_nano", "time_unix_nano", "count", "sum",
+                        "value_at_quantiles", "flags", "dt"],
+}
+OTHER_TABLE = {HISTOGRAM: "metrics_histogram", EXP_HISTOGRAM: "metrics_exponential_histogram",
+               SUMMARY: "metrics_summary"}
+
+
+def other_rows(points: DataFrame, metric_type: str) -> DataFrame:
+    """Fact rows of one extension table, in table column order."""
+    return points.select(*OTHER_COLUMNS[OTHER_TABLE[metric_type]])

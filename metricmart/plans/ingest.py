@@ -23,7 +23,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from metricmart.operators.flatten import flatten_points, gauge_rows, sum_rows
+from metricmart.operators.flatten import (OTHER_TABLE, flatten_other_points, flatten_points,
+                                          gauge_rows, other_rows, sum_rows)
 from metricmart.operators.metadata import metadata_rows
 from metricmart.operators.validate import split_valid
 from metricmart.plans.catalog import MetricStore
@@ -51,21 +52,32 @@ def _append(store: MetricStore, table: str, df: DataFrame, audit: list, batch_id
 
 
 def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
-                rebalance: bool = True) -> dict:
+                rebalance: bool = True, store_other_types: bool = False) -> dict:
     """Ingest one batch of requests. Returns row counts per table.
 
     ``rebalance`` shuffles facts by day with Spark's REBALANCE hint: adaptive
     execution then writes right-sized files per day (splitting a hot day into
     several tasks, merging small ones) instead of one small file per task and
     day. Turn it off for micro-batches that already cover a single day.
+
+    ``store_other_types`` (extension X2–X4, off by default as in the
+    reference) also stores histogram, exponential-histogram and summary points
+    and their metadata.
     """
     spark = store.spark
     batch_id = new_batch_id() if batch_id is None else batch_id
     accepted, rejected = split_valid(requests)
     points = flatten_points(accepted, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
     audit: list = []
+    others: dict = {}
     try:
+        if store_other_types:
+            for mtype in OTHER_TABLE:
+                others[mtype] = flatten_other_points(accepted, mtype, batch_id) \
+                    .persist(StorageLevel.MEMORY_AND_DISK)
         meta = metadata_rows(points)
+        for o in others.values():
+            meta = meta.unionByName(metadata_rows(o))
         if rebalance:
             meta = meta.hint("rebalance", "month")
         counts = {"series_metadata": _append(
@@ -77,12 +89,21 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
             counts[table] = _append(
                 store, table, rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"),
                 audit, batch_id)
+        for mtype, o in others.items():
+            rows = other_rows(o, mtype)
+            if rebalance:
+                rows = rows.hint("rebalance", "dt")
+            counts[OTHER_TABLE[mtype]] = _append(
+                store, OTHER_TABLE[mtype],
+                rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"), audit, batch_id)
         counts["rejected_requests"] = _append(
             store, "rejected_requests",
             rejected.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "request_seq",
                             "request_part", "error"), audit, batch_id)
     finally:
         points.unpersist()
+        for o in others.values():
+            o.unpersist()
         if audit:
             spark.createDataFrame(audit, AUDIT).write.mode("append") \
                 .insertInto(store.name("ingest_audit"))

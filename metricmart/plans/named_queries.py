@@ -21,7 +21,7 @@ from metricmart.functions import (identity_text, identity_text_from_maps, metric
 from metricmart.operators import extensions as X
 from metricmart.operators import query as Q
 from metricmart.operators import stats as S
-from metricmart.operators.flatten import dropped_points, flatten_points
+from metricmart.operators.flatten import dropped_points, flatten_other_points, flatten_points
 from metricmart.operators.metadata import series_current
 from metricmart.operators.retention import cutoff_date
 from metricmart.operators.validate import with_validation
@@ -337,6 +337,15 @@ def filter_attr_value(spark, sf_dir):
     return hit.select(_dt_text(), "metric_name", _key_from_meta().alias("series_key"))
 
 
+def histogram_points(spark, sf_dir):
+    """Histogram points flattened like gauge and sum points (extension)."""
+    pts = flatten_other_points(bridge_requests(spark, sf_dir), "Histogram")
+    return pts.select(series_key(F.col("canonical")).alias("series_key"), "metric_name",
+                      "time_unix_nano", _dt_text(), "count", "sum",
+                      F.col("aggregation_temporality").cast("bigint")
+                       .alias("aggregation_temporality"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_gauge_points": flatten_gauge_points,
     "flatten_sum_points": flatten_sum_points,
@@ -368,4 +377,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_service": filter_service,
     "filter_attr_key": filter_attr_key,
     "filter_attr_value": filter_attr_value,
+    "histogram_points": histogram_points,
 }

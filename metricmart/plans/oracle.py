@@ -10,6 +10,12 @@ from __future__ import annotations
 from metricmart.plans.named_queries import (GAUGE_RANGE, NAME_FILTER, NAME_RANGE, ORPHAN_DAY,
                                             SUM_RANGE)
 
+# identity text of a bridged point (columns of the pt CTE)
+_CANON = """metric_name || chr(0) || service_name || chr(0)
+           || 'host.name' || chr(2) || host_name || chr(1) || 'service.name' || chr(2) || service_name
+           || chr(0) || chr(0)
+           || 'bucket' || chr(2) || bucket || chr(1) || 'odd' || chr(2) || odd"""
+
 _BASE = """
 WITH ev AS (
   SELECT event_id, user_id, event_type, value,
@@ -43,10 +49,7 @@ WITH ev AS (
   FROM ev
 ), np AS (
   SELECT pt.*,
-         metric_name || chr(0) || service_name || chr(0)
-           || 'host.name' || chr(2) || host_name || chr(1) || 'service.name' || chr(2) || service_name
-           || chr(0) || chr(0)
-           || 'bucket' || chr(2) || bucket || chr(1) || 'odd' || chr(2) || odd AS canonical,
+         __CANON__ AS canonical,
          'host.name=' || host_name || ',service.name=' || service_name AS resource_attrs,
          'bucket=' || bucket || ',odd=' || odd AS point_attrs,
          CAST(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS BIGINT) AS aggregation_temporality,
@@ -69,6 +72,8 @@ WITH ev AS (
 )
 """
 
+_BASE = _BASE.replace("__CANON__", _CANON)
+
 # Faulty variant: first validation error per request.
 _FAULTY = """
 WITH ev AS (
@@ -292,6 +297,11 @@ SELECT 'resource' AS level, 'host.name' AS attr_key, count(DISTINCT series_key)
 UNION ALL SELECT 'scope', 'host.name', CAST(0 AS BIGINT)
 UNION ALL SELECT 'point', 'odd', count(DISTINCT series_key) FROM cur""",
 
+    "histogram_points": _BASE + f"""
+SELECT md5({_CANON}) AS series_key, metric_name, time_unix_nano, CAST(dt AS VARCHAR) AS dt,
+       CAST(1 AS BIGINT) AS count, value AS sum, CAST(2 AS BIGINT) AS aggregation_temporality
+FROM pt WHERE metric_type = 'Histogram'""",
+
     "filter_attr_value": _BASE + """
 SELECT CAST(dt AS VARCHAR) AS dt, metric_name, series_key FROM cur
 WHERE odd = 'true' AND host_name = 'host-2'""",

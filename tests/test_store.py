@@ -134,3 +134,17 @@ def test_latest_recent_equals_full_topk(stored):
         recent = [(r.time_unix_nano, r.metric_hash, r.scope_version)
                   for r in latest_points_recent(store, kind, 20).collect()]
         assert recent == full and len(full) == 20
+
+
+def test_store_other_types_extension(spark, tmp_path, reqs):
+    from metricmart.sources.samples import NOW, gauge, histogram, kv, point, request, s
+    doc = request([gauge("g", [point(NOW, 7.0)]), histogram("h", NOW, 10, 100.0)],
+                  [kv("service.name", s("svc"))])
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_other")
+    off = write_batch(store, reqs(doc), batch_id=1)
+    assert "metrics_histogram" not in off and store.table("metrics_histogram").count() == 0
+    on = write_batch(store, reqs(doc), batch_id=2, store_other_types=True)
+    h = store.table("metrics_histogram").collect()
+    assert on["metrics_histogram"] == 1 and (h[0]["count"], h[0]["sum"]) == (10, 100.0)
+    types = {r.metric_type for r in series_current(store.table("series_metadata")).collect()}
+    assert types == {"Gauge", "Histogram"}
