@@ -346,6 +346,24 @@ def histogram_points(spark, sf_dir):
                        .alias("aggregation_temporality"))
 
 
+def variety_series(spark, sf_dir):
+    """D1, D2, D3, D7, D8 on attribute edge cases (variety variant): missing,
+    non-string and duplicate service.name, double attributes as Go %g text."""
+    pts = _tables(spark, sf_dir, "variety").points
+    return (pts.groupBy("metric_name", "service_name",
+                        attrs_display(F.col("resource_attributes")).alias("resource_attrs"),
+                        series_key(F.col("canonical")).alias("series_key"))
+            .agg(F.count(F.lit(1)).alias("points")))
+
+
+def variety_attribute_text(spark, sf_dir):
+    """Resource attribute values as text, last duplicate key kept."""
+    pts = _tables(spark, sf_dir, "variety").points
+    return (pts.select(F.explode("resource_attributes"))
+            .groupBy(F.col("key").alias("attr_key"), F.col("value").alias("attr_value"))
+            .agg(F.count(F.lit(1)).alias("points")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_gauge_points": flatten_gauge_points,
     "flatten_sum_points": flatten_sum_points,
@@ -378,4 +396,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_attr_key": filter_attr_key,
     "filter_attr_value": filter_attr_value,
     "histogram_points": histogram_points,
+    "variety_series": variety_series,
+    "variety_attribute_text": variety_attribute_text,
 }

@@ -117,6 +117,69 @@ WITH ev AS (
 )
 """
 
+# Variety variant: resource attributes with edge cases, Go %g text of doubles
+# derived from DuckDB's shortest double text.
+_VARIETY = """
+WITH ev AS (
+  SELECT event_id, user_id, event_type,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+  FROM events
+), pt AS (
+  SELECT ev.*, user_id % 20 AS res, 'events.' || event_type AS metric_name,
+         CAST(k % 2 AS VARCHAR) AS bucket,
+         CASE WHEN k % 2 = 1 THEN 'true' ELSE 'false' END AS odd
+  FROM ev WHERE event_type <> 'error'
+), dv AS (
+  SELECT DISTINCT res, 'weight' AS key, CAST(res AS DOUBLE) / 8.0 AS x FROM pt WHERE res % 5 = 3
+  UNION ALL SELECT DISTINCT res, 'scale', CAST(res AS DOUBLE) * 100000.0 FROM pt WHERE res % 5 = 3
+  UNION ALL SELECT DISTINCT res, 'tiny', CAST(res AS DOUBLE) / 1000000.0 FROM pt WHERE res % 5 = 3
+), g1 AS (
+  SELECT dv.*, CAST(abs(x) AS VARCHAR) AS s FROM dv
+), g2 AS (
+  SELECT g1.*, split_part(s, 'e', 1) AS mant,
+         CASE WHEN contains(s, 'e') THEN CAST(split_part(s, 'e', 2) AS INTEGER) ELSE 0 END AS e10
+  FROM g1
+), g3 AS (
+  SELECT g2.*, split_part(mant, '.', 1) AS ip,
+         CASE WHEN contains(mant, '.') THEN split_part(mant, '.', 2) ELSE '' END AS fp
+  FROM g2
+), g4 AS (
+  SELECT g3.*, ip || fp AS raw, ltrim(ip || fp, '0') AS nl FROM g3
+), g5 AS (
+  SELECT g4.*, rtrim(nl, '0') AS d, length(ip) + e10 - (length(raw) - length(nl)) AS p FROM g4
+), gtxt AS (
+  SELECT res, key,
+    CASE WHEN x = 0 THEN '0' ELSE
+      (CASE WHEN x < 0 THEN '-' ELSE '' END) ||
+      CASE WHEN p - 1 < -4 OR p - 1 >= 6
+             THEN substr(d, 1, 1) || CASE WHEN length(d) > 1 THEN '.' || substr(d, 2) ELSE '' END
+                  || 'e' || CASE WHEN p - 1 < 0 THEN '-' ELSE '+' END
+                  || CASE WHEN abs(p - 1) < 10 THEN '0' ELSE '' END || CAST(abs(p - 1) AS VARCHAR)
+           WHEN p <= 0 THEN '0.' || repeat('0', -p) || d
+           WHEN p >= length(d) THEN d || repeat('0', p - length(d))
+           ELSE substr(d, 1, p) || '.' || substr(d, p + 1) END
+    END AS val
+  FROM g5
+), ra AS (
+  SELECT DISTINCT res, 'host.name' AS key, 'host-' || CAST(res % 4 AS VARCHAR) AS val FROM pt
+  UNION ALL
+  SELECT DISTINCT res, 'service.name',
+         CASE WHEN res % 5 = 1 THEN CAST(res % 2 AS VARCHAR)
+              ELSE 'svc-' || CAST(res % 2 AS VARCHAR) END
+  FROM pt WHERE res % 5 <> 0
+  UNION ALL SELECT res, key, val FROM gtxt
+), rt AS (
+  SELECT res, string_agg(key || chr(2) || val, chr(1) ORDER BY key) AS rtext,
+         string_agg(key || '=' || val, ',' ORDER BY key) AS rdisp
+  FROM ra GROUP BY res
+), np AS (
+  SELECT pt.*, rt.rtext, rt.rdisp,
+         CASE WHEN res % 5 IN (0, 1) THEN '' WHEN res % 5 = 2 THEN 'svc-a'
+              ELSE 'svc-' || CAST(res % 2 AS VARCHAR) END AS service_name
+  FROM pt JOIN rt USING (res)
+)
+"""
+
 _ENRICHED = """
 SELECT g.time_unix_nano, c.series_key, c.metric_name, c.service_name, c.point_attrs,
        c.metric_description, c.scope_version, g.pvalue AS value{extra}
@@ -302,6 +365,17 @@ SELECT md5({_CANON}) AS series_key, metric_name, time_unix_nano, CAST(dt AS VARC
        CAST(1 AS BIGINT) AS count, value AS sum, CAST(2 AS BIGINT) AS aggregation_temporality
 FROM pt WHERE metric_type = 'Histogram'""",
 
+    "variety_series": _VARIETY + """
+SELECT metric_name, service_name, rdisp AS resource_attrs,
+       md5(metric_name || chr(0) || service_name || chr(0) || rtext || chr(0) || chr(0)
+           || 'bucket' || chr(2) || bucket || chr(1) || 'odd' || chr(2) || odd) AS series_key,
+       count(*) AS points
+FROM np GROUP BY ALL""",
+
+    "variety_attribute_text": _VARIETY + """
+SELECT ra.key AS attr_key, ra.val AS attr_value, count(*) AS points
+FROM pt JOIN ra USING (res) GROUP BY ra.key, ra.val""",
+
     "filter_attr_value": _BASE + """
 SELECT CAST(dt AS VARCHAR) AS dt, metric_name, series_key FROM cur
 WHERE odd = 'true' AND host_name = 'host-2'""",

@@ -27,6 +27,13 @@ Mapping (both engines compute it; see the oracle SQL):
 empty name for the signup metric where request_seq % 5 = 0, temporality 0 for
 purchase where request_seq % 7 = 0.
 
+``variant="variety"`` exercises attribute edge cases: one resource per
+user_id % 20 = r, host.name = host-(r % 4), and by r % 5: 0 -> no service.name;
+1 -> service.name as an int (r % 2); 2 -> service.name 'svc-a', host.name,
+service.name svc-(r % 2) (first wins for the service, last for the map);
+3 -> svc-(r % 2), host.name, and doubles weight = r / 8, scale = r * 1e5,
+tiny = r / 1e6; 4 -> as clean.
+
 The nesting is four aggregations, each keyed by a bounded group (one metric's
 points within one request part at the finest level).
 """
@@ -42,6 +49,7 @@ from metricmart.schemas import (ANY_VALUE, ATTRS, HISTOGRAM_POINT, METRIC, NUMBE
 
 # Fixed values of the bridge.
 REQUEST_PART_EVENTS = 262_144
+RESOURCES = {"clean": 4, "faulty": 4, "variety": 20}     # resource index = user_id % this
 HOUR_NANOS = 3_600_000_000_000
 GAUGE_EVENTS = ("click", "view")
 SUM_EVENTS = ("purchase", "signup")
@@ -65,7 +73,7 @@ def event_points(events: DataFrame, variant: str = "clean") -> DataFrame:
     df = df.select(
         "*", rs.alias("request_seq"),
         F.call_function("div", F.col("event_id"), F.lit(REQUEST_PART_EVENTS)).alias("request_part"),
-        F.pmod("user_id", F.lit(4)).alias("host_idx"),
+        F.pmod("user_id", F.lit(RESOURCES[variant])).alias("res_idx"),
         F.pmod("event_id", F.lit(2)).alias("scope_idx"))
     t = F.col("event_type")
     bad_time = (F.pmod("event_id", F.lit(97)) == 0) if faulty else F.lit(False)
@@ -96,13 +104,32 @@ def event_points(events: DataFrame, variant: str = "clean") -> DataFrame:
         F.when(t.isin(*HISTOGRAM_EVENTS), hist_point).alias("hist_point"))
 
 
+def _resource_attributes(res: Column, variant: str) -> Column:
+    """Resource attribute list of resource index ``res`` (see module doc)."""
+    svc = _kv("service.name", string_value=F.concat(F.lit("svc-"), F.pmod(res, F.lit(2)).cast("string")))
+    host = _kv("host.name", string_value=F.concat(F.lit("host-"), F.pmod(res, F.lit(4)).cast("string")))
+    if variant != "variety":
+        return F.array(svc, host)
+    kind = F.pmod(res, F.lit(5))
+    d = res.cast("double")
+    return (F.when(kind == 0, F.array(host))
+             .when(kind == 1, F.array(_kv("service.name", int_value=F.pmod(res, F.lit(2)).cast("string")),
+                                      host))
+             .when(kind == 2, F.array(_kv("service.name", string_value=F.lit("svc-a")), host, svc))
+             .when(kind == 3, F.array(svc, host,
+                                      _kv("weight", double_value=d / F.lit(8.0)),
+                                      _kv("scale", double_value=d * F.lit(100000.0)),
+                                      _kv("tiny", double_value=d / F.lit(1000000.0))))
+             .otherwise(F.array(svc, host)))
+
+
 def _kv(key: str, string_value: Column | None = None, int_value: Column | None = None,
-        bool_value: Column | None = None) -> Column:
+        bool_value: Column | None = None, double_value: Column | None = None) -> Column:
     none = F.lit(None)
     val = F.struct(
         (string_value if string_value is not None else none.cast("string")).alias("stringValue"),
         (int_value if int_value is not None else none.cast("string")).alias("intValue"),
-        none.cast("double").alias("doubleValue"),
+        (double_value if double_value is not None else none.cast("double")).alias("doubleValue"),
         (bool_value if bool_value is not None else none.cast("boolean")).alias("boolValue"),
         none.cast("string").alias("bytesValue"), none.cast("string").alias("arrayValue"),
         none.cast("string").alias("kvlistValue")).cast(ANY_VALUE)
@@ -122,7 +149,7 @@ def requests_from_events(events: DataFrame, variant: str = "clean") -> DataFrame
     req = ["request_seq", "request_part"]
 
     # level 1: one metric (event type) of one scope of one resource
-    m = (pts.groupBy(*req, "host_idx", "scope_idx", "event_type")
+    m = (pts.groupBy(*req, "res_idx", "scope_idx", "event_type")
          .agg(_sorted_payload(F.col("event_id"), F.col("num_point")).alias("num_points"),
               _sorted_payload(F.col("event_id"), F.col("hist_point")).alias("hist_points")))
     t = F.col("event_type")
@@ -152,7 +179,7 @@ def requests_from_events(events: DataFrame, variant: str = "clean") -> DataFrame
     ).cast(METRIC)
 
     # level 2: scope
-    s = (m.groupBy(*req, "host_idx", "scope_idx")
+    s = (m.groupBy(*req, "res_idx", "scope_idx")
          .agg(_sorted_payload(t, metric).alias("metrics")))
     scope = F.struct(
         F.struct(F.lit("events").alias("name"),
@@ -162,19 +189,16 @@ def requests_from_events(events: DataFrame, variant: str = "clean") -> DataFrame
         F.col("metrics").alias("metrics")).cast(SCOPE_METRICS)
 
     # level 3: resource
-    r = (s.groupBy(*req, "host_idx")
+    r = (s.groupBy(*req, "res_idx")
          .agg(_sorted_payload(F.col("scope_idx"), scope).alias("scopeMetrics")))
-    host = F.col("host_idx")
+    res = F.col("res_idx")
     resource = F.struct(
-        F.struct(F.array(
-            _kv("service.name", string_value=F.concat(F.lit("svc-"), F.pmod(host, F.lit(2)).cast("string"))),
-            _kv("host.name", string_value=F.concat(F.lit("host-"), host.cast("string"))),
-        ).alias("attributes")).alias("resource"),
+        F.struct(_resource_attributes(res, variant).alias("attributes")).alias("resource"),
         F.col("scopeMetrics").alias("scopeMetrics")).cast(RESOURCE_METRICS)
 
     # level 4: request
     return (r.groupBy(*req)
-            .agg(_sorted_payload(host, resource).alias("resourceMetrics"))
+            .agg(_sorted_payload(res, resource).alias("resourceMetrics"))
             .select("request_seq", "request_part",
                     F.col("resourceMetrics").cast(ArrayType(RESOURCE_METRICS))))
 
