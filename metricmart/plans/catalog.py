@@ -55,19 +55,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def ddl_statements(store: MetricStore) -> list[str]:
+def ddl_statements(store: MetricStore, hash_bloom_ndv: int = 100_000) -> list[str]:
+    """H2–H7 (+ reject and audit logs). Tables keyed by ``metric_hash`` get a
+    Parquet bloom filter on it when ``hash_bloom_ndv`` > 0: facts are sorted by
+    time, so inside a day the hash min/max cannot skip row groups but the bloom
+    filter can (series lookups, B12 / X8)."""
     out = []
     for table, (schema, parts) in TABLES.items():
         part = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
+        opts = ""
+        if hash_bloom_ndv and "metric_hash" in schema.fieldNames():
+            opts = (" OPTIONS ('parquet.bloom.filter.enabled#metric_hash' = 'true', "
+                    f"'parquet.bloom.filter.expected.ndv#metric_hash' = '{hash_bloom_ndv}')")
         out.append(
             f"CREATE TABLE IF NOT EXISTS {store.name(table)} ({_ddl_columns(schema)}) "
-            f"USING parquet{part} LOCATION '{store.path(table)}' "
+            f"USING parquet{opts}{part} LOCATION '{store.path(table)}' "
             f"TBLPROPERTIES ('retention_days' = '{store.retention_days}')")
     return out
 
 
 def create_tables(spark: SparkSession, root: str, database: str = "default",
-                  retention_days: int = DEFAULT_RETENTION_DAYS) -> MetricStore:
+                  retention_days: int = DEFAULT_RETENTION_DAYS,
+                  hash_bloom_ndv: int = 100_000) -> MetricStore:
     """H1: create the six metric tables plus the reject and audit logs if absent.
 
     When a table is (re-)registered over existing data, its partitions are
@@ -76,7 +85,7 @@ def create_tables(spark: SparkSession, root: str, database: str = "default",
     store = MetricStore(spark, root, database, retention_days)
     if database != "default":
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    for (table, (_, parts)), stmt in zip(TABLES.items(), ddl_statements(store)):
+    for (table, (_, parts)), stmt in zip(TABLES.items(), ddl_statements(store, hash_bloom_ndv)):
         existed = store.exists(table)
         if existed:
             _check_location(store, table)

@@ -1,5 +1,5 @@
-"""Table maintenance: retention expiry (H13, H14, H16) and metadata
-compaction (H15).
+"""Table maintenance: retention expiry (H13, H14, H16), metadata compaction
+(H15) and fact-day compaction.
 
 Expiry works on whole partitions only: the partition list comes from the
 catalog (metadata, one entry per day or month — never row data), expired
@@ -93,3 +93,30 @@ def compact_metadata(store: MetricStore, month: int, today=None,
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     _delete_path(spark, staging)
     return n
+
+
+def compact_day(store: MetricStore, table: str, day: str) -> int:
+    """Rewrite one fact day as a few large files sorted by (time, hash).
+
+    Streaming ingest appends small files per micro-batch; this is the
+    counterpart of background part merges. The day is range-partitioned on
+    time (files do not overlap in time, so a range inside the day skips whole
+    files) through a staging copy, then swapped in with a dynamic partition
+    overwrite of that one day.
+    """
+    spark = store.spark
+    src = store.table(table).where(F.col("dt") == F.lit(day).cast("date"))
+    staging = f"{checkpoint_root(spark)}/compaction/{table}_{day}_{_dt.datetime.now():%Y%m%d%H%M%S%f}"
+    (src.repartitionByRange("time_unix_nano")
+        .sortWithinPartitions("time_unix_nano", "metric_hash")
+        .write.parquet(staging))
+    staged = spark.read.schema(src.schema).parquet(staging)
+    n = staged.count()
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        staged.write.mode("overwrite").insertInto(store.name(table))
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    _delete_path(spark, staging)
+    return n

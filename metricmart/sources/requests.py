@@ -32,6 +32,21 @@ def read_request_stream(spark: SparkSession, path: str, fmt: str = "json",
     return reader.load(path)
 
 
+def read_kafka_requests(spark: SparkSession, bootstrap_servers: str, topic: str,
+                        starting_offsets: str = "earliest") -> DataFrame:
+    """A2 (Kafka variant): OTLP/JSON request bodies from a Kafka topic.
+
+    Needs the Spark Kafka connector on the classpath (not bundled with
+    PySpark). Arrival order is (partition, offset): ``request_seq`` is built so
+    that a later offset of the same partition sorts later.
+    """
+    raw = (spark.readStream.format("kafka")
+           .option("kafka.bootstrap.servers", bootstrap_servers)
+           .option("subscribe", topic).option("startingOffsets", starting_offsets).load())
+    seq = F.col("offset") * F.lit(1 << 16) + F.col("partition")
+    return parse_requests(raw, "value", seq)
+
+
 def parse_requests(df: DataFrame, body: str | Column = "value",
                    seq: str | Column | None = None) -> DataFrame:
     """A3: decode request bodies carried as JSON text (e.g. a Kafka ``value``).

@@ -148,3 +148,19 @@ def test_store_other_types_extension(spark, tmp_path, reqs):
     assert on["metrics_histogram"] == 1 and (h[0]["count"], h[0]["sum"]) == (10, 100.0)
     types = {r.metric_type for r in series_current(store.table("series_metadata")).collect()}
     assert types == {"Gauge", "Histogram"}
+
+
+def test_compact_day_keeps_rows(spark, tmp_path):
+    from metricmart.plans.maintenance import compact_day
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_compact_day")
+    req = bridge_requests(spark, SF)
+    write_batch(store, req, batch_id=1, rebalance=False)
+    write_batch(store, req, batch_id=2, rebalance=False)     # at-least-once duplicates
+    day = store.table("metrics_gauge").where("dt = '2024-01-10'")
+    before = sorted(tuple(r) for r in day.select("metric_hash", "time_unix_nano", "value").collect())
+    files_before = len(day.inputFiles())
+    assert compact_day(store, "metrics_gauge", "2024-01-10") == len(before)
+    day = store.table("metrics_gauge").where("dt = '2024-01-10'")
+    after = sorted(tuple(r) for r in day.select("metric_hash", "time_unix_nano", "value").collect())
+    assert after == before and len(day.inputFiles()) <= files_before
+    assert store.table("metrics_gauge").where("dt = '2024-01-11'").count() > 0
