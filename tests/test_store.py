@@ -164,3 +164,17 @@ def test_compact_day_keeps_rows(spark, tmp_path):
     after = sorted(tuple(r) for r in day.select("metric_hash", "time_unix_nano", "value").collect())
     assert after == before and len(day.inputFiles()) <= files_before
     assert store.table("metrics_gauge").where("dt = '2024-01-11'").count() > 0
+
+
+def test_audit_summary_and_observe(stored, spark):
+    from pyspark.sql import Observation
+    from metricmart.operators.stats import audit_summary, observe_received
+    _, store, counts, lin = stored
+    s = {r.table: r for r in audit_summary(store.table("ingest_audit")).collect()}
+    assert s["metrics_gauge"].writes == 1 and s["metrics_gauge"].rows == counts["metrics_gauge"]
+    assert len(s["metrics_sum"].p50_p95_p99_ms) == 3 and s["metrics_sum"].max_ms >= 0
+    got = observe_received(lin.points, "recv").count()
+    assert got == counts["metrics_gauge"] + counts["metrics_sum"]
+    o = Observation("recv2")
+    lin.points.observe(o, F.count(F.lit(1)).alias("n")).count()
+    assert o.get["n"] == got
