@@ -12,8 +12,8 @@ Design points for scale:
   No broadcast hint is forced on the dimension: Spark broadcasts it when its
   measured size is under the (adaptive) threshold and keeps a shuffled join
   otherwise.
-* Latest-N runs the top-k before the join (TakeOrderedAndProject); only the
-  k surviving keys are broadcast, a size bounded by k.
+* Latest-N runs the top-k before the join (TakeOrderedAndProject); the
+  dimension is then read only for the <= k keys it needs.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricmart.functions import nanos_to_timestamp
 from metricmart.operators.metadata import series_by_day, series_by_hash
 from metricmart.schemas import STRMAP
 
@@ -117,17 +118,33 @@ def points_in_range(gauge_or_sum: DataFrame, meta: DataFrame, start, end, enrich
     return out.orderBy("time_unix_nano", "metric_hash") if order else out
 
 
+def top_k(gauge_or_sum: DataFrame, n: int) -> DataFrame:
+    """The n latest points (TakeOrderedAndProject), without the derived ``ts``."""
+    return (gauge_or_sum.select(*[c for c in gauge_or_sum.columns if c != "ts"])
+            .orderBy(F.col("time_unix_nano").desc(), F.col("metric_hash")).limit(n))
+
+
 def latest_points(gauge_or_sum: DataFrame, meta: DataFrame, n: int = 20) -> DataFrame:
     """Latest n points (time desc, hash as tie-break), enriched.
 
-    The top-k is taken first; the dimension is then cut to the <= n
-    (hash, day) keys it needs, with those keys broadcast (size bounded by n).
+    The top-k (TakeOrderedAndProject, at most n rows) is taken once; the
+    dimension is then read only for the days, months and hashes those rows
+    need (partition pruning plus pushed IN filters), and the two small sides
+    are joined with a broadcast bounded by n.
     """
-    top = gauge_or_sum.orderBy(F.col("time_unix_nano").desc(), F.col("metric_hash")).limit(n)
-    keys = top.select("metric_hash", "dt").distinct()
-    m = meta.join(F.broadcast(keys), ["metric_hash", "dt"], "left_semi")
+    spark = gauge_or_sum.sparkSession
+    top_df = top_k(gauge_or_sum, n)
+    rows = top_df.collect()
+    top = spark.createDataFrame(rows, top_df.schema) \
+        .withColumn("ts", nanos_to_timestamp(F.col("time_unix_nano")))
+    days = sorted({r["dt"] for r in rows})
+    hashes = sorted({r["metric_hash"] for r in rows})
+    m = meta.where(F.col("month").isin(sorted({d.year * 100 + d.month for d in days}))
+                   & F.col("dt").isin(days) & F.col("metric_hash").isin(hashes))
     dim = series_by_day(m).drop("ord")
-    return (_fill_defaults(top.join(F.broadcast(dim), ["metric_hash", "dt"], "left"))
+    out = top.join(F.broadcast(dim), ["metric_hash", "dt"], "left")
+    return (_fill_defaults(out.select(*gauge_or_sum.columns,
+                                      *[c for c in dim.columns if c not in ("metric_hash", "dt")]))
             .orderBy(F.col("time_unix_nano").desc(), F.col("metric_hash")))
 
 

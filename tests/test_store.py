@@ -74,10 +74,14 @@ def test_range_query_prunes_partitions(stored):
 def test_latest_is_top_k_and_bounded_broadcast(stored):
     _, store, _, _ = stored
     t = store.tables()
+    top = Q.top_k(t.gauge, 20)
+    formatted = top._jdf.queryExecution().explainString(
+        top._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "TakeOrderedAndProject" in formatted
     q = Q.latest_points(t.gauge, t.metadata, 20)
     formatted = q._jdf.queryExecution().explainString(
         q._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "TakeOrderedAndProject" in formatted
+    assert "PartitionFilters: [isnotnull(month" in formatted and "In(metric_hash" in formatted
     rows = q.collect()
     assert len(rows) == 20
     times = [r.time_unix_nano for r in rows]
