@@ -19,14 +19,23 @@ MSG_ZERO_TIME = "metric {name}: data point {index} has time_unix_nano=0 (require
 MSG_TEMPORALITY = "sum metric {name}: aggregation_temporality must not be UNSPECIFIED"
 
 
+# A time text that may read as 0: zero digits, missing (N) or not a plain number.
+_MAYBE_ZERO = "(^|,)(0+|N|[^,]*[^0-9,][^,]*)?(,|$)"
+
+
 def _zero_time_sql(name: str, points: str) -> str:
     pre, post = MSG_ZERO_TIME.split("{name}")
     mid, tail = post.split("{index}")
     # 1-based position of the first point whose time is 0 (missing counts as 0)
     pos = (f"array_position(transform(coalesce({points}, array()), "
            f"vp -> coalesce(try_cast(vp.timeUnixNano AS DECIMAL(20,0)), 0) = 0), true)")
-    return let_sql(pos, "vi", f"CASE WHEN vi > 0 THEN concat('{pre}', {go_quote_sql(name)}, "
-                              f"'{mid}', CAST(vi - 1 AS STRING), '{tail}') END")
+    exact = let_sql(pos, "vi", f"CASE WHEN vi > 0 THEN concat('{pre}', {go_quote_sql(name)}, "
+                               f"'{mid}', CAST(vi - 1 AS STRING), '{tail}') END")
+    # Fast path without a per-point lambda: the metric's time texts joined once
+    # and tested with one regex; only suspicious metrics run the exact check.
+    suspicious = (f"size(coalesce({points}, array())) > 0 AND "
+                  f"regexp_like(array_join({points}.timeUnixNano, ',', 'N'), '{_MAYBE_ZERO}')")
+    return f"CASE WHEN {suspicious} THEN {exact} END"
 
 
 def _metric_error_sql(m: str) -> str:
