@@ -115,10 +115,6 @@ def test_service_name_edge_cases(reqs):
             request([gauge("d", [point(NOW)])], resource_attrs=[kv("service.name", i(5))], seq=4)]
     got = {r.metric_name: r.service_name for r in _tables(reqs, *docs).metadata.collect()}
     assert got == {"a": "", "b": "", "c": "", "d": ""}
-    m = request([gauge("m", [point(NOW)])], resource_attrs=[], seq=5)
-    m["resourceMetrics"][0]["resource"]["attributes"] = []
-    # identity "m" / service "svc" is a golden key; here service is "" so only check a name key
-    assert _tables(reqs, m).metadata.first().service_name == ""
 
 
 def test_nil_resource_golden_hash(reqs):
@@ -180,3 +176,21 @@ def test_flatten_matches_stored_columns(reqs):
                                             "time_unix_nano", "ts", "value", "flags", "dt"]
     assert sum_rows(t.points).columns[-3:] == ["aggregation_temporality", "is_monotonic", "dt"]
     assert metadata_rows(flatten_points(reqs(sample_request()))).columns[-2:] == ["ord", "month"]
+
+
+def test_zero_time_forms(reqs):
+    def with_times(seq, *times):
+        pts = []
+        for t in times:
+            p = {"asDouble": 1.0}
+            if t is not None:
+                p["timeUnixNano"] = t
+            pts.append(p)
+        return request([gauge("g", pts)], SVC, seq=seq)
+    docs = [with_times(1, str(NOW), "00"), with_times(2, str(NOW), ""),
+            with_times(3, None), with_times(4, str(NOW), str(NOW + 10)),
+            with_times(5, str(NOW), "100")]
+    _, rej = split_valid(reqs(*docs))
+    got = {r.request_seq: r.error for r in rej.collect()}
+    msg = 'metric "g": data point {} has time_unix_nano=0 (required by OTLP spec)'
+    assert got == {1: msg.format(1), 2: msg.format(1), 3: msg.format(0)}
