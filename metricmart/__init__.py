@@ -6,6 +6,6 @@ day-partitioned fact tables beside a series dimension that is merged on read.
 Every step is a DataFrame / Spark SQL expression.
 """
 
-from metricmart.session import build_session, checkpoint_root, configure
+from metricmart.session import build_session, checkpoint_root
 
-__all__ = ["build_session", "checkpoint_root", "configure"]
+__all__ = ["build_session", "checkpoint_root"]

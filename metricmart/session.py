@@ -11,13 +11,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings applied to sessions we build ourselves. On a cluster, most of these
-# belong in spark-defaults; `configure` only fills what is unset.
+# Settings applied to sessions we build ourselves (tests, bench). On a cluster
+# these belong in spark-defaults; the engine's results do not depend on them.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # target size of shuffle partitions, hence of files written after REBALANCE
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     # Runtime size check for lookup joins: AQE turns a sort-merge join into a
     # broadcast join only when the measured dimension side is below this.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
@@ -40,14 +42,6 @@ def build_session(master: str = "local[*]", app: str = "metricmart",
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply engine defaults to an existing session without overriding explicit choices."""
-    for k, v in DEFAULTS.items():
-        if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
-    return spark
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates.
 
