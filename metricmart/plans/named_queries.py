@@ -22,7 +22,6 @@ from metricmart.operators import extensions as X
 from metricmart.operators import query as Q
 from metricmart.operators import stats as S
 from metricmart.operators.flatten import dropped_points, flatten_other_points, flatten_points
-from metricmart.operators.metadata import series_current
 from metricmart.operators.retention import cutoff_date
 from metricmart.operators.validate import with_validation
 from metricmart.plans.store import MetricTables
@@ -222,13 +221,15 @@ def sum_range_enriched(spark, sf_dir):
                        .alias("aggregation_temporality"), "is_monotonic")
 
 
-def gauge_any_join(spark, sf_dir):
-    """Every gauge point, LEFT ANY JOIN on the hash alone."""
-    t = _tables(spark, sf_dir)
-    out = Q.enrich_any(t.gauge, t.metadata)
-    return out.select("time_unix_nano", _key_from_meta().alias("series_key"), "value",
-                      "metric_name", "metric_description", "scope_version",
-                      _dt_text("meta_dt"))
+def _any_join(kind: str):
+    def run(spark, sf_dir):
+        t = _tables(spark, sf_dir)
+        out = Q.enrich_any(t.facts(kind), t.metadata)
+        return out.select("time_unix_nano", _key_from_meta().alias("series_key"), "value",
+                          "metric_name", "metric_description", "scope_version",
+                          _dt_text("meta_dt"))
+    run.__doc__ = f"F1/F2, S26, S27: every {kind} point, LEFT ANY JOIN on the hash alone."
+    return run
 
 
 def _latest(kind: str):
@@ -381,7 +382,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "host_attribute": host_attribute,
     "gauge_range_enriched": gauge_range_enriched,
     "sum_range_enriched": sum_range_enriched,
-    "gauge_any_join": gauge_any_join,
+    "gauge_any_join": _any_join("gauge"),
+    "sum_any_join": _any_join("sum"),
     "latest_gauge_20": _latest("gauge"),
     "latest_sum_20": _latest("sum"),
     "series_point_lookup": series_point_lookup,

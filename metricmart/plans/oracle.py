@@ -187,6 +187,19 @@ FROM {facts} g LEFT JOIN cur c ON g.series_key = c.series_key AND g.dt = c.dt
 """
 
 
+_ANY_JOIN = """
+, anyd AS (
+  SELECT * FROM (
+    SELECT meta1.*, row_number() OVER (
+      PARTITION BY series_key ORDER BY dt DESC, request_seq DESC, request_part DESC) AS rn3
+    FROM meta1) WHERE rn3 = 1
+)
+SELECT g.time_unix_nano, a.series_key, g.pvalue AS value, a.metric_name, a.metric_description,
+       a.scope_version, CAST(a.dt AS VARCHAR) AS meta_dt
+FROM np2 g LEFT JOIN anyd a ON g.series_key = a.series_key
+WHERE g.metric_type = '{kind}'"""
+
+
 def _enriched(facts: str, extra: str = "") -> str:
     return _ENRICHED.format(facts=facts, extra=extra)
 
@@ -274,17 +287,9 @@ ORDER BY g.time_unix_nano""",
 WHERE g.metric_type = 'Sum' AND g.time_unix_nano BETWEEN {SUM_RANGE[0]} AND {SUM_RANGE[1]}
 ORDER BY g.time_unix_nano""",
 
-    "gauge_any_join": _BASE + """
-, anyd AS (
-  SELECT * FROM (
-    SELECT meta1.*, row_number() OVER (
-      PARTITION BY series_key ORDER BY dt DESC, request_seq DESC, request_part DESC) AS rn3
-    FROM meta1) WHERE rn3 = 1
-)
-SELECT g.time_unix_nano, a.series_key, g.pvalue AS value, a.metric_name, a.metric_description,
-       a.scope_version, CAST(a.dt AS VARCHAR) AS meta_dt
-FROM np2 g LEFT JOIN anyd a ON g.series_key = a.series_key
-WHERE g.metric_type = 'Gauge'""",
+    "gauge_any_join": _BASE + _ANY_JOIN.format(kind="Gauge"),
+
+    "sum_any_join": _BASE + _ANY_JOIN.format(kind="Sum"),
 
     "latest_gauge_20": _BASE + _enriched(
         "(SELECT * FROM np2 WHERE metric_type = 'Gauge' ORDER BY time_unix_nano DESC LIMIT 20)")
