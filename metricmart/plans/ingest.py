@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from metricmart.operators.flatten import (OTHER_TABLE, flatten_other_points, flatten_points,
                                           gauge_rows, other_rows, sum_rows)
-from metricmart.operators.metadata import metadata_rows
+from metricmart.operators.metadata import metadata_rows, series_current
 from metricmart.operators.validate import split_valid
 from metricmart.plans.catalog import MetricStore
-from metricmart.schemas import AUDIT
+from metricmart.schemas import AUDIT, METADATA
 
 
 def new_batch_id() -> int:
@@ -52,7 +52,8 @@ def _append(store: MetricStore, table: str, df: DataFrame, audit: list, batch_id
 
 
 def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
-                rebalance: bool = True, store_other_types: bool = False) -> dict:
+                rebalance: bool = True, store_other_types: bool = False,
+                premerge_metadata: bool = True) -> dict:
     """Ingest one batch of requests. Returns row counts per table.
 
     ``rebalance`` shuffles facts by day with Spark's REBALANCE hint: adaptive
@@ -60,6 +61,11 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
     several tasks, merging small ones) instead of one small file per task and
     day. Turn it off for micro-batches that already cover a single day.
 
+    ``premerge_metadata`` merges the batch's keep-first metadata rows (E2)
+    before appending: the merge is a max over the insertion order, which is
+    associative, so merged reads are unchanged while the metadata log grows
+    by one row per series-day per batch instead of per request.
+
     ``store_other_types`` (extension X2–X4, off by default as in the
     reference) also stores histogram, exponential-histogram and summary points
     and their metadata.
@@ -78,6 +84,10 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
         meta = metadata_rows(points)
         for o in others.values():
             meta = meta.unionByName(metadata_rows(o))
+        if premerge_metadata:
+            meta = series_current(meta).select(
+                *[c for c in METADATA.fieldNames() if c != "month"],
+                (F.year("dt") * 100 + F.month("dt")).cast("int").alias("month"))
         if rebalance:
             meta = meta.hint("rebalance", "month")
         counts = {"series_metadata": _append(
