@@ -190,3 +190,23 @@ def test_audit_summary_and_observe(stored, spark):
     o = Observation("recv2")
     lin.points.observe(o, F.count(F.lit(1)).alias("n")).count()
     assert o.get["n"] == got
+
+
+def test_rejects_stored_and_empty_batch(spark, tmp_path, reqs):
+    from metricmart.operators.validate import split_valid
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_rejects")
+    faulty = bridge_requests(spark, SF, "faulty")
+    expected = split_valid(faulty)[1].count()
+    counts = write_batch(store, faulty, batch_id=1)
+    rej = store.table("rejected_requests")
+    assert counts["rejected_requests"] == rej.count() == expected > 0
+    assert rej.where(F.col("batch_id") != 1).count() == 0
+    # accepted requests only: no rejected request contributes points
+    bad = rej.select("request_seq", "request_part")
+    assert MetricTables.from_requests(faulty.join(bad, ["request_seq", "request_part"], "left_semi"),
+                                      1).rejected.count() == expected
+    empty = write_batch(store, reqs({"request_seq": 99, "request_part": 0, "resourceMetrics": []}),
+                        batch_id=2)
+    assert empty == {"series_metadata": 0, "metrics_gauge": 0, "metrics_sum": 0,
+                     "rejected_requests": 0}
+    assert store.table("ingest_audit").where("batch_id = 2").count() == 0
