@@ -3,7 +3,7 @@
 One function serves batch jobs and streaming ``foreachBatch`` alike:
 
 1. validate (whole requests are accepted or rejected, B6);
-2. flatten once into a points frame (C6), persisted for the three writes;
+2. flatten into one points frame (C6) that feeds the three writes;
 3. append metadata FIRST, then facts (S19: no point without metadata);
 4. append rejects and one audit row per write (table, status, rows, ms).
 
@@ -53,7 +53,7 @@ def _append(store: MetricStore, table: str, df: DataFrame, audit: list, batch_id
 
 def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
                 rebalance: bool = True, store_other_types: bool = False,
-                premerge_metadata: bool = True) -> dict:
+                premerge_metadata: bool = True, cache_points: bool = False) -> dict:
     """Ingest one batch of requests. Returns row counts per table.
 
     ``rebalance`` shuffles facts by day with Spark's REBALANCE hint: adaptive
@@ -61,6 +61,12 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
     several tasks, merging small ones) instead of one small file per task and
     day. Turn it off for micro-batches that already cover a single day.
 
+    ``cache_points`` keeps the flattened points in memory/disk for the three
+    writes instead of re-reading the requests for each; measured at parity
+    once warm, but it needs heap for every point of the batch (maps
+    included), so it is off by default and recomputation from the request
+    files is the default (also what a lost executor falls back to).
+
     ``premerge_metadata`` merges the batch's keep-first metadata rows (E2)
     before appending: the merge is a max over the insertion order, which is
     associative, so merged reads are unchanged while the metadata log grows
@@ -73,14 +79,17 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
     spark = store.spark
     batch_id = new_batch_id() if batch_id is None else batch_id
     accepted, rejected = split_valid(requests)
-    points = flatten_points(accepted, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
+    points = flatten_points(accepted, batch_id)
+    if cache_points:
+        points = points.persist(StorageLevel.MEMORY_AND_DISK)
     audit: list = []
     others: dict = {}
     try:
         if store_other_types:
             for mtype in OTHER_TABLE:
-                others[mtype] = flatten_other_points(accepted, mtype, batch_id) \
-                    .persist(StorageLevel.MEMORY_AND_DISK)
+                others[mtype] = flatten_other_points(accepted, mtype, batch_id)
+                if cache_points:
+                    others[mtype] = others[mtype].persist(StorageLevel.MEMORY_AND_DISK)
         meta = metadata_rows(points)
         for o in others.values():
             meta = meta.unionByName(metadata_rows(o))
@@ -111,9 +120,10 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
             rejected.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "request_seq",
                             "request_part", "error"), audit, batch_id)
     finally:
-        points.unpersist()
-        for o in others.values():
-            o.unpersist()
+        if cache_points:
+            points.unpersist()
+            for o in others.values():
+                o.unpersist()
         if audit:
             spark.createDataFrame(audit, AUDIT).write.mode("append") \
                 .insertInto(store.name("ingest_audit"))
