@@ -5,7 +5,7 @@ One function serves batch jobs and streaming ``foreachBatch`` alike:
 1. validate (whole requests are accepted or rejected, B6);
 2. flatten into one points frame (C6) that feeds the three writes;
 3. append metadata FIRST, then facts (S19: no point without metadata);
-4. append rejects and one audit row per write (table, status, rows, ms).
+4. append rejects; each write is recorded in the audit log as it commits.
 
 Row counts come from ``Observation`` metrics collected during the writes, so
 no extra pass over the data is made. Facts are sorted within each task by
@@ -36,24 +36,43 @@ def new_batch_id() -> int:
     return time.time_ns() // 1000
 
 
-def _append(store: MetricStore, table: str, df: DataFrame, audit: list, batch_id: int) -> int:
+def _record(store: MetricStore, rows: list) -> None:
+    store.spark.createDataFrame(rows, AUDIT).write.mode("append") \
+        .insertInto(store.name("ingest_audit"))
+
+
+def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer: str,
+            skip: set) -> int:
+    """Append one table and record the write in ``ingest_audit`` right after it
+    commits (so a replayed stream epoch can skip it). Empty writes are not
+    recorded (B10)."""
+    if table in skip:
+        return 0
     obs = Observation(f"{table}_{batch_id}")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     t0 = time.perf_counter()
     try:
         observed.write.mode("append").insertInto(store.name(table))
     except Exception:
-        audit.append((batch_id, table, "error", 0, (time.perf_counter() - t0) * 1000.0))
+        _record(store, [(batch_id, table, "error", 0, (time.perf_counter() - t0) * 1000.0, writer)])
         raise
     rows = int(obs.get.get("rows", 0) or 0)
-    if rows:                                                    # empty writes are not writes (B10)
-        audit.append((batch_id, table, "ok", rows, (time.perf_counter() - t0) * 1000.0))
+    if rows:
+        _record(store, [(batch_id, table, "ok", rows, (time.perf_counter() - t0) * 1000.0, writer)])
     return rows
 
 
+def committed_tables(store: MetricStore, writer: str) -> set:
+    """Tables already written by ``writer`` (e.g. one stream epoch)."""
+    rows = store.table("ingest_audit").where(
+        (F.col("writer") == writer) & (F.col("status") == "ok")).select("table").collect()
+    return {r[0] for r in rows}
+
+
 def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
                 rebalance: bool = True, store_other_types: bool = False,
-                premerge_metadata: bool = True, cache_points: bool = False) -> dict:
+                premerge_metadata: bool = True, cache_points: bool = False,
+                writer: str = "batch", skip_tables: set | frozenset = frozenset()) -> dict:
     """Ingest one batch of requests. Returns row counts per table.
 
     ``rebalance`` shuffles facts by day with Spark's REBALANCE hint: adaptive
@@ -72,17 +91,18 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
     associative, so merged reads are unchanged while the metadata log grows
     by one row per series-day per batch instead of per request.
 
+    ``writer`` tags the audit rows; ``skip_tables`` lists tables this writer
+    already committed (a replayed stream epoch), which are not written again.
+
     ``store_other_types`` (extension X2–X4, off by default as in the
     reference) also stores histogram, exponential-histogram and summary points
     and their metadata.
     """
-    spark = store.spark
     batch_id = new_batch_id() if batch_id is None else batch_id
     accepted, rejected = split_valid(requests)
     points = flatten_points(accepted, batch_id)
     if cache_points:
         points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    audit: list = []
     others: dict = {}
     try:
         if store_other_types:
@@ -101,30 +121,29 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
             meta = meta.hint("rebalance", "month")
         counts = {"series_metadata": _append(
             store, "series_metadata",
-            meta.sortWithinPartitions("dt", "metric_name", "metric_hash"), audit, batch_id)}  # H12
+            meta.sortWithinPartitions("dt", "metric_name", "metric_hash"),  # H12
+            batch_id, writer, skip_tables)}
         for table, rows in (("metrics_gauge", gauge_rows(points)), ("metrics_sum", sum_rows(points))):
             if rebalance:
                 rows = rows.hint("rebalance", "dt")
             counts[table] = _append(
                 store, table, rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"),
-                audit, batch_id)
+                batch_id, writer, skip_tables)
         for mtype, o in others.items():
             rows = other_rows(o, mtype)
             if rebalance:
                 rows = rows.hint("rebalance", "dt")
             counts[OTHER_TABLE[mtype]] = _append(
                 store, OTHER_TABLE[mtype],
-                rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"), audit, batch_id)
+                rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"), batch_id, writer,
+                skip_tables)
         counts["rejected_requests"] = _append(
             store, "rejected_requests",
             rejected.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "request_seq",
-                            "request_part", "error"), audit, batch_id)
+                            "request_part", "error"), batch_id, writer, skip_tables)
     finally:
         if cache_points:
             points.unpersist()
             for o in others.values():
                 o.unpersist()
-        if audit:
-            spark.createDataFrame(audit, AUDIT).write.mode("append") \
-                .insertInto(store.name("ingest_audit"))
     return counts

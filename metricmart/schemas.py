@@ -137,7 +137,7 @@ REJECTED = StructType([
 AUDIT = StructType([
     StructField("batch_id", LongType()), StructField("table", StringType()),
     StructField("status", StringType()), StructField("rows", LongType()),
-    StructField("duration_ms", DoubleType()),
+    StructField("duration_ms", DoubleType()), StructField("writer", StringType()),
 ])
 
 # Logical table name -> (schema, partition columns)

@@ -8,8 +8,11 @@ timestamp is accepted however late, and late points land in their own day
 live in the stream either; it is appended per batch and merged on read (E2),
 with periodic compaction (H15) — so no state store grows with the series.
 
-Delivery is at-least-once, as in the reference: a replayed micro-batch may
-duplicate points, while metadata merges idempotently.
+Each table write of an epoch is recorded in the audit log as it commits; a
+replayed epoch skips the tables already committed, so a restart after a
+failure does not append the same points twice (the reference is
+at-least-once). A failure inside one table's commit can still leave that
+table's write to be repeated.
 """
 
 from __future__ import annotations
@@ -18,11 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from metricmart.plans.catalog import MetricStore
-from metricmart.plans.ingest import new_batch_id, write_batch
+from metricmart.plans.ingest import committed_tables, new_batch_id, write_batch
 from metricmart.session import checkpoint_root
 from metricmart.sources.requests import read_request_stream
 
 
+def epoch_batch(store: MetricStore, batch: DataFrame, epoch_id: int, tag: str) -> dict:
+    """One micro-batch, replay-safe: tables this epoch already committed (a
+    replay after a failure) are skipped, so each epoch lands once per table."""
+    writer = f"stream:{tag}:{epoch_id}"
+    return write_batch(store, batch, new_batch_id(), writer=writer,
+                       skip_tables=committed_tables(store, writer))
+
+
 def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",
                  checkpoint: str | None = None, max_files_per_trigger: int | None = None,
                  processing_time: str | None = None, available_now: bool = False,
@@ -34,8 +45,10 @@ def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",
         read_request_stream(spark, source, fmt, max_files_per_trigger)
     ckpt = checkpoint or f"{checkpoint_root(spark)}/streams/{query_name or 'metric-ingest'}"
 
+    tag = query_name or "metric-ingest"
+
     def run(batch: DataFrame, epoch_id: int) -> None:
-        write_batch(store, batch, new_batch_id())
+        epoch_batch(store, batch, epoch_id, tag)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     if query_name:

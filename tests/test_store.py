@@ -210,3 +210,16 @@ def test_rejects_stored_and_empty_batch(spark, tmp_path, reqs):
     assert empty == {"series_metadata": 0, "metrics_gauge": 0, "metrics_sum": 0,
                      "rejected_requests": 0}
     assert store.table("ingest_audit").where("batch_id = 2").count() == 0
+
+
+def test_replayed_epoch_is_skipped(spark, tmp_path):
+    from metricmart.streaming.ingest_stream import epoch_batch
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_replay")
+    req = bridge_requests(spark, SF)
+    first = epoch_batch(store, req, 7, "s")
+    again = epoch_batch(store, req, 7, "s")                  # replay of the same epoch
+    assert first["metrics_gauge"] > 0 and again["metrics_gauge"] == 0
+    assert store.table("metrics_gauge").count() == first["metrics_gauge"]
+    nxt = epoch_batch(store, req, 8, "s")                    # a new epoch is written
+    assert nxt["metrics_gauge"] == first["metrics_gauge"]
+    assert store.table("ingest_audit").where("writer = 'stream:s:7'").count() == 3
