@@ -223,3 +223,31 @@ def test_replayed_epoch_is_skipped(spark, tmp_path):
     nxt = epoch_batch(store, req, 8, "s")                    # a new epoch is written
     assert nxt["metrics_gauge"] == first["metrics_gauge"]
     assert store.table("ingest_audit").where("writer = 'stream:s:7'").count() == 3
+
+
+def test_shuffled_join_path_matches_broadcast(stored, spark):
+    _, store, _, _ = stored
+    t = store.tables()
+    lo, hi = 1704412800000000000, 1705881599999999000
+
+    def run():
+        q = Q.points_in_range(t.gauge, t.metadata, lo, hi)
+        plan = q._jdf.queryExecution().explainString(
+            q._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        rows = sorted((r.time_unix_nano, r.metric_hash, r.metric_name, r.scope_version)
+                      for r in q.collect())
+        a = sorted((r.time_unix_nano, r.metric_name)
+                   for r in Q.enrich_any(t.gauge, t.metadata).collect())
+        return plan, rows, a
+    plan_b, rows_b, any_b = run()
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        plan_s, rows_s, any_s = run()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan_s and "BroadcastHashJoin" not in plan_s
+    assert rows_s == rows_b and len(rows_b) > 0 and any_s == any_b
