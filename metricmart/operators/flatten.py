@@ -41,9 +41,13 @@ def _metric_type(m):
 
 def explode_metrics(requests: DataFrame, batch_id: int = 0) -> DataFrame:
     """One row per metric, carrying request/resource/scope context (C1–C2 upper levels)."""
+    # A request without an arrival number is keyed by a hash of its content, so
+    # distinct requests stay distinct for keep-first (identical ones collapse,
+    # which is harmless: they carry identical metadata).
     req = requests.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
-        F.col("request_seq").cast("bigint").alias("request_seq"),
+        F.coalesce(F.col("request_seq").cast("bigint"), F.xxhash64("resourceMetrics"))
+         .alias("request_seq"),
         F.coalesce(F.col("request_part"), F.lit(0)).cast("bigint").alias("request_part"),
         F.posexplode("resourceMetrics").alias("r_pos", "rm"))
     res = req.select(

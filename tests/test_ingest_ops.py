@@ -194,3 +194,13 @@ def test_zero_time_forms(reqs):
     got = {r.request_seq: r.error for r in rej.collect()}
     msg = 'metric "g": data point {} has time_unix_nano=0 (required by OTLP spec)'
     assert got == {1: msg.format(1), 2: msg.format(1), 3: msg.format(0)}
+
+
+def test_requests_without_sequence_stay_distinct(reqs):
+    a = request([gauge("g", [point(NOW)])], SVC, scope=("sc", "v1"))
+    b = request([gauge("g", [point(NOW)])], SVC, scope=("sc", "v2"))
+    for d in (a, b):
+        d.pop("request_seq")
+    meta = _tables(reqs, a, b).metadata.collect()
+    assert sorted(m.scope_version for m in meta) == ["v1", "v2"]
+    assert len({m.ord.request_seq for m in meta}) == 2
