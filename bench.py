@@ -33,7 +33,7 @@ from metricmart.operators.metadata import series_current  # noqa: E402
 from metricmart.plans.catalog import create_tables, latest_points_recent  # noqa: E402
 from metricmart.plans.ingest import write_batch  # noqa: E402
 from metricmart.plans.maintenance import compact_metadata, expire  # noqa: E402
-from metricmart.session import build_session  # noqa: E402
+from metricmart.session import build_session, checkpoint_root  # noqa: E402
 from metricmart.sources.events_bridge import bridge_requests  # noqa: E402
 from metricmart.sources.requests import read_requests, write_requests  # noqa: E402
 
@@ -65,7 +65,7 @@ def main():
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(2, cpus),
                           extra={"spark.driver.memory": "16g"})
     work = tempfile.mkdtemp(prefix="metricmart-bench-")
-    spark.sparkContext.setCheckpointDir(f"{work}/ckpt")
+    checkpoint_root(spark)          # the session's checkpoint folder; a scratch one only if unset
 
     t0 = time.perf_counter()
     write_requests(bridge_requests(spark, sf_dir).repartition(cpus * 2), f"{work}/requests",

@@ -62,7 +62,7 @@ def _attrs_df(spark, lists):
 
 
 def test_attribute_values_as_text(spark):
-    # null, string, int, double, bool true/false, bytes (metrics_mapper_test AnyValue cases)
+    # null, string, int, double, bool true/false, bytes
     attrs = [{"key": "null"}, {"key": "s", "value": {"stringValue": "hello"}},
              {"key": "i", "value": {"intValue": "42"}}, {"key": "d", "value": {"doubleValue": 3.14}},
              {"key": "t", "value": {"boolValue": True}}, {"key": "f", "value": {"boolValue": False}},

@@ -130,8 +130,8 @@ def test_keep_first_within_request_last_across(reqs):
     t = _tables(reqs, doc1)
     assert [m.scope_version for m in t.metadata.collect()] == ["v1"]
     # across requests the last inserted description wins
-    a = request([gauge("anylast.gauge", [point(NOW, 1.0)], "v1 description")], SVC, seq=1)
-    b = request([gauge("anylast.gauge", [point(NOW, 1.0)], "v2 description")], SVC, seq=2)
+    a = request([gauge("last.gauge", [point(NOW, 1.0)], "v1 description")], SVC, seq=1)
+    b = request([gauge("last.gauge", [point(NOW, 1.0)], "v2 description")], SVC, seq=2)
     cur = series_current(_tables(reqs, b, a).metadata).collect()
     assert len(cur) == 1 and cur[0].metric_description == "v2 description"
 
