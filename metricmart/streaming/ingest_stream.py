@@ -35,11 +35,12 @@ def epoch_batch(store: MetricStore, batch: DataFrame, epoch_id: int, tag: str) -
 
 
 def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",
-                 checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                 checkpoint: str | None = None, max_files_per_trigger: int | None = 1000,
                  processing_time: str | None = None, available_now: bool = False,
                  query_name: str | None = None) -> StreamingQuery:
     """K1: start the ingest stream. ``max_files_per_trigger`` / ``processing_time``
-    size the micro-batches (K2: many small requests become one larger write)."""
+    size the micro-batches (K2: many small requests become one larger write);
+    the default file cap keeps a backlog from landing in one micro-batch."""
     spark = store.spark
     stream = source if isinstance(source, DataFrame) else \
         read_request_stream(spark, source, fmt, max_files_per_trigger)
