@@ -42,10 +42,11 @@ def _record(store: MetricStore, rows: list) -> None:
 
 
 def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer: str,
-            skip: set) -> int:
-    """Append one table and record the write in ``ingest_audit`` right after it
-    commits (so a replayed stream epoch can skip it). Empty writes are not
-    recorded (B10)."""
+            skip: set, pending: list | None) -> int:
+    """Append one table and audit the write. With ``pending`` None the audit
+    row is written right after the commit (stream epochs: a replay can skip
+    the table); otherwise it is queued and written once per batch. Empty
+    writes are not recorded (B10)."""
     if table in skip:
         return 0
     obs = Observation(f"{table}_{batch_id}")
@@ -54,11 +55,18 @@ def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer
     try:
         observed.write.mode("append").insertInto(store.name(table))
     except Exception:
-        _record(store, [(batch_id, table, "error", 0, (time.perf_counter() - t0) * 1000.0, writer)])
+        row = (batch_id, table, "error", 0, (time.perf_counter() - t0) * 1000.0, writer)
+        _record(store, [row] + (pending or []))
+        if pending is not None:
+            pending.clear()
         raise
     rows = int(obs.get.get("rows", 0) or 0)
     if rows:
-        _record(store, [(batch_id, table, "ok", rows, (time.perf_counter() - t0) * 1000.0, writer)])
+        row = (batch_id, table, "ok", rows, (time.perf_counter() - t0) * 1000.0, writer)
+        if pending is None:
+            _record(store, [row])
+        else:
+            pending.append(row)
     return rows
 
 
@@ -104,6 +112,8 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
     if cache_points:
         points = points.persist(StorageLevel.MEMORY_AND_DISK)
     others: dict = {}
+    # stream epochs record each write as it commits; batch jobs record once
+    pending: list | None = None if writer.startswith("stream:") else []
     try:
         if store_other_types:
             for mtype in OTHER_TABLE:
@@ -122,13 +132,13 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
         counts = {"series_metadata": _append(
             store, "series_metadata",
             meta.sortWithinPartitions("dt", "metric_name", "metric_hash"),  # H12
-            batch_id, writer, skip_tables)}
+            batch_id, writer, skip_tables, pending)}
         for table, rows in (("metrics_gauge", gauge_rows(points)), ("metrics_sum", sum_rows(points))):
             if rebalance:
                 rows = rows.hint("rebalance", "dt")
             counts[table] = _append(
                 store, table, rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"),
-                batch_id, writer, skip_tables)
+                batch_id, writer, skip_tables, pending)
         for mtype, o in others.items():
             rows = other_rows(o, mtype)
             if rebalance:
@@ -136,12 +146,14 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
             counts[OTHER_TABLE[mtype]] = _append(
                 store, OTHER_TABLE[mtype],
                 rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"), batch_id, writer,
-                skip_tables)
+                skip_tables, pending)
         counts["rejected_requests"] = _append(
             store, "rejected_requests",
             rejected.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "request_seq",
-                            "request_part", "error"), batch_id, writer, skip_tables)
+                            "request_part", "error"), batch_id, writer, skip_tables, pending)
     finally:
+        if pending:
+            _record(store, pending)
         if cache_points:
             points.unpersist()
             for o in others.values():
