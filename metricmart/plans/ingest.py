@@ -5,14 +5,16 @@ One function serves batch jobs and streaming ``foreachBatch`` alike:
 1. validate (whole requests are accepted or rejected, B6);
 2. flatten into one points frame (C6) that feeds the three writes;
 3. append metadata FIRST, then facts (S19: no point without metadata);
-4. append rejects; each write is recorded in the audit log as it commits.
+4. append rejects; writes are recorded in the audit log (each as it commits
+   for stream epochs, so a replay can skip it; once per batch otherwise).
 
 Row counts come from ``Observation`` metrics collected during the writes, so
 no extra pass over the data is made. Facts are sorted within each task by
 (dt, time, hash) before writing (H11): files carry tight time/hash min-max
 statistics for row-group skipping. Facts are rebalanced by day first so each
 day gets a few well-sized files. The keep-first metadata aggregation is
-combined map-side (one row per series-day per request survives it).
+combined map-side (one row per series-day per request survives it) and then
+merged per batch before it is appended.
 """
 
 from __future__ import annotations
