@@ -74,6 +74,24 @@ def ddl_statements(store: MetricStore, hash_bloom_ndv: int = 100_000) -> list[st
     return out
 
 
+_MERGED = ["metric_description", "metric_unit", "metric_type", "service_name",
+           "resource_attributes", "scope_attributes", "attributes", "scope_name",
+           "scope_version", "ord"]
+
+
+def current_view_sql(store: MetricStore) -> str:
+    """A5 / E2 for SQL users: ``series_current`` = the merged metadata (last
+    inserted row per day, name and hash). ``month`` is a grouping column too
+    (it follows from ``dt``), so month/dt filters on the view reach the scan."""
+    payload = ", ".join(f"'{c}', {c}" for c in _MERGED)
+    cols = ", ".join(f"m.{c} AS {c}" for c in _MERGED)
+    return (f"CREATE OR REPLACE VIEW {store.name('series_current')} AS "
+            f"SELECT dt, metric_name, metric_hash, {cols}, month FROM ("
+            f"SELECT dt, month, metric_name, metric_hash, "
+            f"max_by(named_struct({payload}), ord) AS m "
+            f"FROM {store.name('series_metadata')} GROUP BY dt, month, metric_name, metric_hash)")
+
+
 def create_tables(spark: SparkSession, root: str, database: str = "default",
                   retention_days: int = DEFAULT_RETENTION_DAYS,
                   hash_bloom_ndv: int = 100_000) -> MetricStore:
@@ -92,6 +110,7 @@ def create_tables(spark: SparkSession, root: str, database: str = "default",
         spark.sql(stmt)
         if parts and not existed and path_exists(spark, store.path(table)):
             spark.sql(f"ALTER TABLE {store.name(table)} RECOVER PARTITIONS")
+    spark.sql(current_view_sql(store))
     return store
 
 

@@ -251,3 +251,16 @@ def test_shuffled_join_path_matches_broadcast(stored, spark):
             spark.conf.set(k, v)
     assert "SortMergeJoin" in plan_s and "BroadcastHashJoin" not in plan_s
     assert rows_s == rows_b and len(rows_b) > 0 and any_s == any_b
+
+
+def test_series_current_sql_view(stored, spark):
+    _, store, _, _ = stored
+    view = spark.sql("SELECT * FROM t_store.series_current")
+    assert view.count() == series_current(store.table("series_metadata")).count()
+    q = spark.sql("SELECT metric_name, metric_description FROM t_store.series_current "
+                  "WHERE month = 202401 AND dt = DATE'2024-01-15'")
+    plan = q._jdf.queryExecution().explainString(
+        q._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert q.count() == series_current(store.table("series_metadata")) \
+        .where("dt = DATE'2024-01-15'").count() > 0
