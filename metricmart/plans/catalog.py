@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricmart.operators.retention import DEFAULT_RETENTION_DAYS
+from metricmart.operators.retention import DEFAULT_RETENTION_DAYS, retained
 from metricmart.plans.store import MetricTables
 from metricmart.schemas import TABLES
 
@@ -40,9 +40,16 @@ class MetricStore:
         """Scan one table through the catalog (partition pruning)."""
         return self.spark.table(self.name(table))
 
-    def tables(self) -> MetricTables:
-        return MetricTables(self.table("metrics_gauge"), self.table("metrics_sum"),
-                            self.table("series_metadata"), self.table("rejected_requests"))
+    def tables(self, as_of=None) -> MetricTables:
+        """The star schema; with ``as_of`` (a date) rows past the retention
+        window are cut on read (a partition filter), so results are exact
+        between expiry runs (H13)."""
+        t = MetricTables(self.table("metrics_gauge"), self.table("metrics_sum"),
+                         self.table("series_metadata"), self.table("rejected_requests"))
+        if as_of is None:
+            return t
+        keep = lambda df: retained(df, as_of, self.retention_days)
+        return MetricTables(keep(t.gauge), keep(t.sum), keep(t.metadata), t.rejected)
 
     def exists(self, table: str) -> bool:
         """A7."""

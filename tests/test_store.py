@@ -264,3 +264,13 @@ def test_series_current_sql_view(stored, spark):
     assert "PartitionFilters: [isnotnull(month" in plan
     assert q.count() == series_current(store.table("series_metadata")) \
         .where("dt = DATE'2024-01-15'").count() > 0
+
+
+def test_retention_cut_on_read(stored):
+    _, store, _, _ = stored
+    t = store.tables(as_of="2024-04-15")                    # 90 days -> keep dt >= 2024-01-16
+    days = {r.dt.isoformat() for r in t.gauge.select("dt").distinct().collect()}
+    assert min(days) == "2024-01-16"
+    meta_days = {r.dt.isoformat() for r in t.metadata.select("dt").distinct().collect()}
+    assert min(meta_days) == "2024-01-16"
+    assert store.tables().gauge.count() > t.gauge.count() > 0
