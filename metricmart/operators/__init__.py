@@ -1,0 +1 @@
+"""Operators over DataFrames: validation, flatten, metadata merge, reads and joins, stats, retention, extensions."""

@@ -1,0 +1 @@
+"""Catalog tables, ingest, maintenance, registered queries and their oracle SQL."""

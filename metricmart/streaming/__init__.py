@@ -1,0 +1 @@
+"""Continuous ingest with Structured Streaming."""
