@@ -204,3 +204,36 @@ def test_requests_without_sequence_stay_distinct(reqs):
     meta = _tables(reqs, a, b).metadata.collect()
     assert sorted(m.scope_version for m in meta) == ["v1", "v2"]
     assert len({m.ord.request_seq for m in meta}) == 2
+
+
+def test_random_identities_match_python_model(reqs):
+    import random
+
+    import xxhash
+    rnd = random.Random(2024)
+    alphabet = ["a", "b", "é", "✓", "\x01", "\x02", " ", "Z", "0"]
+
+    def word():
+        return "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 4)))
+
+    def attrs():
+        return [kv(rnd.choice(["k", "K", "ké", "z", "a.b"]), s(word()))
+                for _ in range(rnd.randint(0, 5))]
+
+    def text(lst):
+        m = {}
+        for a in lst:
+            m[a["key"]] = a["value"]["stringValue"]            # last duplicate wins
+        return "\x01".join(f"{k}\x02{v}" for k, v in sorted(m.items()))
+
+    docs, expected = [], {}
+    for seq in range(60):
+        res, pt = attrs(), attrs()
+        svc = next((a["value"]["stringValue"] for a in res if a["key"] == "service.name"), "")
+        name = "m" + word()
+        docs.append(request([gauge(name, [point(NOW, 1.0, pt)])], res, seq=seq))
+        canon = "\x00".join([name, svc, text(res), "", text(pt)])
+        u = xxhash.xxh64_intdigest(canon.encode("utf-8"))
+        expected[seq] = u - (1 << 64) if u >= 1 << 63 else u
+    got = {r.request_seq: r.metric_hash for r in _tables(reqs, *docs).points.collect()}
+    assert got == expected
