@@ -11,6 +11,7 @@ against golden values in the tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,10 @@ from metricmart.operators import stats as S
 from metricmart.operators.flatten import dropped_points, flatten_other_points, flatten_points
 from metricmart.operators.retention import cutoff_date
 from metricmart.operators.validate import with_validation
+from metricmart.plans.catalog import create_tables, latest_points_recent
+from metricmart.plans.ingest import write_batch
 from metricmart.plans.store import MetricTables
+from metricmart.session import checkpoint_root
 from metricmart.sources.events_bridge import bridge_requests
 from metricmart.sources.requests import parse_requests
 
@@ -365,6 +369,34 @@ def variety_attribute_text(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("points")))
 
 
+# ---------------------------------------------------------------- stored path
+def _stored(spark: SparkSession, sf_dir: str):
+    """Ingest the bridged requests into a fresh store in the checkpoint folder
+    (DDL, validation, flatten, metadata-first appends) and return it."""
+    tag = uuid.uuid4().hex[:12]
+    store = create_tables(spark, f"{checkpoint_root(spark)}/registered/{tag}",
+                          database=f"mm_{tag}")
+    write_batch(store, bridge_requests(spark, sf_dir), batch_id=1)
+    return store
+
+
+def stored_gauge_range(spark, sf_dir):
+    """H1–H12 + B11/F3/G5: the range query on stored, partitioned tables."""
+    t = _stored(spark, sf_dir).tables()
+    return _enriched_out(Q.points_in_range(t.gauge, t.metadata, *GAUGE_RANGE))
+
+
+def stored_latest_gauge_20(spark, sf_dir):
+    """G1 on stored tables, newest day partitions first."""
+    return _enriched_out(latest_points_recent(_stored(spark, sf_dir), "gauge", LATEST_N))
+
+
+def stored_series_current(spark, sf_dir):
+    """A5/E2 through the catalog view ``series_current``."""
+    store = _stored(spark, sf_dir)
+    return _current_out(spark.sql(f"SELECT * FROM {store.name('series_current')}"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_gauge_points": flatten_gauge_points,
     "flatten_sum_points": flatten_sum_points,
@@ -400,4 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "histogram_points": histogram_points,
     "variety_series": variety_series,
     "variety_attribute_text": variety_attribute_text,
+    "stored_gauge_range": stored_gauge_range,
+    "stored_latest_gauge_20": stored_latest_gauge_20,
+    "stored_series_current": stored_series_current,
 }

@@ -385,3 +385,8 @@ FROM pt JOIN ra USING (res) GROUP BY ra.key, ra.val""",
 SELECT CAST(dt AS VARCHAR) AS dt, metric_name, series_key FROM cur
 WHERE odd = 'true' AND host_name = 'host-2'""",
 }
+
+# The stored-path queries answer the same questions as their lineage twins.
+ORACLE_SQL["stored_gauge_range"] = ORACLE_SQL["gauge_range_enriched"]
+ORACLE_SQL["stored_latest_gauge_20"] = ORACLE_SQL["latest_gauge_20"]
+ORACLE_SQL["stored_series_current"] = ORACLE_SQL["series_current"]
