@@ -109,7 +109,8 @@ def create_tables(spark: SparkSession, root: str, database: str = "default",
     """
     store = MetricStore(spark, root, database, retention_days)
     if database != "default":
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` "
+                  f"LOCATION '{root.rstrip('/')}/_database'")
     for (table, (_, parts)), stmt in zip(TABLES.items(), ddl_statements(store, hash_bloom_ndv)):
         existed = store.exists(table)
         if existed:
