@@ -274,3 +274,30 @@ def test_retention_cut_on_read(stored):
     meta_days = {r.dt.isoformat() for r in t.metadata.select("dt").distinct().collect()}
     assert min(meta_days) == "2024-01-16"
     assert store.tables().gauge.count() > t.gauge.count() > 0
+
+
+def test_exp_histogram_and_summary_extension(spark, tmp_path, reqs):
+    from metricmart.operators.flatten import dropped_points
+    from metricmart.sources.samples import NOW, kv, request, s
+    exp = {"name": "e", "exponentialHistogram": {"aggregationTemporality": 1, "dataPoints": [
+        {"timeUnixNano": str(NOW), "count": "5", "sum": 2.5, "scale": 3, "zeroCount": "1",
+         "positive": {"offset": 2, "bucketCounts": ["1", "3"]},
+         "negative": {"offset": -1, "bucketCounts": ["0"]}, "min": 0.1, "max": 9.0}]}}
+    summ = {"name": "q", "summary": {"dataPoints": [
+        {"timeUnixNano": str(NOW), "count": "4", "sum": 10.0,
+         "quantileValues": [{"quantile": 0.5, "value": 2.0}, {"quantile": 0.99, "value": 7.5}]}]}}
+    doc = request([exp, summ], [kv("service.name", s("svc"))])
+    d = {r.metric_type: r.points for r in dropped_points(reqs(doc)).collect()}
+    assert d == {"ExpHistogram": 1, "Summary": 1}
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_other2")
+    c = write_batch(store, reqs(doc), batch_id=1, store_other_types=True)
+    assert c["metrics_exponential_histogram"] == 1 and c["metrics_summary"] == 1
+    e = store.table("metrics_exponential_histogram").first()
+    assert (e["count"], e["scale"], e["zero_count"], e["positive_offset"],
+            e["positive_bucket_counts"], e["negative_bucket_counts"], e["aggregation_temporality"]) \
+        == (5, 3, 1, 2, [1, 3], [0], 1)
+    q = store.table("metrics_summary").first()
+    assert q["count"] == 4 and [(v.quantile, v.value) for v in q["value_at_quantiles"]] == \
+        [(0.5, 2.0), (0.99, 7.5)]
+    types = {r.metric_type for r in series_current(store.table("series_metadata")).collect()}
+    assert types == {"ExpHistogram", "Summary"}
