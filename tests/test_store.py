@@ -301,3 +301,12 @@ def test_exp_histogram_and_summary_extension(spark, tmp_path, reqs):
         [(0.5, 2.0), (0.99, 7.5)]
     types = {r.metric_type for r in series_current(store.table("series_metadata")).collect()}
     assert types == {"ExpHistogram", "Summary"}
+
+
+def test_compact_metadata_drops_expired_days(spark, tmp_path):
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_compact_ret")
+    write_batch(store, bridge_requests(spark, SF), batch_id=1)
+    n = compact_metadata(store, 202401, today="2024-02-20", retention_days=30)  # keep >= 01-21
+    meta = store.table("series_metadata")
+    assert n == meta.count() > 0
+    assert min(r.dt for r in meta.select("dt").distinct().collect()).isoformat() == "2024-01-21"
