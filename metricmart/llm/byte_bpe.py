@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from metricmart.llm.common import runs, table
 
@@ -186,10 +187,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
                 columns += [pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, " + "ids array<int>, " * with_ids
-    schema += "ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
+    schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n_tokens", T.LongType())
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema
+    schema = schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType()).add("round_trip", T.BooleanType())
+    names = schema.names
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from metricmart.llm import decontaminate
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.OP6_SQL,
+}
