@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate
+from metricmart.llm import decontaminate, quality
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
+    "op3_fertility": quality.op3_fertility,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
 }
