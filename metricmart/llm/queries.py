@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, quality
+from metricmart.llm import decontaminate, language, line_dedup, quality
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
+    "op10_line_chunks": line_dedup.op10_line_chunks,
+    "op1_language": language.op1_language,
     "op3_fertility": quality.op3_fertility,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_line_chunks": line_dedup.OP10_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
 }
