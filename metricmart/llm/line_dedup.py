@@ -69,16 +69,17 @@ def multi_line_chunks(docs: DataFrame) -> DataFrame:
         F.array_join(F.slice("lines", F.col("at.first") + 1, F.col("at.last") - F.col("at.first") + 1), "\n").alias("chunk"))
 
 
-#: A 128-bit key of a chunk's text.
-_KEY = [F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit("second"), "chunk").alias("h2")]
+def _chunk_key() -> list[Column]:
+    """A 128-bit key of a chunk's text."""
+    return [F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit("second"), "chunk").alias("h2")]
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, removed: an array of (first, last) line numbers to take out of each document."""
     chunks = multi_line_chunks(docs)
-    places = materialise(chunks.select("doc_id", "text_hash", "first", "last", *_KEY), "line-places")
+    places = materialise(chunks.select("doc_id", "text_hash", "first", "last", *_chunk_key()), "line-places")
     # grouping by the text itself compares bytes; copies are counted before the shuffle
-    texts = chunks.select(*_KEY, "chunk").groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"))
+    texts = chunks.select(*_chunk_key(), "chunk").groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"))
     same = texts.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
     place = F.struct("doc_id", "text_hash", "first")
     first = places.groupBy("h1", "h2").agg(F.min(place).alias("keeper"))

@@ -69,7 +69,7 @@ def test_boundaries_withstand_shifts(spark, documents):
 
 
 def test_hash_collision_removes_nothing(documents, monkeypatch):
-    monkeypatch.setattr(L, "_KEY", [F.lit(1).cast("bigint").alias("h1"), F.lit(2).cast("bigint").alias("h2")])
+    monkeypatch.setattr(L, "_chunk_key", lambda: [F.lit(1).cast("bigint").alias("h1"), F.lit(2).cast("bigint").alias("h2")])
     texts = ["a\nb\nc\nd\ne\nf", "g\nh\ni\nj\nk\nl"]
     assert [r.text for r in L.dedup_lines(documents(texts)).orderBy("doc_id").collect()] == texts
 
