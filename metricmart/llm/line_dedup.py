@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions alone.
 
 A text is its \\n-separated lines. Each line gets a 60-bit hash, and a hash that
-rolls over the hashes of a line and the one before it ends a chunk wherever it
-is divisible by ``DIVISOR``; so boundaries depend on nearby lines only and stay
-put when lines are added elsewhere. A chunk of two lines or more that occurs
+rolls over the hashes of a line and the one before it marks a line wherever it
+is divisible by ``DIVISOR``. A chunk ends at a marked line after an unmarked one,
+so it has two lines or more (but at a text's ends), its boundaries depend on
+three lines only, and they stay put when lines are added elsewhere. A chunk of two lines or more that occurs
 again anywhere (same document included) is removed everywhere but at its first
 place, by document id, text hash and chunk number. Chunks are grouped by a
 128-bit hash; a group counts as repeated only after its texts' bytes are found
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from metricmart.llm.common import fresh_name, materialise, table
 
-#: One line in so many ends a chunk, on average.
-DIVISOR = 3
+#: One line in so many is marked, on average; a chunk has 4 lines on average.
+DIVISOR = 2
 #: Odd factor of the earlier line's hash in the rolling hash.
 FACTOR = 31
 #: Prime below 2**31 that keeps the rolling hash within 64 bits.
@@ -45,10 +46,14 @@ def _bind(value: Column, use) -> Column:
 def chunk_bounds(text: Column) -> Column:
     """(first, last) line numbers, from 0, of each chunk of a text, in order."""
     def cut(hashes: Column) -> Column:
-        # a chunk ends where the hash rolled over a line and the one before it says so, and with the text
         before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(hashes, 1, F.size(hashes) - 1))
-        ends_chunk = F.zip_with(hashes, before, lambda h, b: (h + b * FACTOR) % MODULUS % DIVISOR == 0)
-        numbered = F.transform(ends_chunk, lambda e, i: F.when(e | (i == F.size(hashes) - 1), i))
+        marks = F.zip_with(hashes, before, lambda h, b: (h + b * FACTOR) % MODULUS % DIVISOR == 0)
+        return _bind(marks, ends_of)
+
+    def ends_of(marks: Column) -> Column:
+        before = F.concat(F.array(F.lit(False)), F.slice(marks, 1, F.size(marks) - 1))
+        ends = F.zip_with(marks, before, lambda own, last: own & ~last)
+        numbered = F.transform(ends, lambda e, i: F.when(e | (i == F.size(marks) - 1), i))
         return F.filter(numbered, lambda i: i.isNotNull())
 
     def bounds(ends: Column) -> Column:
@@ -114,7 +119,7 @@ def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         changed["n_chars"] = F.when(ranges.isNull(), docs["n_chars"]).otherwise(F.char_length(text).cast(kind))
     out = [changed.get(c, docs[c]).alias(c) for c in docs.columns]
-    return joined.select(*out, *[ranges.alias(removed)] * bool(removed))
+    return joined.select(*out, *([ranges.alias(removed)] if removed else []))
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +142,10 @@ WITH lines AS (
   FROM documents
 ), hashed AS (
   SELECT *, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) % {MODULUS} AS h FROM lines
+), marks AS (
+  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {FACTOR}) % {MODULUS} % {DIVISOR} = 0 AS mark FROM hashed
 ), ends AS (
-  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {FACTOR}) % {MODULUS} % {DIVISOR} = 0 AS e FROM hashed
+  SELECT *, mark AND NOT coalesce(lag(mark) OVER (PARTITION BY doc_id ORDER BY i), false) AS e FROM marks
 ), numbered AS (
   SELECT *, coalesce(sum(CAST(e AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends
 ), chunks AS (

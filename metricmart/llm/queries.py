@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, language, line_dedup, quality
+from metricmart.llm import decontaminate, language, line_dedup, quality, simhash
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op10_line_chunks": line_dedup.op10_line_chunks,
     "op1_language": language.op1_language,
     "op3_fertility": quality.op3_fertility,

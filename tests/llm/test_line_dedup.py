@@ -12,15 +12,16 @@ def line_hash(line):
 
 
 def chunks(text):
-    out, current, before = [], [], 0
+    out, current, before, marked = [], [], 0, False
     lines = text.split("\n")
     for i, line in enumerate(lines):
         h = line_hash(line)
+        mark = (h + before * L.FACTOR) % L.MODULUS % L.DIVISOR == 0
         current.append(line)
-        if (h + before * L.FACTOR) % L.MODULUS % L.DIVISOR == 0 or i == len(lines) - 1:
+        if (mark and not marked) or i == len(lines) - 1:
             out.append(current)
             current = []
-        before = h
+        before, marked = h, mark
     return out
 
 
