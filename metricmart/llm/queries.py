@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, language, line_dedup, quality, simhash
+from metricmart.llm import decontaminate, language, line_dedup, quality, simhash, warc
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op2_simhash": simhash.op2_simhash,
     "op10_line_chunks": line_dedup.op10_line_chunks,
     "op1_language": language.op1_language,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
     "op10_line_chunks": line_dedup.OP10_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
 }
