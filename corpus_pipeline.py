@@ -6,10 +6,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricmart.llm import byte_bpe
+from metricmart.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
+from metricmart.llm.common import table
 from metricmart.session import checkpoint_root
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their group's fertility bands."""
+    return quality.keep_good(docs)
+
+
+def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line chunks that an earlier one has; n_chars is counted anew."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by ``benchmark``."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each remaining document, with digests of ids and decoded bytes."""
     path, pattern = byte_bpe.public_vocabulary()
@@ -17,6 +38,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_chunks),
+    ("simhash", near_duplicates),
+    ("decontamination", decontaminated),
     ("byte_bpe", encode),
 ]
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, language, line_dedup, quality, simhash, warc
+from metricmart.llm import decontaminate, language, line_dedup, quality, simhash, toxicity, warc
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op5_warc": warc.op5_warc,
     "op2_simhash": simhash.op2_simhash,
     "op10_line_chunks": line_dedup.op10_line_chunks,
