@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, language, line_dedup, quality, simhash, substring_dedup, toxicity, warc
+from metricmart.llm import decontaminate, katz, language, line_dedup, quality, simhash, substring_dedup, toxicity, warc
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
+    "op9_katz": katz.op9_katz,
     "op4_suffix_array": substring_dedup.op4_suffix_array,
     "op8_toxicity": toxicity.op8_toxicity,
     "op5_warc": warc.op5_warc,
