@@ -14,10 +14,11 @@ _TWO_63 = Decimal(2 ** 63)
 
 def unsigned_nanos(s: Column) -> Column:
     """OTLP fixed64 nanos (JSON string or number) -> BIGINT, wrapping values
-    >= 2^63 like a uint64 -> int64 cast (S11). Missing -> 0."""
+    >= 2^63 like a uint64 -> int64 cast (S11). Missing -> 0; text outside
+    unsigned 64 bits never gets here (validation rejects its request)."""
     d = s.try_cast("decimal(20,0)")
     wrapped = F.when(d >= F.lit(_TWO_63), d - F.lit(_TWO_64)).otherwise(d)
-    return F.coalesce(wrapped.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(wrapped.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def floor_div(n: Column, k: int) -> Column:

@@ -19,23 +19,42 @@ MSG_ZERO_TIME = "metric {name}: data point {index} has time_unix_nano=0 (require
 MSG_TEMPORALITY = "sum metric {name}: aggregation_temporality must not be UNSPECIFIED"
 
 
-# A time text that may read as 0: zero digits, missing (N) or not a plain number.
-_MAYBE_ZERO = "(^|,)(0+|N|[^,]*[^0-9,][^,]*)?(,|$)"
+# Message of this engine: OTLP/JSON carries times as unsigned 64-bit decimals,
+# so any other text makes the request undecodable.
+MSG_BAD_TIME = "metric {name}: data point {index} has a time outside unsigned 64 bits"
+
+# An element of a comma-joined list that is not surely good: times from 1 to
+# 19 digits without a leading zero; starts may also be missing (N) or empty, or have zeros.
+_UNSURE_TIME = "(^|,)(?![1-9][0-9]{0,18}(,|$))"
+_UNSURE_START = "(^|,)(?!(N|[0-9]{0,19})(,|$))"
+
+
+def _bad_sql(t: str) -> str:
+    """True where a time text is there but is no unsigned 64-bit decimal."""
+    return (f"({t} <> '' AND NOT coalesce({t} RLIKE '^[0-9]+$' AND "
+            f"try_cast({t} AS DECIMAL(38,0)) <= 18446744073709551615, false))")
 
 
 def _zero_time_sql(name: str, points: str) -> str:
-    pre, post = MSG_ZERO_TIME.split("{name}")
-    mid, tail = post.split("{index}")
-    # 1-based position of the first point whose time is 0 (missing counts as 0)
-    pos = (f"array_position(transform(coalesce({points}, array()), "
-           f"vp -> coalesce(try_cast(vp.timeUnixNano AS DECIMAL(20,0)), 0) = 0), true)")
-    exact = let_sql(pos, "vi", f"CASE WHEN vi > 0 THEN concat('{pre}', {go_quote_sql(name)}, "
-                               f"'{mid}', CAST(vi - 1 AS STRING), '{tail}') END")
-    # Fast path without a per-point lambda: the metric's time texts joined once
-    # and tested with one regex; only suspicious metrics run the exact check.
-    suspicious = (f"size(coalesce({points}, array())) > 0 AND "
-                  f"regexp_like(array_join({points}.timeUnixNano, ',', 'N'), '{_MAYBE_ZERO}')")
-    return f"CASE WHEN {suspicious} THEN {exact} END"
+    """First point in order whose time is missing or 0, or whose time or start
+    time is no unsigned 64-bit decimal."""
+    def message(text: str) -> str:
+        pre, post = text.split("{name}")
+        mid, tail = post.split("{index}")
+        return f"concat('{pre}', {go_quote_sql(name)}, '{mid}', CAST(vf.i AS STRING), '{tail}')"
+
+    fault = (f"CASE WHEN {_bad_sql('vp.timeUnixNano')} OR {_bad_sql('vp.startTimeUnixNano')} THEN 'bad' "
+             f"WHEN vp.timeUnixNano IS NULL OR vp.timeUnixNano RLIKE '^0*$' THEN 'zero' END")
+    first = (f"get(filter(transform(coalesce({points}, array()), (vp, vi) -> "
+             f"named_struct('i', vi, 'fault', {fault})), vx -> vx.fault IS NOT NULL), 0)")
+    exact = let_sql(first, "vf", f"CASE WHEN vf.fault = 'zero' THEN {message(MSG_ZERO_TIME)} "
+                                 f"WHEN vf.fault = 'bad' THEN {message(MSG_BAD_TIME)} END")
+    # Two searches over the joined texts settle every metric whose times are all
+    # surely good (1..10^19-1, which is below 2^64); the exact check decides the rest.
+    unsure = (f"size(coalesce({points}, array())) > 0 AND "
+              f"(regexp_like(array_join({points}.timeUnixNano, ',', 'N'), '{_UNSURE_TIME}') OR "
+              f"regexp_like(array_join({points}.startTimeUnixNano, ',', 'N'), '{_UNSURE_START}'))")
+    return f"CASE WHEN {unsure} THEN {exact} END"
 
 
 def _metric_error_sql(m: str) -> str:
@@ -63,7 +82,12 @@ def first_error(resource_metrics: str = "resourceMetrics") -> Column:
 
 
 def with_validation(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("error", first_error("resourceMetrics"))
+    """``error``: why the request is rejected, NULL if it isn't. A body that did
+    not decode (``decode_error``, set by the sources) is rejected for that."""
+    error = first_error("resourceMetrics")
+    if "decode_error" in requests.columns:
+        return requests.withColumn("error", F.coalesce("decode_error", error)).drop("decode_error")
+    return requests.withColumn("error", error)
 
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

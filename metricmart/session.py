@@ -7,6 +7,7 @@ de-duplicated explicitly), but UTC keeps displayed timestamps honest.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,12 +46,15 @@ def build_session(master: str = "local[*]", app: str = "metricmart",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates.
 
-    Read from ``spark.checkpoint.dir`` (cluster setting). Only when it is unset,
-    as in local tests, a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (cluster setting). Only a single-process
+    session (``local[...]``), where every folder is shared, may leave it unset
+    and gets a scratch folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="metricmart-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

@@ -11,25 +11,46 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from metricmart.schemas import EXPORT_BODY, EXPORT_REQUEST
 
 
+# Fixed value: the rejection message for a body that is no export request.
+MSG_UNDECODABLE = "request body could not be decoded"
+_CORRUPT = "_corrupt_record"
+# Schema for JSON readers: Spark puts the text of an undecodable line into the last column.
+_JSON_REQUEST = StructType([*EXPORT_REQUEST.fields, StructField(_CORRUPT, StringType(), True)])
+_JSON_BODY = StructType([*EXPORT_BODY.fields, StructField(_CORRUPT, StringType(), True)])
+
+
+def _decode_error(undecodable: Column) -> Column:
+    return F.when(undecodable, F.lit(MSG_UNDECODABLE)).alias("decode_error")
+
+
+def _decoded(lines: DataFrame) -> DataFrame:
+    """JSON rows with ``decode_error`` set where the line is no export request."""
+    return lines.select(*EXPORT_REQUEST.fieldNames(), _decode_error(F.col(_CORRUPT).isNotNull()))
+
+
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """A1: batch read of stored requests (JSON lines or nested Parquet)."""
-    reader = spark.read.schema(EXPORT_REQUEST)
+    """A1: batch read of stored requests (JSON lines or nested Parquet). A line
+    that does not decode stays a row and is rejected by validation."""
     if fmt == "json":
-        return reader.option("mode", "PERMISSIVE").json(path)
-    return reader.format(fmt).load(path)
+        return _decoded(spark.read.schema(_JSON_REQUEST).option("mode", "PERMISSIVE")
+                        .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
+    return spark.read.schema(EXPORT_REQUEST).format(fmt).load(path)
 
 
 def read_request_stream(spark: SparkSession, path: str, fmt: str = "json",
                         max_files_per_trigger: int | None = None) -> DataFrame:
     """A2: continuous read of request files dropped into a folder."""
-    reader = spark.readStream.schema(EXPORT_REQUEST).format(fmt)
+    reader = spark.readStream.schema(_JSON_REQUEST if fmt == "json" else EXPORT_REQUEST).format(fmt)
+    if fmt == "json":
+        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(path)
+    return _decoded(reader.load(path)) if fmt == "json" else reader.load(path)
 
 
 def read_kafka_requests(spark: SparkSession, bootstrap_servers: str, topic: str,
@@ -56,16 +77,19 @@ def parse_requests(df: DataFrame, body: str | Column = "value",
     body_col = F.col(body) if isinstance(body, str) else body
     seq_col = (F.col(seq) if isinstance(seq, str) else seq) if seq is not None \
         else F.lit(None).cast("bigint")
-    parsed = F.from_json(body_col.cast("string"), EXPORT_BODY)
+    text = body_col.cast("string")
+    parsed = F.from_json(text, _JSON_BODY, {"columnNameOfCorruptRecord": _CORRUPT})
     return df.select(seq_col.cast("bigint").alias("request_seq"),
                      F.lit(0).cast("bigint").alias("request_part"),
-                     parsed["resourceMetrics"].alias("resourceMetrics"))
+                     parsed["resourceMetrics"].alias("resourceMetrics"),
+                     _decode_error(text.isNull() | parsed.isNull() | parsed[_CORRUPT].isNotNull()))
 
 
 def requests_from_json(spark: SparkSession, docs: Iterable[dict]) -> DataFrame:
     """Small in-memory requests (tests, examples): each dict is one request."""
     lines = [json.dumps(d) for d in docs]
-    return spark.read.schema(EXPORT_REQUEST).json(spark.sparkContext.parallelize(lines, 1))
+    return spark.createDataFrame([(x,) for x in lines], "value string").select(
+        F.from_json("value", EXPORT_REQUEST).alias("r")).select("r.*")
 
 
 def write_requests(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:

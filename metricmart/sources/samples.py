@@ -9,7 +9,7 @@ from __future__ import annotations
 # The sample request's names and attributes.
 SAMPLE_SERVICE = "my-test-service"
 SAMPLE_HOST = "local"
-SAMPLE_SCOPE = ("send-test-metric", "0.0.1")
+SAMPLE_SCOPE = ("sample-scope", "0.0.1")
 
 NOW = 1_700_000_000_000_000_000  # nanoseconds, 2023-11-14T22:13:20Z
 

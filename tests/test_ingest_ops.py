@@ -29,7 +29,7 @@ def test_sample_request(reqs):
     assert by_name["cpu.utilization"].metric_hash == -3196380439279096565
     assert by_name["requests.total"].metric_hash == 5193599659133778942
     assert by_name["cpu.utilization"].service_name == "my-test-service"
-    assert by_name["cpu.utilization"].scope_name == "send-test-metric"
+    assert by_name["cpu.utilization"].scope_name == "sample-scope"
 
 
 def test_gauge_fields_copied(reqs):
@@ -196,6 +196,48 @@ def test_zero_time_forms(reqs):
     assert got == {1: msg.format(1), 2: msg.format(1), 3: msg.format(0)}
 
 
+def test_times_outside_64_bits_are_rejected(reqs):
+    def doc(seq, time, start=None):
+        p = {"asDouble": 1.0, "timeUnixNano": time}
+        if start is not None:
+            p["startTimeUnixNano"] = start
+        return request([gauge("g", [point(NOW), p])], SVC, seq=seq)
+    good = [doc(1, "18446744073709551615"), doc(2, "00000000000000000000000000000000000000000007"),
+            doc(3, str(NOW), "0"), doc(4, str(NOW), "18446744073709551615"), doc(5, str(NOW), "")]
+    bad = [doc(11, "18446744073709551616"), doc(12, "9" * 25), doc(13, "9" * 60), doc(14, "-5"), doc(15, "1e3"),
+           doc(16, "12x"), doc(17, str(NOW), "1" * 20 + "9"), doc(18, str(NOW), "x")]
+    requests = reqs(*good, *bad)
+    accepted, rejected = split_valid(requests)
+    msg = 'metric "g": data point 1 has a time outside unsigned 64 bits'
+    assert {r.request_seq: r.error for r in rejected.collect()} == {d: msg for d in range(11, 19)}
+    # the others of the same batch are flattened
+    assert gauge_rows(flatten_points(accepted)).count() == 10
+
+
+def test_undecodable_bodies_are_rejected(spark, scratch):
+    import json
+
+    from metricmart.sources.requests import MSG_UNDECODABLE, parse_requests, read_requests
+    good = json.dumps(request([gauge("g", [point(NOW)])], SVC, seq=1))
+    with open(scratch + "/in.json", "w") as f:
+        f.write("\n".join([good, "{not json", '{"request_seq": 2}', '{"request_seq": 3, "resourceMetrics": "x"}']) + "\n")
+    accepted, rejected = split_valid(read_requests(spark, scratch + "/in.json"))
+    assert [r.error for r in rejected.collect()] == [MSG_UNDECODABLE] * 2
+    assert accepted.count() == 2 and gauge_rows(flatten_points(accepted)).count() == 1
+    bodies = spark.createDataFrame([(1, good), (2, "{"), (3, None), (4, "{}")], "seq long, value string")
+    accepted, rejected = split_valid(parse_requests(bodies, "value", "seq"))
+    assert sorted(r.request_seq for r in rejected.collect()) == [2, 3] and accepted.count() == 2
+
+
+def test_repeated_attribute_keys_keep_the_last(reqs):
+    from metricmart.functions import attribute_entries, entries_to_map
+    attrs = [{"key": k, "value": {"stringValue": v}} for k, v in [("a", "1"), ("b", "2"), ("a", "3"), ("c", "4"), ("b", "5")]]
+    df = reqs(request([gauge("g", [point(NOW)])], attrs))
+    got = df.select(F.explode("resourceMetrics").alias("rm")).select(
+        attribute_entries("rm.resource.attributes").alias("e")).select(entries_to_map("e").alias("m")).first().m
+    assert got == {"a": "3", "b": "5", "c": "4"}
+
+
 def test_requests_without_sequence_stay_distinct(reqs):
     a = request([gauge("g", [point(NOW)])], SVC, scope=("sc", "v1"))
     b = request([gauge("g", [point(NOW)])], SVC, scope=("sc", "v2"))
