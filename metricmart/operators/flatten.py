@@ -39,33 +39,37 @@ def _metric_type(m):
              .when(m["summary"].isNotNull(), F.lit(SUMMARY)))
 
 
-def explode_metrics(requests: DataFrame, batch_id: int = 0) -> DataFrame:
-    """One row per metric, carrying request/resource/scope context (C1–C2 upper levels)."""
+def explode_metrics(requests: DataFrame, batch_id: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per metric, carrying request/resource/scope context (C1–C2 upper levels).
+
+    With ``carry`` (request columns taken along) a level without elements keeps
+    one row of NULLs, so that no request disappears."""
+    explode = F.posexplode_outer if carry else F.posexplode
     # A request without an arrival number is keyed by a hash of its content, so
     # distinct requests stay distinct for keep-first (identical ones collapse,
     # which is harmless: they carry identical metadata).
     req = requests.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
-        F.coalesce(F.col("request_seq").cast("bigint"), F.xxhash64("resourceMetrics"))
-         .alias("request_seq"),
-        F.coalesce(F.col("request_part"), F.lit(0)).cast("bigint").alias("request_part"),
-        F.posexplode("resourceMetrics").alias("r_pos", "rm"))
+        (F.col("request_seq") if carry else
+         F.coalesce(F.col("request_seq").cast("bigint"), F.xxhash64("resourceMetrics"))).alias("request_seq"),
+        F.coalesce(F.col("request_part"), F.lit(0)).cast("bigint").alias("request_part"), *carry,
+        explode("resourceMetrics").alias("r_pos", "rm"))
     res = req.select(
-        "batch_id", "request_seq", "request_part", "r_pos",
+        "batch_id", "request_seq", "request_part", *carry, "r_pos",
         service_name("rm.resource.attributes").alias("service_name"),
         attribute_entries("rm.resource.attributes").alias("res_entries"),
-        F.posexplode("rm.scopeMetrics").alias("s_pos", "sm"))
+        explode("rm.scopeMetrics").alias("s_pos", "sm"))
     scope = res.select(
-        "batch_id", "request_seq", "request_part", "r_pos", "service_name",
+        "batch_id", "request_seq", "request_part", *carry, "r_pos", "service_name",
         entries_to_map("res_entries").alias("resource_attributes"),
         entries_text("res_entries").alias("res_text"),
         "s_pos",
         F.coalesce(F.col("sm.scope.name"), F.lit("")).alias("scope_name"),
         F.coalesce(F.col("sm.scope.version"), F.lit("")).alias("scope_version"),
         attribute_entries("sm.scope.attributes").alias("scope_entries"),
-        F.posexplode("sm.metrics").alias("m_pos", "m"))
+        explode("sm.metrics").alias("m_pos", "m"))
     return scope.select(
-        "batch_id", "request_seq", "request_part", "r_pos", "s_pos", "m_pos",
+        "batch_id", "request_seq", "request_part", *carry, "r_pos", "s_pos", "m_pos",
         "service_name", "resource_attributes", "res_text", "scope_name", "scope_version",
         entries_to_map("scope_entries").alias("scope_attributes"),
         entries_text("scope_entries").alias("scope_text"),
@@ -105,6 +109,34 @@ def flatten_points(requests: DataFrame, batch_id: int = 0) -> DataFrame:
     Other metric types produce no rows here (S22, B9); see ``dropped_points``.
     """
     metrics = explode_metrics(requests, batch_id).where(F.col("metric_type").isin(GAUGE, SUM))
+    return _points(metrics, F.posexplode)
+
+
+REJECTED, DROPPED = "Rejected", "Dropped"
+
+
+def flatten_batch(validated: DataFrame, batch_id: int = 0) -> DataFrame:
+    """Everything that ingest stores or counts, from one pass over validated requests.
+
+    ``kind`` tells the rows apart: Gauge and Sum points as in ``flatten_points``;
+    Rejected, one row per rejected request with its ``error``; Dropped, one row
+    per metric of another type with its number of points in ``dropped``."""
+    accepted = validated.select(
+        F.when(F.col("request_seq").isNull() & F.col("error").isNull(), F.xxhash64("resourceMetrics"))
+         .otherwise(F.col("request_seq")).cast("bigint").alias("request_seq"),
+        "request_part", "error", F.when(F.col("error").isNull(), F.col("resourceMetrics")).alias("resourceMetrics"))
+    metrics = explode_metrics(accepted, batch_id, carry=("error",))
+    size = F.coalesce(*[F.when(F.col("metric_type") == t, F.size(F.col(f"m.{field}.dataPoints")))
+                        for t, field in _OTHER.items()], F.lit(0))
+    metrics = metrics.withColumn("dropped", F.greatest(size, F.lit(0)).cast("bigint"))
+    rows = _points(metrics, F.posexplode_outer)
+    kind = (F.when(F.col("error").isNotNull(), F.lit(REJECTED))
+            .when(F.col("dropped") > 0, F.lit(DROPPED))
+            .when(F.col("p_pos").isNotNull(), F.col("metric_type")))
+    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
+
+
+def _points(metrics: DataFrame, explode) -> DataFrame:
     is_sum = F.col("metric_type") == SUM
     pts = metrics.select(
         *[c for c in metrics.columns if c != "m"],
@@ -112,8 +144,8 @@ def flatten_points(requests: DataFrame, batch_id: int = 0) -> DataFrame:
          .alias("aggregation_temporality"),
         F.when(is_sum, F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False)))
          .alias("is_monotonic"),
-        F.posexplode(F.when(is_sum, F.col("m.sum.dataPoints"))
-                     .otherwise(F.col("m.gauge.dataPoints"))).alias("p_pos", "p"))
+        explode(F.when(is_sum, F.col("m.sum.dataPoints"))
+                .otherwise(F.col("m.gauge.dataPoints"))).alias("p_pos", "p"))
     rank = F.when(is_sum, F.lit(TYPE_RANK[SUM])).otherwise(F.lit(TYPE_RANK[GAUGE]))
     out = _with_identity(pts, rank)
     return out.withColumn("value", point_value(F.col("p"))).drop("p")

@@ -86,16 +86,26 @@ def _fill_defaults(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _redealt(dim: DataFrame, keys: list[str]) -> DataFrame:
+    """A merged dimension whose join has to deal it anew.
+
+    An aggregation leaves its rows dealt by the keys; a join would reuse that,
+    and then Spark cannot split a hot series on the facts' side (its skew-join
+    rule wants both sides as plain shuffles). An expression that changes no
+    value hides it, for one more shuffle of the small side."""
+    return dim.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})
+
+
 def enrich_by_day(facts: DataFrame, meta: DataFrame) -> DataFrame:
     """day-aligned LEFT lookup, exactly one dimension row per fact at most."""
-    dim = series_by_day(meta).drop("ord")
+    dim = _redealt(series_by_day(meta).drop("ord"), ["metric_hash"])
     return _fill_defaults(facts.join(dim, ["metric_hash", "dt"], "left"))
 
 
 def enrich_any(facts: DataFrame, meta: DataFrame) -> DataFrame:
     """LEFT ANY JOIN on the hash alone; the chosen row is the latest
     day's last-inserted one. Reads the whole dimension: prefer enrich_by_day."""
-    dim = series_by_hash(meta).drop("ord").withColumnRenamed("dt", "meta_dt")
+    dim = _redealt(series_by_hash(meta).drop("ord").withColumnRenamed("dt", "meta_dt"), ["metric_hash"])
     return _fill_defaults(facts.join(dim, "metric_hash", "left"))
 
 
@@ -112,9 +122,12 @@ def points_in_range(gauge_or_sum: DataFrame, meta: DataFrame, start, end, enrich
         m = m.where(F.col("metric_hash") == h)
     if metric_name is not None:
         m = m.where(F.col("metric_name") == metric_name)
-        # series of that name on those days: small key set, semi-join the facts
-        f = f.join(m.select("metric_hash", "dt").distinct(), ["metric_hash", "dt"], "left_semi")
-    out = enrich_by_day(f, m) if enrich else f
+        # the series of that name on those days: one inner join filters and enriches
+        dim = _redealt(series_by_day(m).drop("ord"), ["metric_hash"])
+        out = f.join(dim, ["metric_hash", "dt"])
+        out = _fill_defaults(out) if enrich else out.select(*f.columns)
+    else:
+        out = enrich_by_day(f, m) if enrich else f
     return out.orderBy("time_unix_nano", "metric_hash") if order else out
 
 
@@ -127,22 +140,16 @@ def top_k(gauge_or_sum: DataFrame, n: int) -> DataFrame:
 def latest_points(gauge_or_sum: DataFrame, meta: DataFrame, n: int = 20) -> DataFrame:
     """Latest n points (time desc, hash as tie-break), enriched.
 
-    The top-k (TakeOrderedAndProject, at most n rows) is taken once; the
-    dimension is then read only for the days, months and hashes those rows
-    need (partition pruning plus pushed IN filters), and the two small sides
-    are joined with a broadcast bounded by n.
+    One plan, nothing runs while it is built: the top-k (TakeOrderedAndProject,
+    n rows) keeps only its series of the metadata by a semi join, which are then
+    merged and joined. Adaptive execution broadcasts the n rows by their measured
+    size.
     """
-    spark = gauge_or_sum.sparkSession
-    top_df = top_k(gauge_or_sum, n)
-    rows = top_df.collect()
-    top = spark.createDataFrame(rows, top_df.schema) \
-        .withColumn("ts", nanos_to_timestamp(F.col("time_unix_nano")))
-    days = sorted({r["dt"] for r in rows})
-    hashes = sorted({r["metric_hash"] for r in rows})
-    m = meta.where(F.col("month").isin(sorted({d.year * 100 + d.month for d in days}))
-                   & F.col("dt").isin(days) & F.col("metric_hash").isin(hashes))
-    dim = series_by_day(m).drop("ord")
-    out = top.join(F.broadcast(dim), ["metric_hash", "dt"], "left")
+    top = top_k(gauge_or_sum, n)
+    keys = top.select("metric_hash", "dt").distinct()
+    dim = series_by_day(meta.join(keys, ["metric_hash", "dt"], "left_semi")).drop("ord")
+    out = top.withColumn("ts", nanos_to_timestamp(F.col("time_unix_nano"))) \
+        .join(dim, ["metric_hash", "dt"], "left")
     return (_fill_defaults(out.select(*gauge_or_sum.columns,
                                       *[c for c in dim.columns if c not in ("metric_hash", "dt")]))
             .orderBy(F.col("time_unix_nano").desc(), F.col("metric_hash")))

@@ -19,6 +19,10 @@ from metricmart.plans.store import MetricTables
 from metricmart.schemas import TABLES
 
 
+# Distinct series that a file's bloom filter is sized for.
+HASH_BLOOM_NDV = 100_000
+
+
 def _ddl_columns(schema) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
@@ -62,7 +66,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def ddl_statements(store: MetricStore, hash_bloom_ndv: int = 100_000) -> list[str]:
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bloom_options(ndv: int) -> dict[str, str]:
+    """Parquet writer options of tables keyed by ``metric_hash``."""
+    return {"parquet.bloom.filter.enabled#metric_hash": "true",
+            "parquet.bloom.filter.expected.ndv#metric_hash": str(ndv)}
+
+
+def ddl_statements(store: MetricStore, hash_bloom_ndv: int = HASH_BLOOM_NDV) -> list[str]:
     """H2–H7 (+ reject and audit logs). Tables keyed by ``metric_hash`` get a
     Parquet bloom filter on it when ``hash_bloom_ndv`` > 0: facts are sorted by
     time, so inside a day the hash min/max cannot skip row groups but the bloom
@@ -72,8 +87,8 @@ def ddl_statements(store: MetricStore, hash_bloom_ndv: int = 100_000) -> list[st
         part = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
         opts = ""
         if hash_bloom_ndv and "metric_hash" in schema.fieldNames():
-            opts = (" OPTIONS ('parquet.bloom.filter.enabled#metric_hash' = 'true', "
-                    f"'parquet.bloom.filter.expected.ndv#metric_hash' = '{hash_bloom_ndv}')")
+            listed = ", ".join(f"'{k}' = '{v}'" for k, v in bloom_options(hash_bloom_ndv).items())
+            opts = f" OPTIONS ({listed})"
         out.append(
             f"CREATE TABLE IF NOT EXISTS {store.name(table)} ({_ddl_columns(schema)}) "
             f"USING parquet{opts}{part} LOCATION '{store.path(table)}' "
@@ -101,7 +116,7 @@ def current_view_sql(store: MetricStore) -> str:
 
 def create_tables(spark: SparkSession, root: str, database: str = "default",
                   retention_days: int = DEFAULT_RETENTION_DAYS,
-                  hash_bloom_ndv: int = 100_000) -> MetricStore:
+                  hash_bloom_ndv: int = HASH_BLOOM_NDV) -> MetricStore:
     """H1: create the six metric tables plus the reject and audit logs if absent.
 
     When a table is (re-)registered over existing data, its partitions are
@@ -135,11 +150,10 @@ def _check_location(store: MetricStore, table: str) -> None:
 def latest_points_recent(store: MetricStore, kind: str = "gauge", n: int = 20):
     """G1/G2 on stored tables without a full scan.
 
-    Day partitions are visited newest first (the list comes from the catalog),
-    doubling the window until it holds at least ``n`` points. A point's day is
+    The newest day partitions (names from the catalog) that hold at least ``n``
+    points, by their row counts, are all that the plan reads. A point's day is
     derived from its time, so every point of a newer day is later than every
-    point of an older one and the answer equals the full top-k. The result is
-    at most ``n`` rows and is returned as a small DataFrame.
+    point of an older one and the answer equals the full top-k.
     """
     from pyspark.sql import functions as F
 
@@ -151,13 +165,11 @@ def latest_points_recent(store: MetricStore, kind: str = "gauge", n: int = 20):
                   reverse=True)
     facts, meta = store.table(table), store.table("series_metadata")
     window = 1
-    while True:
-        lo = days[min(window, len(days)) - 1] if days else None
-        f = facts if lo is None else facts.where(F.col("dt") >= F.lit(lo).cast("date"))
-        m = meta if lo is None else meta.where(
-            (F.col("month") >= int(lo[:4] + lo[5:7])) & (F.col("dt") >= F.lit(lo).cast("date")))
-        top = latest_points(f, m, n)
-        rows = top.collect()
-        if len(rows) >= n or window >= len(days):
-            return store.spark.createDataFrame(rows, top.schema)
+    while days:
+        lo = days[min(window, len(days)) - 1]
+        recent = facts.where(F.col("dt") >= F.lit(lo).cast("date"))
+        if window >= len(days) or recent.count() >= n:
+            return latest_points(recent, meta.where(
+                (F.col("month") >= int(lo[:4] + lo[5:7])) & (F.col("dt") >= F.lit(lo).cast("date"))), n)
         window *= 2
+    return latest_points(facts, meta, n)

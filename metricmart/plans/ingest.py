@@ -2,40 +2,53 @@
 
 One function serves batch jobs and streaming ``foreachBatch`` alike:
 
-1. validate (whole requests are accepted or rejected, B6);
-2. flatten into one points frame (C6) that feeds the three writes;
-3. append metadata FIRST, then facts (S19: no point without metadata);
-4. append rejects; writes are recorded in the audit log (each as it commits
-   for stream epochs, so a replay can skip it; once per batch otherwise).
-
-Row counts come from ``Observation`` metrics collected during the writes, so
-no extra pass over the data is made. Facts are sorted within each task by
-(dt, time, hash) before writing (H11): files carry tight time/hash min-max
-statistics for row-group skipping. Facts are rebalanced by day first so each
-day gets a few well-sized files. The keep-first metadata aggregation is
-combined map-side (one row per series-day per request survives it) and then
-merged per batch before it is appended.
+1. validate (whole requests are accepted or rejected, B6) and flatten in one
+   pass over the requests into a staging folder below ``spark.checkpoint.dir``,
+   by kind (gauge and sum points, rejected requests, dropped metrics); the
+   received, dropped and rejected counts are observed in that pass (E6, B9);
+2. append metadata FIRST, then facts (S19: no point without metadata), then
+   rejects, all from the staged rows; an empty table is not written (B10);
+3. record the writes in the audit log, once per batch (E8/E9), and what was
+   received and dropped with them.
+
+Facts are sorted within each task by (dt, time, hash) before writing (H11):
+files carry tight time/hash min-max statistics for row-group skipping. They are
+rebalanced by day first so each day gets a few well-sized files. The keep-first
+metadata aggregation is combined map-side (one row per series-day per request
+survives it) and then merged per batch before it is appended.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from metricmart.operators.flatten import (OTHER_TABLE, flatten_other_points, flatten_points,
-                                          gauge_rows, other_rows, sum_rows)
+from metricmart.operators.flatten import (DROPPED, GAUGE, OTHER_TABLE, REJECTED, SUM, flatten_batch,
+                                          flatten_other_points, gauge_rows, other_rows, sum_rows)
 from metricmart.operators.metadata import metadata_rows, series_current
-from metricmart.operators.validate import split_valid
-from metricmart.plans.catalog import MetricStore
+from metricmart.operators.validate import split_valid, with_validation
+from metricmart.plans.catalog import MetricStore, delete_path
 from metricmart.schemas import AUDIT, METADATA
+from metricmart.session import checkpoint_root
 
+# Audit rows beside those of tables: points received in accepted requests, and
+# points of types that are not stored.
+RECEIVED, DROPPED_POINTS = "received_points", "dropped_points"
 
-def new_batch_id() -> int:
-    """Monotonic across runs: later batches win the metadata merge."""
-    return time.time_ns() // 1000
+
+def new_batch_id(store: MetricStore | None = None) -> int:
+    """Monotonic across runs, so that later batches win the metadata merge: the
+    clock, or one more than the greatest id in the audit log if that is later
+    (a clock that was set back, another driver's clock)."""
+    now = time.time_ns() // 1000
+    if store is None:
+        return now
+    last = store.table("ingest_audit").agg(F.max("batch_id")).first()[0]
+    return now if last is None else max(now, last + 1)
 
 
 def _record(store: MetricStore, rows: list) -> None:
@@ -44,13 +57,8 @@ def _record(store: MetricStore, rows: list) -> None:
 
 
 def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer: str,
-            skip: set, pending: list | None) -> int:
-    """Append one table and audit the write. With ``pending`` None the audit
-    row is written right after the commit (stream epochs: a replay can skip
-    the table); otherwise it is queued and written once per batch. Empty
-    writes are not recorded (B10)."""
-    if table in skip:
-        return 0
+            pending: list) -> int:
+    """Append one table and queue its audit row; a failed write is recorded at once."""
     obs = Observation(f"{table}_{batch_id}")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     t0 = time.perf_counter()
@@ -58,31 +66,19 @@ def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer
         observed.write.mode("append").insertInto(store.name(table))
     except Exception:
         row = (batch_id, table, "error", 0, (time.perf_counter() - t0) * 1000.0, writer)
-        _record(store, [row] + (pending or []))
-        if pending is not None:
-            pending.clear()
+        _record(store, [row] + pending)
+        pending.clear()
         raise
     rows = int(obs.get.get("rows", 0) or 0)
-    if rows:
-        row = (batch_id, table, "ok", rows, (time.perf_counter() - t0) * 1000.0, writer)
-        if pending is None:
-            _record(store, [row])
-        else:
-            pending.append(row)
+    pending.append((batch_id, table, "ok", rows, (time.perf_counter() - t0) * 1000.0, writer))
     return rows
 
 
-def committed_tables(store: MetricStore, writer: str) -> set:
-    """Tables already written by ``writer`` (e.g. one stream epoch)."""
-    rows = store.table("ingest_audit").where(
-        (F.col("writer") == writer) & (F.col("status") == "ok")).select("table").collect()
-    return {r[0] for r in rows}
-
-
 def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
                 rebalance: bool = True, store_other_types: bool = False,
-                premerge_metadata: bool = True, cache_points: bool = False,
-                writer: str = "batch", skip_tables: set | frozenset = frozenset()) -> dict:
+                premerge_metadata: bool = True, writer: str = "batch",
+                skip_tables: set | frozenset = frozenset(),
+                on_commit: Callable[[str], None] | None = None) -> dict:
     """Ingest one batch of requests. Returns row counts per table.
 
     ``rebalance`` shuffles facts by day with Spark's REBALANCE hint: adaptive
@@ -90,74 +86,75 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
     several tasks, merging small ones) instead of one small file per task and
     day. Turn it off for micro-batches that already cover a single day.
 
-    ``cache_points`` keeps the flattened points in memory/disk for the three
-    writes instead of re-reading the requests for each; measured at parity
-    once warm, but it needs heap for every point of the batch (maps
-    included), so it is off by default and recomputation from the request
-    files is the default (also what a lost executor falls back to).
-
     ``premerge_metadata`` merges the batch's keep-first metadata rows (E2)
     before appending: the merge is a max over the insertion order, which is
     associative, so merged reads are unchanged while the metadata log grows
     by one row per series-day per batch instead of per request.
 
-    ``writer`` tags the audit rows; ``skip_tables`` lists tables this writer
-    already committed (a replayed stream epoch), which are not written again.
+    ``writer`` tags the audit rows; ``skip_tables`` lists tables that a former
+    attempt has committed (a replayed stream epoch), which are not written
+    again, and ``on_commit`` is told each table as it commits.
 
     ``store_other_types`` (extension X2–X4, off by default as in the
     reference) also stores histogram, exponential-histogram and summary points
-    and their metadata.
+    and their metadata; those are flattened by passes of their own.
     """
-    batch_id = new_batch_id() if batch_id is None else batch_id
-    accepted, rejected = split_valid(requests)
-    points = flatten_points(accepted, batch_id)
-    if cache_points:
-        points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    others: dict = {}
-    # stream epochs record each write as it commits; batch jobs record once
-    pending: list | None = None if writer.startswith("stream:") else []
+    spark = store.spark
+    batch_id = new_batch_id(store) if batch_id is None else batch_id
+    staging = f"{checkpoint_root(spark)}/ingest/{uuid.uuid4().hex}"
+    t0 = time.perf_counter()
+    flat = flatten_batch(with_validation(requests), batch_id)
+    seen = Observation(f"flatten_{batch_id}")
+    is_kind = lambda k: F.count_if(F.col("kind") == k)
+    flat.observe(seen, is_kind(GAUGE).alias(GAUGE), is_kind(SUM).alias(SUM), is_kind(REJECTED).alias(REJECTED),
+                 F.sum("dropped").alias(DROPPED)).write.partitionBy("kind").parquet(staging)
+    n = {k: int(v or 0) for k, v in seen.get.items()}
+    took = (time.perf_counter() - t0) * 1000.0
+    pending: list = [(batch_id, name, "ok", rows, took, writer)
+                     for name, rows in ((RECEIVED, n[GAUGE] + n[SUM]), (DROPPED_POINTS, n[DROPPED])) if rows]
+    counts = dict.fromkeys(["series_metadata", "metrics_gauge", "metrics_sum"], 0)
+
+    def put(table: str, rows: DataFrame) -> None:
+        if table in skip_tables:
+            return
+        counts[table] = _append(store, table, rows, batch_id, writer, pending)
+        if on_commit:
+            on_commit(table)
+
+    def by_day(rows: DataFrame) -> DataFrame:
+        rows = rows.hint("rebalance", "dt") if rebalance else rows
+        return rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash")
+
     try:
+        others = {}
         if store_other_types:
-            for mtype in OTHER_TABLE:
-                others[mtype] = flatten_other_points(accepted, mtype, batch_id)
-                if cache_points:
-                    others[mtype] = others[mtype].persist(StorageLevel.MEMORY_AND_DISK)
-        meta = metadata_rows(points)
-        for o in others.values():
-            meta = meta.unionByName(metadata_rows(o))
-        if premerge_metadata:
-            meta = series_current(meta).select(
-                *[c for c in METADATA.fieldNames() if c != "month"],
-                (F.year("dt") * 100 + F.month("dt")).cast("int").alias("month"))
-        if rebalance:
-            meta = meta.hint("rebalance", "month")
-        counts = {"series_metadata": _append(
-            store, "series_metadata",
-            meta.sortWithinPartitions("dt", "metric_name", "metric_hash"),  # H12
-            batch_id, writer, skip_tables, pending)}
-        for table, rows in (("metrics_gauge", gauge_rows(points)), ("metrics_sum", sum_rows(points))):
+            accepted, _ = split_valid(requests)
+            others = {t: flatten_other_points(accepted, t, batch_id) for t in OTHER_TABLE}
+        staged = spark.read.schema(flat.schema).parquet(staging) if sum(n.values()) else flat.limit(0)
+        points = staged.where(F.col("kind").isin(GAUGE, SUM))
+        if n[GAUGE] + n[SUM] or others:
+            meta = metadata_rows(points)
+            for o in others.values():
+                meta = meta.unionByName(metadata_rows(o))
+            if premerge_metadata:
+                meta = series_current(meta).select(
+                    *[c for c in METADATA.fieldNames() if c != "month"],
+                    (F.year("dt") * 100 + F.month("dt")).cast("int").alias("month"))
             if rebalance:
-                rows = rows.hint("rebalance", "dt")
-            counts[table] = _append(
-                store, table, rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"),
-                batch_id, writer, skip_tables, pending)
+                meta = meta.hint("rebalance", "month")
+            put("series_metadata", meta.sortWithinPartitions("dt", "metric_name", "metric_hash"))  # H12
+        if n[GAUGE]:
+            put("metrics_gauge", by_day(gauge_rows(points)))
+        if n[SUM]:
+            put("metrics_sum", by_day(sum_rows(points)))
         for mtype, o in others.items():
-            rows = other_rows(o, mtype)
-            if rebalance:
-                rows = rows.hint("rebalance", "dt")
-            counts[OTHER_TABLE[mtype]] = _append(
-                store, OTHER_TABLE[mtype],
-                rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash"), batch_id, writer,
-                skip_tables, pending)
-        counts["rejected_requests"] = _append(
-            store, "rejected_requests",
-            rejected.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "request_seq",
-                            "request_part", "error"), batch_id, writer, skip_tables, pending)
+            put(OTHER_TABLE[mtype], by_day(other_rows(o, mtype)))
+        counts["rejected_requests"] = 0
+        if n[REJECTED]:
+            put("rejected_requests", staged.where(F.col("kind") == REJECTED)
+                .select("batch_id", "request_seq", "request_part", "error"))
     finally:
         if pending:
             _record(store, pending)
-        if cache_points:
-            points.unpersist()
-            for o in others.values():
-                o.unpersist()
+        delete_path(spark, staging)
     return counts

@@ -3,23 +3,30 @@
 
 Expiry works on whole partitions only: the partition list comes from the
 catalog (metadata, one entry per day or month — never row data), expired
-ones are dropped from the catalog and their folders deleted. Compaction
-rewrites one metadata month as its merged form (E2) through a staging copy in
-the checkpoint folder, so the partition being read is never the one being
-overwritten; merge-on-read returns the same answer before and after.
+ones are dropped from the catalog and their folders deleted.
+
+Compaction replaces exactly the files that it has read and touches no others, so
+files appended meanwhile stay. The rewritten rows go to a staging folder first;
+then a journal beside it names the files to remove and the folder they are
+replaced in, and only then are files moved. A run that failed before its journal
+has changed nothing; one that failed after it is completed, from the journal, by
+the next compaction of the table or by ``recover_compactions``. Each step can be
+repeated. A reader during the moves may meet rows twice or not at all.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from metricmart.operators.metadata import series_current
 from metricmart.operators.retention import cutoff_date
-from metricmart.plans.catalog import MetricStore
-from metricmart.session import checkpoint_root
+from metricmart.plans.catalog import HASH_BLOOM_NDV, MetricStore, bloom_options, delete_path
 
 FACT_TABLES = ("metrics_gauge", "metrics_sum", "metrics_histogram",
                "metrics_exponential_histogram", "metrics_summary")
@@ -34,13 +41,6 @@ def list_partitions(store: MetricStore, table: str) -> list[dict]:
     return out
 
 
-def _delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p, True)
-
-
 def _drop(store: MetricStore, table: str, specs: list[dict]) -> None:
     if not specs:
         return
@@ -49,13 +49,13 @@ def _drop(store: MetricStore, table: str, specs: list[dict]) -> None:
     store.spark.sql(f"ALTER TABLE {store.name(table)} DROP IF EXISTS {parts}")
     for s in specs:
         sub = "/".join(f"{k}={v}" for k, v in s.items())
-        _delete_path(store.spark, f"{store.path(table)}/{sub}")
+        delete_path(store.spark, f"{store.path(table)}/{sub}")
 
 
 def expire(store: MetricStore, today=None, retention_days: int | None = None) -> dict:
     """Drop fact days with dt < today - N, and metadata months that end before
     the cutoff (the boundary month is cut on read, and by compaction)."""
-    today = today or _dt.date.today()
+    today = today or _dt.datetime.now(_dt.timezone.utc).date()   # days are UTC everywhere
     days = store.retention_days if retention_days is None else retention_days
     cut = cutoff_date(today, days)
     dropped = {}
@@ -71,52 +71,105 @@ def expire(store: MetricStore, today=None, retention_days: int | None = None) ->
     return dropped
 
 
-def compact_metadata(store: MetricStore, month: int, today=None,
-                     retention_days: int | None = None) -> int:
-    """Rewrite one month of metadata as one merged row per (dt, name, hash)."""
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the data files in one folder (one partition's, never row data)."""
+    fs, p = _fs(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
+def _work_folder(store: MetricStore, table: str) -> str:
+    return f"{store.path(table)}/_compaction"   # hidden from scans by its leading underscore
+
+
+def _finish(store: MetricStore, table: str, work: str) -> None:
+    """Complete a journaled replacement; every step may have been done already."""
     spark = store.spark
-    meta = store.table("series_metadata").where(F.col("month") == month)
-    if today is not None:
-        days = store.retention_days if retention_days is None else retention_days
-        meta = meta.where(F.col("dt") >= F.lit(cutoff_date(today, days)))
-    merged = series_current(meta).select(*store.table("series_metadata").columns[:-1]) \
-        .withColumn("month", F.lit(month).cast("int"))
-    staging = f"{checkpoint_root(spark)}/compaction/series_metadata_{month}_{_dt.datetime.now():%Y%m%d%H%M%S%f}"
-    merged.sortWithinPartitions("dt", "metric_name", "metric_hash").write.parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
-    n = staged.count()
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").insertInto(store.name("series_metadata"))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    _delete_path(spark, staging)
+    fs, path = _fs(spark, f"{work}/journal")
+    stream = fs.open(path)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    journal = json.loads(text)
+    target = f"{store.path(table)}/{journal['partition']}"
+    for name in journal["old"]:
+        delete_path(spark, f"{target}/{name}")
+    for name in _files(spark, f"{work}/data"):
+        fs, src = _fs(spark, f"{work}/data/{name}")
+        fs.rename(src, _fs(spark, f"{target}/{journal['id']}-{name}")[1])
+    delete_path(spark, work)
+    spark.catalog.refreshTable(store.name(table))
+
+
+def recover_compactions(store: MetricStore, table: str) -> int:
+    """Complete the journaled runs of a table and clear away the others. How many were completed."""
+    spark, root, done = store.spark, _work_folder(store, table), 0
+    fs, p = _fs(spark, root)
+    for f in (fs.listStatus(p) if fs.exists(p) else []):
+        work = f"{root}/{f.getPath().getName()}"
+        if fs.exists(_fs(spark, f"{work}/journal")[1]):
+            _finish(store, table, work)
+            done += 1
+        else:
+            delete_path(spark, work)
+    return done
+
+
+def _replace(store: MetricStore, table: str, partition: str, rewrite, after_staging=None) -> int:
+    """Rewrite the files that one partition has now; ``rewrite`` maps their rows to the new ones."""
+    spark = store.spark
+    recover_compactions(store, table)
+    folder = f"{store.path(table)}/{partition}"
+    old = _files(spark, folder)
+    if not old:
+        return 0
+    run = uuid.uuid4().hex
+    work = f"{_work_folder(store, table)}/{run}"
+    schema = StructType([f for f in store.table(table).schema.fields if f.name != partition.split("=")[0]])
+    rewrite(spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in old])) \
+        .write.options(**bloom_options(HASH_BLOOM_NDV)).parquet(f"{work}/data")
+    n = spark.read.schema(schema).parquet(f"{work}/data").count()
+    if after_staging:
+        after_staging()
+    # written under another name and renamed, so that a journal is whole or not there
+    fs, draft = _fs(spark, f"{work}/journal.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"id": run, "partition": partition, "old": old}).encode()))
+    out.close()
+    fs.rename(draft, _fs(spark, f"{work}/journal")[1])
+    _finish(store, table, work)
     return n
 
 
-def compact_day(store: MetricStore, table: str, day: str) -> int:
+def compact_metadata(store: MetricStore, month: int, today=None, retention_days: int | None = None,
+                     after_staging=None) -> int:
+    """Rewrite one month of metadata as one merged row per (dt, name, hash).
+
+    ``after_staging`` is called once the rewritten rows are staged (tests append
+    or fail there)."""
+    columns = [c for c in store.table("series_metadata").columns if c != "month"]
+
+    def merge(meta: DataFrame) -> DataFrame:
+        if today is not None:
+            days = store.retention_days if retention_days is None else retention_days
+            meta = meta.where(F.col("dt") >= F.lit(cutoff_date(today, days)))
+        return series_current(meta).select(*columns) \
+            .sortWithinPartitions("dt", "metric_name", "metric_hash")
+
+    return _replace(store, "series_metadata", f"month={month}", merge, after_staging)
+
+
+def compact_day(store: MetricStore, table: str, day: str, after_staging=None) -> int:
     """Rewrite one fact day as a few large files sorted by (time, hash).
 
     Streaming ingest appends small files per micro-batch; this is the
     counterpart of background part merges. The day is range-partitioned on
-    time (files do not overlap in time, so a range inside the day skips whole
-    files) through a staging copy, then swapped in with a dynamic partition
-    overwrite of that one day.
-    """
-    spark = store.spark
-    src = store.table(table).where(F.col("dt") == F.lit(day).cast("date"))
-    staging = f"{checkpoint_root(spark)}/compaction/{table}_{day}_{_dt.datetime.now():%Y%m%d%H%M%S%f}"
-    (src.repartitionByRange("time_unix_nano")
-        .sortWithinPartitions("time_unix_nano", "metric_hash")
-        .write.parquet(staging))
-    staged = spark.read.schema(src.schema).parquet(staging)
-    n = staged.count()
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").insertInto(store.name(table))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    _delete_path(spark, staging)
-    return n
+    time, so the new files do not overlap in time and a range inside the day
+    skips whole files."""
+    return _replace(store, table, f"dt={day}",
+                    lambda facts: facts.repartitionByRange("time_unix_nano")
+                    .sortWithinPartitions("time_unix_nano", "metric_hash"), after_staging)

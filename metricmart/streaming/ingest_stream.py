@@ -8,11 +8,12 @@ timestamp is accepted however late, and late points land in their own day
 live in the stream either; it is appended per batch and merged on read (E2),
 with periodic compaction (H15) — so no state store grows with the series.
 
-Each table write of an epoch is recorded in the audit log as it commits; a
-replayed epoch skips the tables already committed, so a restart after a
-failure does not append the same points twice (the reference is
-at-least-once). A failure inside one table's commit can still leave that
-table's write to be repeated.
+Which tables an epoch has committed is marked in the stream's own checkpoint
+folder, beside Spark's offsets: two streams, or one stream restarted on a new
+checkpoint, never share marks, so neither can skip the other's data. A replayed
+epoch skips the tables that it has marked, so a restart after a failure does not
+append the same points twice. A failure inside one table's commit can still
+leave that table's write to be repeated (at least once, never less).
 """
 
 from __future__ import annotations
@@ -21,17 +22,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from metricmart.plans.catalog import MetricStore
-from metricmart.plans.ingest import committed_tables, new_batch_id, write_batch
+from metricmart.plans.ingest import new_batch_id, write_batch
 from metricmart.session import checkpoint_root
 from metricmart.sources.requests import read_request_stream
 
 
-def epoch_batch(store: MetricStore, batch: DataFrame, epoch_id: int, tag: str) -> dict:
-    """One micro-batch, replay-safe: tables this epoch already committed (a
+class EpochMarks:
+    """Committed (epoch, table) pairs as empty files in a stream's checkpoint folder."""
+
+    def __init__(self, spark, checkpoint: str):
+        self.jvm = spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.root = f"{checkpoint.rstrip('/')}/metricmart-epochs"
+
+    def _path(self, *names) -> tuple:
+        path = self.jvm.org.apache.hadoop.fs.Path("/".join([self.root, *map(str, names)]))
+        return path.getFileSystem(self.conf), path
+
+    def done(self, epoch: int) -> set[str]:
+        fs, path = self._path(epoch)
+        return {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
+
+    def mark(self, epoch: int, table: str) -> None:
+        fs, path = self._path(epoch, table)
+        fs.create(path, True).close()
+
+    def forget_before(self, epoch: int) -> None:
+        """Spark replays the last epoch only, so older marks are of no use."""
+        fs, path = self._path()
+        if fs.exists(path):
+            for f in fs.listStatus(path):
+                if int(f.getPath().getName()) < epoch:
+                    fs.delete(f.getPath(), True)
+
+
+def epoch_batch(store: MetricStore, batch: DataFrame, epoch_id: int, marks: EpochMarks) -> dict:
+    """One micro-batch, replay-safe: tables that this epoch has committed (a
     replay after a failure) are skipped, so each epoch lands once per table."""
-    writer = f"stream:{tag}:{epoch_id}"
-    return write_batch(store, batch, new_batch_id(), writer=writer,
-                       skip_tables=committed_tables(store, writer))
+    counts = write_batch(store, batch, new_batch_id(store), writer=f"stream:{epoch_id}",
+                         skip_tables=marks.done(epoch_id),
+                         on_commit=lambda table: marks.mark(epoch_id, table))
+    marks.forget_before(epoch_id)
+    return counts
 
 
 def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",
@@ -40,16 +72,20 @@ def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",
                  query_name: str | None = None) -> StreamingQuery:
     """K1: start the ingest stream. ``max_files_per_trigger`` / ``processing_time``
     size the micro-batches (K2: many small requests become one larger write);
-    the default file cap keeps a backlog from landing in one micro-batch."""
+    the default file cap keeps a backlog from landing in one micro-batch.
+
+    ``checkpoint`` is a shared folder of this stream alone; it may be left out
+    only for a named query, which then has one below ``spark.checkpoint.dir``."""
     spark = store.spark
     stream = source if isinstance(source, DataFrame) else \
         read_request_stream(spark, source, fmt, max_files_per_trigger)
-    ckpt = checkpoint or f"{checkpoint_root(spark)}/streams/{query_name or 'metric-ingest'}"
-
-    tag = query_name or "metric-ingest"
+    if not checkpoint and not query_name:
+        raise ValueError("an unnamed stream needs a checkpoint folder of its own")
+    ckpt = checkpoint or f"{checkpoint_root(spark)}/streams/{query_name}"
+    marks = EpochMarks(spark, ckpt)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        epoch_batch(store, batch, epoch_id, tag)
+        epoch_batch(store, batch, epoch_id, marks)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     if query_name:
