@@ -5,7 +5,7 @@ Off by default; each is a plain predicate or projection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: OTLP DATA_POINT_FLAGS_NO_RECORDED_VALUE_MASK.
@@ -40,7 +40,8 @@ def with_attribute_value(meta: DataFrame, key: str | None, value: str,
     return meta.where(F.try_element_at(m, F.lit(key)) == F.lit(value))
 
 
-def by_hash(facts_or_meta: DataFrame, metric_hash: int) -> DataFrame:
+def by_hash(facts_or_meta: DataFrame, metric_hash: int | Column) -> DataFrame:
     """Hash-only lookup without a time range (reads every partition; the
     Parquet min/max statistics and optional bloom filter skip row groups)."""
-    return facts_or_meta.where(F.col("metric_hash") == F.lit(metric_hash).cast("bigint"))
+    h = metric_hash if isinstance(metric_hash, Column) else F.lit(metric_hash).cast("bigint")
+    return facts_or_meta.where(F.col("metric_hash") == h)

@@ -114,6 +114,15 @@ def current_view_sql(store: MetricStore) -> str:
             f"FROM {store.name('series_metadata')} GROUP BY dt, month, metric_name, metric_hash)")
 
 
+def enriched_view_sql(store: MetricStore, view: str, facts: str) -> str:
+    """G5 / F3 for SQL users: a fact table with its series' merged metadata by
+    (hash, day). Range predicates should name ``dt`` too, which reaches both scans."""
+    cols = ", ".join(f"m.{c}" for c in ["metric_name", *_MERGED] if c != "ord")
+    return (f"CREATE OR REPLACE VIEW {store.name(view)} AS SELECT f.*, {cols} "
+            f"FROM {store.name(facts)} f LEFT JOIN {store.name('series_current')} m "
+            f"ON f.metric_hash = m.metric_hash AND f.dt = m.dt")
+
+
 def create_tables(spark: SparkSession, root: str, database: str = "default",
                   retention_days: int = DEFAULT_RETENTION_DAYS,
                   hash_bloom_ndv: int = HASH_BLOOM_NDV) -> MetricStore:
@@ -134,6 +143,8 @@ def create_tables(spark: SparkSession, root: str, database: str = "default",
         if parts and not existed and path_exists(spark, store.path(table)):
             spark.sql(f"ALTER TABLE {store.name(table)} RECOVER PARTITIONS")
     spark.sql(current_view_sql(store))
+    spark.sql(enriched_view_sql(store, "gauge_enriched", "metrics_gauge"))
+    spark.sql(enriched_view_sql(store, "sum_enriched", "metrics_sum"))
     return store
 
 

@@ -27,10 +27,12 @@ from metricmart.operators.retention import cutoff_date
 from metricmart.operators.validate import with_validation
 from metricmart.plans.catalog import create_tables, latest_points_recent
 from metricmart.plans.ingest import write_batch
+from metricmart.plans.maintenance import compact_day, compact_metadata, expire
 from metricmart.plans.store import MetricTables
 from metricmart.session import checkpoint_root
 from metricmart.sources.events_bridge import bridge_requests
-from metricmart.sources.requests import parse_requests
+from metricmart.sources.requests import parse_requests, write_requests
+from metricmart.streaming.ingest_stream import start_ingest
 
 # Fixed query parameters (inclusive nanosecond ranges, UTC).
 GAUGE_RANGE = (1704412800000000000, 1704585599999999000)   # 2024-01-05 .. 2024-01-06
@@ -217,7 +219,10 @@ def gauge_range_enriched(spark, sf_dir):
 def sum_range_enriched(spark, sf_dir):
     """B11, F2/F3 for sums."""
     t = _tables(spark, sf_dir)
-    out = Q.points_in_range(t.sum, t.metadata, *SUM_RANGE)
+    return _sum_out(Q.points_in_range(t.sum, t.metadata, *SUM_RANGE))
+
+
+def _sum_out(out: DataFrame) -> DataFrame:
     return out.select("time_unix_nano", _key_from_meta().alias("series_key"), "metric_name",
                       "service_name", attrs_display(F.col("attributes")).alias("point_attrs"),
                       "metric_description", "scope_version", "value",
@@ -257,7 +262,7 @@ def series_point_lookup(spark, sf_dir):
 
 
 def name_in_range(spark, sf_dir):
-    """A time range combined with a name filter."""
+    """A time range combined with a name filter."""
     t = _tables(spark, sf_dir)
     return _enriched_out(Q.points_in_range(t.gauge, t.metadata, *NAME_RANGE,
                                            metric_name=NAME_FILTER))
@@ -370,14 +375,24 @@ def variety_attribute_text(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- stored path
-def _stored(spark: SparkSession, sf_dir: str):
-    """Ingest the bridged requests into a fresh store in the checkpoint folder
-    (DDL, validation, flatten, metadata-first appends) and return it."""
+def _fresh_store(spark: SparkSession):
+    """An empty store of its own below the checkpoint folder."""
     tag = uuid.uuid4().hex[:12]
-    store = create_tables(spark, f"{checkpoint_root(spark)}/registered/{tag}",
-                          database=f"mm_{tag}")
-    write_batch(store, bridge_requests(spark, sf_dir), batch_id=1)
-    return store
+    return create_tables(spark, f"{checkpoint_root(spark)}/registered/{tag}", database=f"mm_{tag}")
+
+
+_SHARED: dict[tuple[str, str], object] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    """The bridged requests ingested once a session and ``sf_dir`` (DDL, validation,
+    flatten, metadata-first appends); for queries that only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHARED:
+        store = _fresh_store(spark)
+        write_batch(store, bridge_requests(spark, sf_dir), batch_id=1)
+        _SHARED[key] = store
+    return _SHARED[key]
 
 
 def stored_gauge_range(spark, sf_dir):
@@ -397,6 +412,127 @@ def stored_series_current(spark, sf_dir):
     return _current_out(spark.sql(f"SELECT * FROM {store.name('series_current')}"))
 
 
+def stored_sum_range(spark, sf_dir):
+    """The sum range query on stored tables."""
+    t = _stored(spark, sf_dir).tables()
+    return _sum_out(Q.points_in_range(t.sum, t.metadata, *SUM_RANGE))
+
+
+def stored_sql_range(spark, sf_dir):
+    """G5 through the SQL view ``gauge_enriched``."""
+    lo, hi = GAUGE_RANGE
+    return _enriched_out(spark.sql(
+        f"SELECT * FROM {_stored(spark, sf_dir).name('gauge_enriched')} "
+        f"WHERE dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-06' "
+        f"AND time_unix_nano BETWEEN {lo} AND {hi}"))
+
+
+def stored_reinsert(spark, sf_dir):
+    """The same requests inserted twice merge to the same series."""
+    store = _fresh_store(spark)
+    for batch in (1, 2):
+        write_batch(store, bridge_requests(spark, sf_dir), batch_id=batch)
+    return _current_out(store.tables().current())
+
+
+def _lookup_hash():
+    name, svc, res, scope, attrs = LOOKUP_SERIES
+
+    def text(m):
+        return "\x01".join(f"{k}\x02{v}" for k, v in sorted(m.items()))
+    return metric_hash(identity_text(F.lit(name), F.lit(svc), F.lit(text(res)), F.lit(text(scope)),
+                                     F.lit(text(attrs))))
+
+
+def range_by_hash(spark, sf_dir):
+    """A time range of one series, by its hash."""
+    t = _tables(spark, sf_dir)
+    return _enriched_out(Q.points_in_range(t.gauge, t.metadata, *GAUGE_RANGE, metric_hash=_lookup_hash()))
+
+
+def hash_only_points(spark, sf_dir):
+    """One series by its hash alone, without metadata."""
+    name, svc, res, scope, attrs = LOOKUP_SERIES
+    hit = X.by_hash(_tables(spark, sf_dir).gauge, _lookup_hash())
+    key = series_key(identity_text(*[F.lit(x) for x in (name, svc)], *[
+        F.lit("\x01".join(f"{k}\x02{v}" for k, v in sorted(m.items()))) for m in (res, scope, attrs)]))
+    return hit.select(key.alias("series_key"), "time_unix_nano", "value")
+
+
+def time_forms(spark, sf_dir):
+    """A time outside unsigned 64 bits rejects its request (times variant)."""
+    v = with_validation(bridge_requests(spark, sf_dir, "times"))
+    return v.where(F.col("error").isNotNull()).select("request_seq", "request_part", "error")
+
+
+def rejected_bodies(spark, sf_dir):
+    """A1-A3: undecodable and missing bodies are stored as rejects, the good ones of the batch as points."""
+    req = bridge_requests(spark, sf_dir)
+    seq = F.pmod("request_seq", F.lit(10))
+    body = F.when(seq == 3, F.lit("{broken")).when(seq != 7, F.to_json(F.struct("resourceMetrics")))
+    store = _fresh_store(spark)
+    write_batch(store, parse_requests(req.select("request_seq", body.alias("value")), "value", "request_seq"), batch_id=1)
+    rejects = store.table("rejected_requests").groupBy(F.col("error").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    count = lambda table, name: store.table(table).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("outcome"), "n")
+    return rejects.unionByName(count("metrics_gauge", "gauge points")).unionByName(count("metrics_sum", "sum points"))
+
+
+def ingest_audit_counts(spark, sf_dir):
+    """What the audit log of a stored batch says."""
+    audit = _stored(spark, sf_dir).table("ingest_audit").where("batch_id = 1")
+    return S.audit_summary(audit).select("table", "status", "writes", "rows", (F.col("min_ms") > 0).alias("timed"))
+
+
+def _rows_of(store, *tables):
+    return S.table_row_counts(**{t: store.table(t) for t in tables})
+
+
+def expire_counts(spark, sf_dir):
+    """Rows left after expiry of whole days and months."""
+    store = _fresh_store(spark)
+    write_batch(store, bridge_requests(spark, sf_dir), batch_id=1)
+    expire(store, RETENTION_TODAY, RETENTION_DAYS)
+    return _rows_of(store, "metrics_gauge", "metrics_sum", "series_metadata")
+
+
+def compact_with_append(spark, sf_dir):
+    """Batches appended while a day and a month are compacted stay, also after a failed run."""
+    requests = bridge_requests(spark, sf_dir)
+    store = _fresh_store(spark)
+    write_batch(store, requests, batch_id=1)
+
+    def fail():
+        raise RuntimeError("stopped")
+    try:
+        compact_day(store, "metrics_gauge", ORPHAN_DAY, after_staging=fail)
+    except RuntimeError:
+        pass
+    compact_day(store, "metrics_gauge", ORPHAN_DAY, after_staging=lambda: write_batch(store, requests, batch_id=2))
+    compact_metadata(store, 202401, after_staging=lambda: write_batch(store, requests, batch_id=3))
+    return _rows_of(store, "metrics_gauge", "metrics_sum", "series_metadata", "series_current")
+
+
+def stream_two_sources(spark, sf_dir):
+    """A2, K1-K4: two unnamed streams into one store, then one again on a new checkpoint."""
+    store = _fresh_store(spark)
+    requests = bridge_requests(spark, sf_dir)
+    for i in (0, 1):
+        write_requests(requests.where(F.pmod("request_seq", F.lit(2)) == i), f"{store.root}/in{i}")
+    for i, checkpoint in ((0, "a"), (1, "b"), (0, "c")):
+        start_ingest(store, f"{store.root}/in{i}", checkpoint=f"{store.root}/checkpoint-{checkpoint}",
+                     available_now=True).awaitTermination()
+    return _rows_of(store, "metrics_gauge", "metrics_sum", "series_current")
+
+
+def stored_histograms(spark, sf_dir):
+    """Histogram points stored and read back with their series."""
+    store = _fresh_store(spark)
+    write_batch(store, bridge_requests(spark, sf_dir), batch_id=1, store_other_types=True)
+    out = Q.enrich_by_day(store.table("metrics_histogram"), store.table("series_metadata"))
+    return out.select(_key_from_meta().alias("series_key"), "time_unix_nano", _dt_text(), "count", "sum",
+                      F.col("aggregation_temporality").cast("bigint").alias("aggregation_temporality"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_gauge_points": flatten_gauge_points,
     "flatten_sum_points": flatten_sum_points,
@@ -435,4 +571,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_gauge_range": stored_gauge_range,
     "stored_latest_gauge_20": stored_latest_gauge_20,
     "stored_series_current": stored_series_current,
+    "stored_sum_range": stored_sum_range,
+    "stored_sql_range": stored_sql_range,
+    "stored_reinsert": stored_reinsert,
+    "range_by_hash": range_by_hash,
+    "hash_only_points": hash_only_points,
+    "time_forms": time_forms,
+    "rejected_bodies": rejected_bodies,
+    "ingest_audit_counts": ingest_audit_counts,
+    "expire_counts": expire_counts,
+    "compact_with_append": compact_with_append,
+    "stream_two_sources": stream_two_sources,
+    "stored_histograms": stored_histograms,
 }

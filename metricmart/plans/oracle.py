@@ -26,7 +26,7 @@ WITH ev AS (
 ), pt AS (
   SELECT ev.*,
          time_unix_nano // 3600000000000 AS request_seq,
-         event_id // 262144 AS request_part,
+         event_id // 100 AS request_part,
          user_id % 4 AS r_pos,
          event_id % 2 AS s_pos,
          'events.' || event_type AS metric_name,
@@ -83,14 +83,14 @@ WITH ev AS (
 ), pt AS (
   SELECT ev.*,
          time_unix_nano // 3600000000000 AS request_seq,
-         event_id // 262144 AS request_part,
+         event_id // 100 AS request_part,
          user_id % 4 AS r_pos,
          event_id % 2 AS s_pos,
          CASE WHEN event_type IN ('click', 'view') THEN 'Gauge'
               WHEN event_type IN ('purchase', 'signup') THEN 'Sum'
               ELSE 'Histogram' END AS metric_type,
          row_number() OVER (
-           PARTITION BY time_unix_nano // 3600000000000, event_id // 262144, user_id % 4,
+           PARTITION BY time_unix_nano // 3600000000000, event_id // 100, user_id % 4,
                         event_id % 2, event_type
            ORDER BY event_id) - 1 AS p_pos
   FROM ev
@@ -117,6 +117,15 @@ WITH ev AS (
 )
 """
 
+# Times variant: the only fault is a time of 20 nines.
+_FIRST_FAULTS = """      WHEN event_type = 'signup' AND request_seq % 5 = 0 THEN 'metric name must not be empty'
+      WHEN event_type = 'purchase' AND request_seq % 7 = 0
+        THEN 'sum metric "events.purchase": aggregation_temporality must not be UNSPECIFIED'
+"""
+assert _FIRST_FAULTS in _FAULTY
+_TIMES = _FAULTY.replace(_FIRST_FAULTS, "").replace(
+    "' has time_unix_nano=0 (required by OTLP spec)'", "' has a time outside unsigned 64 bits'")
+
 # Variety variant: resource attributes with edge cases, Go %g text of doubles
 # derived from DuckDB's shortest double text.
 _VARIETY = """
@@ -390,3 +399,53 @@ WHERE odd = 'true' AND host_name = 'host-2'""",
 ORACLE_SQL["stored_gauge_range"] = ORACLE_SQL["gauge_range_enriched"]
 ORACLE_SQL["stored_latest_gauge_20"] = ORACLE_SQL["latest_gauge_20"]
 ORACLE_SQL["stored_series_current"] = ORACLE_SQL["series_current"]
+ORACLE_SQL["stored_sum_range"] = ORACLE_SQL["sum_range_enriched"]
+ORACLE_SQL["stored_reinsert"] = ORACLE_SQL["series_current"]
+ORACLE_SQL["stored_sql_range"] = ORACLE_SQL["gauge_range_enriched"]
+
+_ONE_SERIES = """g.metric_type = 'Gauge' AND g.metric_name = 'events.click' AND g.service_name = 'svc-0'
+  AND g.host_name = 'host-0' AND g.bucket = '0' AND g.odd = 'false'"""
+ORACLE_SQL["range_by_hash"] = _BASE + _enriched("np2") + f"""
+WHERE {_ONE_SERIES} AND g.time_unix_nano BETWEEN {GAUGE_RANGE[0]} AND {GAUGE_RANGE[1]}"""
+ORACLE_SQL["hash_only_points"] = _BASE + f"""
+SELECT series_key, time_unix_nano, pvalue AS value FROM np2 g WHERE {_ONE_SERIES}"""
+
+ORACLE_SQL["time_forms"] = _TIMES + """
+SELECT request_seq, request_part, error FROM firsterr"""
+
+ORACLE_SQL["rejected_bodies"] = _BASE + """
+SELECT 'request body could not be decoded' AS outcome,
+       count(DISTINCT (request_seq, request_part)) AS n FROM pt WHERE request_seq % 10 IN (3, 7)
+UNION ALL SELECT 'gauge points', count(*) FROM np2 WHERE metric_type = 'Gauge' AND request_seq % 10 NOT IN (3, 7)
+UNION ALL SELECT 'sum points', count(*) FROM np2 WHERE metric_type = 'Sum' AND request_seq % 10 NOT IN (3, 7)"""
+
+ORACLE_SQL["ingest_audit_counts"] = _BASE + """
+SELECT tbl AS "table", 'ok' AS status, CAST(1 AS BIGINT) AS writes, n AS rows, true AS timed FROM (
+  SELECT 'received_points' AS tbl, count(*) AS n FROM np2
+  UNION ALL SELECT 'dropped_points', count(*) FROM pt WHERE metric_type = 'Histogram'
+  UNION ALL SELECT 'series_metadata', count(*) FROM cur
+  UNION ALL SELECT 'metrics_gauge', count(*) FROM np2 WHERE metric_type = 'Gauge'
+  UNION ALL SELECT 'metrics_sum', count(*) FROM np2 WHERE metric_type = 'Sum') a WHERE n > 0"""
+
+ORACLE_SQL["expire_counts"] = _BASE + """
+SELECT 'metrics_gauge' AS "table", count(*) AS rows FROM np2 WHERE metric_type = 'Gauge' AND dt >= DATE '2024-01-16'
+UNION ALL SELECT 'metrics_sum', count(*) FROM np2 WHERE metric_type = 'Sum' AND dt >= DATE '2024-01-16'
+UNION ALL SELECT 'series_metadata', count(*) FROM cur WHERE year(dt) * 100 + month(dt) >= 202401"""
+
+ORACLE_SQL["compact_with_append"] = _BASE + """
+SELECT 'metrics_gauge' AS "table", 3 * count(*) AS rows FROM np2 WHERE metric_type = 'Gauge'
+UNION ALL SELECT 'metrics_sum', 3 * count(*) FROM np2 WHERE metric_type = 'Sum'
+UNION ALL SELECT 'series_metadata', CAST(count(*) + count(*) AS BIGINT) FROM cur
+UNION ALL SELECT 'series_current', count(*) FROM cur"""
+
+ORACLE_SQL["stream_two_sources"] = _BASE + """
+SELECT 'metrics_gauge' AS "table", count(*) + count(*) FILTER (WHERE request_seq % 2 = 0) AS rows
+FROM np2 WHERE metric_type = 'Gauge'
+UNION ALL SELECT 'metrics_sum', count(*) + count(*) FILTER (WHERE request_seq % 2 = 0)
+FROM np2 WHERE metric_type = 'Sum'
+UNION ALL SELECT 'series_current', count(*) FROM cur"""
+
+ORACLE_SQL["stored_histograms"] = _BASE + f"""
+SELECT md5({_CANON}) AS series_key, time_unix_nano, CAST(dt AS VARCHAR) AS dt, CAST(1 AS BIGINT) AS count,
+       value AS sum, CAST(2 AS BIGINT) AS aggregation_temporality
+FROM pt WHERE metric_type = 'Histogram'"""

@@ -11,7 +11,7 @@ Mapping (both engines compute it; see the oracle SQL):
 * request_part = event_id div REQUEST_PART_EVENTS. A request is the pair
   (request_seq, request_part), so no request row holds more than
   REQUEST_PART_EVENTS points however large an hour gets (the reference caps a
-  request at 16 MiB); at the test scales every hour is a single part.
+  request at 16 MiB); at every test scale some hours have several parts.
 * metric name 'events.<type>'; click, view -> Gauge; purchase, signup -> Sum;
   error -> Histogram (dropped at ingest).
 * resource per host = user_id % 4, attributes [service.name = svc-(user_id % 2),
@@ -27,6 +27,8 @@ Mapping (both engines compute it; see the oracle SQL):
 empty name for the signup metric where request_seq % 5 = 0, temporality 0 for
 purchase where request_seq % 7 = 0.
 
+``variant="times"`` gives event_id % 97 = 0 a time of 20 nines, outside 64 bits.
+
 ``variant="variety"`` exercises attribute edge cases: one resource per
 user_id % 20 = r, host.name = host-(r % 4), and by r % 5: 0 -> no service.name;
 1 -> service.name as an int (r % 2); 2 -> service.name 'svc-a', host.name,
@@ -49,8 +51,8 @@ from metricmart.schemas import (ANY_VALUE, ATTRS, HISTOGRAM_POINT, METRIC, NUMBE
                                 RESOURCE_METRICS, SCOPE_METRICS)
 
 # Fixed values of the bridge.
-REQUEST_PART_EVENTS = 262_144
-RESOURCES = {"clean": 4, "faulty": 4, "variety": 20}     # resource index = user_id % this
+REQUEST_PART_EVENTS = 100
+RESOURCES = {"clean": 4, "faulty": 4, "times": 4, "variety": 20}     # resource index = user_id % this
 HOUR_NANOS = 3_600_000_000_000
 GAUGE_EVENTS = ("click", "view")
 SUM_EVENTS = ("purchase", "signup")
@@ -77,8 +79,8 @@ def event_points(events: DataFrame, variant: str = "clean") -> DataFrame:
         F.pmod("user_id", F.lit(RESOURCES[variant])).alias("res_idx"),
         F.pmod("event_id", F.lit(2)).alias("scope_idx"))
     t = F.col("event_type")
-    bad_time = (F.pmod("event_id", F.lit(97)) == 0) if faulty else F.lit(False)
-    time_text = F.when(bad_time, F.lit("0")).otherwise(F.col("time_unix_nano").cast("string"))
+    bad_time = (F.pmod("event_id", F.lit(97)) == 0) if variant in ("faulty", "times") else F.lit(False)
+    time_text = F.when(bad_time, F.lit("0" if faulty else "9" * 20)).otherwise(F.col("time_unix_nano").cast("string"))
     start_text = (F.col("request_seq") * F.lit(HOUR_NANOS)).cast("string")
     kv = F.col("k")
     attrs = F.array(
