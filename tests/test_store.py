@@ -313,3 +313,84 @@ def test_compact_metadata_drops_expired_days(spark, tmp_path):
     meta = store.table("series_metadata")
     assert n == meta.count() > 0
     assert min(r.dt for r in meta.select("dt").distinct().collect()).isoformat() == "2024-01-21"
+
+
+def test_hot_series_is_split_in_lookup_joins(spark):
+    n = 40_000
+    day = F.lit("2024-01-10").cast("date")
+    facts = spark.range(n).select(
+        F.when(F.col("id") % 10 < 9, F.lit(7)).otherwise(F.col("id")).cast("bigint").alias("metric_hash"),
+        F.col("id").alias("time_unix_nano"), F.repeat(F.lit("x"), 50).alias("pad"), day.alias("dt"))
+    facts = facts.repartition(8)
+    none = F.create_map().cast("map<string,string>")
+    text = ("metric_name", "metric_description", "metric_unit", "metric_type", "service_name", "scope_name",
+            "scope_version")
+    meta = spark.range(n).select(
+        day.alias("dt"), F.col("id").alias("metric_hash"), *[F.lit("m").alias(c) for c in text],
+        *[none.alias(c) for c in ("resource_attributes", "scope_attributes", "attributes")],
+        F.struct(F.lit(1).alias("batch_id")).alias("ord"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for q in (Q.enrich_by_day(facts, meta), Q.enrich_any(facts, meta)):
+            assert q.collect()[0].metric_name == "m" and q.count() == n
+            q.collect()
+            assert "skew=true" in q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stopped_compaction_is_completed(spark, tmp_path, monkeypatch):
+    from metricmart.plans import maintenance as M
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_compact_stop")
+    write_batch(store, bridge_requests(spark, SF), batch_id=1)
+    total = store.table("metrics_gauge").count()
+    day = list_partitions(store, "metrics_gauge")[0]["dt"]
+    # stopped after the journal, half way through the moves: old files gone, new ones not there
+    real = M._finish
+
+    def half(store, table, work):
+        journal = __import__("json").load(open(f"{work}/journal"))
+        for name in journal["old"]:
+            M.delete_path(spark, f"{store.path(table)}/{journal['partition']}/{name}")
+        raise RuntimeError("stopped")
+    monkeypatch.setattr(M, "_finish", half)
+    with pytest.raises(RuntimeError):
+        M.compact_day(store, "metrics_gauge", day)
+    monkeypatch.setattr(M, "_finish", real)
+    assert M.recover_compactions(store, "metrics_gauge") == 1
+    assert store.table("metrics_gauge").count() == total
+    # stopped before the journal: nothing has changed
+    with pytest.raises(ZeroDivisionError):
+        M.compact_day(store, "metrics_gauge", day, after_staging=lambda: 1 / 0)
+    assert M.recover_compactions(store, "metrics_gauge") == 0
+    assert store.table("metrics_gauge").count() == total
+
+
+def test_cluster_needs_a_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from metricmart.session import checkpoint_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(ValueError, match="checkpoint"):
+        checkpoint_root(SimpleNamespace(sparkContext=Context()))
+
+
+def test_unnamed_stream_needs_a_checkpoint(stored):
+    _, store, _, _ = stored
+    with pytest.raises(ValueError, match="checkpoint"):
+        start_ingest(store, "/nowhere")
