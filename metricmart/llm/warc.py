@@ -49,6 +49,8 @@ REVISIT_BYTES = 1000
 PACKAGE_BYTES = 16 << 20
 #: Bytes fetched at once; adjacent records are read together up to this.
 READ_BYTES = 1 << 20
+#: Package bytes that a reading task gets, on average.
+TASK_BYTES = 16 << 20
 GZIP_LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -410,8 +412,10 @@ def read_packages(spark: SparkSession, folder: str, with_payload: bool = True) -
         ("payload", pa.binary()), ("intact", pa.bool_())])
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
     places = files.repartition("path").mapInArrow(list_records, "path string, offset bigint, length bigint")
+    # the places are few bytes, what they point to isn't: the number of tasks follows the packages' size
+    total = files.agg(F.sum("length")).first()[0] or 0
     part = F.floor(F.col("offset") / (4 * READ_BYTES))
-    return places.repartition("path", part).sortWithinPartitions("path", "offset").mapInArrow(read, RECORD)
+    return places.repartition(1 + total // TASK_BYTES, "path", part).sortWithinPartitions("path", "offset").mapInArrow(read, RECORD)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
