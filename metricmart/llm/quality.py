@@ -6,7 +6,8 @@ token distribution. Rejection bands are kept for each group: the row's language,
 or, where that is NULL, the script of most of its letters. A band is the median
 plus and minus ``BAND_SIGMAS`` robust standard deviations of all the group's
 documents that pass the base rules, and never narrower than ``BAND_FLOOR`` of
-the median, so that a small or uniform group rejects nothing near its median.
+the median below it and ``BAND_CEILING`` above it, so that a small or uniform
+group, or a few texts of another language in it, are not rejected.
 
 Defined results: NULL and empty texts have no words and fail the base rules;
 repeated rows get equal results and count each for the bands; an empty table
@@ -37,7 +38,11 @@ MIN_WORDS = 50
 #: Words in repeated 3-word windows, per 100 words, above which a text fails.
 MAX_REPEAT_PERCENT = 50
 BAND_SIGMAS = 6.0
-BAND_FLOOR = 0.10
+BAND_FLOOR = 0.15
+#: The same for the upper side: text that a vocabulary covers well is no fault, only extremes are.
+BAND_CEILING = 1.5
+#: Share of fallback tokens that any group may have.
+FALLBACK_SHARE = 0.10
 #: Accuracy of the quartiles' ranks: 1 / QUARTILE_ACCURACY.
 QUARTILE_ACCURACY = 10_000
 #: Distinct words whose tokens a Python worker keeps; then the cache starts anew.
@@ -168,11 +173,12 @@ def bands(measured: DataFrame, column: str) -> DataFrame:
 
     def bound(c: str, sign: int):
         sigma = (F.col(c)[2] - F.col(c)[0]) / 1.349
-        return F.col(c)[1] + sign * F.greatest(BAND_SIGMAS * sigma, BAND_FLOOR * F.col(c)[1])
+        least = BAND_FLOOR if sign < 0 else BAND_CEILING
+        return F.col(c)[1] + sign * F.greatest(BAND_SIGMAS * sigma, least * F.col(c)[1])
 
-    # any text may hold a few fallback tokens: that share's band is never below BAND_FLOOR itself
+    # any text may hold a few fallback tokens
     low = [bound(c, -1).alias(f"low_{c}") for c in MEASURES if c != "fallback_share"]
-    high = [F.greatest(bound(c, 1), F.lit(BAND_FLOOR) if c == "fallback_share" else bound(c, 1)).alias(f"high_{c}")
+    high = [F.greatest(bound(c, 1), F.lit(FALLBACK_SHARE) if c == "fallback_share" else bound(c, 1)).alias(f"high_{c}")
             for c in MEASURES]
     return quartiles.select(F.col("fertility_group").alias("band_group"), *low, *high)
 
