@@ -524,13 +524,28 @@ def stream_two_sources(spark, sf_dir):
     return _rows_of(store, "metrics_gauge", "metrics_sum", "series_current")
 
 
-def stored_histograms(spark, sf_dir):
-    """Histogram points stored and read back with their series."""
+def stored_other_types(spark, sf_dir):
+    """Histogram, exponential-histogram and summary points stored and read back."""
     store = _fresh_store(spark)
-    write_batch(store, bridge_requests(spark, sf_dir), batch_id=1, store_other_types=True)
-    out = Q.enrich_by_day(store.table("metrics_histogram"), store.table("series_metadata"))
-    return out.select(_key_from_meta().alias("series_key"), "time_unix_nano", _dt_text(), "count", "sum",
-                      F.col("aggregation_temporality").cast("bigint").alias("aggregation_temporality"))
+    write_batch(store, bridge_requests(spark, sf_dir, "types"), batch_id=1, store_other_types=True)
+    double = lambda c: F.col(c).cast("double")
+    shown = {
+        "metrics_histogram": [F.concat_ws(",", F.col("bucket_counts").cast("array<string>")), double("max"),
+                              F.col("explicit_bounds")[0], F.col("aggregation_temporality")],
+        "metrics_exponential_histogram": [
+            F.concat_ws(",", "scale", "zero_count", "positive_offset", F.col("positive_bucket_counts").cast("array<string>"),
+                        "negative_offset", F.col("negative_bucket_counts").cast("array<string>")),
+            double("max"), F.lit(0.0), F.col("aggregation_temporality")],
+        "metrics_summary": [F.size("value_at_quantiles").cast("string"), F.col("value_at_quantiles")[1]["value"],
+                            F.col("value_at_quantiles")[1]["quantile"], F.lit(0)],
+    }
+    out = None
+    for name, (buckets, top, bound, temporality) in shown.items():
+        rows = Q.enrich_by_day(store.table(name), store.table("series_metadata")).select(
+            F.lit(name).alias("table"), _key_from_meta().alias("series_key"), "time_unix_nano", _dt_text(), "count", "sum",
+            buckets.alias("buckets"), top.alias("top"), bound.alias("bound"), temporality.cast("bigint").alias("temporality"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -582,5 +597,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expire_counts": expire_counts,
     "compact_with_append": compact_with_append,
     "stream_two_sources": stream_two_sources,
-    "stored_histograms": stored_histograms,
+    "stored_other_types": stored_other_types,
 }

@@ -445,7 +445,12 @@ UNION ALL SELECT 'metrics_sum', count(*) + count(*) FILTER (WHERE request_seq %
 FROM np2 WHERE metric_type = 'Sum'
 UNION ALL SELECT 'series_current', count(*) FROM cur"""
 
-ORACLE_SQL["stored_histograms"] = _BASE + f"""
-SELECT md5({_CANON}) AS series_key, time_unix_nano, CAST(dt AS VARCHAR) AS dt, CAST(1 AS BIGINT) AS count,
-       value AS sum, CAST(2 AS BIGINT) AS aggregation_temporality
+ORACLE_SQL["stored_other_types"] = _BASE + f"""
+SELECT CASE r_pos WHEN 1 THEN 'metrics_exponential_histogram' WHEN 2 THEN 'metrics_summary'
+       ELSE 'metrics_histogram' END AS "table",
+       md5({_CANON}) AS series_key, time_unix_nano, CAST(dt AS VARCHAR) AS dt, CAST(1 AS BIGINT) AS count, value AS sum,
+       CASE r_pos WHEN 1 THEN '3,4,2,1,2,-1,7' WHEN 2 THEN '2' ELSE '1,0' END AS buckets,
+       CASE r_pos WHEN 2 THEN value * 2 ELSE value END AS top,
+       CASE r_pos WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN CAST(0.99 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS bound,
+       CAST(CASE r_pos WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END AS BIGINT) AS temporality
 FROM pt WHERE metric_type = 'Histogram'"""

@@ -29,6 +29,11 @@ purchase where request_seq % 7 = 0.
 
 ``variant="times"`` gives event_id % 97 = 0 a time of 20 nines, outside 64 bits.
 
+``variant="types"`` spreads error points over three types by res = user_id % 4: 1 ->
+exponential histogram (scale 3, zero count 4, positive offset 2 with counts 1, 2, negative
+offset -1 with count 7, max = value); 2 -> summary (quantiles 0.5 -> value, 0.99 ->
+2 * value); else histogram (counts 1, 0 around the bound 0.5, max = value).
+
 ``variant="variety"`` exercises attribute edge cases: one resource per
 user_id % 20 = r, host.name = host-(r % 4), and by r % 5: 0 -> no service.name;
 1 -> service.name as an int (r % 2); 2 -> service.name 'svc-a', host.name,
@@ -52,7 +57,7 @@ from metricmart.schemas import (ANY_VALUE, ATTRS, HISTOGRAM_POINT, METRIC, NUMBE
 
 # Fixed values of the bridge.
 REQUEST_PART_EVENTS = 100
-RESOURCES = {"clean": 4, "faulty": 4, "times": 4, "variety": 20}     # resource index = user_id % this
+RESOURCES = {"clean": 4, "faulty": 4, "times": 4, "types": 4, "variety": 20}     # resource index = user_id % this
 HOUR_NANOS = 3_600_000_000_000
 GAUGE_EVENTS = ("click", "view")
 SUM_EVENTS = ("purchase", "signup")
@@ -139,6 +144,23 @@ def _kv(key: str, string_value: Column | None = None, int_value: Column | None =
     return F.struct(F.lit(key).alias("key"), val.alias("value"))
 
 
+def _exponential(p: Column) -> Column:
+    def buckets(offset, *counts):
+        return F.struct(F.lit(offset).alias("offset"), F.array(*[F.lit(c) for c in counts]).alias("bucketCounts"))
+    return F.struct(
+        *[p[c].alias(c) for c in ("attributes", "startTimeUnixNano", "timeUnixNano", "count", "sum")],
+        F.lit(3).alias("scale"), F.lit("4").alias("zeroCount"), buckets(2, "1", "2").alias("positive"),
+        buckets(-1, "7").alias("negative"), p["min"].alias("min"), p["max"].alias("max"), p["flags"].alias("flags"))
+
+
+def _summary(p: Column) -> Column:
+    def quantile(q, value):
+        return F.struct(F.lit(q).alias("quantile"), value.alias("value"))
+    return F.struct(
+        *[p[c].alias(c) for c in ("attributes", "startTimeUnixNano", "timeUnixNano", "count", "sum")],
+        F.array(quantile(0.5, p["sum"]), quantile(0.99, p["sum"] * 2)).alias("quantileValues"), p["flags"].alias("flags"))
+
+
 def _sorted_payload(order: Column, payload: Column) -> Column:
     """collect_list sorted by a unique order key, order key dropped."""
     items = F.array_sort(F.collect_list(F.struct(order.alias("o"), payload.alias("p"))))
@@ -167,6 +189,11 @@ def requests_from_events(events: DataFrame, variant: str = "clean") -> DataFrame
         temporality = F.when((t == "purchase") & (F.pmod(rs, F.lit(7)) == 0), F.lit(0)) \
             .otherwise(temporality)
     none = F.lit(None)
+    error, points = t.isin(*HISTOGRAM_EVENTS), F.col("hist_points")
+    kind = F.pmod("res_idx", F.lit(4)) if variant == "types" else F.lit(0)
+    if variant == "types":
+        points = F.transform(points, lambda p: p.withField("bucketCounts", F.array(F.lit("1"), F.lit("0")))
+                             .withField("explicitBounds", F.array(F.lit(0.5))).withField("max", p["sum"]))
     metric = F.struct(
         name.alias("name"),
         F.concat(F.lit("desc "), F.pmod(rs, F.lit(3)).cast("string")).alias("description"),
@@ -177,10 +204,14 @@ def requests_from_events(events: DataFrame, variant: str = "clean") -> DataFrame
                                             (t == "purchase").alias("isMonotonic"),
                                             F.col("num_points").alias("dataPoints")))
          .alias("sum"),
-        F.when(t.isin(*HISTOGRAM_EVENTS), F.struct(F.lit(2).alias("aggregationTemporality"),
-                                                  F.col("hist_points").alias("dataPoints")))
+        F.when(error & ~kind.isin(1, 2), F.struct(F.lit(2).alias("aggregationTemporality"),
+                                                  points.alias("dataPoints")))
          .alias("histogram"),
-        none.alias("exponentialHistogram"), none.alias("summary"),
+        F.when(error & (kind == 1), F.struct(F.lit(1).alias("aggregationTemporality"),
+                                             F.transform(points, _exponential).alias("dataPoints")))
+         .alias("exponentialHistogram"),
+        F.when(error & (kind == 2), F.struct(F.transform(points, _summary).alias("dataPoints")))
+         .alias("summary"),
     ).cast(METRIC)
 
     # level 2: scope
