@@ -39,20 +39,33 @@ def _metric_type(m):
              .when(m["summary"].isNotNull(), F.lit(SUMMARY)))
 
 
+def request_key(requests: DataFrame) -> tuple:
+    """(request_seq, request_part) columns that identify and order requests.
+
+    A request without an arrival number is ordered by its arrival time
+    (``received_at``, where the source knows it) and told apart by a hash of its
+    content; without either, the hash is all there is. Distinct requests stay
+    distinct for keep-first (identical ones collapse, which is harmless: they
+    carry identical metadata)."""
+    seq, content = F.col("request_seq").cast("bigint"), F.xxhash64("resourceMetrics")
+    part = F.col("request_part")
+    if "received_at" not in requests.columns:
+        return F.coalesce(seq, content), F.coalesce(part, F.lit(0)).cast("bigint")
+    arrived = F.unix_micros("received_at")
+    own = F.when(seq.isNull() & arrived.isNotNull(), content)
+    return F.coalesce(seq, arrived, content), F.coalesce(part, own, F.lit(0)).cast("bigint")
+
+
 def explode_metrics(requests: DataFrame, batch_id: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per metric, carrying request/resource/scope context (C1–C2 upper levels).
 
     With ``carry`` (request columns taken along) a level without elements keeps
     one row of NULLs, so that no request disappears."""
     explode = F.posexplode_outer if carry else F.posexplode
-    # A request without an arrival number is keyed by a hash of its content, so
-    # distinct requests stay distinct for keep-first (identical ones collapse,
-    # which is harmless: they carry identical metadata).
+    seq, part = (F.col("request_seq"), F.col("request_part")) if carry else request_key(requests)
     req = requests.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
-        (F.col("request_seq") if carry else
-         F.coalesce(F.col("request_seq").cast("bigint"), F.xxhash64("resourceMetrics"))).alias("request_seq"),
-        F.coalesce(F.col("request_part"), F.lit(0)).cast("bigint").alias("request_part"), *carry,
+        seq.alias("request_seq"), part.alias("request_part"), *carry,
         explode("resourceMetrics").alias("r_pos", "rm"))
     res = req.select(
         "batch_id", "request_seq", "request_part", *carry, "r_pos",
@@ -121,10 +134,12 @@ def flatten_batch(validated: DataFrame, batch_id: int = 0) -> DataFrame:
     ``kind`` tells the rows apart: Gauge and Sum points as in ``flatten_points``;
     Rejected, one row per rejected request with its ``error``; Dropped, one row
     per metric of another type with its number of points in ``dropped``."""
+    seq, part = request_key(validated)
+    good = F.col("error").isNull()
     accepted = validated.select(
-        F.when(F.col("request_seq").isNull() & F.col("error").isNull(), F.xxhash64("resourceMetrics"))
-         .otherwise(F.col("request_seq")).cast("bigint").alias("request_seq"),
-        "request_part", "error", F.when(F.col("error").isNull(), F.col("resourceMetrics")).alias("resourceMetrics"))
+        F.when(good, seq).otherwise(F.col("request_seq")).cast("bigint").alias("request_seq"),
+        F.when(good, part).otherwise(F.coalesce("request_part", F.lit(0))).cast("bigint").alias("request_part"),
+        "error", F.when(good, F.col("resourceMetrics")).alias("resourceMetrics"))
     metrics = explode_metrics(accepted, batch_id, carry=("error",))
     size = F.coalesce(*[F.when(F.col("metric_type") == t, F.size(F.col(f"m.{field}.dataPoints")))
                         for t, field in _OTHER.items()], F.lit(0))

@@ -95,7 +95,7 @@ def _finish(store: MetricStore, table: str, work: str) -> None:
     text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
     journal = json.loads(text)
-    target = f"{store.path(table)}/{journal['partition']}"
+    target = f"{store.path(table)}/{journal['partition']}".rstrip("/")
     for name in journal["old"]:
         delete_path(spark, f"{target}/{name}")
     for name in _files(spark, f"{work}/data"):
@@ -123,7 +123,7 @@ def _replace(store: MetricStore, table: str, partition: str, rewrite, after_stag
     """Rewrite the files that one partition has now; ``rewrite`` maps their rows to the new ones."""
     spark = store.spark
     recover_compactions(store, table)
-    folder = f"{store.path(table)}/{partition}"
+    folder = f"{store.path(table)}/{partition}".rstrip("/")
     old = _files(spark, folder)
     if not old:
         return 0
@@ -173,3 +173,19 @@ def compact_day(store: MetricStore, table: str, day: str, after_staging=None) ->
     return _replace(store, table, f"dt={day}",
                     lambda facts: facts.repartitionByRange("time_unix_nano")
                     .sortWithinPartitions("time_unix_nano", "metric_hash"), after_staging)
+
+
+def compact_log(store: MetricStore, table: str, today=None, retention_days: int | None = None,
+                after_staging=None) -> int:
+    """Merge the small files of ``ingest_audit`` or ``rejected_requests``, without the rows of
+    batches before the retention cutoff (a batch id is its time in microseconds)."""
+    today = today or _dt.datetime.now(_dt.timezone.utc).date()
+    days = store.retention_days if retention_days is None else retention_days
+    cut = cutoff_date(today, days)
+    first = int(_dt.datetime(cut.year, cut.month, cut.day, tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000
+
+    def rest(log: DataFrame) -> DataFrame:
+        # range-partitioned: AQE merges partitions up to its advisory size
+        return log.where(F.col("batch_id") >= first).repartitionByRange("batch_id").sortWithinPartitions("batch_id")
+
+    return _replace(store, table, "", rest, after_staging)

@@ -28,9 +28,15 @@ def _decode_error(undecodable: Column) -> Column:
     return F.when(undecodable, F.lit(MSG_UNDECODABLE)).alias("decode_error")
 
 
+# When a file arrived: orders requests that carry no arrival number.
+def _received_at() -> Column:
+    return F.col("_metadata.file_modification_time").alias("received_at")
+
+
 def _decoded(lines: DataFrame) -> DataFrame:
     """JSON rows with ``decode_error`` set where the line is no export request."""
-    return lines.select(*EXPORT_REQUEST.fieldNames(), _decode_error(F.col(_CORRUPT).isNotNull()))
+    return lines.select(*EXPORT_REQUEST.fieldNames(), _received_at(),
+                        _decode_error(F.col(_CORRUPT).isNotNull()))
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -39,7 +45,7 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     if fmt == "json":
         return _decoded(spark.read.schema(_JSON_REQUEST).option("mode", "PERMISSIVE")
                         .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
-    return spark.read.schema(EXPORT_REQUEST).format(fmt).load(path)
+    return spark.read.schema(EXPORT_REQUEST).format(fmt).load(path).select("*", _received_at())
 
 
 def read_request_stream(spark: SparkSession, path: str, fmt: str = "json",
@@ -50,7 +56,8 @@ def read_request_stream(spark: SparkSession, path: str, fmt: str = "json",
         reader = reader.option("columnNameOfCorruptRecord", _CORRUPT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return _decoded(reader.load(path)) if fmt == "json" else reader.load(path)
+    lines = reader.load(path)
+    return _decoded(lines) if fmt == "json" else lines.select("*", _received_at())
 
 
 def read_kafka_requests(spark: SparkSession, bootstrap_servers: str, topic: str,

@@ -394,3 +394,39 @@ def test_unnamed_stream_needs_a_checkpoint(stored):
     _, store, _, _ = stored
     with pytest.raises(ValueError, match="checkpoint"):
         start_ingest(store, "/nowhere")
+
+
+def test_compact_log_merges_and_expires(spark, tmp_path):
+    import datetime
+
+    from metricmart.plans.maintenance import compact_log
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_log")
+    day = lambda d: int(datetime.datetime(2024, 1, d, tzinfo=datetime.timezone.utc).timestamp()) * 10**6
+    for d in (1, 2, 20, 21):
+        spark.createDataFrame([(day(d), "metrics_gauge", "ok", 1, 1.0, "batch")], store.table("ingest_audit").schema) \
+            .write.mode("append").insertInto(store.name("ingest_audit"))
+    late = lambda: spark.createDataFrame([(day(22), "x", "ok", 1, 1.0, "b")], store.table("ingest_audit").schema) \
+        .write.mode("append").insertInto(store.name("ingest_audit"))
+    assert compact_log(store, "ingest_audit", today="2024-01-25", retention_days=10, after_staging=late) == 2
+    assert sorted(r.batch_id for r in store.table("ingest_audit").collect()) == [day(20), day(21), day(22)]
+
+
+def test_arrival_time_orders_requests_without_numbers(spark, tmp_path):
+    import json
+    import os
+
+    from metricmart.sources.samples import NOW, gauge, kv, point, request, s
+    for i, description in ((1, "first"), (2, "second"), (3, "third")):
+        doc = request([{**gauge("g", [point(NOW)]), "description": description}], [kv("service.name", s("a"))])
+        del doc["request_seq"]
+        path = f"{tmp_path}/in/{9 - i}.json"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write(json.dumps(doc) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    t = MetricTables.from_requests(read_requests(spark, f"{tmp_path}/in"))
+    assert t.metadata.count() == 3
+    assert [r.metric_description for r in t.current().collect()] == ["third"]
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_arrival")
+    write_batch(store, read_requests(spark, f"{tmp_path}/in"), batch_id=1)
+    assert [r.metric_description for r in store.tables().current().collect()] == ["third"]
