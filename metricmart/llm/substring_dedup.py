@@ -5,8 +5,9 @@ the same place inside them. So the windows of a text fall into segments with one
 such anchor each, and equal windows always lie in segments with equal anchors.
 Segments whose anchor occurs once hold no repeated window. Segments equal as a
 whole are one string with a count, and all their windows repeat. The distinct
-strings that share an anchor are dealt into shards by it, and each shard's suffix
-array is built by induced sorting; a window repeats where its common prefix with
+strings that share an anchor are dealt into shards by it. Only windows that share more than the anchor, a core of about 160
+bytes, with a window of another string can repeat; the shard's suffix arrays of
+those are built by induced sorting, and a window repeats where its common prefix with
 a neighbour in the array, from permuted common prefixes, is 200 bytes or more.
 
 An anchor of more than ``SHARD_STRINGS`` distinct strings is spread over several
@@ -43,6 +44,8 @@ PIECE = 1 << 20
 #: Distinct strings of one anchor in a shard, and bytes for which one suffix array is built.
 SHARD_STRINGS = 2000
 ARRAY_BYTES = 1 << 20
+#: Bytes of whole groups that a task takes up at once.
+BATCH_BYTES = 4 << 20
 
 _PLACE = np.uint64(PIECE - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -91,8 +94,8 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, anchor, whole hash) of each segment of the texts."""
-    out = [[] for _ in range(5)]
+    """(text number, first window, windows, place of the anchor in the first, anchor, whole hash) of each segment."""
+    out = [[] for _ in range(6)]
     held: list[tuple[int, int, bytes]] = []
 
     def flush() -> None:
@@ -113,7 +116,7 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
         windows = np.minimum(np.append(first[1:], len(least)), (begins + sizes - length + 1)[piece[first]]) - first
         owner, offset = np.array([k for k, _, _ in held]), np.array([o for _, o, _ in held])
         values = (owner[piece[first]], first - begins[piece[first]] + offset[piece[first]], windows,
-                  grams[least[first]].view(np.int64), hashes.of(first, first + windows + length - 1, _FINAL[1]).view(np.int64))
+                  least[first] - first, grams[least[first]].view(np.int64), hashes.of(first, first + windows + length - 1, _FINAL[1]).view(np.int64))
         for column, value in zip(out, values):
             column.append(value)
         held.clear()
@@ -139,15 +142,16 @@ def all_segments(docs: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch, "text"):
-                number, first, windows, anchor, whole = segments(byte_values(run.column("text")), length)
+                number, first, windows, offset, anchor, whole = segments(byte_values(run.column("text")), length)
                 at = pa.array(number)
                 yield pa.RecordBatch.from_arrays(
                     [run.column("doc_id").take(at), run.column("text_hash").take(at), pa.array(first, pa.int32()),
-                     pa.array(windows, pa.int32()), pa.array(anchor), pa.array(whole)],
-                    names=["doc_id", "text_hash", "first", "windows", "anchor", "whole"])
+                     pa.array(windows, pa.int32()), pa.array(offset, pa.int16()), pa.array(anchor), pa.array(whole)],
+                    names=schema.names)
 
     schema = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("text_hash", T.LongType())
-    schema = schema.add("first", T.IntegerType()).add("windows", T.IntegerType()).add("anchor", T.LongType()).add("whole", T.LongType())
+    schema = schema.add("first", T.IntegerType()).add("windows", T.IntegerType()).add("offset", T.ShortType())
+    schema = schema.add("anchor", T.LongType()).add("whole", T.LongType())
     return docs.mapInArrow(cut, schema)
 
 
@@ -183,6 +187,58 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH) -> list[np.ndar
     return [repeats[b : b + n - length + 1] for b, n in zip(begins.tolist(), sizes.tolist())]
 
 
+def cells(offset: int, windows: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(cell, first window, last window, start of the core) of a string's windows by the place of
+    the anchor in them. A cell's windows all hold the core, which starts at the same distance from
+    the anchor in every string."""
+    width = cell_width(length)
+    for cell in range((offset - windows + 1) // width, offset // width + 1):
+        yield cell, max(0, offset - cell * width - width + 1), min(windows - 1, offset - cell * width), offset - cell * width
+
+
+def cell_width(length: int) -> int:
+    return max(1, (length - GRAM) // 4)
+
+
+def repeated_in_shard(rows: list[dict], length: int) -> list[np.ndarray]:
+    """For each string of whole (anchor, shard) groups, which of its windows start in another place of them."""
+    core = length - cell_width(length) + 1
+    groups: dict[tuple, list[tuple[int, int, int]]] = {}
+    masks = []
+    for i, row in enumerate(rows):
+        data = row["data"]
+        n = len(data) - length + 1
+        masks.append(np.zeros(n, bool))
+        for cell, a, b, start in cells(row["offset"], n, length):
+            groups.setdefault((row["anchor"], cell, data[start : start + core]), []).append((i, a, b))
+    held: list[tuple[bytes, tuple[int, int]]] = []
+    size = 0
+
+    def sort_held() -> None:
+        for (_, (i, a)), mask in zip(held, repeated_windows([data for data, _ in held], length) if held else []):
+            masks[i][a : a + len(mask)] |= mask
+        held.clear()
+
+    for group in groups.values():
+        if len(group) == 1:
+            continue  # no other string has the core
+        alike: dict[bytes, list[tuple[int, int]]] = {}
+        for i, a, b in group:
+            alike.setdefault(rows[i]["data"][a : b + length], []).append((i, a))
+        for data, members in alike.items():
+            if len(members) > 1:  # copies repeat as a whole
+                for i, a in members:
+                    masks[i][a : a + len(data) - length + 1] = True
+        if len(alike) > 1:
+            held += [(data, members[0]) for data, members in alike.items()]
+            size += sum(map(len, alike))
+        if size >= ARRAY_BYTES:
+            sort_held()
+            size = 0
+    sort_held()
+    return masks
+
+
 def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return edges[::2], edges[1::2] - edges[::2]
@@ -197,7 +253,7 @@ def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 text = _unpack(row["packed"])
                 for s in row["segments"]:
                     data = text[s["first"] : s["first"] + s["windows"] + length - 1]
-                    out.append((row["doc_id"], row["text_hash"], s["first"], s["n"], s["anchor"], s["shard"], s["split"], data))
+                    out.append((row["doc_id"], row["text_hash"], s["first"], s["n"], s["offset"], s["anchor"], s["shard"], s["split"], data))
                     size += len(data)
                     if size >= PIECE:
                         yield _columns(out, arrow)
@@ -205,11 +261,11 @@ def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield _columns(out, arrow)
 
     id_type = packed.schema["doc_id"].dataType
-    schema = T.StructType().add("doc_id", id_type).add("text_hash", T.LongType()).add("first", T.IntegerType()).add("n", T.LongType())
+    schema = T.StructType().add("doc_id", id_type).add("text_hash", T.LongType()).add("first", T.IntegerType()).add("n", T.LongType()).add("offset", T.ShortType())
     schema = schema.add("anchor", T.LongType()).add("shard", T.IntegerType()).add("split", T.BooleanType()).add("data", T.BinaryType())
     arrow = _arrow(schema)
     lists = wanted.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("first", "windows", "n", "anchor", "shard", "split")).alias("segments"))
+        F.collect_list(F.struct("first", "windows", "n", "offset", "anchor", "shard", "split")).alias("segments"))
     lists = lists.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "segments")
     # a document that is listed twice gives its strings once
     once = packed.join(lists, packed.doc_id.eqNullSafe(lists.id) & (packed.text_hash == lists.hash)).select("doc_id", "text_hash", "packed", "segments")
@@ -239,7 +295,7 @@ def _search(strings: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 key = (row["anchor"], row["shard"])
-                if key != last and size >= ARRAY_BYTES:
+                if key != last and size >= BATCH_BYTES:
                     yield _columns(sorted_out(held), arrow)
                     held, size = [], 0
                 last = key
@@ -250,7 +306,7 @@ def _search(strings: DataFrame, length: int) -> DataFrame:
 
     def sorted_out(rows: list[dict]) -> list[tuple]:
         out = []
-        for row, mask in zip(rows, repeated_windows([r["data"] for r in rows], length)):
+        for row, mask in zip(rows, repeated_in_shard(rows, length)):
             place = (row["doc_id"], row["text_hash"])
             if row["n"] == 1:
                 out += [(RANGE, *place, row["first"] + int(a), int(n), 0, 0) for a, n in zip(*_ranges(mask))]
@@ -274,7 +330,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, sh
     every = materialise(all_segments(docs, length), "segments")
     shared = materialise(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     some = materialise(every.join(shared, "anchor"), "shared-segments")
-    place = F.struct("doc_id", "text_hash", "first", "windows")
+    place = F.struct("doc_id", "text_hash", "first", "windows", "offset")
     strings = materialise(some.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(place).alias("place")), "strings")
     # segments that are equal as a whole repeat as a whole
     again = materialise(strings.filter("n > 1").select("anchor", "whole"), "repeated-strings")

@@ -38,7 +38,27 @@ def _put(suffixes: np.ndarray, bucket: np.ndarray, array: np.ndarray, edge: np.n
     edge[groups] += direction * sizes
 
 
-def _induce_larger(text, smaller, array, starts):
+def runs_before(text: np.ndarray) -> np.ndarray:
+    """How many symbols right before each place equal its own."""
+    at = np.arange(len(text))
+    return at - np.maximum.accumulate(np.where(np.append(True, text[1:] != text[:-1]), at, 0))
+
+
+def _along_runs(front: np.ndarray, text: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """What suffixes induce into their own buckets: for each bucket, first the one symbol longer
+    suffixes of all of them in their order, then the two symbols longer ones, and so on."""
+    n = run[front]
+    some = np.flatnonzero(n)
+    if not len(some):
+        return front[:0]
+    n = n[some]
+    number = np.repeat(some, n)
+    longer = np.arange(len(number)) - np.repeat(np.cumsum(n) - n, n) + 1
+    suffix = front[number] - longer
+    return suffix[np.lexsort((number, longer, text[suffix]))]
+
+
+def _induce_larger(text, smaller, run, array, starts):
     """Place every larger-type suffix, by a scan to the right over batches of buckets."""
     symbols = len(starts) - 1
     head = starts[:-1].copy()
@@ -51,12 +71,9 @@ def _induce_larger(text, smaller, array, starts):
         high = int(stop[low])
         region = array[starts[low] : starts[high]]
         front = region[region >= 0]
-        front = front[~smaller[front]]
-        while len(front):  # into the same bucket
-            front = front[front > 0] - 1
-            front = front[text[front] == text[front + 1]]
-            if len(front):
-                _put(front, text[front], array, head, 1)
+        front = _along_runs(front[~smaller[front]], text, run)
+        if len(front):
+            _put(front, text[front], array, head, 1)
         front = region[region > 0] - 1
         front = front[text[front] > text[front + 1]]
         if len(front):
@@ -65,7 +82,7 @@ def _induce_larger(text, smaller, array, starts):
         low = high
 
 
-def _induce_smaller(text, smaller, array, starts):
+def _induce_smaller(text, smaller, run, array, starts):
     """Place every smaller-type suffix, by a scan to the left over batches of buckets."""
     symbols = len(starts) - 1
     tail = starts[1:].copy()
@@ -78,12 +95,9 @@ def _induce_smaller(text, smaller, array, starts):
         low = int(stop[high - 1]) + 1
         region = array[starts[low] : starts[high]]
         front = region[region >= 0][::-1]
-        front = front[smaller[front]]
-        while len(front):
-            front = front[front > 0] - 1
-            front = front[text[front] == text[front + 1]]
-            if len(front):
-                _put(front, text[front], array, tail, -1)
+        front = _along_runs(front[smaller[front]], text, run)
+        if len(front):
+            _put(front, text[front], array, tail, -1)
         front = region[region > 0][::-1] - 1
         front = front[text[front] < text[front + 1]]
         if len(front):
@@ -92,15 +106,15 @@ def _induce_smaller(text, smaller, array, starts):
         high = low
 
 
-def _induce(text, smaller, seeds, starts):
+def _induce(text, smaller, run, seeds, starts):
     """The array that the given leftmost-smaller suffixes (ordered within their buckets) induce."""
     array = np.full(len(text), -1, np.int64)
     last_first = seeds[::-1]
     last_first = last_first[np.argsort(text[last_first], kind="stable")]
     _put(last_first, text[last_first], array, starts[1:].copy(), -1)
-    _induce_larger(text, smaller, array, starts)
+    _induce_larger(text, smaller, run, array, starts)
     array[(array >= 0) & smaller[array]] = -1
-    _induce_smaller(text, smaller, array, starts)
+    _induce_smaller(text, smaller, run, array, starts)
     array[0] = len(text) - 1
     return array
 
@@ -126,10 +140,10 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     text = np.ascontiguousarray(text, np.int64)
     if len(text) == 1:
         return np.zeros(1, np.int64)
-    smaller = smaller_types(text)
+    smaller, run = smaller_types(text), runs_before(text)
     starts = np.append(0, np.cumsum(np.bincount(text, minlength=symbols)))
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    array = _induce(text, smaller, leftmost, starts)
+    array = _induce(text, smaller, run, leftmost, starts)
     is_leftmost = np.zeros(len(text), bool)
     is_leftmost[leftmost] = True
     ordered = array[is_leftmost[array]]
@@ -138,7 +152,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
         name_at = np.zeros(len(text), np.int64)
         name_at[ordered] = names
         ordered = leftmost[suffix_array(name_at[leftmost], int(names[-1]) + 1)]
-    return _induce(text, smaller, ordered, starts)
+    return _induce(text, smaller, run, ordered, starts)
 
 
 def permuted_prefixes(text: np.ndarray, array: np.ndarray, separators: int) -> np.ndarray:

@@ -83,10 +83,18 @@ def test_segments_hold_every_window_once(monkeypatch):
     D._powers.cache_clear()
     rnd = random.Random(5)
     texts = [bytes(rnd.choice(b"ab \n") for _ in range(n)) for n in (0, 199, 200, 201, 3000, 4095, 4096, 20_000)]
-    number, first, windows, _, _ = D.segments(texts)
+    number, first, windows, offset, _, _ = D.segments(texts)
     for k, text in enumerate(texts):
         places = [p for n, f, w in zip(number, first, windows) if n == k for p in range(f, f + w)]
         assert sorted(places) == list(range(max(0, len(text) - 199)))
+    # every window lies in one cell, and holds the cell's core
+    core = D.LENGTH - D.cell_width(D.LENGTH) + 1
+    for n, o in zip(windows.tolist(), offset.tolist()):
+        seen = []
+        for _, a, b, start in D.cells(o, n, D.LENGTH):
+            seen += range(a, b + 1)
+            assert b <= start and start + core <= a + D.LENGTH
+        assert sorted(seen) == list(range(n))
     D._powers.cache_clear()
 
 
