@@ -106,7 +106,9 @@ def expanded(data: bytes) -> np.ndarray:
 
 
 class Pack:
-    """The tokens of a group of documents, by local word numbers in order of (part, word)."""
+    """The tokens of a group of documents, by local word numbers in order of their parts.
+
+    The documents are put in order first, so a pack that is built again has the same numbers."""
 
     def __init__(self, rows: pa.Table, parts: int):
         docs = sorted(zip(rows["packed"].to_pylist(), rows["held_out"].to_pylist(), range(rows.num_rows)), key=lambda d: d[:2])
@@ -119,7 +121,7 @@ class Pack:
         self.lengths = np.array([len(i) for i in ids])
         words = list(number)
         part = np.array([zlib.crc32(w) % parts for w in words], np.int64)
-        order = sorted(range(len(words)), key=lambda i: (part[i], words[i]))
+        order = np.argsort(part, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         self.words, self.part = [words[i] for i in order], part[order]
@@ -132,23 +134,25 @@ class Pack:
     def with_counts(self, ids: np.ndarray, counts: np.ndarray, uni: Unigrams) -> None:
         """Corpus ids and counts of the words; builds (before, word) of every token, ends included."""
         ends = np.cumsum(self.lengths + 1) - 1
-        n = len(self.tokens) + len(self.lengths)
-        at = np.ones(n, bool)
-        at[ends] = False
         self.starts = ends - self.lengths
-        self.word, self.count = np.full(n, EDGE, np.int64), np.full(n, uni.documents, np.int64)
-        self.word[at], self.count[at] = ids[self.tokens], counts[self.tokens]
-        self.before, self.before_count = np.roll(self.word, 1), np.roll(self.count, 1)
-        self.before[self.starts], self.before_count[self.starts] = EDGE, uni.documents
-        self.in_training = np.repeat(~self.held_out, self.lengths + 1)
-        self.known = self.before_count > 0  # the word before was seen in training
+        # words by their place among the pack's ids; the text's edge is one of them
+        names, place = np.unique(np.append(ids, EDGE), return_inverse=True)
+        self.name_count = np.zeros(len(names), np.int64)
+        self.name_count[place] = np.append(counts, uni.documents)
+        self.name = np.full(len(self.tokens) + len(self.lengths), place[-1])
+        at = np.ones(len(self.name), bool)
+        at[ends] = False
+        self.name[at] = place[self.tokens]
+        before = np.roll(self.name, 1)
+        before[self.starts] = place[-1]
+        self.known = self.name_count[before] > 0  # the word before was seen in training
         # distinct (before, word), in order of ids
-        names = np.unique(np.concatenate([self.word, [EDGE]]))
-        key = np.searchsorted(names, self.before[self.known]) * len(names) + np.searchsorted(names, self.word[self.known])
-        pairs, first, self.pair = np.unique(key, return_index=True, return_inverse=True)
-        self.pair_before, self.pair_word = names[pairs // len(names)], names[pairs % len(names)]
-        self.pair_before_count, self.pair_count = self.before_count[self.known][first], self.count[self.known][first]
-        self.pair_training = np.bincount(self.pair, self.in_training[self.known], len(pairs)).astype(np.int64)
+        pairs, self.pair = np.unique(before[self.known] * len(names) + self.name[self.known], return_inverse=True)
+        first, second = pairs // len(names), pairs % len(names)
+        self.pair_before, self.pair_word = names[first], names[second]
+        self.pair_before_count, self.pair_count = self.name_count[first], self.name_count[second]
+        in_training = np.repeat(~self.held_out, self.lengths + 1)[self.known]
+        self.pair_training = np.bincount(self.pair, in_training, len(pairs)).astype(np.int64)
 
     def message(self, parts: int, uni: Unigrams) -> tuple[np.ndarray, ...]:
         """What goes to the bigram partitions, in order of these: part, before, word, training count, word's count,
@@ -234,7 +238,7 @@ def _count_words(sent: DataFrame, parts: int) -> DataFrame:
             counts.append(expanded(b))
         total = np.bincount(np.concatenate(places), np.concatenate(counts), len(number)).astype(np.int64)
         part = rows["part"][0].as_py()
-        order = sorted(range(len(number)), key=lambda i, words=list(number): (-total[i], words[i]))
+        order = np.argsort(-total, kind="stable")
         ids = np.empty(len(number), np.int64)
         ids[order] = FIRST_ID + part + np.arange(len(number)) * parts
         ids[total == 0] = UNKNOWN
@@ -314,7 +318,7 @@ def _score(packed: DataFrame, replies: DataFrame, parts: int, uni: Unigrams, big
         more = answers.filter(pc.equal(answers["kind"], PAIRS + 1))
         heads = [expanded(x) for x in more["a"].to_pylist()]
         sums = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.float64).reshape(-1, CUTOFF + 2) for x in more["b"].to_pylist()]
-        log_p = np.log10(uni.p(own.count))
+        log_p = np.log10(uni.p(own.name_count))[own.name]
         value = log_p.copy()
         if len(r):
             total = own.pair_before_count + 1
@@ -331,8 +335,8 @@ def _score(packed: DataFrame, replies: DataFrame, parts: int, uni: Unigrams, big
             value[own.known] = np.where(r > 0, seen, weight)[own.pair] + np.where((r > 0)[own.pair], 0, log_p[own.known])
         add = lambda x: np.add.reduceat(x, own.starts)  # noqa: E731  every document has its end
         n = len(own.lengths)
-        columns = [own.doc_ids, own.held_out, own.lengths + 1, add((own.count > 0).astype(np.int64)), np.full(n, uni.tokens),
-                   add(uni.base(own.count)), add(value)]
+        columns = [own.doc_ids, own.held_out, own.lengths + 1, add((own.name_count > 0).astype(np.int64)[own.name]), np.full(n, uni.tokens),
+                   add(uni.base(own.name_count)[own.name]), add(value)]
         return pa.table([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
