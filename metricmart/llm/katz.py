@@ -45,9 +45,9 @@ from metricmart.llm.common import byte_values, fold_of, materialise, runs, table
 #: Counts up to this are discounted.
 CUTOFF = 5
 #: Text bytes of a pack, on average; a pack is handled in one task.
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 #: Packs for each partition of the word and bigram tables.
-PACKS_PER_PART = 2
+PACKS_PER_PART = 1
 #: A word before with more than this share of a partition's tokens is spread by the word after it.
 SPREAD = 0.25
 EDGE, UNKNOWN, FIRST_ID = 0, 1, 2
