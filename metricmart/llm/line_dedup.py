@@ -15,6 +15,15 @@ Defined results: NULL texts have no lines and stay NULL; an empty text is one
 empty line; rows equal in id and text are one document listed twice and get the
 same result; rows with a NULL id come before others; a text whose chunks all go
 becomes ""; an empty table gives an empty result; other columns pass through.
+
+Chunks miss most short passages in changed surroundings, as a whole chunk has to
+lie inside the passage. ``dedup_passages`` misses none: it keys every two
+consecutive lines, so a repeated passage of two lines or more is covered by its
+pairs wherever it starts and ends, and matches need no growing. A line goes if
+it is in a pair of lines that has an earlier place, so the first place of a line's
+text always stays; a passage that shares a part with an earlier one loses that part.
+The pairs are verified by their bytes like the chunks, and the same results are
+defined.
 """
 
 from __future__ import annotations
@@ -74,14 +83,23 @@ def multi_line_chunks(docs: DataFrame) -> DataFrame:
         F.array_join(F.slice("lines", F.col("at.first") + 1, F.col("at.last") - F.col("at.first") + 1), "\n").alias("chunk"))
 
 
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, first, last, chunk (its text) of every two consecutive lines of each text."""
+    def joined(lines: Column) -> Column:
+        return F.zip_with(F.slice(lines, 1, F.size(lines) - 1), F.slice(lines, 2, F.size(lines) - 1), lambda a, b: F.concat(a, F.lit("\n"), b))
+
+    split = F.split("text", "\n", -1)
+    pairs = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_bind(split, joined)).alias("first", "chunk"))
+    return pairs.select("doc_id", "text_hash", "first", (F.col("first") + 1).alias("last"), "chunk")
+
+
 def _chunk_key() -> list[Column]:
     """A 128-bit key of a chunk's text."""
     return [F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit("second"), "chunk").alias("h2")]
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, removed: an array of (first, last) line numbers to take out of each document."""
-    chunks = multi_line_chunks(docs)
+def _surplus(chunks: DataFrame) -> DataFrame:
+    """doc_id, text_hash, first, last of each chunk that has an earlier place."""
     places = materialise(chunks.select("doc_id", "text_hash", "first", "last", *_chunk_key()), "line-places")
     # grouping by the text itself compares bytes; copies are counted before the shuffle
     texts = chunks.select(*_chunk_key(), "chunk").groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"))
@@ -90,8 +108,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     first = places.groupBy("h1", "h2").agg(F.min(place).alias("keeper"))
     # written, so that the join below reads plain scans, whose skewed keys AQE can split
     repeated = materialise(same.filter("texts = 1 AND n > 1").join(first, ["h1", "h2"]).select("h1", "h2", "keeper"), "line-repeats")
-    surplus = places.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("keeper")))
-    return surplus.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("removed"))
+    return places.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("keeper")))
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, removed: an array of (first, last) line numbers to take out of each document."""
+    return _surplus(multi_line_chunks(docs)).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("removed"))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Like ``repeated_lines`` for passages: maximal runs of lines that are in a pair with an earlier place."""
+    def passages(starts: Column) -> Column:
+        # pairs that overlap or touch, and are in order, are one run
+        first = F.filter(starts, lambda x, i: (i == 0) | (F.get(starts, i - 1) < x - 2))
+        last = F.filter(starts, lambda x, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > x + 2))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("last")))
+
+    found = _surplus(line_pairs(docs)).groupBy("doc_id", "text_hash").agg(F.collect_set("first").alias("starts"))
+    return found.select("doc_id", "text_hash", _bind(F.array_sort("starts"), passages).alias("removed"))
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -109,8 +143,18 @@ def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text`` (and ``n_chars``, if there, counted anew).
 
     ``removed`` names a further column for the removed (first, last) ranges."""
+    return _take_out(docs, repeated_lines(docs), removed)
+
+
+def dedup_passages(docs: DataFrame, removed: str | None = None) -> DataFrame:
+    """Like ``dedup_lines``, with every repeated passage of two lines or more taken out."""
+    return _take_out(docs, repeated_passages(docs), removed)
+
+
+def _take_out(docs: DataFrame, ranges_of: DataFrame, removed: str | None) -> DataFrame:
+    """``docs`` without the lines of the (doc_id, text_hash, removed) rows."""
     box = fresh_name(docs, "gone")
-    gone = repeated_lines(docs).select(F.struct("*").alias(box))
+    gone = ranges_of.select(F.struct("*").alias(box))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(box)["doc_id"]) & (F.xxhash64(docs["text"]) == F.col(box)["text_hash"]), "left")
     ranges = F.col(box)["removed"]
     text = F.when(ranges.isNull(), docs["text"]).otherwise(_without(docs["text"], ranges))
@@ -124,13 +168,22 @@ def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed chunks and lines, and a digest of what is left of every document."""
+    return _counted(spark, sf_dir, dedup_lines, "n_removed_chunks")
+
+
+def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every repeated passage of two lines or more removed."""
+    return _counted(spark, sf_dir, dedup_passages, "n_removed_passages")
+
+
+def _counted(spark: SparkSession, sf_dir: str, dedup, ranges: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint")
     before = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("bigint").alias("n_lines"))
-    out = dedup_lines(before, "removed")
+    out = dedup(before, "removed")
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)
     return out.select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed_chunks"),
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias(ranges),
         F.coalesce(n_removed, F.lit(0)).cast("bigint").alias("n_removed_lines"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
@@ -158,3 +211,22 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS
        sha256(coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+#: DuckDB: pairs of lines by a window function; a pair's place is numbered among equal texts.
+OP10_PASSAGES_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents
+), pairs AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next_line FROM lines
+), judged AS (
+  SELECT *, next_line IS NOT NULL AND row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) > 1 AS again FROM pairs
+), marked AS (
+  SELECT *, again OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM judged
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM marked
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (starts) AS n_removed_passages, count(*) FILTER (gone) AS n_removed_lines,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM edges GROUP BY doc_id
+"""

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op2_simhash": simhash.op2_simhash,
     "op10_line_chunks": line_dedup.op10_line_chunks,
+    "op10_line_passages": line_dedup.op10_line_passages,
     "op1_language": language.op1_language,
     "op3_fertility": quality.op3_fertility,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -21,5 +22,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
     "op10_line_chunks": line_dedup.OP10_SQL,
+    "op10_line_passages": line_dedup.OP10_PASSAGES_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
 }

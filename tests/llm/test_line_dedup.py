@@ -95,3 +95,69 @@ def test_empty_table(spark, documents, sf):
 def test_no_python_in_the_plan(spark, documents, sf, capsys):
     L.op10_line_chunks(spark, sf(documents=documents(["a\nb\nc"]))).explain("formatted")
     assert "Python" not in capsys.readouterr().out
+
+
+def brute_passages(docs):
+    """docs: distinct (id, text); text left of each once the pairs with an earlier place are gone."""
+    seen, out = set(), {}
+    for i, text in sorted((d for d in docs if d[1] is not None)):
+        lines, gone = text.split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            gone |= {k, k + 1} if pair in seen else set()
+            seen.add(pair)
+        out[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    return {i: out.get(i) for i, _ in docs}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_against_brute_force(documents, seed):
+    texts = sample(seed)
+    out = L.dedup_passages(documents(texts))
+    rows = out.collect()
+    assert len(rows) == len(texts) and {r.doc_id: r.text for r in rows} == brute_passages(list(enumerate(texts)))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+
+def planted(per_length=20, lengths=range(2, 13), seed=9):
+    """texts, and the planted lines by (number of the later text, length): each passage twice, in other surroundings."""
+    rnd = random.Random(seed)
+
+    def lines(n):
+        return [" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(8)) for _ in range(n)]
+
+    texts, passages = [], {}
+    for length in lengths:
+        for _ in range(per_length):
+            passage = lines(length)
+            texts.append("\n".join(lines(rnd.randint(1, 9)) + passage + lines(rnd.randint(1, 9))))
+            passages[len(texts), length] = passage
+            texts.append("\n".join(lines(rnd.randint(1, 9)) + passage + lines(rnd.randint(1, 9))))
+    return texts, passages
+
+
+def test_passages_in_other_surroundings_go_whole(documents):
+    texts, passages = planted()
+    left = {r.doc_id: r.text.split("\n") for r in L.dedup_passages(documents(texts)).collect()}
+    for (i, _), passage in passages.items():
+        assert left[i - 1] == texts[i - 1].split("\n")
+        assert left[i] == [line for line in texts[i].split("\n") if line not in passage]
+
+
+def test_passages_with_a_shared_hash_stay(documents, monkeypatch):
+    monkeypatch.setattr(L, "_chunk_key", lambda: [F.lit(1).cast("bigint").alias("h1"), F.lit(2).cast("bigint").alias("h2")])
+    texts = ["a\nb\nc", "d\ne\nf"]
+    assert [r.text for r in L.dedup_passages(documents(texts)).orderBy("doc_id").collect()] == texts
+
+
+def test_passages_of_repeated_rows_and_long_texts(spark, documents, sf):
+    text = "\n".join(f"l{i}" for i in range(30))
+    rows = L.dedup_passages(documents([text, text, text], [5, 5, 9])).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(5, text), (5, text), (9, "")]
+    long_text = "\n".join(f"row {i % 20_000}" for i in range(100_000))
+    assert L.dedup_passages(documents([long_text])).first().text == "\n".join(f"row {i}" for i in range(20_000))
+    assert L.op10_line_passages(spark, sf(documents=documents([]))).count() == 0
+
+
+def test_no_python_in_the_plan_of_passages(spark, documents, sf, capsys):
+    L.op10_line_passages(spark, sf(documents=documents(["a\nb\nc"]))).explain("formatted")
+    assert "Python" not in capsys.readouterr().out
