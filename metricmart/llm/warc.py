@@ -5,8 +5,10 @@ A package is a ZIP file whose members are stored, not compressed:
 (offset and length of every record). The reader never extracts a package: it
 reads the end of the file, follows the central directory (ZIP64 included),
 finds where the stored members start, reads the index, and then each record's
-byte range, spread over tasks by package and offset. A package without an index
-is scanned record by record, in bounded pieces.
+byte range, spread over tasks by package and offset. An archive without an index
+is scanned record by record, in bounded pieces: a ``.warc.gz`` by its gzip members, a
+``.warc`` by the lengths in its records' headers. An archive that can be read in
+neither way, or an index entry that fits no archive or several, is an error.
 
 Packages are committed by Spark's own file writer, one row a file, so a retried
 or speculative task leaves no half package. That writer ends a row with a line
@@ -49,6 +51,8 @@ REVISIT_BYTES = 1000
 PACKAGE_BYTES = 16 << 20
 #: Bytes fetched at once; adjacent records are read together up to this.
 READ_BYTES = 1 << 20
+#: Bytes fetched at once where only a record's header is wanted.
+HEAD_BYTES = 4096
 #: Package bytes that a reading task gets, on average.
 TASK_BYTES = 16 << 20
 GZIP_LEVEL = 3
@@ -268,11 +272,43 @@ def scan_gzip(f, start: int, size: int) -> Iterator[tuple[int, int]]:
         raise ValueError("a gzip member ends early")
 
 
+def scan_plain(f, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each record in a range that isn't compressed; only the headers are read."""
+    at, end = start, start + size
+    while at < end:
+        head, stop = b"", -1
+        while stop < 0:
+            if at + len(head) == end or len(head) >= READ_BYTES:
+                raise ValueError("a WARC record's header has no end")
+            head += f.read(at + len(head), min(HEAD_BYTES, end - at - len(head)))
+            stop = head.find(b"\r\n\r\n")
+        length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", head[: stop + 2])
+        if not head.startswith(b"WARC/") or not length:
+            raise ValueError("no WARC record where one should start")
+        n = stop + 4 + int(length[1]) + 4
+        if at + n > end or f.read(at + n - 4, 4) != b"\r\n\r\n":
+            raise ValueError("a WARC record ends early")
+        yield at, n
+        at += n
+
+
+def archive_of(name: str, archives: list[Member]) -> Member:
+    """The archive that an index entry names: by its path, the end of its path or its base name, if that fits one only."""
+    base = name.rpartition("/")[2]
+    for fits in (lambda m: m.name == name, lambda m: m.name.endswith(f"/{name}"), lambda m: m.name.rpartition("/")[2] == base):
+        found = [m for m in archives if fits(m)]
+        if len(found) == 1:
+            return found[0]
+        if found:
+            break
+    raise ValueError(f"the index names {name}, which fits {len(found)} archives")
+
+
 def entries(f) -> Iterator[tuple[int, int]]:
     """(offset in the file, length) of every record in a package's stored archives."""
     listed = members(f)
-    archives = {m.name.rpartition("/")[2]: m for m in listed if re.search(r"\.warc(\.gz)?$", m.name)}
-    indexed = set()
+    archives = [m for m in listed if re.search(r"\.warc(\.gz)?$", m.name)]
+    places: dict[str, tuple[Member, int]] = {}  # of each name in the indexes
     for m in listed:
         if re.search(r"\.cdxj?$", m.name):
             start = data_start(f, m)
@@ -280,12 +316,15 @@ def entries(f) -> Iterator[tuple[int, int]]:
                 if b"{" not in line:
                     continue
                 entry = json.loads(line[line.index(b"{") :])
-                archive = archives[entry["filename"].rpartition("/")[2]]
-                indexed.add(archive.name)
-                yield data_start(f, archive) + int(entry["offset"]), int(entry["length"])
-    for m in archives.values():
-        if m.name not in indexed and m.name.endswith(".gz"):
-            yield from scan_gzip(f, data_start(f, m), m.size)
+                if entry["filename"] not in places:
+                    archive = archive_of(entry["filename"], archives)
+                    places[entry["filename"]] = archive, data_start(f, archive)
+                yield places[entry["filename"]][1] + int(entry["offset"]), int(entry["length"])
+    indexed = {archive.header for archive, _ in places.values()}
+    for m in archives:
+        if m.header not in indexed:
+            scan = scan_gzip if m.name.endswith(".gz") else scan_plain
+            yield from scan(f, data_start(f, m), m.size)
 
 
 # ---- Spark jobs ---------------------------------------------------------------------------------

@@ -121,3 +121,36 @@ def test_refusals():
 
 def test_empty_table(spark, sf):
     assert W.op5_warc(spark, sf(pages=pages_of(spark, []))).count() == 0
+
+
+def plain(i, n=20):
+    return W.page_record(str(i), f"http://p/{i}", b"z" * n, hashlib.sha1(b"z" * n).hexdigest(), None, "")
+
+
+def test_plain_archives_are_scanned(monkeypatch):
+    monkeypatch.setattr(W, "HEAD_BYTES", 50)
+    data = [plain(i, n) for i, n in enumerate([0, 7, 9000, 20])]
+    whole = W.package([("archive/a.warc", b"".join(data)), ("archive/empty.warc", b"")]) + b"\n"
+    f = Bytes(whole)
+    assert [f.data[at:at + n] for at, n in W.entries(f)] == data
+    for bad in (b"".join(data)[:-1], b"no record\r\n\r\n", b"x" * 300):
+        with pytest.raises(ValueError):
+            list(W.entries(Bytes(W.package([("a.warc", bad)]) + b"\n")))
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_archives_of_one_name_in_two_folders(indexed):
+    one, two = [gzip.compress(plain(i)) for i in range(3)], [gzip.compress(plain(i, 500)) for i in range(10, 15)]
+    lines = "".join(
+        f'k 1 {{"offset": "{len(b"".join(data[:k]))}", "length": "{len(r)}", "filename": "{name}"}}\n'
+        for name, data in (("a/data.warc.gz", one), ("b/data.warc.gz", two)) for k, r in enumerate(data))
+    parts = [("a/data.warc.gz", b"".join(one)), ("b/data.warc.gz", b"".join(two))]
+    f = Bytes(W.package(parts + [("indexes/index.cdxj", lines.encode())] * indexed) + b"\n")
+    assert [f.data[at:at + n] for at, n in W.entries(f)] == one + two
+
+
+def test_unclear_index_entries_are_refused():
+    line = b'k 1 {"offset": "0", "length": "1", "filename": "data.warc.gz"}\n'
+    for names in (["a/data.warc.gz", "b/data.warc.gz"], ["other.warc.gz"]):
+        with pytest.raises(ValueError):
+            list(W.entries(Bytes(W.package([(n, gzip.compress(plain(1))) for n in names] + [("index.cdxj", line)]) + b"\n")))
