@@ -11,9 +11,11 @@ looking further once even their worst case is near enough. A group yields a
 spanning forest of its links, never its pairs; those forests are united by
 min-label propagation, checkpointed after each round.
 
-A group of more than ``BLOCK_ROWS`` fingerprints is cut along its Gray order and
+A group of more than ``BLOCK_ROWS`` fingerprints is cut into blocks by a hash and
 handled as pairs of blocks, in different tasks, so no task holds more than two
-blocks; every pair of blocks is covered, so no link is lost.
+blocks; every pair of blocks is covered, so no link is lost. The blocks aren't
+ranges of the Gray order, so no pair of them is pruned: of n fingerprints about
+n * n / ``BLOCK_ROWS`` rows are shuffled. Only inside a pair does the index prune.
 
 Defined results: a NULL or empty text has fingerprint zero and is linked like
 any other; a text of fewer than 4 words is one shingle; repeated rows are
@@ -38,7 +40,7 @@ from metricmart.llm.common import byte_values, fresh_name, materialise, runs, ta
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
-#: Fingerprints of a group that one index holds; a larger group is cut along its Gray order.
+#: Fingerprints of a group that one index holds; a larger group is cut by a hash.
 BLOCK_ROWS = 2048
 #: Fingerprints below a node that are compared one by one.
 LEAF_ROWS = 256
