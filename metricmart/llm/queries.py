@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, katz, language, line_dedup, quality, simhash, substring_dedup, toxicity, warc
+from metricmart.llm import decontaminate, katz, language, line_dedup, prefix_trie, quality, simhash, substring_dedup, toxicity, warc
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_fertility": quality.op3_fertility,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_line_chunks": line_dedup.OP10_SQL,
     "op10_line_passages": line_dedup.OP10_PASSAGES_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }
