@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, katz, language, line_dedup, prefix_trie, quality, simhash, substring_dedup, toxicity, warc
+from metricmart.llm import decontaminate, katz, language, line_dedup, packing, prefix_trie, quality, simhash, substring_dedup, toxicity, warc
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_packing": packing.op12_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
