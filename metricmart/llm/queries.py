@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metricmart.llm import decontaminate, katz, language, line_dedup, packing, prefix_trie, quality, simhash, substring_dedup, toxicity, warc
+from metricmart.llm import decontaminate, katz, language, line_dedup, packing, prefix_trie, quality, simhash, spelling, substring_dedup, toxicity, warc
 from metricmart.llm.byte_bpe import op7_byte_bpe
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_packing": packing.op12_packing,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_line_passages": line_dedup.OP10_PASSAGES_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
