@@ -18,7 +18,8 @@ written before the next one reads it, so a lost executor costs its tasks alone.
 Ids are those of the tokenizers library. Parts of a text that begin with a lone
 space between visible characters have ids of their own (no match of the
 pre-tokenizer reaches over such a place), so the library encodes each distinct
-part once and a worker keeps the ids of ``CACHE_PARTS`` parts.
+part once, many together, and a worker keeps the ids of ``CACHE_PARTS`` parts. The
+file must be of byte-level tokens without normalisation; others are refused.
 
 Defined results: a NULL or empty text has the end id alone; a document's pieces
 cover its ids once, whatever their number; rows equal in all columns are packed
@@ -50,13 +51,20 @@ WINDOWS = 64
 #: Leftovers that are merged into one.
 FAN_IN = 32
 #: Distinct text parts whose ids a Python worker keeps; a full cache starts anew.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 1_000_000
+#: Parts that are encoded as one text.
+JOINED_PARTS = 2000
 #: Longer parts are encoded anew each time.
 CACHE_CHARS = 48
 #: Where a text may be cut: before a lone space between visible characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _edged(part: str) -> bool:
+    """Whether white space at the part's ends may belong to a match that reaches over them."""
+    return not part or part[0].isspace() or part[-1].isspace()
+
+
 class PartEncoder:
     """Ids of texts, as little-endian unsigned 32-bit integers, by a tokenizers file."""
 
@@ -65,29 +73,53 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        head, *rest = text.split(" ")
-        if not rest:
-            return [text]
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in (head, *rest)):
-            return CUT.split(text)
-        return [head, *[" " + p for p in rest]]
+        self.kept: dict[str, bytes] = {}  # of parts after a space, which is left out of the key
+        tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda t: t[1])
+        self.sizes = np.zeros(tokens[-1][1] + 1, np.int64)  # bytes of each token: a character each
+        self.sizes[[i for _, i in tokens]] = [len(t) for t, _ in tokens]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that may follow each other: as one text, cut where the tokens' bytes reach the parts' ends."""
+        found = []
+        for i in range(0, len(parts), JOINED_PARTS):
+            some = [" " + p for p in parts[i:i + JOINED_PARTS]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in some])
+            reached = np.cumsum(self.sizes[ids])
+            at = np.searchsorted(reached, ends)
+            if reached[-1] != ends[-1] or (reached[at] != ends).any():
+                raise ValueError("the tokenizer's tokens aren't the bytes of the text")
+            raw, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+            found += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
         if len(self.kept) > CACHE_PARTS:
             self.kept = {}
-        kept = self.kept
-        new = list({p for parts in cut for p in parts if p not in kept})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        once = {}
-        for part, e in zip(new, found, strict=True):
-            (kept if len(part) <= CACHE_CHARS else once)[part] = np.array(e.ids, "<u4").tobytes()
+        kept, cut, new = self.kept, [], set()
+        for text in texts:
+            head, *rest = text.split(" ")
+            unknown = [p for p in rest if p not in kept]
+            if rest and _edged(head) or any(map(_edged, unknown)):
+                head, *rest = CUT.split(text)
+                rest = [p[1:] for p in rest]
+                unknown = [p for p in rest if p not in kept]
+            new.update(unknown)
+            cut.append((head, rest))
+        # a part with edges of white space isn't kept: elsewhere it may be a piece of a match
+        edged = [p for p in new if _edged(p)]
+        once = dict(zip(edged, self._ids([" " + p for p in edged]), strict=True))
+        plain = list(new.difference(edged))
+        for part, ids in zip(plain, self._part_ids(plain), strict=True):
+            (once if len(part) > CACHE_CHARS else kept)[part] = ids
+        heads = self._ids([head for head, _ in cut])
         if not once:
-            return [b"".join([kept[p] for p in parts]) for parts in cut]
-        return [b"".join([kept[p] if p in kept else once[p] for p in parts]) for parts in cut]
+            return [h + b"".join([kept[p] for p in rest]) for h, (_, rest) in zip(heads, cut, strict=True)]
+        return [h + b"".join([kept[p] if p in kept else once[p] for p in rest]) for h, (_, rest) in zip(heads, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)
