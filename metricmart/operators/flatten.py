@@ -128,12 +128,13 @@ def flatten_points(requests: DataFrame, batch_id: int = 0) -> DataFrame:
 REJECTED, DROPPED = "Rejected", "Dropped"
 
 
-def flatten_batch(validated: DataFrame, batch_id: int = 0) -> DataFrame:
+def flatten_batch(validated: DataFrame, batch_id: int = 0, others: list[str] | tuple = ()) -> DataFrame:
     """Everything that ingest stores or counts, from one pass over validated requests.
 
-    ``kind`` tells the rows apart: Gauge and Sum points as in ``flatten_points``;
-    Rejected, one row per rejected request with its ``error``; Dropped, one row
-    per metric of another type with its number of points in ``dropped``."""
+    ``kind`` tells the rows apart: Gauge and Sum points as in ``flatten_points``, and
+    points of the types in ``others``, with the columns of those types; Rejected, one
+    row per rejected request with its ``error``; Dropped, one row per metric of any
+    other type with its number of points in ``dropped``."""
     seq, part = request_key(validated)
     good = F.col("error").isNull()
     accepted = validated.select(
@@ -142,13 +143,13 @@ def flatten_batch(validated: DataFrame, batch_id: int = 0) -> DataFrame:
         "error", F.when(good, F.col("resourceMetrics")).alias("resourceMetrics"))
     metrics = explode_metrics(accepted, batch_id, carry=("error",))
     size = F.coalesce(*[F.when(F.col("metric_type") == t, F.size(F.col(f"m.{field}.dataPoints")))
-                        for t, field in _OTHER.items()], F.lit(0))
+                        for t, field in _OTHER.items() if t not in others], F.lit(0))
     metrics = metrics.withColumn("dropped", F.greatest(size, F.lit(0)).cast("bigint"))
-    rows = _points(metrics, F.posexplode_outer)
+    rows = _all_points(metrics, others) if others else _points(metrics, F.posexplode_outer)
     kind = (F.when(F.col("error").isNotNull(), F.lit(REJECTED))
             .when(F.col("dropped") > 0, F.lit(DROPPED))
             .when(F.col("p_pos").isNotNull(), F.col("metric_type")))
-    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull()).drop("canonical")
 
 
 def _points(metrics: DataFrame, explode) -> DataFrame:
@@ -166,6 +167,37 @@ def _points(metrics: DataFrame, explode) -> DataFrame:
     return out.withColumn("value", point_value(F.col("p"))).drop("p")
 
 
+def _all_points(metrics: DataFrame, others: list[str] | tuple) -> DataFrame:
+    """Points of gauges, sums and the types in ``others``, one explode for all: a
+    metric's points take a common form first, with NULL for other types' columns."""
+    fields = {GAUGE: "gauge", SUM: "sum", **{t: _OTHER[t] for t in others}}
+    kinds = {name: kind for t in others for name, kind, _ in _other_columns(t)}
+
+    def common(metric_type: str):
+        own = {name: make for name, _, make in _other_columns(metric_type)} if metric_type in others else {}
+
+        def form(p):
+            taken = {n: make(p) for n, make in own.items()}
+            return F.struct(
+                p["attributes"].alias("attributes"), p["startTimeUnixNano"].alias("startTimeUnixNano"),
+                p["timeUnixNano"].alias("timeUnixNano"), p["flags"].alias("flags"),
+                (point_value(p) if metric_type in (GAUGE, SUM) else F.lit(None).cast("double")).alias("value"),
+                *[taken.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()])
+        return F.transform(F.col(f"m.{fields[metric_type]}.dataPoints"), form)
+
+    of = lambda t: F.col("metric_type") == t
+    temporality = F.coalesce(*[F.when(of(t), F.col(f"m.{f}.aggregationTemporality")).cast("int")
+                               for t, f in fields.items() if t not in (GAUGE, SUMMARY)])
+    points = F.coalesce(*[F.when(of(t), common(t)) for t in fields])
+    pts = metrics.select(
+        *[c for c in metrics.columns if c != "m"], temporality.alias("aggregation_temporality"),
+        F.when(of(SUM), F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))).alias("is_monotonic"),
+        F.posexplode_outer(points).alias("p_pos", "p"))
+    rank = F.coalesce(*[F.when(of(t), F.lit(r)) for t, r in TYPE_RANK.items()], F.lit(0))
+    out = _with_identity(pts, rank)
+    return out.withColumns({n: F.col(f"p.{n}") for n in ("value", *kinds)}).drop("p")
+
+
 def gauge_rows(points: DataFrame) -> DataFrame:
     """Slim gauge facts."""
     return points.where(F.col("metric_type") == GAUGE).select(
@@ -211,22 +243,28 @@ def flatten_other_points(requests: DataFrame, metric_type: str, batch_id: int =
                          temporality.alias("aggregation_temporality"),
                          F.posexplode(f"m.{field}.dataPoints").alias("p_pos", "p"))
     out = _with_identity(pts, F.lit(TYPE_RANK[metric_type]))
-    common = [F.col("p.count").try_cast("bigint").alias("count"), F.col("p.sum").alias("sum")]
+    return out.select("*", *[make(F.col("p")).alias(name) for name, _, make in _other_columns(metric_type)]).drop("p")
+
+
+def _other_columns(metric_type: str) -> list[tuple]:
+    """(column, type, its expression of a point) of an extension type's own columns."""
+    whole, counts = "bigint", "array<bigint>"
+    columns = [("count", whole, lambda p: p["count"].try_cast("bigint")), ("sum", "double", lambda p: p["sum"])]
+    if metric_type == SUMMARY:
+        columns += [("value_at_quantiles", "array<struct<quantile:double,value:double>>", lambda p: p["quantileValues"])]
+    else:
+        columns += [("min", "double", lambda p: p["min"]), ("max", "double", lambda p: p["max"])]
     if metric_type == HISTOGRAM:
-        extra = [_u64_array(F.col("p.bucketCounts")).alias("bucket_counts"),
-                 F.col("p.explicitBounds").alias("explicit_bounds"),
-                 F.col("p.min").alias("min"), F.col("p.max").alias("max")]
+        columns += [("bucket_counts", counts, lambda p: _u64_array(p["bucketCounts"])),
+                    ("explicit_bounds", "array<double>", lambda p: p["explicitBounds"])]
     elif metric_type == EXP_HISTOGRAM:
-        extra = [F.col("p.scale").alias("scale"),
-                 F.col("p.zeroCount").try_cast("bigint").alias("zero_count"),
-                 F.col("p.positive.offset").alias("positive_offset"),
-                 _u64_array(F.col("p.positive.bucketCounts")).alias("positive_bucket_counts"),
-                 F.col("p.negative.offset").alias("negative_offset"),
-                 _u64_array(F.col("p.negative.bucketCounts")).alias("negative_bucket_counts"),
-                 F.col("p.min").alias("min"), F.col("p.max").alias("max")]
-    else:
-        extra = [F.col("p.quantileValues").alias("value_at_quantiles")]
-    return out.select("*", *common, *extra).drop("p")
+        columns += [("scale", "int", lambda p: p["scale"]),
+                    ("zero_count", whole, lambda p: p["zeroCount"].try_cast("bigint")),
+                    ("positive_offset", "int", lambda p: p["positive"]["offset"]),
+                    ("positive_bucket_counts", counts, lambda p: _u64_array(p["positive"]["bucketCounts"])),
+                    ("negative_offset", "int", lambda p: p["negative"]["offset"]),
+                    ("negative_bucket_counts", counts, lambda p: _u64_array(p["negative"]["bucketCounts"]))]
+    return columns
 
 
 OTHER_COLUMNS = {

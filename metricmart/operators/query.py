@@ -12,18 +12,19 @@ Design points for scale:
   No broadcast hint is forced on the dimension: Spark broadcasts it when its
   measured size is under the (adaptive) threshold and keeps a shuffled join
   otherwise.
-* Latest-N runs the top-k before the join (TakeOrderedAndProject); the
-  dimension is then read only for the <= k keys it needs.
+* Latest-N runs the top-k before the join (TakeOrderedAndProject), once; only
+  metadata of its <= k keys is merged.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricmart.functions import nanos_to_timestamp
+from metricmart.operators.flatten import META_COLS
 from metricmart.operators.metadata import series_by_day, series_by_hash
 from metricmart.schemas import STRMAP
 
@@ -140,18 +141,25 @@ def top_k(gauge_or_sum: DataFrame, n: int) -> DataFrame:
 def latest_points(gauge_or_sum: DataFrame, meta: DataFrame, n: int = 20) -> DataFrame:
     """Latest n points (time desc, hash as tie-break), enriched.
 
-    One plan, nothing runs while it is built: the top-k (TakeOrderedAndProject,
-    n rows) keeps only its series of the metadata by a semi join, which are then
-    merged and joined. Adaptive execution broadcasts the n rows by their measured
-    size.
+    One plan, nothing runs while it is built. The top-k's n rows, numbered, meet the
+    unmerged metadata of their series (adaptive execution broadcasts them by their
+    measured size), and each keeps its last inserted row; a union with the bare
+    points keeps those without metadata. Both uses of the top-k take all its columns
+    behind the same exchange, so it runs once and the facts are scanned once.
     """
-    top = top_k(gauge_or_sum, n)
-    keys = top.select("metric_hash", "dt").distinct()
-    dim = series_by_day(meta.join(keys, ["metric_hash", "dt"], "left_semi")).drop("ord")
-    out = top.withColumn("ts", nanos_to_timestamp(F.col("time_unix_nano"))) \
-        .join(dim, ["metric_hash", "dt"], "left")
-    return (_fill_defaults(out.select(*gauge_or_sum.columns,
-                                      *[c for c in dim.columns if c not in ("metric_hash", "dt")]))
+    number = F.row_number().over(Window.orderBy(F.col("time_unix_nano").desc(), F.col("metric_hash")))
+    top = top_k(gauge_or_sum, n).withColumn("latest_rank", number).repartition(1)
+    dims = [c for c in META_COLS if c in meta.columns]
+    payload = F.struct(*[F.col(c) for c in dims])
+    # null-safe keys: a filter on them would make this use of the top-k differ from the other
+    same = F.col("f.metric_hash").eqNullSafe(F.col("d.metric_hash")) & F.col("f.dt").eqNullSafe(F.col("d.dt"))
+    found = meta.withColumns({"m": payload, "o": F.col("ord")}).select("metric_hash", "dt", "m", "o").alias("d") \
+        .join(top.alias("f"), same).select("f.*", "d.m", F.col("d.o").alias("ord"))
+    kinds = {f.name: f.dataType for f in found.schema.fields}
+    bare = top.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("m", "ord")])
+    last = found.unionByName(bare).groupBy(*top.columns).agg(F.max_by("m", "ord").alias("m"))
+    out = last.withColumn("ts", nanos_to_timestamp(F.col("time_unix_nano")))
+    return (_fill_defaults(out.select(*gauge_or_sum.columns, *[F.col("m")[c].alias(c) for c in dims]))
             .orderBy(F.col("time_unix_nano").desc(), F.col("metric_hash")))
 
 

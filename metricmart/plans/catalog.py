@@ -2,10 +2,10 @@
 
 Every table is an external Parquet table under a store root (a shared
 folder), registered in the session catalog with ``CREATE TABLE IF NOT
-EXISTS``. Facts are partitioned by ``dt`` and the metadata by ``month``;
-partitions are tracked by the catalog, so a range read lists only the
-directories it needs. Writes go through ``insertInto``, which registers new
-partitions as it goes.
+EXISTS``. Facts are partitioned by ``dt``, the metadata by ``month``, the logs by
+``day``, and each of these by the write generation (``gen``, see
+``generations``); partitions are tracked by the catalog, so a range read lists
+only the directories it needs.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from metricmart.operators.query import MAP_DIM_COLS
 from metricmart.operators.retention import DEFAULT_RETENTION_DAYS, retained
 from metricmart.plans.store import MetricTables
-from metricmart.schemas import TABLES
+from metricmart.schemas import GENERATION, TABLES
 
 
 # Distinct series that a file's bloom filter is sized for.
@@ -41,8 +43,37 @@ class MetricStore:
         return f"{self.root.rstrip('/')}/{table}"
 
     def table(self, table: str) -> DataFrame:
-        """Scan one table through the catalog (partition pruning)."""
-        return self.spark.table(self.name(table))
+        """Scan one table through the catalog (partition pruning), without
+        generations that a compaction has replaced but not dropped yet."""
+        from metricmart.plans.generations import replaced
+
+        rows = self.spark.table(self.name(table))
+        hidden = replaced(self, table) if GENERATION in rows.columns else None
+        return (rows if hidden is None else rows.where(~hidden)).drop(GENERATION)
+
+    def current(self) -> DataFrame:
+        """The merged metadata, without merging closed days again.
+
+        A compacted month holds one row per day, name and hash. Days without a row in a
+        later generation are closed and read as they are; only the others are merged."""
+        from metricmart.operators.metadata import series_current
+        from metricmart.plans.generations import partitions, replaced
+
+        rows, hidden = self.spark.table(self.name("series_metadata")), replaced(self, "series_metadata")
+        rows = rows if hidden is None else rows.where(~hidden)
+        names = partitions(self, "series_metadata")
+        merged = [s for s in names if s[GENERATION].startswith("c")]
+        columns = ["dt", "metric_name", "metric_hash", *_MERGED]
+        if not merged:
+            return series_current(rows).select(*columns)
+        is_merged = F.col(GENERATION).startswith("c")
+        base, log = rows.where(is_merged), rows.where(~is_merged)
+        if len(merged) == len(names):
+            return base.select(*columns)
+        days = log.select("month", "dt").distinct()     # a row a day
+        closed = base.join(days, ["month", "dt"], "left_anti")
+        touched = base.join(days, ["month", "dt"], "left_semi").unionByName(log)
+        return closed.select(*columns).unionByName(series_current(touched).select(*columns))
 
     def tables(self, as_of=None) -> MetricTables:
         """The star schema; with ``as_of`` (a date) rows past the retention
@@ -84,13 +115,13 @@ def ddl_statements(store: MetricStore, hash_bloom_ndv: int = HASH_BLOOM_NDV) ->
     filter can (series lookups, B12 / X8)."""
     out = []
     for table, (schema, parts) in TABLES.items():
-        part = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
+        part = f" PARTITIONED BY ({', '.join([*parts, GENERATION])})"
         opts = ""
         if hash_bloom_ndv and "metric_hash" in schema.fieldNames():
             listed = ", ".join(f"'{k}' = '{v}'" for k, v in bloom_options(hash_bloom_ndv).items())
             opts = f" OPTIONS ({listed})"
         out.append(
-            f"CREATE TABLE IF NOT EXISTS {store.name(table)} ({_ddl_columns(schema)}) "
+            f"CREATE TABLE IF NOT EXISTS {store.name(table)} ({_ddl_columns(schema)}, {GENERATION} STRING) "
             f"USING parquet{opts}{part} LOCATION '{store.path(table)}' "
             f"TBLPROPERTIES ('retention_days' = '{store.retention_days}')")
     return out
@@ -116,11 +147,20 @@ def current_view_sql(store: MetricStore) -> str:
 
 def enriched_view_sql(store: MetricStore, view: str, facts: str) -> str:
     """G5 / F3 for SQL users: a fact table with its series' merged metadata by
-    (hash, day). Range predicates should name ``dt`` too, which reaches both scans."""
-    cols = ", ".join(f"m.{c}" for c in ["metric_name", *_MERGED] if c != "ord")
-    return (f"CREATE OR REPLACE VIEW {store.name(view)} AS SELECT f.*, {cols} "
-            f"FROM {store.name(facts)} f LEFT JOIN {store.name('series_current')} m "
-            f"ON f.metric_hash = m.metric_hash AND f.dt = m.dt")
+    (hash, day), and type defaults for a point without a series (S27), as ``enrich_by_day``.
+
+    ``month`` is a column of the view and a key of its join: a predicate on it,
+    beside one on ``dt``, reaches the metadata's partitions too."""
+    def shown(c: str) -> str:
+        if c in MAP_DIM_COLS:
+            return f"coalesce(m.{c}, CAST(map() AS MAP<STRING, STRING>)) AS {c}"
+        return f"coalesce(m.{c}, '') AS {c}"
+    cols = ", ".join(shown(c) for c in ["metric_name", *_MERGED] if c != "ord")
+    points = ", ".join(f.name for f in TABLES[facts][0].fields)
+    return (f"CREATE OR REPLACE VIEW {store.name(view)} AS SELECT f.*, {cols} FROM "
+            f"(SELECT {points}, year(dt) * 100 + month(dt) AS month FROM {store.name(facts)}) f "
+            f"LEFT JOIN {store.name('series_current')} m "
+            f"ON f.metric_hash = m.metric_hash AND f.dt = m.dt AND f.month = m.month")
 
 
 def create_tables(spark: SparkSession, root: str, database: str = "default",
@@ -140,7 +180,7 @@ def create_tables(spark: SparkSession, root: str, database: str = "default",
         if existed:
             _check_location(store, table)
         spark.sql(stmt)
-        if parts and not existed and path_exists(spark, store.path(table)):
+        if not existed and path_exists(spark, store.path(table)):
             spark.sql(f"ALTER TABLE {store.name(table)} RECOVER PARTITIONS")
     spark.sql(current_view_sql(store))
     spark.sql(enriched_view_sql(store, "gauge_enriched", "metrics_gauge"))
@@ -166,21 +206,19 @@ def latest_points_recent(store: MetricStore, kind: str = "gauge", n: int = 20):
     derived from its time, so every point of a newer day is later than every
     point of an older one and the answer equals the full top-k.
     """
-    from pyspark.sql import functions as F
-
     from metricmart.operators.query import latest_points
+    from metricmart.plans.generations import partitions
 
     table = "metrics_gauge" if kind == "gauge" else "metrics_sum"
-    days = sorted((r[0].split("=", 1)[1] for r in
-                   store.spark.sql(f"SHOW PARTITIONS {store.name(table)}").collect()),
-                  reverse=True)
+    days = sorted({s["dt"] for s in partitions(store, table)}, reverse=True)
     facts, meta = store.table(table), store.table("series_metadata")
-    window = 1
-    while days:
-        lo = days[min(window, len(days)) - 1]
-        recent = facts.where(F.col("dt") >= F.lit(lo).cast("date"))
-        if window >= len(days) or recent.count() >= n:
-            return latest_points(recent, meta.where(
-                (F.col("month") >= int(lo[:4] + lo[5:7])) & (F.col("dt") >= F.lit(lo).cast("date"))), n)
-        window *= 2
-    return latest_points(facts, meta, n)
+    held, done, window = 0, 0, 1
+    while done < len(days) and held < n:
+        added = days[done:done + window]    # each day is counted once, by its files' footers
+        held += facts.where(F.col("dt").between(F.lit(added[-1]).cast("date"), F.lit(added[0]).cast("date"))).count()
+        done, window = done + window, 2 * window
+    if not days:
+        return latest_points(facts, meta, n)
+    lo = days[min(done, len(days)) - 1]
+    since = F.col("dt") >= F.lit(lo).cast("date")
+    return latest_points(facts.where(since), meta.where((F.col("month") >= int(lo[:4] + lo[5:7])) & since), n)

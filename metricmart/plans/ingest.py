@@ -4,22 +4,26 @@ One function serves batch jobs and streaming ``foreachBatch`` alike:
 
 1. validate (whole requests are accepted or rejected, B6) and flatten in one
    pass over the requests into a staging folder below ``spark.checkpoint.dir``,
-   by kind (gauge and sum points, rejected requests, dropped metrics); the
+   by kind (points of every stored type, rejected requests, dropped metrics); the
    received, dropped and rejected counts are observed in that pass (E6, B9);
-2. append metadata FIRST, then facts (S19: no point without metadata), then
+2. write metadata FIRST, then facts (S19: no point without metadata), then
    rejects, all from the staged rows; an empty table is not written (B10);
 3. record the writes in the audit log, once per batch (E8/E9), and what was
    received and dropped with them.
 
-Facts are sorted within each task by (dt, time, hash) before writing (H11):
-files carry tight time/hash min-max statistics for row-group skipping. They are
-rebalanced by day first so each day gets a few well-sized files. The keep-first
-metadata aggregation is combined map-side (one row per series-day per request
-survives it) and then merged per batch before it is appended.
+A batch writes sub-partitions of its own generation, named by its id, and adds
+them to the catalog when their files are all there: a batch written again under
+its id replaces itself, in the facts as in the logs.
+
+Facts are range-partitioned by (day, time) from sampled bounds and sorted within
+each task by (dt, time, hash) (H11): the files that a batch writes for one day do
+not overlap in time. A batch's metadata is merged before it is written: its winners
+are found on narrow rows, and only they are joined to their maps and texts.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import time
 import uuid
 from collections.abc import Callable
@@ -28,11 +32,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from metricmart.operators.flatten import (DROPPED, GAUGE, OTHER_TABLE, REJECTED, SUM, flatten_batch,
-                                          flatten_other_points, gauge_rows, other_rows, sum_rows)
-from metricmart.operators.metadata import metadata_rows, series_current
-from metricmart.operators.validate import split_valid, with_validation
-from metricmart.plans.catalog import MetricStore, delete_path
-from metricmart.schemas import AUDIT, METADATA
+                                          gauge_rows, other_rows, sum_rows)
+from metricmart.operators.metadata import batch_metadata, metadata_rows
+from metricmart.operators.validate import with_validation
+from metricmart.plans.catalog import HASH_BLOOM_NDV, MetricStore, bloom_options, delete_path
+from metricmart.plans.generations import add_partitions, batch_generation, partitions
+from metricmart.schemas import AUDIT, GENERATION, METADATA, TABLES
 from metricmart.session import checkpoint_root
 
 # Audit rows beside those of tables: points received in accepted requests, and
@@ -47,29 +52,42 @@ def new_batch_id(store: MetricStore | None = None) -> int:
     now = time.time_ns() // 1000
     if store is None:
         return now
-    last = store.table("ingest_audit").agg(F.max("batch_id")).first()[0]
+    days = [s["day"] for s in partitions(store, "ingest_audit")]    # names; only the last day is read
+    if not days:
+        return now
+    last = store.table("ingest_audit").where(F.col("day") == F.lit(max(days)).cast("date")).agg(F.max("batch_id")).first()[0]
     return now if last is None else max(now, last + 1)
 
 
-def _record(store: MetricStore, rows: list) -> None:
-    store.spark.createDataFrame(rows, AUDIT).write.mode("append") \
-        .insertInto(store.name("ingest_audit"))
+def _write(store: MetricStore, table: str, rows: DataFrame, generation: str) -> int:
+    """Write one table's rows as sub-partitions of a generation, in place of those it has already."""
+    schema, (key,) = TABLES[table]
+    obs = Observation(f"{table}_{uuid.uuid4().hex}")
+    observed = rows.observe(obs, F.count(F.lit(1)).alias("rows"), F.collect_set(F.col(key).cast("string")).alias("values"))
+    options = bloom_options(HASH_BLOOM_NDV) if "metric_hash" in schema.fieldNames() else {}
+    (observed.withColumn(GENERATION, F.lit(generation)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .options(**options).partitionBy(key, GENERATION).parquet(store.path(table)))
+    found = obs.get
+    add_partitions(store, table, [{key: v, GENERATION: generation} for v in sorted(found.get("values") or [])])
+    return int(found.get("rows", 0) or 0)
+
+
+def _record(store: MetricStore, rows: list, at: _dt.datetime, generation: str) -> None:
+    full = [(*r, at, at.date()) for r in rows]
+    _write(store, "ingest_audit", store.spark.createDataFrame(full, AUDIT).coalesce(1), generation)
 
 
 def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer: str,
-            pending: list) -> int:
-    """Append one table and queue its audit row; a failed write is recorded at once."""
-    obs = Observation(f"{table}_{batch_id}")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+            pending: list, at: _dt.datetime) -> int:
+    """Write one table and queue its audit row; a failed write is recorded at once, and stays
+    recorded when the batch is written again."""
     t0 = time.perf_counter()
     try:
-        observed.write.mode("append").insertInto(store.name(table))
+        rows = _write(store, table, df, batch_generation(batch_id))
     except Exception:
         row = (batch_id, table, "error", 0, (time.perf_counter() - t0) * 1000.0, writer)
-        _record(store, [row] + pending)
-        pending.clear()
+        _record(store, [row], at, f"e{uuid.uuid4().hex}")
         raise
-    rows = int(obs.get.get("rows", 0) or 0)
     pending.append((batch_id, table, "ok", rows, (time.perf_counter() - t0) * 1000.0, writer))
     return rows
 
@@ -77,84 +95,79 @@ def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer
 def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
                 rebalance: bool = True, store_other_types: bool = False,
                 premerge_metadata: bool = True, writer: str = "batch",
-                skip_tables: set | frozenset = frozenset(),
-                on_commit: Callable[[str], None] | None = None) -> dict:
+                at: float | None = None, on_commit: Callable[[str], None] | None = None) -> dict:
     """Ingest one batch of requests. Returns row counts per table.
 
-    ``rebalance`` shuffles facts by day with Spark's REBALANCE hint: adaptive
-    execution then writes right-sized files per day (splitting a hot day into
-    several tasks, merging small ones) instead of one small file per task and
-    day. Turn it off for micro-batches that already cover a single day.
+    ``batch_id`` names the batch: written again under the same id, it replaces its
+    own rows (so different batches need different ids; None takes a new one).
+    ``at`` (seconds) is the time of the batch's first attempt, for its log rows.
+
+    ``rebalance`` range-partitions facts by day and time: Spark samples the bounds,
+    and adaptive execution merges small partitions, so a day gets as many
+    files as its size asks for and they do not overlap in time. Turn it off for
+    micro-batches that fit a few files as they are.
 
     ``premerge_metadata`` merges the batch's keep-first metadata rows (E2)
     before appending: the merge is a max over the insertion order, which is
     associative, so merged reads are unchanged while the metadata log grows
     by one row per series-day per batch instead of per request.
 
-    ``writer`` tags the audit rows; ``skip_tables`` lists tables that a former
-    attempt has committed (a replayed stream epoch), which are not written
-    again, and ``on_commit`` is told each table as it commits.
+    ``writer`` tags the audit rows; ``on_commit`` is told each table as it is written.
 
     ``store_other_types`` (extension X2–X4, off by default as in the
     reference) also stores histogram, exponential-histogram and summary points
-    and their metadata; those are flattened by passes of their own.
+    and their metadata, from the same pass.
     """
     spark = store.spark
     batch_id = new_batch_id(store) if batch_id is None else batch_id
+    began = _dt.datetime.fromtimestamp(time.time() if at is None else at, _dt.timezone.utc)
     staging = f"{checkpoint_root(spark)}/ingest/{uuid.uuid4().hex}"
     t0 = time.perf_counter()
-    flat = flatten_batch(with_validation(requests), batch_id)
+    others = list(OTHER_TABLE) if store_other_types else []
+    stored = [GAUGE, SUM, *others]
+    flat = flatten_batch(with_validation(requests), batch_id, others)
     seen = Observation(f"flatten_{batch_id}")
-    is_kind = lambda k: F.count_if(F.col("kind") == k)
-    flat.observe(seen, is_kind(GAUGE).alias(GAUGE), is_kind(SUM).alias(SUM), is_kind(REJECTED).alias(REJECTED),
+    flat.observe(seen, *[F.count_if(F.col("kind") == k).alias(k) for k in (*stored, REJECTED)],
                  F.sum("dropped").alias(DROPPED)).write.partitionBy("kind").parquet(staging)
     n = {k: int(v or 0) for k, v in seen.get.items()}
     took = (time.perf_counter() - t0) * 1000.0
+    received = sum(n.get(k, 0) for k in stored)
     pending: list = [(batch_id, name, "ok", rows, took, writer)
-                     for name, rows in ((RECEIVED, n[GAUGE] + n[SUM]), (DROPPED_POINTS, n[DROPPED])) if rows]
+                     for name, rows in ((RECEIVED, received), (DROPPED_POINTS, n.get(DROPPED, 0))) if rows]
     counts = dict.fromkeys(["series_metadata", "metrics_gauge", "metrics_sum"], 0)
 
     def put(table: str, rows: DataFrame) -> None:
-        if table in skip_tables:
-            return
-        counts[table] = _append(store, table, rows, batch_id, writer, pending)
+        counts[table] = _append(store, table, rows, batch_id, writer, pending, began)
         if on_commit:
             on_commit(table)
 
-    def by_day(rows: DataFrame) -> DataFrame:
-        rows = rows.hint("rebalance", "dt") if rebalance else rows
+    def by_time(rows: DataFrame) -> DataFrame:
+        rows = rows.repartitionByRange("dt", "time_unix_nano") if rebalance else rows
         return rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash")
 
     try:
-        others = {}
-        if store_other_types:
-            accepted, _ = split_valid(requests)
-            others = {t: flatten_other_points(accepted, t, batch_id) for t in OTHER_TABLE}
         staged = spark.read.schema(flat.schema).parquet(staging) if sum(n.values()) else flat.limit(0)
-        points = staged.where(F.col("kind").isin(GAUGE, SUM))
-        if n[GAUGE] + n[SUM] or others:
-            meta = metadata_rows(points)
-            for o in others.values():
-                meta = meta.unionByName(metadata_rows(o))
-            if premerge_metadata:
-                meta = series_current(meta).select(
-                    *[c for c in METADATA.fieldNames() if c != "month"],
-                    (F.year("dt") * 100 + F.month("dt")).cast("int").alias("month"))
+        points = staged.where(F.col("kind").isin(stored))
+        if received:
+            meta = batch_metadata(points) if premerge_metadata else metadata_rows(points)
+            meta = meta.select(*METADATA.fieldNames())
             if rebalance:
                 meta = meta.hint("rebalance", "month")
             put("series_metadata", meta.sortWithinPartitions("dt", "metric_name", "metric_hash"))  # H12
-        if n[GAUGE]:
-            put("metrics_gauge", by_day(gauge_rows(points)))
-        if n[SUM]:
-            put("metrics_sum", by_day(sum_rows(points)))
-        for mtype, o in others.items():
-            put(OTHER_TABLE[mtype], by_day(other_rows(o, mtype)))
+        for kind, table, rows_of in ((GAUGE, "metrics_gauge", gauge_rows), (SUM, "metrics_sum", sum_rows)):
+            if n.get(kind):
+                put(table, by_time(rows_of(points.where(F.col("kind") == kind))))
+        for mtype in others:
+            if n.get(mtype):
+                put(OTHER_TABLE[mtype], by_time(other_rows(points.where(F.col("kind") == mtype), mtype)))
+            else:
+                counts[OTHER_TABLE[mtype]] = 0
         counts["rejected_requests"] = 0
-        if n[REJECTED]:
+        if n.get(REJECTED):
             put("rejected_requests", staged.where(F.col("kind") == REJECTED)
-                .select("batch_id", "request_seq", "request_part", "error"))
-    finally:
+                .select("batch_id", "request_seq", "request_part", "error", F.lit(began.date()).alias("day")))
         if pending:
-            _record(store, pending)
+            _record(store, pending, began, batch_generation(batch_id))
+    finally:
         delete_path(spark, staging)
     return counts

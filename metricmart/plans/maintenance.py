@@ -1,55 +1,48 @@
 """Table maintenance: retention expiry (H13, H14, H16), metadata compaction
-(H15) and fact-day compaction.
+(H15), fact-day and log compaction.
 
 Expiry works on whole partitions only: the partition list comes from the
-catalog (metadata, one entry per day or month — never row data), expired
-ones are dropped from the catalog and their folders deleted.
-
-Compaction replaces exactly the files that it has read and touches no others, so
-files appended meanwhile stay. The rewritten rows go to a staging folder first;
-then a journal beside it names the files to remove and the folder they are
-replaced in, and only then are files moved. A run that failed before its journal
-has changed nothing; one that failed after it is completed, from the journal, by
-the next compaction of the table or by ``recover_compactions``. Each step can be
-repeated. A reader during the moves may meet rows twice or not at all.
+catalog (names, never row data), expired ones are dropped from the catalog and
+their folders deleted. Compaction merges a partition's write generations into
+one and swaps them in the catalog; runs on one partition exclude each other,
+runs on others and appends go on beside it (``generations``).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import json
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from metricmart.operators.metadata import series_current
 from metricmart.operators.retention import cutoff_date
-from metricmart.plans.catalog import HASH_BLOOM_NDV, MetricStore, bloom_options, delete_path
+from metricmart.plans.catalog import HASH_BLOOM_NDV, MetricStore, bloom_options
+from metricmart.plans.generations import (PartitionBusy, drop_partitions, lease, open_generations, partitions,
+                                          recover, replace)
+from metricmart.schemas import TABLES
 
 FACT_TABLES = ("metrics_gauge", "metrics_sum", "metrics_histogram",
                "metrics_exponential_histogram", "metrics_summary")
 
 
 def list_partitions(store: MetricStore, table: str) -> list[dict]:
-    rows = store.spark.sql(f"SHOW PARTITIONS {store.name(table)}").collect()
-    out = []
-    for r in rows:
-        spec = dict(kv.split("=", 1) for kv in r[0].split("/"))
-        out.append(spec)
-    return out
-
-
-def _drop(store: MetricStore, table: str, specs: list[dict]) -> None:
-    if not specs:
-        return
-    parts = ", ".join("PARTITION (" + ", ".join(f"{k} = '{v}'" for k, v in s.items()) + ")"
-                      for s in specs)
-    store.spark.sql(f"ALTER TABLE {store.name(table)} DROP IF EXISTS {parts}")
-    for s in specs:
-        sub = "/".join(f"{k}={v}" for k, v in s.items())
-        delete_path(store.spark, f"{store.path(table)}/{sub}")
+    """Days (or months) of a table, one entry each."""
+    (key,) = TABLES[table][1]
+    return [{key: v} for v in sorted({s[key] for s in partitions(store, table)})]
+
+
+def _drop_values(store: MetricStore, table: str, key: str, values: list[str]) -> int:
+    """Drop partitions with all their generations, but those that a compaction holds now."""
+    dropped = 0
+    for value in values:
+        try:
+            with lease(store, table, f"{key}={value}", "expiry"):
+                drop_partitions(store, table, [s for s in partitions(store, table) if s[key] == value])
+        except PartitionBusy:
+            continue
+        dropped += 1
+    return dropped
 
 
 def expire(store: MetricStore, today=None, retention_days: int | None = None) -> dict:
@@ -60,89 +53,18 @@ def expire(store: MetricStore, today=None, retention_days: int | None = None) ->
     cut = cutoff_date(today, days)
     dropped = {}
     for table in FACT_TABLES:
-        old = [s for s in list_partitions(store, table)
-               if _dt.date.fromisoformat(s["dt"]) < cut]
-        _drop(store, table, old)
-        dropped[table] = len(old)
+        dropped[table] = _drop_values(store, table, "dt", [s["dt"] for s in list_partitions(store, table)
+                                                           if _dt.date.fromisoformat(s["dt"]) < cut])
     cut_month = cut.year * 100 + cut.month
-    old = [s for s in list_partitions(store, "series_metadata") if int(s["month"]) < cut_month]
-    _drop(store, "series_metadata", old)
-    dropped["series_metadata"] = len(old)
+    dropped["series_metadata"] = _drop_values(store, "series_metadata", "month", [
+        s["month"] for s in list_partitions(store, "series_metadata") if int(s["month"]) < cut_month])
     return dropped
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _files(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the data files in one folder (one partition's, never row data)."""
-    fs, p = _fs(spark, folder)
-    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(n for n in names if not n.startswith(("_", ".")))
-
-
-def _work_folder(store: MetricStore, table: str) -> str:
-    return f"{store.path(table)}/_compaction"   # hidden from scans by its leading underscore
-
-
-def _finish(store: MetricStore, table: str, work: str) -> None:
-    """Complete a journaled replacement; every step may have been done already."""
-    spark = store.spark
-    fs, path = _fs(spark, f"{work}/journal")
-    stream = fs.open(path)
-    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    journal = json.loads(text)
-    target = f"{store.path(table)}/{journal['partition']}".rstrip("/")
-    for name in journal["old"]:
-        delete_path(spark, f"{target}/{name}")
-    for name in _files(spark, f"{work}/data"):
-        fs, src = _fs(spark, f"{work}/data/{name}")
-        fs.rename(src, _fs(spark, f"{target}/{journal['id']}-{name}")[1])
-    delete_path(spark, work)
-    spark.catalog.refreshTable(store.name(table))
-
-
 def recover_compactions(store: MetricStore, table: str) -> int:
-    """Complete the journaled runs of a table and clear away the others. How many were completed."""
-    spark, root, done = store.spark, _work_folder(store, table), 0
-    fs, p = _fs(spark, root)
-    for f in (fs.listStatus(p) if fs.exists(p) else []):
-        work = f"{root}/{f.getPath().getName()}"
-        if fs.exists(_fs(spark, f"{work}/journal")[1]):
-            _finish(store, table, work)
-            done += 1
-        else:
-            delete_path(spark, work)
-    return done
-
-
-def _replace(store: MetricStore, table: str, partition: str, rewrite, after_staging=None) -> int:
-    """Rewrite the files that one partition has now; ``rewrite`` maps their rows to the new ones."""
-    spark = store.spark
-    recover_compactions(store, table)
-    folder = f"{store.path(table)}/{partition}".rstrip("/")
-    old = _files(spark, folder)
-    if not old:
-        return 0
-    run = uuid.uuid4().hex
-    work = f"{_work_folder(store, table)}/{run}"
-    schema = StructType([f for f in store.table(table).schema.fields if f.name != partition.split("=")[0]])
-    rewrite(spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in old])) \
-        .write.options(**bloom_options(HASH_BLOOM_NDV)).parquet(f"{work}/data")
-    n = spark.read.schema(schema).parquet(f"{work}/data").count()
-    if after_staging:
-        after_staging()
-    # written under another name and renamed, so that a journal is whole or not there
-    fs, draft = _fs(spark, f"{work}/journal.draft")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps({"id": run, "partition": partition, "old": old}).encode()))
-    out.close()
-    fs.rename(draft, _fs(spark, f"{work}/journal")[1])
-    _finish(store, table, work)
-    return n
+    """Complete the runs of a table that died after they added their generation, and undo the
+    other dead ones. How many were completed."""
+    return recover(store, table)
 
 
 def compact_metadata(store: MetricStore, month: int, today=None, retention_days: int | None = None,
@@ -151,16 +73,16 @@ def compact_metadata(store: MetricStore, month: int, today=None, retention_days:
 
     ``after_staging`` is called once the rewritten rows are staged (tests append
     or fail there)."""
-    columns = [c for c in store.table("series_metadata").columns if c != "month"]
+    columns = store.table("series_metadata").columns
 
     def merge(meta: DataFrame) -> DataFrame:
         if today is not None:
             days = store.retention_days if retention_days is None else retention_days
             meta = meta.where(F.col("dt") >= F.lit(cutoff_date(today, days)))
-        return series_current(meta).select(*columns) \
-            .sortWithinPartitions("dt", "metric_name", "metric_hash")
+        merged = series_current(meta).withColumn("month", F.lit(month))
+        return merged.select(*columns).sortWithinPartitions("dt", "metric_name", "metric_hash")
 
-    return _replace(store, "series_metadata", f"month={month}", merge, after_staging)
+    return replace(store, "series_metadata", month, merge, bloom_options(HASH_BLOOM_NDV), open_generations(store), after_staging)
 
 
 def compact_day(store: MetricStore, table: str, day: str, after_staging=None) -> int:
@@ -170,22 +92,25 @@ def compact_day(store: MetricStore, table: str, day: str, after_staging=None) ->
     counterpart of background part merges. The day is range-partitioned on
     time, so the new files do not overlap in time and a range inside the day
     skips whole files."""
-    return _replace(store, table, f"dt={day}",
-                    lambda facts: facts.repartitionByRange("time_unix_nano")
-                    .sortWithinPartitions("time_unix_nano", "metric_hash"), after_staging)
+    return replace(store, table, day,
+                   lambda facts: facts.repartitionByRange("time_unix_nano")
+                   .sortWithinPartitions("time_unix_nano", "metric_hash"),
+                   bloom_options(HASH_BLOOM_NDV), open_generations(store), after_staging)
 
 
 def compact_log(store: MetricStore, table: str, today=None, retention_days: int | None = None,
                 after_staging=None) -> int:
-    """Merge the small files of ``ingest_audit`` or ``rejected_requests``, without the rows of
-    batches before the retention cutoff (a batch id is its time in microseconds)."""
+    """Drop the days of ``ingest_audit`` or ``rejected_requests`` before the retention cutoff (by
+    the time of each row's batch, not its id) and merge the generations of each other day that
+    has several. Returns the rows of the merged days."""
     today = today or _dt.datetime.now(_dt.timezone.utc).date()
     days = store.retention_days if retention_days is None else retention_days
     cut = cutoff_date(today, days)
-    first = int(_dt.datetime(cut.year, cut.month, cut.day, tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000
-
-    def rest(log: DataFrame) -> DataFrame:
-        # range-partitioned: AQE merges partitions up to its advisory size
-        return log.where(F.col("batch_id") >= first).repartitionByRange("batch_id").sortWithinPartitions("batch_id")
-
-    return _replace(store, table, "", rest, after_staging)
+    listed = [s["day"] for s in list_partitions(store, table)]
+    _drop_values(store, table, "day", [d for d in listed if _dt.date.fromisoformat(d) < cut])
+    rows = 0
+    for day in listed:
+        if _dt.date.fromisoformat(day) >= cut:
+            rows += replace(store, table, day, lambda log: log.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), {},
+                            open_generations(store), after_staging, least=2)
+    return rows

@@ -26,13 +26,14 @@ from metricmart.operators.flatten import dropped_points, flatten_other_points, f
 from metricmart.operators.retention import cutoff_date
 from metricmart.operators.validate import with_validation
 from metricmart.plans.catalog import create_tables, latest_points_recent
+from metricmart.plans.generations import Epochs, PartitionBusy, replace
 from metricmart.plans.ingest import write_batch
-from metricmart.plans.maintenance import compact_day, compact_metadata, expire
+from metricmart.plans.maintenance import compact_day, compact_log, compact_metadata, expire
 from metricmart.plans.store import MetricTables
 from metricmart.session import checkpoint_root
 from metricmart.sources.events_bridge import bridge_requests
 from metricmart.sources.requests import parse_requests, write_requests
-from metricmart.streaming.ingest_stream import start_ingest
+from metricmart.streaming.ingest_stream import epoch_batch, start_ingest
 
 # Fixed query parameters (inclusive nanosecond ranges, UTC).
 GAUGE_RANGE = (1704412800000000000, 1704585599999999000)   # 2024-01-05 .. 2024-01-06
@@ -41,7 +42,8 @@ NAME_RANGE = (1704844800000000000, 1705060800000000000)    # 2024-01-10 00:00 ..
 NAME_FILTER = "events.view"
 LOOKUP_SERIES = ("events.click", "svc-0", {"service.name": "svc-0", "host.name": "host-0"},
                  {}, {"bucket": "0", "odd": "false"})
-ORPHAN_DAY = "2024-01-10"
+ORPHAN_DAY, NEXT_DAY = "2024-01-10", "2024-01-11"
+AGAIN_HOUR = 473573                                        # 2024-01-10 05:00
 RETENTION_TODAY, RETENTION_DAYS = "2024-04-15", 90
 LATEST_N = 20
 
@@ -423,7 +425,7 @@ def stored_sql_range(spark, sf_dir):
     lo, hi = GAUGE_RANGE
     return _enriched_out(spark.sql(
         f"SELECT * FROM {_stored(spark, sf_dir).name('gauge_enriched')} "
-        f"WHERE dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-06' "
+        f"WHERE month = 202401 AND dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-06' "
         f"AND time_unix_nano BETWEEN {lo} AND {hi}"))
 
 
@@ -548,6 +550,124 @@ def stored_other_types(spark, sf_dir):
     return out
 
 
+def compact_two_days_at_once(spark, sf_dir):
+    """A day compacted, and a batch appended, while another day of the table is compacted;
+    a second run on the same day is refused."""
+    requests = bridge_requests(spark, sf_dir)
+    store = _fresh_store(spark)
+    write_batch(store, requests, batch_id=1)
+
+    def meanwhile():
+        compact_day(store, "metrics_gauge", NEXT_DAY)
+        write_batch(store, requests, batch_id=2)
+        try:
+            compact_day(store, "metrics_gauge", ORPHAN_DAY)
+            raise AssertionError("two runs on one day")
+        except PartitionBusy:
+            pass
+    compact_day(store, "metrics_gauge", ORPHAN_DAY, after_staging=meanwhile)
+    compact_day(store, "metrics_gauge", NEXT_DAY)
+    return store.table("metrics_gauge").groupBy("dt").agg(F.count(F.lit(1)).alias("points"), F.sum("value").alias("total")) \
+        .select(_dt_text(), "points", F.round("total", 3).alias("total"))
+
+
+def replayed_epoch(spark, sf_dir):
+    """Epochs that fail after the facts of one table, and in its midst, are replayed once more;
+    rows of every table and of the audit log."""
+    requests = bridge_requests(spark, sf_dir)
+    store = _fresh_store(spark)
+    epochs = Epochs(store, f"{store.root}/checkpoint")
+
+    def fail(table):
+        def on_commit(done):
+            if done == table:
+                raise RuntimeError("stopped")
+        return on_commit
+    half = lambda i: requests.where(F.pmod("request_seq", F.lit(2)) == i)
+    for epoch, stop in ((0, "series_metadata"), (0, "metrics_gauge"), (0, None), (1, "metrics_sum"), (1, None)):
+        try:
+            epoch_batch(store, half(epoch), epoch, epochs, fail(stop))
+        except RuntimeError:
+            pass
+    rows = _rows_of(store, "metrics_gauge", "metrics_sum", "series_current")
+    audit = store.table("ingest_audit").groupBy("table").agg(F.sum("rows").alias("rows"))
+    return rows.unionByName(audit.where(F.col("table") != "series_metadata").select(F.concat(F.lit("audit "), "table").alias("table"), "rows"))
+
+
+def audit_other_types(spark, sf_dir):
+    """What the audit log says where all types are stored, and its merged days."""
+    store = _fresh_store(spark)
+    requests = bridge_requests(spark, sf_dir, "types")
+    write_batch(store, requests, batch_id=7, store_other_types=True)
+    write_batch(store, requests, batch_id=8)
+    compact_log(store, "ingest_audit")
+    return store.table("ingest_audit").where(F.col("table") != "series_metadata").select("batch_id", "table", "status", "rows")
+
+
+def stored_view_unmatched(spark, sf_dir):
+    """The SQL view on days of which one has no metadata."""
+    store = _fresh_store(spark)
+    write_batch(store, bridge_requests(spark, sf_dir), batch_id=1)
+    replace(store, "series_metadata", 202401, lambda m: m.where(F.col("dt") != F.lit(ORPHAN_DAY).cast("date")), {})
+    rows = spark.sql(f"SELECT * FROM {store.name('gauge_enriched')} WHERE month = 202401 "
+                     f"AND dt BETWEEN DATE '{ORPHAN_DAY}' AND DATE '{NEXT_DAY}'")
+    return _enriched_out(rows)
+
+
+def file_time_order(spark, sf_dir):
+    """Files of a day, as written, whose times overlap those of another of its files."""
+    store = _fresh_store(spark)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")    # several files even of small days
+    try:
+        write_batch(store, bridge_requests(spark, sf_dir), batch_id=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    facts = store.table("metrics_gauge")
+    files = facts.groupBy("dt", F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("points"), F.min("time_unix_nano").alias("least"), F.max("time_unix_nano").alias("most"))
+    before = "OVER (PARTITION BY dt ORDER BY least, most ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    files = files.withColumn("overlaps", F.expr(f"coalesce(least < max(most) {before}, false)"))
+    return files.groupBy("dt").agg(F.sum("points").alias("points"), F.count_if("overlaps").alias("overlapping_files")) \
+        .select(_dt_text(), "points", "overlapping_files")
+
+
+def stored_tables(spark, sf_dir):
+    """Which tables there are, and the rows of those."""
+    store = _stored(spark, sf_dir)
+    names = ("metrics_gauge", "metrics_sum", "metrics_histogram", "series_metadata", "series_current", "metrics_other")
+    found = {t: store.exists(t) for t in names}
+    rows = _rows_of(store, *[t for t in names if found[t]])
+    return spark.createDataFrame(list(found.items()), "table string, found boolean").join(rows, "table", "left")
+
+
+def stream_batches(spark, sf_dir):
+    """One stream takes a file a micro-batch, another three; batches and points of each."""
+    requests = bridge_requests(spark, sf_dir)
+    out = None
+    for files in (1, 3):
+        store = _fresh_store(spark)
+        write_requests(requests.repartition(6, "request_seq"), f"{store.root}/in")
+        start_ingest(store, f"{store.root}/in", checkpoint=f"{store.root}/checkpoint", max_files_per_trigger=files,
+                     available_now=True).awaitTermination()
+        rows = store.table("ingest_audit").where(F.col("table") == "received_points").agg(
+            F.countDistinct("batch_id").alias("batches"), F.sum("rows").alias("received"))
+        points = store.table("metrics_gauge").agg(F.count(F.lit(1)).alias("gauge_points"))
+        rows = rows.join(points).select(F.lit(files).cast("bigint").alias("files_a_batch"), "batches", "received", "gauge_points")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def stored_closed_days(spark, sf_dir):
+    """Merged metadata of a compacted month, after one hour's requests came again."""
+    requests = bridge_requests(spark, sf_dir)
+    store = _fresh_store(spark)
+    write_batch(store, requests, batch_id=1)
+    compact_metadata(store, 202401)
+    write_batch(store, requests.where(F.col("request_seq") == AGAIN_HOUR), batch_id=2)
+    return _current_out(store.current())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_gauge_points": flatten_gauge_points,
     "flatten_sum_points": flatten_sum_points,
@@ -598,4 +718,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compact_with_append": compact_with_append,
     "stream_two_sources": stream_two_sources,
     "stored_other_types": stored_other_types,
+    "compact_two_days_at_once": compact_two_days_at_once,
+    "replayed_epoch": replayed_epoch,
+    "audit_other_types": audit_other_types,
+    "stored_view_unmatched": stored_view_unmatched,
+    "file_time_order": file_time_order,
+    "stored_tables": stored_tables,
+    "stream_batches": stream_batches,
+    "stored_closed_days": stored_closed_days,
 }

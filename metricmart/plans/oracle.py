@@ -7,7 +7,7 @@ and no explode, and derives the series key as md5 of the identity text.
 
 from __future__ import annotations
 
-from metricmart.plans.named_queries import (GAUGE_RANGE, NAME_FILTER, NAME_RANGE, ORPHAN_DAY,
+from metricmart.plans.named_queries import (AGAIN_HOUR, GAUGE_RANGE, NAME_FILTER, NAME_RANGE, NEXT_DAY, ORPHAN_DAY,
                                             SUM_RANGE)
 
 # identity text of a bridged point (columns of the pt CTE)
@@ -454,3 +454,60 @@ SELECT CASE r_pos WHEN 1 THEN 'metrics_exponential_histogram' WHEN 2 THEN 'metri
        CASE r_pos WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN CAST(0.99 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS bound,
        CAST(CASE r_pos WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END AS BIGINT) AS temporality
 FROM pt WHERE metric_type = 'Histogram'"""
+
+ORACLE_SQL["compact_two_days_at_once"] = _BASE + """
+SELECT CAST(dt AS VARCHAR) AS dt, 2 * count(*) AS points, round(2 * sum(pvalue), 3) AS total
+FROM np2 WHERE metric_type = 'Gauge' GROUP BY dt"""
+
+_COUNTED = """
+SELECT 'metrics_gauge' AS "table", count(*) AS rows FROM np2 WHERE metric_type = 'Gauge'
+UNION ALL SELECT 'metrics_sum', count(*) FROM np2 WHERE metric_type = 'Sum'"""
+ORACLE_SQL["replayed_epoch"] = _BASE + _COUNTED + """
+UNION ALL SELECT 'series_current', count(*) FROM cur
+UNION ALL SELECT 'audit metrics_gauge', count(*) FROM np2 WHERE metric_type = 'Gauge'
+UNION ALL SELECT 'audit metrics_sum', count(*) FROM np2 WHERE metric_type = 'Sum'
+UNION ALL SELECT 'audit received_points', count(*) FROM np2
+UNION ALL SELECT 'audit dropped_points', count(*) FROM pt WHERE metric_type = 'Histogram'"""
+
+ORACLE_SQL["audit_other_types"] = _BASE + """
+, kinds AS (
+  SELECT CASE metric_type WHEN 'Gauge' THEN 'metrics_gauge' WHEN 'Sum' THEN 'metrics_sum' ELSE
+           CASE r_pos WHEN 1 THEN 'metrics_exponential_histogram' WHEN 2 THEN 'metrics_summary' ELSE 'metrics_histogram' END
+         END AS tbl, metric_type FROM pt)
+SELECT batch_id, tbl AS "table", 'ok' AS status, n AS rows FROM (
+  SELECT CAST(7 AS BIGINT) AS batch_id, tbl, count(*) AS n FROM kinds GROUP BY tbl
+  UNION ALL SELECT 7, 'received_points', count(*) FROM kinds
+  UNION ALL SELECT 8, tbl, count(*) FROM kinds WHERE metric_type IN ('Gauge', 'Sum') GROUP BY tbl
+  UNION ALL SELECT 8, 'received_points', count(*) FROM kinds WHERE metric_type IN ('Gauge', 'Sum')
+  UNION ALL SELECT 8, 'dropped_points', count(*) FROM kinds WHERE metric_type = 'Histogram') a WHERE n > 0"""
+
+ORACLE_SQL["file_time_order"] = _BASE + """
+SELECT CAST(dt AS VARCHAR) AS dt, count(*) AS points, CAST(0 AS BIGINT) AS overlapping_files
+FROM np2 WHERE metric_type = 'Gauge' GROUP BY dt"""
+
+ORACLE_SQL["stored_tables"] = _BASE + """
+SELECT t."table", t.rows IS NOT NULL AS found, t.rows FROM (""" + _COUNTED + """
+UNION ALL SELECT 'metrics_histogram', CAST(0 AS BIGINT)
+UNION ALL SELECT 'series_metadata', count(*) FROM cur
+UNION ALL SELECT 'series_current', count(*) FROM cur
+UNION ALL SELECT 'metrics_other', NULL) t"""
+
+ORACLE_SQL["stream_batches"] = _BASE + """
+SELECT files AS files_a_batch, 6 // files AS batches, count(*) AS received,
+       count(*) FILTER (WHERE metric_type = 'Gauge') AS gauge_points
+FROM np2, (SELECT unnest([CAST(1 AS BIGINT), CAST(3 AS BIGINT)]) AS files) f GROUP BY files"""
+
+# A point without a series reads as type defaults, whose identity text is four separators.
+ORACLE_SQL["stored_view_unmatched"] = _BASE + f"""
+SELECT g.time_unix_nano, coalesce(c.series_key, md5(chr(0) || chr(0) || chr(0) || chr(0))) AS series_key,
+       coalesce(c.metric_name, '') AS metric_name, coalesce(c.service_name, '') AS service_name,
+       coalesce(c.point_attrs, '') AS point_attrs, coalesce(c.metric_description, '') AS metric_description,
+       coalesce(c.scope_version, '') AS scope_version, g.pvalue AS value
+FROM np2 g LEFT JOIN cur c ON g.series_key = c.series_key AND g.dt = c.dt AND c.dt <> DATE '{ORPHAN_DAY}'
+WHERE g.metric_type = 'Gauge' AND g.dt BETWEEN DATE '{ORPHAN_DAY}' AND DATE '{NEXT_DAY}'"""
+
+# The hour that came again is the last one inserted of its series and day.
+_LATE = "      ORDER BY request_seq DESC, request_part DESC) AS rn2"
+assert _LATE in _BASE
+ORACLE_SQL["stored_closed_days"] = ORACLE_SQL["series_current"].replace(
+    _LATE, f"      ORDER BY request_seq = {AGAIN_HOUR} DESC, request_seq DESC, request_part DESC) AS rn2")

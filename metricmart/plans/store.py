@@ -12,11 +12,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from metricmart.operators.flatten import flatten_points, gauge_rows, sum_rows
 from metricmart.operators.metadata import metadata_rows, series_current
 from metricmart.operators.validate import split_valid
-from metricmart.schemas import TABLES
+from metricmart.schemas import GENERATION, TABLES
 
 
 @dataclass
@@ -54,4 +55,4 @@ def table_path(root: str, name: str) -> str:
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan one stored table with its declared schema (no inference)."""
     schema, _ = TABLES[name]
-    return spark.read.schema(schema).parquet(table_path(root, name))
+    return spark.read.schema(StructType(schema.fields).add(GENERATION, "string")).parquet(table_path(root, name)).drop(GENERATION)

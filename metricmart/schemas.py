@@ -130,17 +130,23 @@ SUMMARY = StructType([
     StructField("sum", DoubleType()), StructField("value_at_quantiles", ArrayType(QUANTILE)),
     StructField("flags", LongType()), StructField("dt", DateType()),
 ])
+# A log row's day and time are those of its batch's first attempt.
 REJECTED = StructType([
     StructField("batch_id", LongType()), StructField("request_seq", LongType()),
     StructField("request_part", LongType()), StructField("error", StringType()),
+    StructField("day", DateType()),
 ])
 AUDIT = StructType([
     StructField("batch_id", LongType()), StructField("table", StringType()),
     StructField("status", StringType()), StructField("rows", LongType()),
     StructField("duration_ms", DoubleType()), StructField("writer", StringType()),
+    StructField("at", TimestampType()), StructField("day", DateType()),
 ])
 
-# Logical table name -> (schema, partition columns)
+# Second partition column of every table: the write generation that a row came with.
+GENERATION = "gen"
+
+# Logical table name -> (schema, partition columns before the generation)
 TABLES = {
     "series_metadata": (METADATA, ["month"]),
     "metrics_gauge": (GAUGE, ["dt"]),
@@ -148,6 +154,6 @@ TABLES = {
     "metrics_histogram": (HISTOGRAM, ["dt"]),
     "metrics_exponential_histogram": (EXP_HISTOGRAM, ["dt"]),
     "metrics_summary": (SUMMARY, ["dt"]),
-    "rejected_requests": (REJECTED, []),
-    "ingest_audit": (AUDIT, []),
+    "rejected_requests": (REJECTED, ["day"]),
+    "ingest_audit": (AUDIT, ["day"]),
 }

@@ -35,6 +35,7 @@ def build_session(master: str = "local[*]", app: str = "metricmart",
     """Build (or reuse) a session with the engine's defaults; used by tests and bench."""
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for k, v in {**DEFAULTS, **(extra or {})}.items():
         b = b.config(k, v)

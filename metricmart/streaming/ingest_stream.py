@@ -8,62 +8,33 @@ timestamp is accepted however late, and late points land in their own day
 live in the stream either; it is appended per batch and merged on read (E2),
 with periodic compaction (H15) — so no state store grows with the series.
 
-Which tables an epoch has committed is marked in the stream's own checkpoint
-folder, beside Spark's offsets: two streams, or one stream restarted on a new
-checkpoint, never share marks, so neither can skip the other's data. A replayed
-epoch skips the tables that it has marked, so a restart after a failure does not
-append the same points twice. A failure inside one table's commit can still
-leave that table's write to be repeated (at least once, never less).
+Every epoch is a batch whose id, kept below the store until the next epoch, is the
+same when Spark replays it: the replay writes the same generation again, in place
+of whatever a failed attempt left, down to part of one table's commit. So each
+point lands once, and the audit log counts each epoch once. The ids are kept by
+an id that lies in the stream's own checkpoint folder: two streams, or one stream
+restarted on a new checkpoint, never share any.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from metricmart.plans.catalog import MetricStore
+from metricmart.plans.generations import Epochs
 from metricmart.plans.ingest import new_batch_id, write_batch
 from metricmart.session import checkpoint_root
 from metricmart.sources.requests import read_request_stream
 
 
-class EpochMarks:
-    """Committed (epoch, table) pairs as empty files in a stream's checkpoint folder."""
-
-    def __init__(self, spark, checkpoint: str):
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.root = f"{checkpoint.rstrip('/')}/metricmart-epochs"
-
-    def _path(self, *names) -> tuple:
-        path = self.jvm.org.apache.hadoop.fs.Path("/".join([self.root, *map(str, names)]))
-        return path.getFileSystem(self.conf), path
-
-    def done(self, epoch: int) -> set[str]:
-        fs, path = self._path(epoch)
-        return {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
-
-    def mark(self, epoch: int, table: str) -> None:
-        fs, path = self._path(epoch, table)
-        fs.create(path, True).close()
-
-    def forget_before(self, epoch: int) -> None:
-        """Spark replays the last epoch only, so older marks are of no use."""
-        fs, path = self._path()
-        if fs.exists(path):
-            for f in fs.listStatus(path):
-                if int(f.getPath().getName()) < epoch:
-                    fs.delete(f.getPath(), True)
-
-
-def epoch_batch(store: MetricStore, batch: DataFrame, epoch_id: int, marks: EpochMarks) -> dict:
-    """One micro-batch, replay-safe: tables that this epoch has committed (a
-    replay after a failure) are skipped, so each epoch lands once per table."""
-    counts = write_batch(store, batch, new_batch_id(store), writer=f"stream:{epoch_id}",
-                         skip_tables=marks.done(epoch_id),
-                         on_commit=lambda table: marks.mark(epoch_id, table))
-    marks.forget_before(epoch_id)
-    return counts
+def epoch_batch(store: MetricStore, batch: DataFrame, epoch_id: int, epochs: Epochs,
+                on_commit: Callable[[str], None] | None = None, **options) -> dict:
+    """One micro-batch, replay-safe: a replay replaces what the epoch has written."""
+    batch_id, at = epochs.batch(epoch_id, lambda: new_batch_id(store))
+    return write_batch(store, batch, batch_id, writer=f"stream:{epoch_id}", at=at, on_commit=on_commit, **options)
 
 
 def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",
@@ -82,10 +53,10 @@ def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",
     stream = source if isinstance(source, DataFrame) else \
         read_request_stream(spark, source, fmt, max_files_per_trigger)
     ckpt = checkpoint or f"{checkpoint_root(spark)}/streams/{query_name}"
-    marks = EpochMarks(spark, ckpt)
+    epochs = Epochs(store, ckpt)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        epoch_batch(store, batch, epoch_id, marks)
+        epoch_batch(store, batch, epoch_id, epochs)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     if query_name:

@@ -83,8 +83,11 @@ def test_latest_is_top_k_and_bounded_broadcast(stored):
     q = Q.latest_points(t.gauge, t.metadata, 20)
     formatted = q._jdf.queryExecution().explainString(
         q._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "LocalTableScan" not in formatted and "LeftSemi" in formatted
+    assert "LocalTableScan" not in formatted
     rows = q.collect()
+    final = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("TakeOrderedAndProject(limit=20, orderBy=[time_unix_nano") == 1 and "ReusedExchange" in final
+    assert final.count("FileScan parquet spark_catalog.t_store.metrics_gauge") == 1
     assert len(rows) == 20
     times = [r.time_unix_nano for r in rows]
     assert times == sorted(times, reverse=True)
@@ -212,20 +215,61 @@ def test_rejects_stored_and_empty_batch(spark, tmp_path, reqs):
     assert store.table("ingest_audit").where("batch_id = 2").count() == 0
 
 
-def test_replayed_epoch_is_skipped(spark, tmp_path):
-    from metricmart.streaming.ingest_stream import EpochMarks, epoch_batch
-    marks, other = (EpochMarks(spark, f"{tmp_path}/{c}") for c in ("a", "b"))
+def test_replayed_epoch_replaces_itself(spark, tmp_path):
+    from metricmart.plans.generations import Epochs, open_generations
+    from metricmart.plans.maintenance import compact_day
+    from metricmart.streaming.ingest_stream import epoch_batch
     store = create_tables(spark, f"{tmp_path}/tables", database="t_replay")
+    epochs, other = (Epochs(store, f"{tmp_path}/{c}") for c in ("a", "b"))
     req = bridge_requests(spark, SF)
-    first = epoch_batch(store, req, 7, marks)
-    again = epoch_batch(store, req, 7, marks)                  # replay of the same epoch
-    assert first["metrics_gauge"] > 0 and again["metrics_gauge"] == 0
-    assert store.table("metrics_gauge").count() == first["metrics_gauge"]
-    nxt = epoch_batch(store, req, 8, marks)                    # a new epoch is written
-    assert nxt["metrics_gauge"] == first["metrics_gauge"]
-    assert marks.done(7) == set() and len(marks.done(8)) == 3
+    audit = lambda: {r.table: r["sum(rows)"] for r in store.table("ingest_audit").groupBy("table").sum("rows").collect()}
+
+    def stop(table):
+        if table == "metrics_gauge":
+            raise RuntimeError("stopped")
+    with pytest.raises(RuntimeError):
+        epoch_batch(store, req, 7, epochs, stop)
+    # a commit that got through part of its days
+    day = list_partitions(store, "metrics_gauge")[0]["dt"]
+    gen = open_generations(store).pop()
+    from metricmart.plans.generations import drop_partitions
+    drop_partitions(store, "metrics_gauge", [{"dt": day, "gen": gen}])
+    first = epoch_batch(store, req, 7, epochs)
+    n = first["metrics_gauge"]
+    assert store.table("metrics_gauge").count() == n and audit()["metrics_gauge"] == n
+    # what may be replayed stays out of compactions
+    assert compact_day(store, "metrics_gauge", day) == 0
+    again = epoch_batch(store, req, 7, epochs)
+    assert again == first and store.table("metrics_gauge").count() == n
+    assert audit()["received_points"] == n + first["metrics_sum"]
+    assert store.table("ingest_audit").where("status <> 'ok'").count() == 0
+    epoch_batch(store, req, 8, epochs)                         # a new epoch is a batch of its own
+    assert store.table("metrics_gauge").count() == 2 * n
+    assert compact_day(store, "metrics_gauge", day) > 0        # epoch 7 is closed now
     # the same epoch of another stream, or of a new checkpoint, is its own
-    assert epoch_batch(store, req, 7, other)["metrics_gauge"] == first["metrics_gauge"]
+    epoch_batch(store, req, 7, other)
+    assert store.table("metrics_gauge").count() == 3 * n
+    assert Epochs(store, f"{tmp_path}/a").root == epochs.root
+
+
+def test_failed_write_is_recorded(spark, tmp_path, monkeypatch):
+    from metricmart.plans import ingest as I
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_failed")
+    real, once = I.add_partitions, []
+
+    def fail(store, table, specs):
+        if table == "metrics_sum" and not once:
+            once.append(1)
+            raise OSError("no catalog")
+        real(store, table, specs)
+    monkeypatch.setattr(I, "add_partitions", fail)
+    with pytest.raises(OSError):
+        write_batch(store, bridge_requests(spark, SF), batch_id=3)
+    counts = write_batch(store, bridge_requests(spark, SF), batch_id=3)
+    assert store.table("metrics_sum").count() == counts["metrics_sum"]
+    assert store.table("metrics_gauge").count() == counts["metrics_gauge"]
+    audit = {(r.table, r.status): r.rows for r in store.table("ingest_audit").collect()}
+    assert audit["metrics_sum", "error"] == 0 and audit["metrics_sum", "ok"] == counts["metrics_sum"]
 
 
 def test_shuffled_join_path_matches_broadcast(stored, spark):
@@ -346,31 +390,101 @@ def test_hot_series_is_split_in_lookup_joins(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_stopped_compaction_is_completed(spark, tmp_path, monkeypatch):
+def test_stopped_compaction_is_completed_or_undone(spark, tmp_path, monkeypatch):
+    from metricmart.plans import generations as G
     from metricmart.plans import maintenance as M
     store = create_tables(spark, f"{tmp_path}/tables", database="t_compact_stop")
-    write_batch(store, bridge_requests(spark, SF), batch_id=1)
+    for batch in (1, 2):
+        write_batch(store, bridge_requests(spark, SF), batch_id=batch)
     total = store.table("metrics_gauge").count()
     day = list_partitions(store, "metrics_gauge")[0]["dt"]
-    # stopped after the journal, half way through the moves: old files gone, new ones not there
-    real = M._finish
-
-    def half(store, table, work):
-        journal = __import__("json").load(open(f"{work}/journal"))
-        for name in journal["old"]:
-            M.delete_path(spark, f"{store.path(table)}/{journal['partition']}/{name}")
-        raise RuntimeError("stopped")
-    monkeypatch.setattr(M, "_finish", half)
-    with pytest.raises(RuntimeError):
-        M.compact_day(store, "metrics_gauge", day)
-    monkeypatch.setattr(M, "_finish", real)
-    assert M.recover_compactions(store, "metrics_gauge") == 1
-    assert store.table("metrics_gauge").count() == total
-    # stopped before the journal: nothing has changed
+
+    def stop_at(name, real):
+        def stopped(*args):
+            raise OSError(f"stopped in {name}")
+        monkeypatch.setattr(G, name, stopped)
+        with pytest.raises(OSError):
+            M.compact_day(store, "metrics_gauge", day)
+        monkeypatch.setattr(G, name, real)
+        # a reader at this point sees every row once
+        assert store.table("metrics_gauge").count() == total
+    for name, completed in (("rename", 0), ("add_partitions", 0), ("drop_partitions", 1)):
+        stop_at(name, getattr(G, name))
+        assert M.recover_compactions(store, "metrics_gauge") == completed
+        assert store.table("metrics_gauge").count() == total
+        assert G.list_names(spark, f"{store.path('metrics_gauge')}/_replaced") == []
+        assert G.list_names(spark, f"{store.path('metrics_gauge')}/_compaction") == []
+    # stopped before its note: nothing has changed
     with pytest.raises(ZeroDivisionError):
         M.compact_day(store, "metrics_gauge", day, after_staging=lambda: 1 / 0)
     assert M.recover_compactions(store, "metrics_gauge") == 0
     assert store.table("metrics_gauge").count() == total
+    assert M.compact_day(store, "metrics_gauge", day) > 0 and store.table("metrics_gauge").count() == total
+    assert len([p for p in G.partitions(store, "metrics_gauge") if p["dt"] == day]) == 1
+
+
+def test_rename_that_fails_silently_loses_nothing(spark, tmp_path):
+    import os
+
+    from metricmart.plans import maintenance as M
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_rename")
+    write_batch(store, bridge_requests(spark, SF), batch_id=1)
+    total = store.table("metrics_gauge").count()
+    day = list_partitions(store, "metrics_gauge")[0]["dt"]
+
+    def block():    # staged files go away, so that the file system's rename has nothing to move
+        for d, _, names in os.walk(f"{store.path('metrics_gauge')}/_compaction"):
+            for n in names:
+                os.remove(f"{d}/{n}")
+    with pytest.raises(Exception):
+        M.compact_day(store, "metrics_gauge", day, after_staging=block)
+    assert store.table("metrics_gauge").count() == total
+    assert M.compact_day(store, "metrics_gauge", day) > 0 and store.table("metrics_gauge").count() == total
+
+
+def test_lease_keeps_two_runs_off_one_partition(spark, tmp_path):
+    from metricmart.plans import generations as G
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_lease")
+    with G.lease(store, "metrics_gauge", "dt=2024-01-01", "a") as held:
+        with pytest.raises(G.PartitionBusy):
+            with G.lease(store, "metrics_gauge", "dt=2024-01-01", "b"):
+                pass
+        with G.lease(store, "metrics_gauge", "dt=2024-01-02", "b"):
+            assert G.live_runs(store, "metrics_gauge") == {"a", "b"}
+        held()
+    assert G.live_runs(store, "metrics_gauge") == set()
+    with G.lease(store, "metrics_gauge", "dt=2024-01-01", "a", seconds=-1) as held:
+        with G.lease(store, "metrics_gauge", "dt=2024-01-01", "b"):    # takes over a dead one
+            with pytest.raises(G.PartitionBusy):
+                held()
+
+
+def test_view_fills_defaults_and_prunes_months(stored, spark):
+    _, store, _, _ = stored
+    q = spark.sql("SELECT * FROM t_store.gauge_enriched WHERE month = 202401 AND dt = DATE'2024-01-15'")
+    plan = q._jdf.queryExecution().explainString(
+        q._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(dt" in plan and "PartitionFilters: [isnotnull(month" in plan
+    frame = Q.points_in_range(store.tables().gauge, store.tables().metadata, "2024-01-15", "2024-01-15T23:59:59.999999")
+    cols = ["metric_hash", "time_unix_nano", "value", "metric_name", "metric_description"]
+    assert q.select(*cols).exceptAll(frame.select(*cols)).count() == 0 and q.count() == frame.count() > 0
+
+
+def test_other_types_are_read_in_one_pass(spark, tmp_path, monkeypatch):
+    from metricmart.plans import ingest as I
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_one_pass")
+    write_requests(bridge_requests(spark, SF, "types"), f"{tmp_path}/in", "parquet")
+    req = read_requests(spark, f"{tmp_path}/in", "parquet")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+    counted = spark.createDataFrame(req.rdd.mapPartitions(count), req.schema)
+    counts = write_batch(store, counted, batch_id=1, store_other_types=True)
+    assert seen.value == req.count()
+    assert counts["metrics_histogram"] > 0 and counts["metrics_summary"] > 0
 
 
 def test_cluster_needs_a_checkpoint_folder():
@@ -399,16 +513,30 @@ def test_unnamed_stream_needs_a_checkpoint(stored):
 def test_compact_log_merges_and_expires(spark, tmp_path):
     import datetime
 
+    from metricmart.plans import ingest as I
     from metricmart.plans.maintenance import compact_log
     store = create_tables(spark, f"{tmp_path}/tables", database="t_log")
-    day = lambda d: int(datetime.datetime(2024, 1, d, tzinfo=datetime.timezone.utc).timestamp()) * 10**6
-    for d in (1, 2, 20, 21):
-        spark.createDataFrame([(day(d), "metrics_gauge", "ok", 1, 1.0, "batch")], store.table("ingest_audit").schema) \
-            .write.mode("append").insertInto(store.name("ingest_audit"))
-    late = lambda: spark.createDataFrame([(day(22), "x", "ok", 1, 1.0, "b")], store.table("ingest_audit").schema) \
-        .write.mode("append").insertInto(store.name("ingest_audit"))
-    assert compact_log(store, "ingest_audit", today="2024-01-25", retention_days=10, after_staging=late) == 2
-    assert sorted(r.batch_id for r in store.table("ingest_audit").collect()) == [day(20), day(21), day(22)]
+
+    def log(day, batch):
+        at = datetime.datetime(2024, 1, day, 12, tzinfo=datetime.timezone.utc)
+        I._record(store, [(batch, "metrics_gauge", "ok", 1, 1.0, "batch")], at, f"b{batch}")
+    for day, batch in ((1, 11), (2, 12), (20, 7), (20, 8), (21, 9)):   # ids say nothing of the time
+        log(day, batch)
+    assert compact_log(store, "ingest_audit", today="2024-01-25", retention_days=10, after_staging=lambda: log(20, 10)) == 2
+    assert sorted(r.batch_id for r in store.table("ingest_audit").collect()) == [7, 8, 9, 10]
+    assert [p["day"] for p in list_partitions(store, "ingest_audit")] == ["2024-01-20", "2024-01-21"]
+
+
+def test_new_batch_id_reads_one_day(spark, tmp_path):
+    import datetime
+
+    from metricmart.plans import ingest as I
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_ids")
+    late = 10**17
+    for day, batch in ((1, 5), (2, late)):
+        at = datetime.datetime(2124, 1, day, tzinfo=datetime.timezone.utc)
+        I._record(store, [(batch, "x", "ok", 1, 1.0, "b")], at, f"b{batch}")
+    assert I.new_batch_id(store) == late + 1
 
 
 def test_arrival_time_orders_requests_without_numbers(spark, tmp_path):
@@ -430,3 +558,27 @@ def test_arrival_time_orders_requests_without_numbers(spark, tmp_path):
     store = create_tables(spark, f"{tmp_path}/tables", database="t_arrival")
     write_batch(store, read_requests(spark, f"{tmp_path}/in"), batch_id=1)
     assert [r.metric_description for r in store.tables().current().collect()] == ["third"]
+
+
+def test_closed_days_are_read_without_merging(spark, tmp_path):
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_closed")
+    req = bridge_requests(spark, SF)
+    write_batch(store, req, batch_id=1)
+    compact_metadata(store, 202401)
+    plan = store.current()._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan                            # every day is closed
+    write_batch(store, req.where(F.col("request_seq") == 473573), batch_id=2)
+    found, want = store.current(), series_current(store.table("series_metadata"))
+    cols = ["dt", "metric_hash", "metric_description", "scope_version", "ord"]
+    assert "LeftAnti" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == want.count() and found.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert found.where("ord.batch_id = 2").count() > 0
+
+
+def test_batch_metadata_equals_two_steps(spark):
+    from metricmart.operators.flatten import flatten_points
+    from metricmart.operators.metadata import batch_metadata, metadata_rows
+    points = flatten_points(bridge_requests(spark, SF), 3)
+    cols = ["dt", "metric_name", "metric_hash", "metric_description", "scope_version", "ord"]
+    one, two = batch_metadata(points).select(*cols), series_current(metadata_rows(points)).select(*cols)
+    assert one.count() == two.count() > 0 and one.exceptAll(two).count() == 0
