@@ -10,10 +10,14 @@ bytes, with a window of another string can repeat; the shard's suffix arrays of
 those are built by induced sorting, and a window repeats where its common prefix with
 a neighbour in the array, from permuted common prefixes, is 200 bytes or more.
 
-An anchor of more than ``SHARD_STRINGS`` distinct strings is spread over several
-shards; windows that one shard finds unrepeated meet the other shards' windows by
-two 64-bit hashes of the window. No group of copies or passage has to fit into one
-task, and nothing is dropped or capped.
+An anchor of more than ``SHARD_STRINGS`` distinct strings is dealt by its cores: a row
+for each string and core, with the bytes of the windows that hold it (at most five
+rows a string). Equal ones are found by their bytes and go on as one; a core of few
+distinct ones goes to suffix arrays. A core that still has too many is dealt again: a
+window reaches over it by half of what it has beside it, to the left or to the right, so
+two longer cores each take half of the windows. After at most seven such levels a core
+is a window. So no group has to fit into one task, nothing is dropped or capped, and
+suffix arrays or equal bytes decide every window of such an anchor.
 
 Defined results: NULL counts as empty; texts shorter than 200 bytes repeat nothing
 and stay whole; rows equal in id and text are two places, so both lose their
@@ -41,14 +45,14 @@ LENGTH = 200
 GRAM = 32
 #: Bytes that are hashed at once; places in them take 20 bits of the keys whose least is sought.
 PIECE = 1 << 20
-#: Distinct strings of one anchor in a shard, and bytes for which one suffix array is built.
+#: Distinct strings of one anchor, or of one core, in a task, and bytes for which one suffix array is built.
 SHARD_STRINGS = 2000
 ARRAY_BYTES = 1 << 20
 #: Bytes of whole groups that a task takes up at once.
 BATCH_BYTES = 4 << 20
 
 _PLACE = np.uint64(PIECE - 1)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 _FINAL = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -62,7 +66,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hashes:
     """Polynomial hashes, modulo 2**64, of any ranges of a byte string of at most PIECE bytes."""
 
-    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = _BASE):
         n = len(data)
         self.back = _powers(pow(base, -1, 1 << 64), PIECE + 1)
         sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, PIECE + 1)[:n], dtype=np.uint64)
@@ -201,7 +205,7 @@ def cell_width(length: int) -> int:
 
 
 def repeated_in_shard(rows: list[dict], length: int) -> list[np.ndarray]:
-    """For each string of whole (anchor, shard) groups, which of its windows start in another place of them."""
+    """For each string of whole anchors, which of its windows start in another place of them."""
     core = length - cell_width(length) + 1
     groups: dict[tuple, list[tuple[int, int, int]]] = {}
     masks = []
@@ -245,7 +249,7 @@ def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments: one row each, with anchor, shard and whether the shard is one of several."""
+    """The bytes of the wanted segments: one row each, with anchor and whether that has too many strings for one task."""
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
@@ -253,7 +257,7 @@ def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 text = _unpack(row["packed"])
                 for s in row["segments"]:
                     data = text[s["first"] : s["first"] + s["windows"] + length - 1]
-                    out.append((row["doc_id"], row["text_hash"], s["first"], s["n"], s["offset"], s["anchor"], s["shard"], s["split"], data))
+                    out.append((row["doc_id"], row["text_hash"], s["first"], s["n"], s["offset"], s["anchor"], s["hot"], data))
                     size += len(data)
                     if size >= PIECE:
                         yield _columns(out, arrow)
@@ -262,10 +266,10 @@ def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     id_type = packed.schema["doc_id"].dataType
     schema = T.StructType().add("doc_id", id_type).add("text_hash", T.LongType()).add("first", T.IntegerType()).add("n", T.LongType()).add("offset", T.ShortType())
-    schema = schema.add("anchor", T.LongType()).add("shard", T.IntegerType()).add("split", T.BooleanType()).add("data", T.BinaryType())
+    schema = schema.add("anchor", T.LongType()).add("hot", T.BooleanType()).add("data", T.BinaryType())
     arrow = _arrow(schema)
     lists = wanted.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("first", "windows", "n", "offset", "anchor", "shard", "split")).alias("segments"))
+        F.collect_list(F.struct("first", "windows", "n", "offset", "anchor", "hot")).alias("segments"))
     lists = lists.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "segments")
     # a document that is listed twice gives its strings once
     once = packed.join(lists, packed.doc_id.eqNullSafe(lists.id) & (packed.text_hash == lists.hash)).select("doc_id", "text_hash", "packed", "segments")
@@ -283,46 +287,140 @@ def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-#: Kinds of rows that a shard yields: a repeated range, a window unrepeated in its shard, a repeated one's stand-in.
-RANGE, OPEN, FOUND = 0, 1, 2
+def _range_schema(id_type: T.DataType) -> T.StructType:
+    schema = T.StructType().add("doc_id", id_type).add("text_hash", T.LongType())
+    return schema.add("first", T.IntegerType()).add("windows", T.IntegerType())
 
 
 def _search(strings: DataFrame, length: int) -> DataFrame:
-    """kind, doc_id, text_hash, first, windows, w1, w2 from the suffix arrays of all shards."""
+    """doc_id, text_hash, first, windows from the suffix arrays of all anchors."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size, last = 0, None
         for batch in batches:
             for row in batch.to_pylist():
-                key = (row["anchor"], row["shard"])
-                if key != last and size >= BATCH_BYTES:
+                if row["anchor"] != last and size >= BATCH_BYTES:
                     yield _columns(sorted_out(held), arrow)
                     held, size = [], 0
-                last = key
+                last = row["anchor"]
                 held.append(row)
                 size += len(row["data"])
         if held:
             yield _columns(sorted_out(held), arrow)
 
     def sorted_out(rows: list[dict]) -> list[tuple]:
-        out = []
-        for row, mask in zip(rows, repeated_in_shard(rows, length)):
-            place = (row["doc_id"], row["text_hash"])
-            if row["n"] == 1:
-                out += [(RANGE, *place, row["first"] + int(a), int(n), 0, 0) for a, n in zip(*_ranges(mask))]
-            if row["split"]:
-                at = np.arange(len(mask))
-                data = np.frombuffer(row["data"], np.uint8)
-                w1, w2 = (Hashes(data, b).of(at, at + length, _FINAL[1]).view(np.int64).tolist() for b in _BASES)
-                known = mask | (row["n"] > 1)
-                out += [(FOUND if known[i] else OPEN, *place, row["first"] + i, 1, w1[i], w2[i]) for i in range(len(mask))]
-        return out
-
-    id_type = strings.schema["doc_id"].dataType
-    schema = T.StructType().add("kind", T.IntegerType()).add("doc_id", id_type).add("text_hash", T.LongType())
-    schema = schema.add("first", T.IntegerType()).add("windows", T.IntegerType()).add("w1", T.LongType()).add("w2", T.LongType())
+        return [(row["doc_id"], row["text_hash"], row["first"] + int(a), int(n))
+                for row, mask in zip(rows, repeated_in_shard(rows, length)) if row["n"] == 1
+                for a, n in zip(*_ranges(mask))]
+
+    schema = _range_schema(strings.schema["doc_id"].dataType)
     arrow = _arrow(schema)
-    return strings.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard").mapInArrow(search, schema)
+    return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, schema)
+
+
+def _cell_schema(id_type: T.DataType) -> T.StructType:
+    """A core and the windows around it: the first window's place, windows, where the core starts
+    in data and its size, its key, whether the windows are known to repeat, and their bytes."""
+    schema = _range_schema(id_type).add("begin", T.IntegerType()).add("core", T.IntegerType())
+    return schema.add("key", T.BinaryType()).add("known", T.BooleanType()).add("data", T.BinaryType())
+
+
+def _core_key(parent: bytes, side: str, core: bytes) -> bytes:
+    return hashlib.blake2b(core, digest_size=16, key=parent, person=side.encode()).digest()
+
+
+def halves(windows: int, begin: int, core: int, length: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """(side, first window, last window, start of the longer core, its size) of the two parts of a
+    core's windows: those that reach ``reach`` bytes or more to the left of it, and the others,
+    which reach as far as is left to the right."""
+    reach = (length - core + 1) // 2
+    split = begin - reach
+    if split >= 0:
+        yield "l", 0, min(windows - 1, split), begin - reach, core + reach
+    if split < windows - 1:
+        yield "r", max(0, split + 1), windows - 1, begin, length - reach + 1
+
+
+def _first_cells(strings: DataFrame, length: int) -> DataFrame:
+    schema = _cell_schema(strings.schema["doc_id"].dataType)
+    arrow, core = _arrow(schema), length - cell_width(length) + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                data = row["data"]
+                for cell, a, b, start in cells(row["offset"], len(data) - length + 1, length):
+                    key = _core_key(f"{row['anchor']} {cell}".encode(), "", data[start : start + core])
+                    out.append((row["doc_id"], row["text_hash"], row["first"] + a, b - a + 1, start - a, core, key, row["n"] > 1, data[a : b + length]))
+            yield _columns(out, arrow)
+
+    return strings.mapInArrow(cut, schema)
+
+
+def _next_cells(cores: DataFrame, length: int) -> DataFrame:
+    schema = _cell_schema(cores.schema["doc_id"].dataType)
+    arrow = _arrow(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                data = row["data"]
+                for side, a, b, start, size in halves(row["windows"], row["begin"], row["core"], length):
+                    key = _core_key(row["key"], side, data[start : start + size])
+                    out.append((row["doc_id"], row["text_hash"], row["first"] + a, b - a + 1, start - a, size, key, row["known"], data[a : b + length]))
+            yield _columns(out, arrow)
+
+    return cores.mapInArrow(cut, schema)
+
+
+def _search_cells(cores: DataFrame, length: int) -> DataFrame:
+    """doc_id, text_hash, first, windows from suffix arrays over the distinct rows of whole cores."""
+    schema = _range_schema(cores.schema["doc_id"].dataType)
+    arrow = _arrow(schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size, last = 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["key"] != last and size >= ARRAY_BYTES:
+                    yield _columns(sorted_out(held), arrow)
+                    held, size = [], 0
+                last = row["key"]
+                held.append(row)
+                size += len(row["data"])
+        if held:
+            yield _columns(sorted_out(held), arrow)
+
+    def sorted_out(rows: list[dict]) -> list[tuple]:
+        return [(row["doc_id"], row["text_hash"], row["first"] + int(a), int(n))
+                for row, mask in zip(rows, repeated_windows([r["data"] for r in rows], length)) if not row["known"]
+                for a, n in zip(*_ranges(mask))]
+
+    return cores.repartition("key").sortWithinPartitions("key").mapInArrow(search, schema)
+
+
+def _search_hot(strings: DataFrame, length: int, shard_strings: int) -> DataFrame | None:
+    """doc_id, text_hash, first, windows of anchors with too many strings for one task."""
+    found = None
+    rows = materialise(_first_cells(strings, length), "cells")
+    while not rows.isEmpty():
+        one = F.struct("doc_id", "text_hash", "first", "windows", "begin", "core")
+        distinct = materialise(rows.groupBy("key", "data").agg(
+            F.count("*").alias("n"), F.max("known").alias("known"), F.min(one).alias("one")), "distinct-cells")
+        # equal windows repeat as a whole, wherever they are not known to yet
+        again = rows.filter("NOT known").join(distinct.filter("n > 1").select("key", "data"), ["key", "data"], "left_semi")
+        of_core = materialise(distinct.groupBy("key").agg(F.count("*").alias("of_core")).filter("of_core > 1"), "cores")
+        shared = distinct.join(of_core, "key").select(
+            "one.*", "key", (F.col("known") | (F.col("n") > 1)).alias("known"), "data", "of_core")
+        few = _search_cells(shared.filter(F.col("of_core") <= shard_strings).drop("of_core"), length)
+        ranges = materialise(again.select("doc_id", "text_hash", "first", "windows").unionByName(few), "cell-ranges")
+        found = ranges if found is None else found.unionByName(ranges)
+        many = shared.filter((F.col("of_core") > shard_strings) & (F.col("core") < length)).drop("of_core")
+        rows = materialise(_next_cells(many, length), "cells")
+    return found
 
 
 def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, shard_strings: int = SHARD_STRINGS) -> DataFrame:
@@ -337,16 +435,15 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, sh
     copies = some.join(again, ["anchor", "whole"]).select("doc_id", "text_hash", "first", "windows")
     # the other strings of an anchor go to suffix arrays, one stand-in for each group of copies
     mixed = strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter("strings > 1")
-    mixed = materialise(mixed.select("anchor", F.ceil(F.col("strings") / shard_strings).cast("int").alias("shards")), "mixed-anchors")
-    wanted = strings.join(mixed, "anchor").select(
-        "place.*", "n", "anchor", F.pmod(F.xxhash64("whole"), F.col("shards")).cast("int").alias("shard"), (F.col("shards") > 1).alias("split"))
-    found = materialise(_search(_strings(packed, wanted, length), length), "searched")
-    # windows of anchors with several shards that some other shard has as well
-    met = found.filter(F.col("kind") != RANGE).groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialise(met.select("w1", "w2"), "met-windows")
-    across = found.filter(F.col("kind") == OPEN).join(met, ["w1", "w2"]).select("doc_id", "text_hash", "first", "windows")
-    own = found.filter(F.col("kind") == RANGE).select("doc_id", "text_hash", "first", "windows")
-    return copies.unionByName(own).unionByName(across)
+    mixed = materialise(mixed.select("anchor", (F.col("strings") > shard_strings).alias("hot")), "mixed-anchors")
+    wanted = strings.join(mixed, "anchor").select("place.*", "n", "anchor", "hot")
+    if mixed.filter("hot").isEmpty():
+        return copies.unionByName(materialise(_search(_strings(packed, wanted, length), length), "searched"))
+    data = materialise(_strings(packed, wanted, length), "string-bytes")
+    own = materialise(_search(data.filter("NOT hot"), length), "searched")
+    ranges = copies.unionByName(own)
+    across = _search_hot(data.filter("hot"), length, shard_strings)
+    return ranges if across is None else ranges.unionByName(across)
 
 
 def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:

@@ -77,6 +77,35 @@ def test_against_brute_force(documents, seed, shard_strings):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_anchor_above_the_threshold(documents, monkeypatch):
+    # one passage in every text: whole, cut at either end, or a core shorter than a window; texts agree beside it
+    rnd = random.Random(9)
+    say = lambda n, of="ab": "".join(rnd.choice(of) for _ in range(n))
+    passage = say(230, "abcdefgh")
+    texts = []
+    for i in range(150):
+        a, b = rnd.choice([(0, 230), (0, 215), (20, 230), (30, 200), (40, 190), (0, 199)])
+        texts.append(say(rnd.randint(0, 30)) + passage[a:b] + say(rnd.randint(0, 30)))
+    texts += texts[:5]
+    levels = []
+    real = D._next_cells
+    monkeypatch.setattr(D, "_next_cells", lambda *args: levels.append(1) or real(*args))
+    got = results(D.dedup_substrings(documents(texts), shard_strings=10))
+    assert sorted(got) == [(i, *row) for i, row in enumerate(brute(texts, D.LENGTH))]
+    assert 2 < len(levels) <= 8
+
+
+def test_halves_share_a_core_s_windows():
+    for length, cores in ((200, (159, 180, 190, 199)), (7, range(1, 7))):
+        for core in cores:
+            for begin in range(length - core + 1):
+                for windows in range(max(1, begin - (length - core) + 1), begin + 2):
+                    parts = list(D.halves(windows, begin, core, length))
+                    assert [w for _, a, b, _, _ in parts for w in range(a, b + 1)] == list(range(windows))
+                    for _, a, b, start, size in parts:
+                        assert core < size <= length and b <= start and start + size <= a + length
+
+
 def test_segments_hold_every_window_once(monkeypatch):
     monkeypatch.setattr(D, "PIECE", 1 << 12)
     monkeypatch.setattr(D, "_PLACE", np.uint64((1 << 12) - 1))
