@@ -27,8 +27,8 @@ TYPE_RANK = {GAUGE: 0, SUM: 1, HISTOGRAM: 2, EXP_HISTOGRAM: 3, SUMMARY: 4}
 META_COLS = ["metric_name", "metric_description", "metric_unit", "metric_type", "service_name",
              "resource_attributes", "scope_attributes", "attributes", "scope_name",
              "scope_version"]
-ORD_COLS = ["batch_id", "request_seq", "request_part", "type_rank", "r_pos", "s_pos", "m_pos",
-            "p_pos"]
+REQUEST = ["batch_id", "request_seq", "request_line", "request_part"]
+ORD_COLS = [*REQUEST, "type_rank", "r_pos", "s_pos", "m_pos", "p_pos"]
 
 
 def _metric_type(m):
@@ -40,20 +40,23 @@ def _metric_type(m):
 
 
 def request_key(requests: DataFrame) -> tuple:
-    """(request_seq, request_part) columns that identify and order requests.
+    """(request_seq, request_line, request_part) columns that identify and order requests.
 
     A request without an arrival number is ordered by its arrival time
-    (``received_at``, where the source knows it) and told apart by a hash of its
+    (``received_at``), then by its place in what arrived then (``line_order``, e.g. the
+    line of its file), where the source knows them, and told apart by a hash of its
     content; without either, the hash is all there is. Distinct requests stay
     distinct for keep-first (identical ones collapse, which is harmless: they
     carry identical metadata)."""
     seq, content = F.col("request_seq").cast("bigint"), F.xxhash64("resourceMetrics")
     part = F.col("request_part")
+    line = F.coalesce("line_order", F.lit(0)) if "line_order" in requests.columns else F.lit(0)
     if "received_at" not in requests.columns:
-        return F.coalesce(seq, content), F.coalesce(part, F.lit(0)).cast("bigint")
+        return F.coalesce(seq, content), line.cast("bigint"), F.coalesce(part, F.lit(0)).cast("bigint")
     arrived = F.unix_micros("received_at")
-    own = F.when(seq.isNull() & arrived.isNotNull(), content)
-    return F.coalesce(seq, arrived, content), F.coalesce(part, own, F.lit(0)).cast("bigint")
+    unnumbered = seq.isNull() & arrived.isNotNull()
+    return (F.coalesce(seq, arrived, content), F.when(unnumbered, line).otherwise(0).cast("bigint"),
+            F.coalesce(part, F.when(unnumbered, content), F.lit(0)).cast("bigint"))
 
 
 def explode_metrics(requests: DataFrame, batch_id: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -62,18 +65,18 @@ def explode_metrics(requests: DataFrame, batch_id: int = 0, carry: tuple[str, ..
     With ``carry`` (request columns taken along) a level without elements keeps
     one row of NULLs, so that no request disappears."""
     explode = F.posexplode_outer if carry else F.posexplode
-    seq, part = (F.col("request_seq"), F.col("request_part")) if carry else request_key(requests)
+    seq, line, part = map(F.col, REQUEST[1:]) if carry else request_key(requests)
     req = requests.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
-        seq.alias("request_seq"), part.alias("request_part"), *carry,
+        seq.alias("request_seq"), line.alias("request_line"), part.alias("request_part"), *carry,
         explode("resourceMetrics").alias("r_pos", "rm"))
     res = req.select(
-        "batch_id", "request_seq", "request_part", *carry, "r_pos",
+        *REQUEST, *carry, "r_pos",
         service_name("rm.resource.attributes").alias("service_name"),
         attribute_entries("rm.resource.attributes").alias("res_entries"),
         explode("rm.scopeMetrics").alias("s_pos", "sm"))
     scope = res.select(
-        "batch_id", "request_seq", "request_part", *carry, "r_pos", "service_name",
+        *REQUEST, *carry, "r_pos", "service_name",
         entries_to_map("res_entries").alias("resource_attributes"),
         entries_text("res_entries").alias("res_text"),
         "s_pos",
@@ -82,7 +85,7 @@ def explode_metrics(requests: DataFrame, batch_id: int = 0, carry: tuple[str, ..
         attribute_entries("sm.scope.attributes").alias("scope_entries"),
         explode("sm.metrics").alias("m_pos", "m"))
     return scope.select(
-        "batch_id", "request_seq", "request_part", *carry, "r_pos", "s_pos", "m_pos",
+        *REQUEST, *carry, "r_pos", "s_pos", "m_pos",
         "service_name", "resource_attributes", "res_text", "scope_name", "scope_version",
         entries_to_map("scope_entries").alias("scope_attributes"),
         entries_text("scope_entries").alias("scope_text"),
@@ -135,11 +138,11 @@ def flatten_batch(validated: DataFrame, batch_id: int = 0, others: list[str] | t
     points of the types in ``others``, with the columns of those types; Rejected, one
     row per rejected request with its ``error``; Dropped, one row per metric of any
     other type with its number of points in ``dropped``."""
-    seq, part = request_key(validated)
+    seq, line, part = request_key(validated)
     good = F.col("error").isNull()
     accepted = validated.select(
         F.when(good, seq).otherwise(F.col("request_seq")).cast("bigint").alias("request_seq"),
-        F.when(good, part).otherwise(F.coalesce("request_part", F.lit(0))).cast("bigint").alias("request_part"),
+        line.alias("request_line"), F.when(good, part).otherwise(F.coalesce("request_part", F.lit(0))).cast("bigint").alias("request_part"),
         "error", F.when(good, F.col("resourceMetrics")).alias("resourceMetrics"))
     metrics = explode_metrics(accepted, batch_id, carry=("error",))
     size = F.coalesce(*[F.when(F.col("metric_type") == t, F.size(F.col(f"m.{field}.dataPoints")))

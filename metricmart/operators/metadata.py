@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricmart.operators.flatten import META_COLS, ORD_COLS
+from metricmart.operators.flatten import META_COLS, ORD_COLS, REQUEST
 
 
 def _month(dt):
@@ -27,7 +27,7 @@ def metadata_rows(points: DataFrame) -> DataFrame:
     ord_ = F.struct(*[F.col(c) for c in ORD_COLS])
     payload = F.struct(*[F.col(c) for c in META_COLS], ord_.alias("ord"))
     first = (points
-             .groupBy("batch_id", "request_seq", "request_part", "metric_type", "metric_hash", "dt")
+             .groupBy(*REQUEST, "metric_type", "metric_hash", "dt")
              .agg(F.min_by(payload, ord_).alias("m")))
     return first.select("dt", "metric_hash", *[F.col("m")[c].alias(c) for c in META_COLS],
                         F.col("m.ord").alias("ord"), _month(F.col("dt")).alias("month"))
@@ -42,13 +42,12 @@ def batch_metadata(points: DataFrame) -> DataFrame:
     their positions, which name one point each."""
     # nine digits a position, the outermost first (no request has room for more)
     packed = F.expr(" + ".join(f"cast({c} AS decimal(9,0)) * 1{'0' * 9 * i}BD" for i, c in enumerate(("p_pos", "m_pos", "s_pos", "r_pos"))))
-    request = ["batch_id", "request_seq", "request_part"]
-    first = points.groupBy(*request, "type_rank", "metric_name", "metric_hash", "dt").agg(
+    first = points.groupBy(*REQUEST, "type_rank", "metric_name", "metric_hash", "dt").agg(
         F.min(packed.cast("decimal(38,0)")).alias("at"))
     last = first.groupBy("dt", "metric_name", "metric_hash").agg(
-        F.max(F.struct(*request, "type_rank", "at")).alias("w")).select("w.*")
+        F.max(F.struct(*REQUEST, "type_rank", "at")).alias("w")).select("w.*")
     # a type's points of one request have positions of their own, so these keys name one point
-    found = points.withColumn("at", packed.cast("decimal(38,0)")).join(last, [*request, "type_rank", "at"])
+    found = points.withColumn("at", packed.cast("decimal(38,0)")).join(last, [*REQUEST, "type_rank", "at"])
     return found.select("dt", "metric_hash", *META_COLS, F.struct(*[F.col(c) for c in ORD_COLS]).alias("ord"),
                         _month(F.col("dt")).alias("month"))
 

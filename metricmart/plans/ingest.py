@@ -6,8 +6,8 @@ One function serves batch jobs and streaming ``foreachBatch`` alike:
    pass over the requests into a staging folder below ``spark.checkpoint.dir``,
    by kind (points of every stored type, rejected requests, dropped metrics); the
    received, dropped and rejected counts are observed in that pass (E6, B9);
-2. write metadata FIRST, then facts (S19: no point without metadata), then
-   rejects, all from the staged rows; an empty table is not written (B10);
+2. write metadata FIRST (and the attribute table from it), then facts (S19: no
+   point without metadata), then rejects, all from the staged rows; an empty table is not written (B10);
 3. record the writes in the audit log, once per batch (E8/E9), and what was
    received and dropped with them.
 
@@ -31,6 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from metricmart.operators.extensions import attribute_rows
 from metricmart.operators.flatten import (DROPPED, GAUGE, OTHER_TABLE, REJECTED, SUM, flatten_batch,
                                           gauge_rows, other_rows, sum_rows)
 from metricmart.operators.metadata import batch_metadata, metadata_rows
@@ -154,6 +155,10 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
             if rebalance:
                 meta = meta.hint("rebalance", "month")
             put("series_metadata", meta.sortWithinPartitions("dt", "metric_name", "metric_hash"))  # H12
+            own = F.col(GENERATION) == batch_generation(batch_id)
+            written = spark.table(store.name("series_metadata")).where(own)
+            _write(store, "series_attributes", attribute_rows(written).distinct().sortWithinPartitions(
+                "level", "attr_key", "attr_value", "dt"), batch_generation(batch_id))
         for kind, table, rows_of in ((GAUGE, "metrics_gauge", gauge_rows), (SUM, "metrics_sum", sum_rows)):
             if n.get(kind):
                 put(table, by_time(rows_of(points.where(F.col("kind") == kind))))

@@ -56,8 +56,9 @@ def expire(store: MetricStore, today=None, retention_days: int | None = None) ->
         dropped[table] = _drop_values(store, table, "dt", [s["dt"] for s in list_partitions(store, table)
                                                            if _dt.date.fromisoformat(s["dt"]) < cut])
     cut_month = cut.year * 100 + cut.month
-    dropped["series_metadata"] = _drop_values(store, "series_metadata", "month", [
-        s["month"] for s in list_partitions(store, "series_metadata") if int(s["month"]) < cut_month])
+    for table in ("series_metadata", "series_attributes"):
+        dropped[table] = _drop_values(store, table, "month", [
+            s["month"] for s in list_partitions(store, table) if int(s["month"]) < cut_month])
     return dropped
 
 
@@ -85,6 +86,14 @@ def compact_metadata(store: MetricStore, month: int, today=None, retention_days:
     return replace(store, "series_metadata", month, merge, bloom_options(HASH_BLOOM_NDV), open_generations(store), after_staging)
 
 
+def compact_attributes(store: MetricStore, month: int, after_staging=None) -> int:
+    """Rewrite one month of the attribute table without the repeats of several batches, sorted by attribute."""
+    def merge(rows: DataFrame) -> DataFrame:
+        order = ("level", "attr_key", "attr_value", "dt")
+        return rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    return replace(store, "series_attributes", month, merge, bloom_options(HASH_BLOOM_NDV), open_generations(store), after_staging)
+
+
 def compact_day(store: MetricStore, table: str, day: str, after_staging=None) -> int:
     """Rewrite one fact day as a few large files sorted by (time, hash).
 

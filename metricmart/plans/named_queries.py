@@ -32,7 +32,7 @@ from metricmart.plans.maintenance import compact_day, compact_log, compact_metad
 from metricmart.plans.store import MetricTables
 from metricmart.session import checkpoint_root
 from metricmart.sources.events_bridge import bridge_requests
-from metricmart.sources.requests import parse_requests, write_requests
+from metricmart.sources.requests import parse_requests, read_requests, write_requests
 from metricmart.streaming.ingest_stream import epoch_batch, start_ingest
 
 # Fixed query parameters (inclusive nanosecond ranges, UTC).
@@ -658,6 +658,33 @@ def stream_batches(spark, sf_dir):
     return out
 
 
+def stored_points_by_attribute(spark, sf_dir):
+    """Points of a range by service, by an attribute's value under a key and under any key, and by
+    a key alone, through the attribute table."""
+    store = _stored(spark, sf_dir)
+    index, facts = store.table("series_attributes"), store.table("metrics_gauge")
+    asked = {"service": ("service", "", "svc-1"), "host": ("resource", "host.name", "host-2"),
+             "any key": ("point", None, "true"), "key alone": ("point", "odd", None), "none": ("scope", "host.name", None)}
+    out = None
+    for name, (level, key, value) in asked.items():
+        hit = X.points_with_attribute(facts, index, *NAME_RANGE, level=level, key=key, value=value)
+        rows = hit.groupBy("dt").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 3).alias("total")) \
+            .select(F.lit(name).alias("asked"), _dt_text(), "points", "total")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def unnumbered_lines(spark, sf_dir):
+    """A1, A2: requests without arrival numbers in one file, in the order of its lines; the last line wins.
+    Each hour's requests stand in the file by falling request_part, so the first part of an hour comes last."""
+    store = _fresh_store(spark)
+    requests = bridge_requests(spark, sf_dir)
+    lines = requests.orderBy("request_seq", F.col("request_part").desc()).coalesce(1)
+    write_requests(lines.select("resourceMetrics"), f"{store.root}/in")
+    write_batch(store, read_requests(spark, f"{store.root}/in"), batch_id=1)
+    return _current_out(store.tables().current()).drop("last_request_seq")
+
+
 def stored_closed_days(spark, sf_dir):
     """Merged metadata of a compacted month, after one hour's requests came again."""
     requests = bridge_requests(spark, sf_dir)
@@ -726,4 +753,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_tables": stored_tables,
     "stream_batches": stream_batches,
     "stored_closed_days": stored_closed_days,
+    "unnumbered_lines": unnumbered_lines,
+    "stored_points_by_attribute": stored_points_by_attribute,
 }

@@ -511,3 +511,13 @@ _LATE = "      ORDER BY request_seq DESC, request_part DESC) AS rn2"
 assert _LATE in _BASE
 ORACLE_SQL["stored_closed_days"] = ORACLE_SQL["series_current"].replace(
     _LATE, f"      ORDER BY request_seq = {AGAIN_HOUR} DESC, request_seq DESC, request_part DESC) AS rn2")
+ORACLE_SQL["unnumbered_lines"] = "SELECT * EXCLUDE (last_request_seq) FROM (" + ORACLE_SQL["series_current"].replace(
+    _LATE, "      ORDER BY request_seq DESC, request_part ASC) AS rn2") + ") t"
+
+ORACLE_SQL["stored_points_by_attribute"] = _BASE + f"""
+SELECT asked, CAST(dt AS VARCHAR) AS dt, count(*) AS points, round(sum(pvalue), 3) AS total
+FROM np2, (SELECT unnest(['service', 'host', 'any key', 'key alone']) AS asked) a
+WHERE metric_type = 'Gauge' AND time_unix_nano BETWEEN {NAME_RANGE[0]} AND {NAME_RANGE[1]}
+  AND CASE asked WHEN 'service' THEN service_name = 'svc-1' WHEN 'host' THEN host_name = 'host-2'
+      WHEN 'any key' THEN odd = 'true' ELSE true END
+GROUP BY asked, dt"""

@@ -79,7 +79,8 @@ EXPORT_BODY = StructType([StructField("resourceMetrics", ArrayType(RESOURCE_METR
 
 STRMAP = MapType(StringType(), StringType())
 
-ORD = _s(("batch_id", LongType()), ("request_seq", LongType()), ("request_part", LongType()),
+ORD = _s(("batch_id", LongType()), ("request_seq", LongType()), ("request_line", LongType()),
+         ("request_part", LongType()),
          ("type_rank", IntegerType()), ("r_pos", IntegerType()), ("s_pos", IntegerType()),
          ("m_pos", IntegerType()), ("p_pos", IntegerType()))
 
@@ -130,6 +131,13 @@ SUMMARY = StructType([
     StructField("sum", DoubleType()), StructField("value_at_quantiles", ArrayType(QUANTILE)),
     StructField("flags", LongType()), StructField("dt", DateType()),
 ])
+# Which series had an attribute on a day: level is resource, scope or point, or service
+# (the key is then empty and the value the service's name).
+ATTRIBUTES = StructType([
+    StructField("level", StringType()), StructField("attr_key", StringType()),
+    StructField("attr_value", StringType()), StructField("dt", DateType()),
+    StructField("metric_hash", LongType()), StructField("month", IntegerType()),
+])
 # A log row's day and time are those of its batch's first attempt.
 REJECTED = StructType([
     StructField("batch_id", LongType()), StructField("request_seq", LongType()),
@@ -149,6 +157,7 @@ GENERATION = "gen"
 # Logical table name -> (schema, partition columns before the generation)
 TABLES = {
     "series_metadata": (METADATA, ["month"]),
+    "series_attributes": (ATTRIBUTES, ["month"]),
     "metrics_gauge": (GAUGE, ["dt"]),
     "metrics_sum": (SUM, ["dt"]),
     "metrics_histogram": (HISTOGRAM, ["dt"]),

@@ -33,9 +33,33 @@ def _received_at() -> Column:
     return F.col("_metadata.file_modification_time").alias("received_at")
 
 
+# Where a line stands in its file: the start of the block that a task reads (in steps of 4 KiB),
+# then the task's own count of lines.
+_ROW_BITS = 33
+
+
+def _block_order() -> Column:
+    return F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 12), _ROW_BITS)
+
+
+def _row_in_task() -> Column:
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+
+
+def in_line_order(batch: DataFrame) -> DataFrame:
+    """A micro-batch of a line stream with ``line_order``; Spark counts rows in batches only."""
+    if "block_order" not in batch.columns:
+        return batch
+    return batch.withColumn("line_order", F.col("block_order") + _row_in_task()).drop("block_order")
+
+
+def _row_order() -> Column:
+    return F.col("_metadata.row_index").alias("line_order")
+
+
 def _decoded(lines: DataFrame) -> DataFrame:
     """JSON rows with ``decode_error`` set where the line is no export request."""
-    return lines.select(*EXPORT_REQUEST.fieldNames(), _received_at(),
+    return lines.select(*EXPORT_REQUEST.fieldNames(), _received_at(), _block_order().alias("block_order"),
                         _decode_error(F.col(_CORRUPT).isNotNull()))
 
 
@@ -43,9 +67,9 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     """A1: batch read of stored requests (JSON lines or nested Parquet). A line
     that does not decode stays a row and is rejected by validation."""
     if fmt == "json":
-        return _decoded(spark.read.schema(_JSON_REQUEST).option("mode", "PERMISSIVE")
-                        .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
-    return spark.read.schema(EXPORT_REQUEST).format(fmt).load(path).select("*", _received_at())
+        return in_line_order(_decoded(spark.read.schema(_JSON_REQUEST).option("mode", "PERMISSIVE")
+                                      .option("columnNameOfCorruptRecord", _CORRUPT).json(path)))
+    return spark.read.schema(EXPORT_REQUEST).format(fmt).load(path).select("*", _received_at(), _row_order())
 
 
 def read_request_stream(spark: SparkSession, path: str, fmt: str = "json",
@@ -57,7 +81,7 @@ def read_request_stream(spark: SparkSession, path: str, fmt: str = "json",
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(path)
-    return _decoded(lines) if fmt == "json" else lines.select("*", _received_at())
+    return _decoded(lines) if fmt == "json" else lines.select("*", _received_at(), _row_order())
 
 
 def read_kafka_requests(spark: SparkSession, bootstrap_servers: str, topic: str,
@@ -65,30 +89,33 @@ def read_kafka_requests(spark: SparkSession, bootstrap_servers: str, topic: str,
     """A2 (Kafka variant): OTLP/JSON request bodies from a Kafka topic.
 
     Needs the Spark Kafka connector on the classpath (not bundled with
-    PySpark). Arrival order is (partition, offset): ``request_seq`` is built so
-    that a later offset of the same partition sorts later.
+    PySpark). Arrival order is the records' timestamps, then (offset, partition), so
+    requests of several partitions are ordered by their arrival too.
     """
     raw = (spark.readStream.format("kafka")
            .option("kafka.bootstrap.servers", bootstrap_servers)
            .option("subscribe", topic).option("startingOffsets", starting_offsets).load())
-    seq = F.col("offset") * F.lit(1 << 16) + F.col("partition")
-    return parse_requests(raw, "value", seq)
+    return parse_requests(raw, "value", received_at="timestamp", line_order=F.col("offset") * F.lit(1 << 16) + F.col("partition"))
 
 
 def parse_requests(df: DataFrame, body: str | Column = "value",
-                   seq: str | Column | None = None) -> DataFrame:
+                   seq: str | Column | None = None, received_at: str | Column | None = None,
+                   line_order: str | Column | None = None) -> DataFrame:
     """A3: decode request bodies carried as JSON text (e.g. a Kafka ``value``).
 
-    ``seq`` orders requests for "last wins"; for Kafka use partition/offset.
+    ``seq`` orders requests for "last wins"; without it ``received_at`` (a timestamp)
+    and ``line_order`` do, where they are given.
     """
     body_col = F.col(body) if isinstance(body, str) else body
     seq_col = (F.col(seq) if isinstance(seq, str) else seq) if seq is not None \
         else F.lit(None).cast("bigint")
+    known = [(F.col(c) if isinstance(c, str) else c).alias(name)
+             for name, c in (("received_at", received_at), ("line_order", line_order)) if c is not None]
     text = body_col.cast("string")
     parsed = F.from_json(text, _JSON_BODY, {"columnNameOfCorruptRecord": _CORRUPT})
     return df.select(seq_col.cast("bigint").alias("request_seq"),
                      F.lit(0).cast("bigint").alias("request_part"),
-                     parsed["resourceMetrics"].alias("resourceMetrics"),
+                     parsed["resourceMetrics"].alias("resourceMetrics"), *known,
                      _decode_error(text.isNull() | parsed.isNull() | parsed[_CORRUPT].isNotNull()))
 
 

@@ -27,14 +27,14 @@ from metricmart.plans.catalog import MetricStore
 from metricmart.plans.generations import Epochs
 from metricmart.plans.ingest import new_batch_id, write_batch
 from metricmart.session import checkpoint_root
-from metricmart.sources.requests import read_request_stream
+from metricmart.sources.requests import in_line_order, read_request_stream
 
 
 def epoch_batch(store: MetricStore, batch: DataFrame, epoch_id: int, epochs: Epochs,
                 on_commit: Callable[[str], None] | None = None, **options) -> dict:
     """One micro-batch, replay-safe: a replay replaces what the epoch has written."""
     batch_id, at = epochs.batch(epoch_id, lambda: new_batch_id(store))
-    return write_batch(store, batch, batch_id, writer=f"stream:{epoch_id}", at=at, on_commit=on_commit, **options)
+    return write_batch(store, in_line_order(batch), batch_id, writer=f"stream:{epoch_id}", at=at, on_commit=on_commit, **options)
 
 
 def start_ingest(store: MetricStore, source: str | DataFrame, fmt: str = "json",

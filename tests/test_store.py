@@ -582,3 +582,67 @@ def test_batch_metadata_equals_two_steps(spark):
     cols = ["dt", "metric_name", "metric_hash", "metric_description", "scope_version", "ord"]
     one, two = batch_metadata(points).select(*cols), series_current(metadata_rows(points)).select(*cols)
     assert one.count() == two.count() > 0 and one.exceptAll(two).count() == 0
+
+
+def test_lines_of_one_file_keep_their_order(spark, tmp_path):
+    import json
+
+    from metricmart.sources.samples import NOW, gauge, kv, point, request, s
+    docs = []
+    for i in range(400):
+        doc = request([{**gauge("g", [point(NOW)]), "description": f"line {i}"}], [kv("service.name", s("a"))])
+        del doc["request_seq"], doc["request_part"]
+        docs.append(json.dumps(doc) + " " * (i % 7))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(docs) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")      # several tasks read the file
+    try:
+        read = read_requests(spark, f"{tmp_path}/in")
+        assert read.rdd.getNumPartitions() > 3
+        t = MetricTables.from_requests(read)
+        assert t.metadata.count() == 400
+        assert [r.metric_description for r in t.current().collect()] == ["line 399"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_kafka_like_records_are_ordered_by_time(spark):
+    import json
+
+    from metricmart.sources.requests import parse_requests
+    from metricmart.sources.samples import NOW, gauge, kv, point, request, s
+    rows = []
+    for t, offset, partition in ((3, 1, 0), (2, 900, 1), (1, 5000, 2), (3, 0, 1)):
+        doc = request([{**gauge("g", [point(NOW)]), "description": f"{t} {offset}"}], [kv("service.name", s("a"))])
+        rows.append((json.dumps({"resourceMetrics": doc["resourceMetrics"]}), t, offset, partition))
+    raw = spark.createDataFrame(rows, "value string, t long, offset long, partition int").withColumn("timestamp", F.timestamp_seconds("t"))
+    req = parse_requests(raw, "value", received_at="timestamp", line_order=F.col("offset") * (1 << 16) + F.col("partition"))
+    assert [r.metric_description for r in MetricTables.from_requests(req).current().collect()] == ["3 1"]
+
+
+def test_attribute_table_prunes_days_and_row_groups(spark, tmp_path):
+    from metricmart.operators import extensions as X
+    from metricmart.plans.maintenance import compact_attributes
+    store = create_tables(spark, f"{tmp_path}/tables", database="t_attr")
+    req = bridge_requests(spark, SF)
+    for batch in (1, 2):
+        write_batch(store, req, batch_id=batch)
+    span = ("2024-01-01", "2024-01-31T23:59:59")
+    t = store.tables()
+
+    def found():
+        return X.points_with_attribute(t.gauge, store.table("series_attributes"), *span, level="resource", key="host.name", value="host-2")
+    meta = X.with_attribute_value(series_current(t.metadata), "host.name", "host-2", "resource")
+    want = t.gauge.join(meta.select("metric_hash", "dt"), ["metric_hash", "dt"], "left_semi")
+    n = want.count()
+    assert found().count() == n > 0 and found().exceptAll(want).count() == 0
+    plan = lambda q: q._jdf.queryExecution().explainString(
+        q._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "dynamicpruning" in plan(found()) and "EqualTo(attr_value,host-2)" in plan(found())
+    named = Q.points_in_range(t.gauge, t.metadata, *span, metric_name="events.view")      # B15
+    assert "dynamicpruning" in plan(named) and named.count() > 0
+    before = store.table("series_attributes").count()
+    assert compact_attributes(store, 202401) == store.table("series_attributes").count() == before // 2
+    assert found().count() == n
+    assert expire(store, "2024-06-01", 30)["series_attributes"] == 1 and store.table("series_attributes").count() == 0
