@@ -44,6 +44,8 @@ from metricmart.session import checkpoint_root
 # Audit rows beside those of tables: points received in accepted requests, and
 # points of types that are not stored.
 RECEIVED, DROPPED_POINTS = "received_points", "dropped_points"
+# A table's points of one batch up to this number are written by one task, in order, as they are.
+ONE_TASK_ROWS = 200_000
 
 
 def new_batch_id(store: MetricStore | None = None) -> int:
@@ -96,7 +98,7 @@ def _append(store: MetricStore, table: str, df: DataFrame, batch_id: int, writer
 def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None = None,
                 rebalance: bool = True, store_other_types: bool = False,
                 premerge_metadata: bool = True, writer: str = "batch",
-                at: float | None = None, on_commit: Callable[[str], None] | None = None) -> dict:
+                at: float | None = None, one_task_rows: int = ONE_TASK_ROWS, on_commit: Callable[[str], None] | None = None) -> dict:
     """Ingest one batch of requests. Returns row counts per table.
 
     ``batch_id`` names the batch: written again under the same id, it replaces its
@@ -105,7 +107,8 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
 
     ``rebalance`` range-partitions facts by day and time: Spark samples the bounds,
     and adaptive execution merges small partitions, so a day gets as many
-    files as its size asks for and they do not overlap in time. Turn it off for
+    files as its size asks for and they do not overlap in time. Up to ``one_task_rows``
+    points of a table need no bounds: one task sorts and writes them. Turn it off for
     micro-batches that fit a few files as they are.
 
     ``premerge_metadata`` merges the batch's keep-first metadata rows (E2)
@@ -142,8 +145,9 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
         if on_commit:
             on_commit(table)
 
-    def by_time(rows: DataFrame) -> DataFrame:
-        rows = rows.repartitionByRange("dt", "time_unix_nano") if rebalance else rows
+    def by_time(rows: DataFrame, number: int) -> DataFrame:
+        if rebalance:
+            rows = rows.coalesce(1) if number <= one_task_rows else rows.repartitionByRange("dt", "time_unix_nano")
         return rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash")
 
     try:
@@ -157,14 +161,14 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
             put("series_metadata", meta.sortWithinPartitions("dt", "metric_name", "metric_hash"))  # H12
             own = F.col(GENERATION) == batch_generation(batch_id)
             written = spark.table(store.name("series_metadata")).where(own)
-            _write(store, "series_attributes", attribute_rows(written).distinct().sortWithinPartitions(
+            _write(store, "series_attributes", attribute_rows(written).sortWithinPartitions(
                 "level", "attr_key", "attr_value", "dt"), batch_generation(batch_id))
         for kind, table, rows_of in ((GAUGE, "metrics_gauge", gauge_rows), (SUM, "metrics_sum", sum_rows)):
             if n.get(kind):
-                put(table, by_time(rows_of(points.where(F.col("kind") == kind))))
+                put(table, by_time(rows_of(points.where(F.col("kind") == kind)), n[kind]))
         for mtype in others:
             if n.get(mtype):
-                put(OTHER_TABLE[mtype], by_time(other_rows(points.where(F.col("kind") == mtype), mtype)))
+                put(OTHER_TABLE[mtype], by_time(other_rows(points.where(F.col("kind") == mtype), mtype), n[mtype]))
             else:
                 counts[OTHER_TABLE[mtype]] = 0
         counts["rejected_requests"] = 0

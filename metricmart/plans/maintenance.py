@@ -10,6 +10,7 @@ runs on others and appends go on beside it (``generations``).
 
 from __future__ import annotations
 
+import contextlib
 import datetime as _dt
 
 from pyspark.sql import DataFrame
@@ -34,15 +35,16 @@ def list_partitions(store: MetricStore, table: str) -> list[dict]:
 
 def _drop_values(store: MetricStore, table: str, key: str, values: list[str]) -> int:
     """Drop partitions with all their generations, but those that a compaction holds now."""
-    dropped = 0
-    for value in values:
-        try:
-            with lease(store, table, f"{key}={value}", "expiry"):
-                drop_partitions(store, table, [s for s in partitions(store, table) if s[key] == value])
-        except PartitionBusy:
-            continue
-        dropped += 1
-    return dropped
+    if not values:
+        return 0
+    with contextlib.ExitStack() as held:
+        free = set()
+        for value in values:
+            with contextlib.suppress(PartitionBusy):
+                held.enter_context(lease(store, table, f"{key}={value}", "expiry"))
+                free.add(value)
+        drop_partitions(store, table, [s for s in partitions(store, table) if s[key] in free])
+    return len(free)
 
 
 def expire(store: MetricStore, today=None, retention_days: int | None = None) -> dict:

@@ -615,12 +615,12 @@ def stored_view_unmatched(spark, sf_dir):
 
 
 def file_time_order(spark, sf_dir):
-    """Files of a day, as written, whose times overlap those of another of its files."""
+    """Files of a day, as written by several tasks, whose times overlap those of another of its files."""
     store = _fresh_store(spark)
     kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")    # several files even of small days
     try:
-        write_batch(store, bridge_requests(spark, sf_dir), batch_id=1)
+        write_batch(store, bridge_requests(spark, sf_dir), batch_id=1, one_task_rows=0)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
     facts = store.table("metrics_gauge")
