@@ -1,29 +1,32 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions alone.
 
-A text is its \\n-separated lines. Each line gets a 60-bit hash, and a hash that
-rolls over the hashes of a line and the one before it marks a line wherever it
-is divisible by ``DIVISOR``. A chunk ends at a marked line after an unmarked one,
-so it has two lines or more (but at a text's ends), its boundaries depend on
-three lines only, and they stay put when lines are added elsewhere. A chunk of two lines or more that occurs
-again anywhere (same document included) is removed everywhere but at its first
-place, by document id, text hash and chunk number. Chunks are grouped by a
-128-bit hash; a group counts as repeated only after its texts' bytes are found
-equal (least and greatest text agree), so a hash shared by different texts
-removes nothing.
+A text is its \\n-separated lines, each with a 31-bit hash. The least hash rolls
+over the lines after a line; a chunk runs from a line to each later one, within
+``MAX_LINES``, where both ends' hashes are below those of all lines between them.
+So a chunk's bounds depend on its own lines alone and stay put whatever stands
+around it, chunks overlap, there are fewer than two a line, and a repeated passage
+holds the same chunks at every place: from its neighbouring lines (always a chunk)
+to spans that join short lines. A chunk of ``MIN_CHARS`` characters or more that
+occurs again anywhere (same document included) is removed everywhere but at its
+first place, by document id, text hash and line number; overlapping chunks that go
+make up the whole passage (very short lines at its ends may stay). Each line's
+text stays at its first place.
+
+Chunks are found again by 128-bit hashes chained over line hashes, without their
+texts; only those found twice or more are cut out and compared byte by byte, and a
+hash that different texts share removes nothing.
 
 Defined results: NULL texts have no lines and stay NULL; an empty text is one
 empty line; rows equal in id and text are one document listed twice and get the
-same result; rows with a NULL id come before others; a text whose chunks all go
-becomes ""; an empty table gives an empty result; other columns pass through.
-
-Chunks miss most short passages in changed surroundings, as a whole chunk has to
-lie inside the passage. ``dedup_passages`` misses none: it keys every two
-consecutive lines, so a repeated passage of two lines or more is covered by its
-pairs wherever it starts and ends, and matches need no growing. A line goes if
-it is in a pair of lines that has an earlier place, so the first place of a line's
-text always stays; a passage that shares a part with an earlier one loses that part.
-The pairs are verified by their bytes like the chunks, and the same results are
-defined.
+same result; lines of equal hash bound no chunk with a line between them that
+isn't above it, so equal lines in a row make chunks of two; rows with a NULL id
+come before others; a text whose chunks all go becomes ""; very long texts are
+cut like others, at any number of lines; an empty table gives an empty result;
+other columns pass through, whatever their names.
+
+``dedup_passages`` keys every two consecutive lines instead, of any length, so
+that blank or very short lines go too where a pair of them repeats. Its pairs are
+verified by their bytes like the chunks, and the same results are defined.
 """
 
 from __future__ import annotations
@@ -33,14 +36,12 @@ from pyspark.sql import functions as F
 
 from metricmart.llm.common import fresh_name, materialise, table
 
-#: One line in so many is marked, on average; a chunk has 4 lines on average.
-DIVISOR = 2
-#: Odd factor of the earlier line's hash in the rolling hash.
-FACTOR = 31
-#: Prime below 2**31 that keeps the rolling hash within 64 bits.
+#: Prime below 2**31: line hashes that bound chunks are taken modulo it.
 MODULUS = 2_147_483_629
-#: Chunks of fewer lines always stay.
-MIN_LINES = 2
+#: Lines of the longest chunk.
+MAX_LINES = 8
+#: Chunks of fewer characters (line ends not counted) stay: blank lines, closing brackets, numbers.
+MIN_CHARS = 16
 
 
 def _line_hash(line: Column) -> Column:
@@ -52,35 +53,45 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def chunk_bounds(text: Column) -> Column:
-    """(first, last) line numbers, from 0, of each chunk of a text, in order."""
-    def cut(hashes: Column) -> Column:
-        before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(hashes, 1, F.size(hashes) - 1))
-        marks = F.zip_with(hashes, before, lambda h, b: (h + b * FACTOR) % MODULUS % DIVISOR == 0)
-        return _bind(marks, ends_of)
+def chunk_spans(text: Column) -> Column:
+    """(first, last, h1, h2) of each chunk of a text: line numbers, from 0, and a 128-bit hash of its lines."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(
+        _line_hash(x).alias("bound"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2"), F.char_length(x).alias("chars")))
 
-    def ends_of(marks: Column) -> Column:
-        before = F.concat(F.array(F.lit(False)), F.slice(marks, 1, F.size(marks) - 1))
-        ends = F.zip_with(marks, before, lambda own, last: own & ~last)
-        numbered = F.transform(ends, lambda e, i: F.when(e | (i == F.size(marks) - 1), i))
-        return F.filter(numbered, lambda i: i.isNotNull())
+    def from_each(lines: Column) -> Column:
+        return F.flatten(F.transform(lines, lambda own, i: chunks_from(own, i, F.array(*[F.get(lines, i + k) for k in range(1, MAX_LINES)]))))
 
-    def bounds(ends: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    def chunks_from(own: Column, i: Column, later: Column) -> Column:
+        start = F.struct(
+            F.lit(MODULUS).cast("bigint").alias("least"), i.alias("last"), own["h1"].alias("h1"), own["h2"].alias("h2"), own["chars"].alias("chars"),
+            F.array().cast("array<struct<first:int,last:int,h1:bigint,h2:bigint>>").alias("found"))
 
-    hashes = F.transform(F.split(text, "\n", -1), _line_hash)
-    return _bind(_bind(hashes, cut), bounds)
+        def with_line(state: Column, line: Column) -> Column:
+            last, chars = state["last"] + 1, state["chars"] + line["chars"]
+            h1, h2 = F.xxhash64(state["h1"], line["h1"]), F.xxhash64(state["h2"], line["h2"])
+            chunk = F.struct(i.alias("first"), last.alias("last"), h1.alias("h1"), h2.alias("h2"))
+            counts = (line["bound"] < state["least"]) & (chars >= MIN_CHARS)
+            longer = F.struct(
+                F.least(state["least"], line["bound"]).alias("least"), last.alias("last"), h1.alias("h1"), h2.alias("h2"), chars.alias("chars"),
+                F.when(counts, F.concat(state["found"], F.array(chunk))).otherwise(state["found"]).alias("found"))
+            # beyond a line that isn't above the first one, no chunk begins with it; NULL: beyond the text
+            return F.when(line.isNotNull() & (state["least"] > own["bound"]), longer).otherwise(state)
+
+        return F.aggregate(later, start, with_line, lambda state: state["found"])
+
+    return _bind(lines, from_each)
 
 
 def multi_line_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, first, last, chunk (its text) of each chunk of MIN_LINES lines or more."""
-    lines = docs.filter("text IS NOT NULL").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"),
-        F.explode(chunk_bounds(F.col("text"))).alias("at"))
-    return lines.filter(F.col("at.last") - F.col("at.first") + 1 >= MIN_LINES).select(
-        "doc_id", "text_hash", "at.first", "at.last",
-        F.array_join(F.slice("lines", F.col("at.first") + 1, F.col("at.last") - F.col("at.first") + 1), "\n").alias("chunk"))
+    """doc_id, text_hash, first, last, h1, h2 of each chunk."""
+    return _each(docs.filter("text IS NOT NULL"), chunk_spans(F.col("text")))
+
+
+def _each(docs: DataFrame, chunks: Column) -> DataFrame:
+    """doc_id, text_hash and the fields of each element of ``chunks``; hash and array are computed once a row."""
+    # an outer explode, as Spark would compute the array a second time to filter on its size
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), chunks.alias("chunks"))
+    return rows.select("doc_id", "text_hash", F.explode_outer("chunks").alias("chunk")).filter("chunk IS NOT NULL").select("doc_id", "text_hash", "chunk.*")
 
 
 def line_pairs(docs: DataFrame) -> DataFrame:
@@ -111,9 +122,34 @@ def _surplus(chunks: DataFrame) -> DataFrame:
     return places.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("keeper")))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, removed: an array of (first, last) line numbers to take out of each document."""
-    return _surplus(multi_line_chunks(docs)).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("removed"))
+def with_repeats(docs: DataFrame, column: str) -> DataFrame:
+    """``docs``, written, with an array ``column`` of (first, last, h1, h2, again) of the chunks that occur twice or more.
+
+    ``again`` is true where a chunk has an earlier place; the column is NULL without such chunks."""
+    place = F.struct("doc_id", "text_hash", "first")
+    places = materialise(multi_line_chunks(docs), "line-places")
+    keepers = places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).filter("n > 1").drop("n")
+    # written, so that the join below reads plain scans, whose skewed keys AQE can split
+    found = places.join(materialise(keepers, "line-repeats"), ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.struct("first", "last", "h1", "h2", (~place.eqNullSafe(F.col("keeper"))).alias("again"))).alias("chunks"))
+    box = fresh_name(docs, "found")
+    joined = docs.join(found.select(F.struct("*").alias(box)), _same_document(docs, box), "left")
+    return materialise(joined.select(*[docs[c] for c in docs.columns], F.col(box)["chunks"].alias(column)), "line-chunks")
+
+
+def shared_hashes(held: DataFrame, column: str) -> DataFrame:
+    """h1, h2 of the chunks in ``column`` that have other bytes at another place."""
+    lines = F.split("text", "\n", -1)
+    cut = _bind(lines, lambda all_lines: F.transform(F.col(column), lambda c: F.struct(
+        c["h1"].alias("h1"), c["h2"].alias("h2"),
+        F.array_join(F.transform(F.sequence(c["first"], c["last"]), lambda i: F.get(all_lines, i)), "\n").alias("chunk"))))
+    chunks = _each(held.filter(F.col(column).isNotNull()), cut).select("h1", "h2", "chunk")
+    # grouping by the text itself compares bytes; copies are merged before the shuffle
+    return chunks.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+
+
+def _same_document(docs: DataFrame, box: str) -> Column:
+    return docs["doc_id"].eqNullSafe(F.col(box)["doc_id"]) & (F.xxhash64(docs["text"]) == F.col(box)["text_hash"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -142,8 +178,21 @@ def _without(text: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text`` (and ``n_chars``, if there, counted anew).
 
-    ``removed`` names a further column for the removed (first, last) ranges."""
-    return _take_out(docs, repeated_lines(docs), removed)
+    ``removed`` names a further column for the (first, last) lines of the removed chunks, which may overlap."""
+    column = fresh_name(docs, "chunks")
+    held = with_repeats(docs, column)
+    shared = materialise(shared_hashes(held, column), "line-shared")  # as a rule without a row
+    wrong = _each(held, F.col(column)).join(shared, ["h1", "h2"], "left_semi")
+    # (first, last) as one number: Spark compares arrays of numbers by hash, of structs pair by pair
+    code = lambda first, last: first.cast("bigint") * MAX_LINES + (last - first)
+    kept = materialise(wrong.groupBy("doc_id", "text_hash").agg(F.collect_set(code(F.col("first"), F.col("last"))).alias("kept")), "line-kept")
+    box = fresh_name(held, "gone")
+    joined = held.join(kept.select(F.struct("*").alias(box)), _same_document(held, box), "left")
+    again = F.transform(F.filter(held[column], lambda c: c["again"]), lambda c: code(c["first"], c["last"]))
+    codes = F.array_except(again, F.coalesce(F.col(box)["kept"], F.array().cast("array<bigint>")))
+    first, extra = (lambda c: F.floor(c / MAX_LINES).cast("int")), (lambda c: (c % MAX_LINES).cast("int"))
+    ranges = F.transform(codes, lambda c: F.struct(first(c).alias("first"), (first(c) + extra(c)).alias("last")))
+    return _cut(joined, held, docs.columns, F.when(F.size(ranges) > 0, ranges), removed)
 
 
 def dedup_passages(docs: DataFrame, removed: str | None = None) -> DataFrame:
@@ -154,15 +203,18 @@ def dedup_passages(docs: DataFrame, removed: str | None = None) -> DataFrame:
 def _take_out(docs: DataFrame, ranges_of: DataFrame, removed: str | None) -> DataFrame:
     """``docs`` without the lines of the (doc_id, text_hash, removed) rows."""
     box = fresh_name(docs, "gone")
-    gone = ranges_of.select(F.struct("*").alias(box))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(box)["doc_id"]) & (F.xxhash64(docs["text"]) == F.col(box)["text_hash"]), "left")
-    ranges = F.col(box)["removed"]
+    joined = docs.join(ranges_of.select(F.struct("*").alias(box)), _same_document(docs, box), "left")
+    return _cut(joined, docs, docs.columns, F.col(box)["removed"], removed)
+
+
+def _cut(joined: DataFrame, docs: DataFrame, columns: list[str], ranges: Column, removed: str | None) -> DataFrame:
+    """``columns`` of ``docs``, as joined, without the lines of ``ranges`` (NULL: all stay)."""
     text = F.when(ranges.isNull(), docs["text"]).otherwise(_without(docs["text"], ranges))
     changed = {"text": text}
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         changed["n_chars"] = F.when(ranges.isNull(), docs["n_chars"]).otherwise(F.char_length(text).cast(kind))
-    out = [changed.get(c, docs[c]).alias(c) for c in docs.columns]
+    out = [changed.get(c, docs[c]).alias(c) for c in columns]
     return joined.select(*out, *([ranges.alias(removed)] if removed else []))
 
 
@@ -181,35 +233,47 @@ def _counted(spark: SparkSession, sf_dir: str, dedup, ranges: str) -> DataFrame:
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint")
     before = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("bigint").alias("n_lines"))
     out = dedup(before, "removed")
-    n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)
+    n_removed = F.size(F.array_distinct(F.flatten(F.transform("removed", lambda r: F.sequence(r["first"], r["last"])))))
     return out.select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias(ranges),
-        F.coalesce(n_removed, F.lit(0)).cast("bigint").alias("n_removed_lines"),
+        F.when(F.col("removed").isNull(), 0).otherwise(n_removed).cast("bigint").alias("n_removed_lines"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: DuckDB: the same boundaries by window functions over lines; chunks compared as texts.
+def _sql_chunks() -> str:
+    """SELECTs of the chunks of 2 to MAX_LINES lines, from each line's followers."""
+    def of(n: int) -> str:
+        inside = " AND ".join(f"greatest(h, h{n - 1}) < h{k}" for k in range(1, n - 1)) or "true"
+        return (f"SELECT doc_id, i, {n} AS n, concat_ws(chr(10), line, {', '.join(f'line{k}' for k in range(1, n))}) AS chunk "
+                f"FROM followed WHERE h{n - 1} IS NOT NULL AND {inside}")
+
+    return "\n  UNION ALL ".join(map(of, range(2, MAX_LINES + 1)))
+
+
+#: DuckDB: the chunks from window functions over lines; chunks compared as texts.
 OP10_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents
 ), hashed AS (
   SELECT *, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) % {MODULUS} AS h FROM lines
-), marks AS (
-  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {FACTOR}) % {MODULUS} % {DIVISOR} = 0 AS mark FROM hashed
-), ends AS (
-  SELECT *, mark AND NOT coalesce(lag(mark) OVER (PARTITION BY doc_id ORDER BY i), false) AS e FROM marks
-), numbered AS (
-  SELECT *, coalesce(sum(CAST(e AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends
+), followed AS (
+  SELECT *, {", ".join(f"lead(h, {k}) OVER w AS h{k}, lead(line, {k}) OVER w AS line{k}" for k in range(1, MAX_LINES))}
+  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), chunks AS (
-  SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c
-), judged AS (
-  SELECT *, n >= {MIN_LINES} AND row_number() OVER (PARTITION BY chunk, n ORDER BY doc_id, c) > 1 AS gone FROM chunks
+  {_sql_chunks()}
+), again AS (
+  SELECT doc_id, i, n FROM chunks WHERE length(chunk) - (n - 1) >= {MIN_CHARS}
+  QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM again
+), per_doc AS (
+  SELECT doc_id, count(*) AS n FROM again GROUP BY doc_id
 )
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed_chunks,
-       CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
-       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+SELECT lines.doc_id, count(*) AS n_lines, coalesce(any_value(per_doc.n), 0) AS n_removed_chunks, count(gone.i) AS n_removed_lines,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (gone.i IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.i = lines.i LEFT JOIN per_doc ON per_doc.doc_id = lines.doc_id
+GROUP BY lines.doc_id
 """
 
 #: DuckDB: pairs of lines by a window function; a pair's place is numbered among equal texts.

@@ -12,30 +12,25 @@ def line_hash(line):
 
 
 def chunks(text):
-    out, current, before, marked = [], [], 0, False
+    """(first line, lines) of each chunk."""
     lines = text.split("\n")
-    for i, line in enumerate(lines):
-        h = line_hash(line)
-        mark = (h + before * L.FACTOR) % L.MODULUS % L.DIVISOR == 0
-        current.append(line)
-        if (mark and not marked) or i == len(lines) - 1:
-            out.append(current)
-            current = []
-        before, marked = h, mark
-    return out
+    hashes = [line_hash(line) for line in lines]
+    return [
+        (i, tuple(lines[i:j + 1])) for i in range(len(lines)) for j in range(i + 1, min(i + L.MAX_LINES, len(lines)))
+        if all(h > max(hashes[i], hashes[j]) for h in hashes[i + 1:j]) and sum(map(len, lines[i:j + 1])) >= L.MIN_CHARS
+    ]
 
 
 def brute(docs):
     """docs: distinct (id, text), id not NULL; text left of each."""
-    first = {}
+    first, out = {}, {}
     for i, text in sorted(d for d in docs if d[1] is not None):
-        for no, c in enumerate(chunks(text)):
-            first.setdefault(tuple(c), (i, no))
-    return {
-        i: None if text is None else "\n".join(
-            line for no, c in enumerate(chunks(text)) if len(c) < L.MIN_LINES or first[tuple(c)] == (i, no) for line in c)
-        for i, text in docs
-    }
+        lines, gone = text.split("\n"), set()
+        for no, c in chunks(text):
+            if first.setdefault(c, (i, no)) != (i, no):
+                gone |= set(range(no, no + len(c)))
+        out[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    return {i: out.get(i) for i, _ in docs}
 
 
 def sample(seed=1, n=120):
@@ -65,22 +60,41 @@ def test_against_brute_force(documents, seed):
 def test_boundaries_withstand_shifts(spark, documents):
     passage = "\n".join(f"shared line {i}" for i in range(60))
     docs = documents([passage, "new first line\n" + passage, "a\nb\n" + passage + "\nc"])
-    left = [r.text for r in L.dedup_lines(docs).orderBy("doc_id").collect()]
-    assert left[0] == passage and len(left[1]) < 300 and len(left[2]) < 300
+    assert [r.text for r in L.dedup_lines(docs).orderBy("doc_id").collect()] == [passage, "new first line", "a\nb\nc"]
+
+
+def test_short_lines_go_with_longer_chunks_only(documents):
+    blank = "a first paragraph\n\n\nb"
+    texts = [blank, blank.replace("first", "second"), "}\n}\nx", "}\n}\ny"]
+    assert [r.text for r in L.dedup_lines(documents(texts)).orderBy("doc_id").collect()] == texts
+    verse = "\n".join(f"word{i}" for i in range(40))
+    texts = [verse, "before\n" + verse + "\nafter"]
+    left = L.dedup_lines(documents(texts)).orderBy("doc_id").collect()[1].text
+    # short lines at a passage's ends may stay
+    assert left == brute(list(enumerate(texts)))[1] and left.count("\n") < L.MAX_LINES
 
 
 def test_hash_collision_removes_nothing(documents, monkeypatch):
-    monkeypatch.setattr(L, "_chunk_key", lambda: [F.lit(1).cast("bigint").alias("h1"), F.lit(2).cast("bigint").alias("h2")])
-    texts = ["a\nb\nc\nd\ne\nf", "g\nh\ni\nj\nk\nl"]
+    places = L.multi_line_chunks
+    monkeypatch.setattr(L, "multi_line_chunks", lambda docs: places(docs).withColumn("h1", F.lit(1).cast("bigint")).withColumn("h2", F.lit(2).cast("bigint")))
+    texts = ["first line of a\nsecond line of a", "first line of b\nsecond line of b"]
     assert [r.text for r in L.dedup_lines(documents(texts)).orderBy("doc_id").collect()] == texts
+    texts = [texts[0], texts[0]]
+    assert [r.text for r in L.dedup_lines(documents(texts)).orderBy("doc_id").collect()] == [texts[0], ""]
+
+
+def test_chunks_per_line_are_bounded(documents):
+    rnd = random.Random(3)
+    text = "\n".join(f"a line of some length {rnd.random()}" for _ in range(5000))
+    assert L.multi_line_chunks(documents([text])).count() < 2 * 5000
 
 
 def test_repeated_rows_and_null_ids(documents):
-    text = "\n".join(f"l{i}" for i in range(30))
+    text = "\n".join(f"line number {i}" for i in range(30))
     rows = L.dedup_lines(documents([text, text, text], [5, 5, 9])).collect()
-    assert sorted((r.doc_id, r.text == text) for r in rows) == [(5, True), (5, True), (9, False)]
+    assert sorted((r.doc_id, r.text) for r in rows) == [(5, text), (5, text), (9, "")]
     rows = L.dedup_lines(documents([text, text], [None, 9])).collect()
-    assert sorted((str(r.doc_id), r.text == text) for r in rows) == [("9", False), ("None", True)]
+    assert sorted((str(r.doc_id), r.text) for r in rows) == [("9", ""), ("None", text)]
 
 
 def test_very_long_text(documents):
@@ -135,9 +149,10 @@ def planted(per_length=20, lengths=range(2, 13), seed=9):
     return texts, passages
 
 
-def test_passages_in_other_surroundings_go_whole(documents):
+@pytest.mark.parametrize("dedup", [L.dedup_lines, L.dedup_passages])
+def test_passages_in_other_surroundings_go_whole(documents, dedup):
     texts, passages = planted()
-    left = {r.doc_id: r.text.split("\n") for r in L.dedup_passages(documents(texts)).collect()}
+    left = {r.doc_id: r.text.split("\n") for r in dedup(documents(texts)).collect()}
     for (i, _), passage in passages.items():
         assert left[i - 1] == texts[i - 1].split("\n")
         assert left[i] == [line for line in texts[i].split("\n") if line not in passage]
