@@ -7,32 +7,40 @@ window), each between spaces so that only whole words match, and one scan of a
 normalised text finds every occurrence. Word numbers lead back to offsets in
 the original text.
 
-The automaton covers a block of at most ``block_bytes`` of benchmark text; a
-larger benchmark is held against all documents block by block and the hits are
-united, so what is sent to the executors never outgrows that bound.
-
-Defined results: NULL or empty texts have no words and no hits; NULL benchmark
-texts give no windows; repeated items each count under their own id; a NULL
-item id counts as the item "" ; an empty benchmark marks nothing; repeated
-document rows give repeated results; other columns are not read.
+The automaton covers a block of about ``block_bytes`` of benchmark text; a
+larger benchmark is cut into pieces that share 12 words, so that a long item
+can't fill a block, and held against all documents block by block. Rows are then
+numbered and written once; only numbers, word counts and hits are grouped.
+
+Defined results: NULL or empty texts have no words and no hits; very long texts
+are scanned whole; NULL benchmark texts give no windows; repeated items each
+count under their own id; a NULL item id counts as the item "" ; an empty
+benchmark marks nothing; repeated document rows give repeated results; ties
+can't occur, every window that is met counts; other columns, of any type, are
+not read by the scan.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricmart.llm.common import byte_values, fresh_name, runs, table
+from metricmart.llm.common import byte_values, fresh_name, materialise, runs, table
 
 WINDOW_WORDS = 13
 #: Benchmark bytes that one automaton covers (about 100 times as much memory in a worker).
 BLOCK_BYTES = 1 << 20
+#: Windows of a piece of a long item, where the benchmark is more than one block.
+PIECE_WINDOWS = 4096
 #: Hit words per 100 words from which a document counts as contaminated.
 CONTAMINATED_PERCENT = 5
 
@@ -83,6 +91,17 @@ class WindowAutomaton:
         return [(a, n) for a, (_, (_, n, _)) in zip(first, found)], set().union(*(ids for _, (_, _, ids) in found))
 
 
+#: The automaton that a Python worker built last, under its scan's token: tasks of one scan share it.
+_built: dict[str, WindowAutomaton] = {}
+
+
+def _worker_automaton(token: str, shared: Broadcast, size: int) -> WindowAutomaton:
+    if token not in _built:
+        _built.clear()
+        _built[token] = WindowAutomaton(shared.value, size)
+    return _built[token]
+
+
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs [start, end) covered by (start, length) ranges."""
     out: list[list[int]] = []
@@ -104,6 +123,27 @@ def original_offsets(text: str, word_runs: list[tuple[int, int]]) -> list[tuple[
     return [(int(points[starts[a]]), int(points[ends[b - 1]])) for a, b in word_runs]
 
 
+def pieces(items: DataFrame, size: int, n_windows: int = PIECE_WINDOWS) -> DataFrame:
+    """item_id, text: the normalised words of each item in pieces of at most ``n_windows`` windows.
+
+    Neighbouring pieces share ``size - 1`` words, so that their windows are those of the item."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch, "text"):
+                rows, texts = [], []
+                for i, raw in enumerate(byte_values(run.column("text"))):
+                    words = words_of(raw)
+                    some = [b" ".join(words[k : k + n_windows + size - 1])
+                            for k in range(0, max(1, len(words) - size + 1), n_windows)] if words else []
+                    rows += [i] * len(some)
+                    texts += [t.decode() for t in some]
+                yield pa.RecordBatch.from_arrays(
+                    [run.column("item_id").take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())], names=["item_id", "text"])
+
+    rows = items.select("item_id", "text")
+    return rows.mapInArrow(cut, rows.schema)
+
+
 def benchmark_blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The items in blocks of about ``block_bytes`` text bytes, dealt by a hash."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -115,10 +155,10 @@ def _scan_block(docs: DataFrame, items: DataFrame, size: int, with_spans: bool)
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
     block = [(r.id, r.text.encode()) for r in rows.filter("text is not null").collect()]  # one bounded block
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    kept: dict[str, WindowAutomaton] = {}
+    token = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = kept.setdefault("automaton", None) or WindowAutomaton(shared.value, size)
+        automaton = _worker_automaton(token, shared, size)
         for batch in batches:
             for run in runs(batch, "text"):
                 n_words, hits, items_hit, spans = [], [], [], []
@@ -153,28 +193,34 @@ HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS,
-                   block_bytes: int = BLOCK_BYTES, with_spans: bool = True) -> DataFrame:
-    """doc_id, n_words, hits (runs of hit words), items (ids found), spans (code point offsets) of each row."""
-    parts = [_scan_block(docs, block, size, with_spans) for block in benchmark_blocks(items, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    # rows are told apart by their text as well, so that ids may repeat
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text").distinct()
-    parts = [_scan_block(keyed, block, size, with_spans) for block in benchmark_blocks(items, block_bytes)]
+def _blocks_of(items: DataFrame, size: int, block_bytes: int) -> list[DataFrame]:
+    """The benchmark as one block, or its pieces in several."""
+    blocks = benchmark_blocks(items, block_bytes)
+    return blocks if len(blocks) == 1 else benchmark_blocks(materialise(pieces(items, size), "benchmark"), block_bytes)
+
+
+def _united_hits(rows: DataFrame, blocks: list[DataFrame], size: int, with_spans: bool) -> DataFrame:
+    """The columns of benchmark_hits for rows whose doc_id is unique, over several blocks."""
+    parts = [_scan_block(rows, block, size, with_spans) for block in blocks]
+    # the first block's scan counts the words of every row, the others add rows with hits
+    parts = [parts[0], *[p.filter(F.size("items") > 0) for p in parts[1:]]]
     lists = ["hits", "items", *["spans"] * with_spans]
-    united_rows = parts[0].sparkSession.createDataFrame([], parts[0].schema)
-    for part in parts:
-        united_rows = united_rows.unionByName(part)
     # at most one row a block for each document
-    merged = united_rows.groupBy("doc_id").agg(
+    merged = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(
         F.first("n_words").alias("n_words"),
-        *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in lists],
-    )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    m = merged.select("doc_id", "n_words", *lists)
-    joined = rows.join(m, rows.doc_id.eqNullSafe(m.doc_id.doc_id) & (rows.h == m.doc_id.h), "inner")
-    return joined.select(rows.doc_id, m.n_words, *[_merged(m[c], c) for c in lists])
+        *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in lists])
+    return merged.select("doc_id", "n_words", *[_merged(F.col(c), c) for c in lists])
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS,
+                   block_bytes: int = BLOCK_BYTES, with_spans: bool = True) -> DataFrame:
+    """doc_id, n_words, hits (runs of hit words), items (ids found), spans (code point offsets) of each row."""
+    blocks = _blocks_of(items, size, block_bytes)
+    if len(blocks) == 1:
+        return _scan_block(docs, blocks[0], size, with_spans)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+    found = _united_hits(rows.select(F.col("row").alias("doc_id"), "text"), blocks, size, with_spans)
+    return rows.select("row", "doc_id").join(found.withColumnRenamed("doc_id", "row"), "row").drop("row")
 
 
 def _merged(column, name: str):
@@ -210,13 +256,19 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WO
                         percent: int = CONTAMINATED_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns.
 
-    The whole row is the scan's id, so nothing is joined back while the
-    benchmark is one block."""
+    While the benchmark is one block, the whole row is the scan's id and nothing
+    is joined; else the numbers of contaminated rows are taken away from them."""
+    blocks = _blocks_of(items, size, block_bytes)
+    contaminated = verdict_columns(percent)["contaminated"]
     row = fresh_name(docs, "row")
-    whole = docs.select(F.struct(*docs.columns).alias(row), "text")
-    found = benchmark_hits(whole.select(F.col(row).alias("doc_id"), "text"), items, size, block_bytes, with_spans=False)
-    kept = found.filter(~verdict_columns(percent)["contaminated"])
-    return kept.select(*[F.col("doc_id")[c].alias(c) for c in docs.columns])
+    if len(blocks) == 1:
+        whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+        kept = _scan_block(whole, blocks[0], size, with_spans=False).filter(~contaminated)
+        return kept.select(*[F.col("doc_id")[c].alias(c) for c in docs.columns])
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _united_hits(rows.select(F.col(row).alias("doc_id"), "text"), blocks, size, with_spans=False)
+    bad = found.filter(contaminated).select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,55 @@ def test_filter_keeps_columns_and_clean_rows(spark, documents):
         assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "4", "None"]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_maps_ties_and_repeated_rows(spark, documents, block_bytes):
+    bench = spark.createDataFrame([(i, f"alpha beta gamma item{i}") for i in range(30)], "item_id long, text string")
+    texts = [f"alpha beta gamma item{i}" for i in range(4)] + ["clean", "clean", None, ""]
+    docs = documents(texts, [1, 1, 2, 2, 5, 5, None, 6]).withColumn("row", F.create_map(F.lit("k"), F.col("n_chars")))
+    docs = docs.withColumn("Hits", F.lit(None).cast("int"))
+    out = D.remove_contaminated(docs, bench, block_bytes=block_bytes)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text), str(r.row)) for r in out.collect()) == sorted(
+        [("5", "clean", "{'k': 5}")] * 2 + [("None", "None", "{'k': None}"), ("6", "", "{'k': 0}")])
+    hits = D.benchmark_hits(docs, bench, block_bytes=block_bytes)
+    assert sorted((str(r.doc_id), r.n_words, len(r["items"])) for r in hits.collect()) == sorted(
+        [("1", 4, 1)] * 2 + [("2", 4, 1)] * 2 + [("5", 1, 0)] * 2 + [("None", 0, 0), ("6", 0, 0)])
+
+
+def test_pieces_have_the_windows_of_their_items(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 12, 13, 14, 19, 20, 21, 200)]
+    items = spark.createDataFrame([*enumerate(texts), (None, "x, Y"), (99, None)], "item_id long, text string")
+    found = {}
+    for r in D.pieces(items, 13, 7).collect():
+        words = r.text.split()
+        assert len(words) <= 19
+        found.setdefault(r.item_id, set()).update(D.windows_of([w.encode() for w in words]))
+    assert found.pop(None) == {b"x y"}
+    assert found == {i: w for i, t in enumerate(texts) if (w := D.windows_of(D.words_of(t.encode())))}
+
+
+def test_very_long_text_and_item_over_several_blocks(spark, documents):
+    rnd = random.Random(6)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    item, text = say(9000), say(200_000)
+    planted = text[:70_000] + item[4000:4200] + text[70_000:]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "q " * 14)], "item_id long, text string")
+    row = D.benchmark_hits(documents([" ".join(planted)]), bench, block_bytes=20_000).first()
+    assert row["items"] == ["7"] and [(h.first, h.last) for h in row.hits] == [(70_000, 70_199)]
+
+
+def test_workers_keep_one_automaton(monkeypatch):
+    monkeypatch.setattr(D, "_built", {})
+
+    class Shared:
+        value = [("1", b"a b")]
+
+    first = D._worker_automaton("x", Shared, 13)
+    assert D._worker_automaton("x", Shared, 13) is first
+    assert D._worker_automaton("y", Shared, 13) is not first and list(D._built) == ["y"]
+
+
 def test_empty_tables(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.benchmark_hits(documents([]), bench).count() == 0
