@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmart.llm.common import fresh_name, materialise, table
+from metricmart.llm.common import discard, fresh_name, materialise, materialise_at, scratch_path, table
 
 #: Prime below 2**31: line hashes that bound chunks are taken modulo it.
 MODULUS = 2_147_483_629
@@ -126,15 +126,21 @@ def with_repeats(docs: DataFrame, column: str) -> DataFrame:
     """``docs``, written, with an array ``column`` of (first, last, h1, h2, again) of the chunks that occur twice or more.
 
     ``again`` is true where a chunk has an earlier place; the column is NULL without such chunks."""
-    place = F.struct("doc_id", "text_hash", "first")
-    places = materialise(multi_line_chunks(docs), "line-places")
+    spark, place = docs.sparkSession, F.struct("doc_id", "text_hash", "first")
+    scratch = [scratch_path(spark, what) for what in ("line-places", "line-repeats", "line-found")]
+    places = materialise_at(multi_line_chunks(docs), scratch[0])
     keepers = places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).filter("n > 1").drop("n")
     # written, so that the join below reads plain scans, whose skewed keys AQE can split
-    found = places.join(materialise(keepers, "line-repeats"), ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(
+    found = places.join(materialise_at(keepers, scratch[1]), ["h1", "h2"]).groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("first", "last", "h1", "h2", (~place.eqNullSafe(F.col("keeper"))).alias("again"))).alias("chunks"))
+    # written, and the files before it gone, before the texts are shuffled
+    found = materialise_at(found, scratch[2])
+    discard(spark, *scratch[:2])
     box = fresh_name(docs, "found")
     joined = docs.join(found.select(F.struct("*").alias(box)), _same_document(docs, box), "left")
-    return materialise(joined.select(*[docs[c] for c in docs.columns], F.col(box)["chunks"].alias(column)), "line-chunks")
+    held = materialise(joined.select(*[docs[c] for c in docs.columns], F.col(box)["chunks"].alias(column)), "line-chunks")
+    discard(spark, scratch[2])
+    return held
 
 
 def shared_hashes(held: DataFrame, column: str) -> DataFrame:

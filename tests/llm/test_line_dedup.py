@@ -176,3 +176,14 @@ def test_passages_of_repeated_rows_and_long_texts(spark, documents, sf):
 def test_no_python_in_the_plan_of_passages(spark, documents, sf, capsys):
     L.op10_line_passages(spark, sf(documents=documents(["a\nb\nc"]))).explain("formatted")
     assert "Python" not in capsys.readouterr().out
+
+
+def test_files_of_places_go_before_the_texts_are_written(spark, documents, tmp_path, monkeypatch):
+    import os
+
+    from metricmart.llm import common
+    monkeypatch.setattr(common, "checkpoint_root", lambda spark: str(tmp_path))
+    passage = "\n".join(f"a line of a passage, number {i}" for i in range(5))
+    held = L.with_repeats(documents([passage, "before\n" + passage, "alone"]), "chunks")
+    assert {r.doc_id: r.chunks is None for r in held.collect()} == {0: False, 1: False, 2: True}
+    assert [n.rsplit("-", 1)[0] for n in os.listdir(f"{tmp_path}/metricmart-llm")] == ["line-chunks"]
