@@ -4,8 +4,10 @@ Requests are exploded level by level (resource -> scope -> metric -> point)
 with ``posexplode`` so every point keeps its position, which later decides
 "first in request" (E1) and "last inserted" (E2). Resource- and scope-level
 text (service name, attribute maps, canonical text) is computed once per
-resource / scope, not once per point. Everything is a narrow transformation:
-the points of one request stay in the task that read it.
+resource / scope, not once per point. What a level gives to its elements is taken
+out of it before its explode, so that no element is copied along with the whole
+level. Everything is a narrow transformation: the points of one request stay in the
+task that read it.
 """
 
 from __future__ import annotations
@@ -74,21 +76,27 @@ def explode_metrics(requests: DataFrame, batch_id: int = 0, carry: tuple[str, ..
         *REQUEST, *carry, "r_pos",
         service_name("rm.resource.attributes").alias("service_name"),
         attribute_entries("rm.resource.attributes").alias("res_entries"),
-        explode("rm.scopeMetrics").alias("s_pos", "sm"))
-    scope = res.select(
+        F.col("rm.scopeMetrics").alias("scopes"))
+    res = res.select(
         *REQUEST, *carry, "r_pos", "service_name",
         entries_to_map("res_entries").alias("resource_attributes"),
         entries_text("res_entries").alias("res_text"),
-        "s_pos",
+        explode("scopes").alias("s_pos", "sm"))
+    own = ["service_name", "resource_attributes", "res_text"]
+    scope = res.select(
+        *REQUEST, *carry, "r_pos", *own, "s_pos",
         F.coalesce(F.col("sm.scope.name"), F.lit("")).alias("scope_name"),
         F.coalesce(F.col("sm.scope.version"), F.lit("")).alias("scope_version"),
         attribute_entries("sm.scope.attributes").alias("scope_entries"),
-        explode("sm.metrics").alias("m_pos", "m"))
-    return scope.select(
-        *REQUEST, *carry, "r_pos", "s_pos", "m_pos",
-        "service_name", "resource_attributes", "res_text", "scope_name", "scope_version",
+        F.col("sm.metrics").alias("metrics"))
+    scope = scope.select(
+        *REQUEST, *carry, "r_pos", *own, "s_pos", "scope_name", "scope_version",
         entries_to_map("scope_entries").alias("scope_attributes"),
         entries_text("scope_entries").alias("scope_text"),
+        explode("metrics").alias("m_pos", "m"))
+    return scope.select(
+        *REQUEST, *carry, "r_pos", "s_pos", "m_pos",
+        *own, "scope_name", "scope_version", "scope_attributes", "scope_text",
         F.coalesce(F.col("m.name"), F.lit("")).alias("metric_name"),
         F.coalesce(F.col("m.description"), F.lit("")).alias("metric_description"),
         F.coalesce(F.col("m.unit"), F.lit("")).alias("metric_unit"),
@@ -96,16 +104,16 @@ def explode_metrics(requests: DataFrame, batch_id: int = 0, carry: tuple[str, ..
         "m")
 
 
-def _with_identity(pts: DataFrame, type_rank) -> DataFrame:
+def _with_identity(pts: DataFrame, type_rank, **own) -> DataFrame:
     """Per-point identity, times and partition day for a frame with a point
-    struct ``p`` (shared by every point type)."""
+    struct ``p`` (shared by every point type); ``own``: further columns of ``p``."""
     base = pts.select(
         *[c for c in pts.columns if c != "p"],
         attribute_entries("p.attributes").alias("attr_entries"),
         unsigned_nanos(F.col("p.startTimeUnixNano")).alias("start_time_unix_nano"),
         unsigned_nanos(F.col("p.timeUnixNano")).alias("time_unix_nano"),
         F.coalesce(F.col("p.flags"), F.lit(0)).cast("bigint").alias("flags"),
-        "p")
+        *[c.alias(name) for name, c in own.items()])
     canonical = identity_text(F.col("metric_name"), F.col("service_name"), F.col("res_text"),
                               F.col("scope_text"), entries_text("attr_entries"))
     out = base.select(
@@ -157,17 +165,22 @@ def flatten_batch(validated: DataFrame, batch_id: int = 0, others: list[str] | t
 
 def _points(metrics: DataFrame, explode) -> DataFrame:
     is_sum = F.col("metric_type") == SUM
-    pts = metrics.select(
+    whole = metrics.select(
         *[c for c in metrics.columns if c != "m"],
         F.when(is_sum, F.col("m.sum.aggregationTemporality")).cast("int")
          .alias("aggregation_temporality"),
         F.when(is_sum, F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False)))
          .alias("is_monotonic"),
-        explode(F.when(is_sum, F.col("m.sum.dataPoints"))
-                .otherwise(F.col("m.gauge.dataPoints"))).alias("p_pos", "p"))
+        F.when(is_sum, F.col("m.sum.dataPoints"))
+         .otherwise(F.col("m.gauge.dataPoints")).alias("points"))
     rank = F.when(is_sum, F.lit(TYPE_RANK[SUM])).otherwise(F.lit(TYPE_RANK[GAUGE]))
-    out = _with_identity(pts, rank)
-    return out.withColumn("value", point_value(F.col("p"))).drop("p")
+    out = _with_identity(_each_point(whole, explode), rank, value=point_value(F.col("p")))
+    return out.select(*[c for c in out.columns if c != "value"], "value")
+
+
+def _each_point(metrics: DataFrame, explode) -> DataFrame:
+    """A row per element ``p`` of ``points``, with the other columns."""
+    return metrics.select(*[c for c in metrics.columns if c != "points"], explode("points").alias("p_pos", "p"))
 
 
 def _all_points(metrics: DataFrame, others: list[str] | tuple) -> DataFrame:
@@ -192,13 +205,14 @@ def _all_points(metrics: DataFrame, others: list[str] | tuple) -> DataFrame:
     temporality = F.coalesce(*[F.when(of(t), F.col(f"m.{f}.aggregationTemporality")).cast("int")
                                for t, f in fields.items() if t not in (GAUGE, SUMMARY)])
     points = F.coalesce(*[F.when(of(t), common(t)) for t in fields])
-    pts = metrics.select(
+    whole = metrics.select(
         *[c for c in metrics.columns if c != "m"], temporality.alias("aggregation_temporality"),
         F.when(of(SUM), F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))).alias("is_monotonic"),
-        F.posexplode_outer(points).alias("p_pos", "p"))
+        points.alias("points"))
     rank = F.coalesce(*[F.when(of(t), F.lit(r)) for t, r in TYPE_RANK.items()], F.lit(0))
-    out = _with_identity(pts, rank)
-    return out.withColumns({n: F.col(f"p.{n}") for n in ("value", *kinds)}).drop("p")
+    names = ("value", *kinds)
+    out = _with_identity(_each_point(whole, F.posexplode_outer), rank, **{n: F.col(f"p.{n}") for n in names})
+    return out.select(*[c for c in out.columns if c not in names], *names)
 
 
 def gauge_rows(points: DataFrame) -> DataFrame:
@@ -242,11 +256,11 @@ def flatten_other_points(requests: DataFrame, metric_type: str, batch_id: int =
     metrics = explode_metrics(requests, batch_id).where(F.col("metric_type") == metric_type)
     temporality = (F.col(f"m.{field}.aggregationTemporality").cast("int")
                    if metric_type != SUMMARY else F.lit(None).cast("int"))
-    pts = metrics.select(*[c for c in metrics.columns if c != "m"],
-                         temporality.alias("aggregation_temporality"),
-                         F.posexplode(f"m.{field}.dataPoints").alias("p_pos", "p"))
-    out = _with_identity(pts, F.lit(TYPE_RANK[metric_type]))
-    return out.select("*", *[make(F.col("p")).alias(name) for name, _, make in _other_columns(metric_type)]).drop("p")
+    whole = metrics.select(*[c for c in metrics.columns if c != "m"],
+                           temporality.alias("aggregation_temporality"), F.col(f"m.{field}.dataPoints").alias("points"))
+    own = {name: make(F.col("p")) for name, _, make in _other_columns(metric_type)}
+    out = _with_identity(_each_point(whole, F.posexplode), F.lit(TYPE_RANK[metric_type]), **own)
+    return out.select(*[c for c in out.columns if c not in own], *own)
 
 
 def _other_columns(metric_type: str) -> list[tuple]:

@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,14 @@ def metadata_rows(points: DataFrame) -> DataFrame:
                         F.col("m.ord").alias("ord"), _month(F.col("dt")).alias("month"))
 
 
-def batch_metadata(points: DataFrame) -> DataFrame:
+def batch_metadata(points: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda winners: winners) -> DataFrame:
     """E1 and E2 of one batch of stored points: one row per (dt, metric_name, metric_hash).
 
     The winner of each series and day is found on narrow rows: the first position in each
     request (positions packed into one decimal, so it is a hash aggregation), and of these
     the last in insertion order. Only winners then meet their wide columns, by a join on
-    their positions, which name one point each."""
+    their positions, which name one point each. ``keep`` may write the winners and read them
+    back: the join then knows their size, and few winners leave the points unshuffled."""
     # nine digits a position, the outermost first (no request has room for more)
     packed = F.expr(" + ".join(f"cast({c} AS decimal(9,0)) * 1{'0' * 9 * i}BD" for i, c in enumerate(("p_pos", "m_pos", "s_pos", "r_pos"))))
     first = points.groupBy(*REQUEST, "type_rank", "metric_name", "metric_hash", "dt").agg(
@@ -47,7 +50,7 @@ def batch_metadata(points: DataFrame) -> DataFrame:
     last = first.groupBy("dt", "metric_name", "metric_hash").agg(
         F.max(F.struct(*REQUEST, "type_rank", "at")).alias("w")).select("w.*")
     # a type's points of one request have positions of their own, so these keys name one point
-    found = points.withColumn("at", packed.cast("decimal(38,0)")).join(last, [*REQUEST, "type_rank", "at"])
+    found = points.withColumn("at", packed.cast("decimal(38,0)")).join(keep(last), [*REQUEST, "type_rank", "at"])
     return found.select("dt", "metric_hash", *META_COLS, F.struct(*[F.col(c) for c in ORD_COLS]).alias("ord"),
                         _month(F.col("dt")).alias("month"))
 

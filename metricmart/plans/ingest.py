@@ -150,11 +150,15 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
             rows = rows.coalesce(1) if number <= one_task_rows else rows.repartitionByRange("dt", "time_unix_nano")
         return rows.sortWithinPartitions("dt", "time_unix_nano", "metric_hash")
 
+    def keep(winners: DataFrame) -> DataFrame:
+        winners.write.parquet(f"{staging}-winners")
+        return spark.read.schema(winners.schema).parquet(f"{staging}-winners")
+
     try:
         staged = spark.read.schema(flat.schema).parquet(staging) if sum(n.values()) else flat.limit(0)
         points = staged.where(F.col("kind").isin(stored))
         if received:
-            meta = batch_metadata(points) if premerge_metadata else metadata_rows(points)
+            meta = batch_metadata(points, keep) if premerge_metadata else metadata_rows(points)
             meta = meta.select(*METADATA.fieldNames())
             if rebalance:
                 meta = meta.hint("rebalance", "month")
@@ -178,5 +182,6 @@ def write_batch(store: MetricStore, requests: DataFrame, batch_id: int | None =
         if pending:
             _record(store, pending, began, batch_generation(batch_id))
     finally:
-        delete_path(spark, staging)
+        for folder in (staging, f"{staging}-winners"):
+            delete_path(spark, folder)
     return counts

@@ -32,7 +32,7 @@ from metricmart.plans.maintenance import compact_day, compact_log, compact_metad
 from metricmart.plans.store import MetricTables
 from metricmart.session import checkpoint_root
 from metricmart.sources.events_bridge import bridge_requests
-from metricmart.sources.requests import parse_requests, read_requests, write_requests
+from metricmart.sources.requests import parse_requests, read_requests, write_ordered_requests, write_requests
 from metricmart.streaming.ingest_stream import epoch_batch, start_ingest
 
 # Fixed query parameters (inclusive nanosecond ranges, UTC).
@@ -485,6 +485,14 @@ def ingest_audit_counts(spark, sf_dir):
     return S.audit_summary(audit).select("table", "status", "writes", "rows", (F.col("min_ms") > 0).alias("timed"))
 
 
+def _kept(requests):
+    """Requests that several batches take, nested once and read back."""
+    spark = requests.sparkSession
+    path = f"{checkpoint_root(spark)}/requests/{uuid.uuid4().hex}"
+    write_requests(requests, path, "parquet")
+    return spark.read.schema(requests.schema).parquet(path)
+
+
 def _rows_of(store, *tables):
     return S.table_row_counts(**{t: store.table(t) for t in tables})
 
@@ -499,7 +507,7 @@ def expire_counts(spark, sf_dir):
 
 def compact_with_append(spark, sf_dir):
     """Batches appended while a day and a month are compacted stay, also after a failed run."""
-    requests = bridge_requests(spark, sf_dir)
+    requests = _kept(bridge_requests(spark, sf_dir))
     store = _fresh_store(spark)
     write_batch(store, requests, batch_id=1)
 
@@ -553,7 +561,7 @@ def stored_other_types(spark, sf_dir):
 def compact_two_days_at_once(spark, sf_dir):
     """A day compacted, and a batch appended, while another day of the table is compacted;
     a second run on the same day is refused."""
-    requests = bridge_requests(spark, sf_dir)
+    requests = _kept(bridge_requests(spark, sf_dir))
     store = _fresh_store(spark)
     write_batch(store, requests, batch_id=1)
 
@@ -583,10 +591,10 @@ def replayed_epoch(spark, sf_dir):
             if done == table:
                 raise RuntimeError("stopped")
         return on_commit
-    half = lambda i: requests.where(F.pmod("request_seq", F.lit(2)) == i)
+    half = [_kept(requests.where(F.pmod("request_seq", F.lit(2)) == i)) for i in (0, 1)]
     for epoch, stop in ((0, "series_metadata"), (0, "metrics_gauge"), (0, None), (1, "metrics_sum"), (1, None)):
         try:
-            epoch_batch(store, half(epoch), epoch, epochs, fail(stop))
+            epoch_batch(store, half[epoch], epoch, epochs, fail(stop))
         except RuntimeError:
             pass
     rows = _rows_of(store, "metrics_gauge", "metrics_sum", "series_current")
@@ -597,7 +605,7 @@ def replayed_epoch(spark, sf_dir):
 def audit_other_types(spark, sf_dir):
     """What the audit log says where all types are stored, and its merged days."""
     store = _fresh_store(spark)
-    requests = bridge_requests(spark, sf_dir, "types")
+    requests = _kept(bridge_requests(spark, sf_dir, "types"))
     write_batch(store, requests, batch_id=7, store_other_types=True)
     write_batch(store, requests, batch_id=8)
     compact_log(store, "ingest_audit")
@@ -643,12 +651,13 @@ def stored_tables(spark, sf_dir):
 
 def stream_batches(spark, sf_dir):
     """One stream takes a file a micro-batch, another three; batches and points of each."""
-    requests = bridge_requests(spark, sf_dir)
-    out = None
+    out = arrived = None
     for files in (1, 3):
         store = _fresh_store(spark)
-        write_requests(requests.repartition(6, "request_seq"), f"{store.root}/in")
-        start_ingest(store, f"{store.root}/in", checkpoint=f"{store.root}/checkpoint", max_files_per_trigger=files,
+        if not arrived:
+            arrived = f"{store.root}/in"
+            write_requests(bridge_requests(spark, sf_dir).repartition(6, "request_seq"), arrived)
+        start_ingest(store, arrived, checkpoint=f"{store.root}/checkpoint", max_files_per_trigger=files,
                      available_now=True).awaitTermination()
         rows = store.table("ingest_audit").where(F.col("table") == "received_points").agg(
             F.countDistinct("batch_id").alias("batches"), F.sum("rows").alias("received"))
@@ -675,12 +684,13 @@ def stored_points_by_attribute(spark, sf_dir):
 
 
 def unnumbered_lines(spark, sf_dir):
-    """A1, A2: requests without arrival numbers in one file, in the order of its lines; the last line wins.
-    Each hour's requests stand in the file by falling request_part, so the first part of an hour comes last."""
+    """A1, A2: requests without arrival numbers, in the order in which their files arrived and of the lines in
+    a file; the last line wins. Each hour's requests stand by falling request_part, so the first part of an
+    hour comes last. The files follow on one another like one file cut at line ends, each written by a task."""
     store = _fresh_store(spark)
     requests = bridge_requests(spark, sf_dir)
-    lines = requests.orderBy("request_seq", F.col("request_part").desc()).coalesce(1)
-    write_requests(lines.select("resourceMetrics"), f"{store.root}/in")
+    lines = requests.orderBy("request_seq", F.col("request_part").desc())
+    write_ordered_requests(lines.select("resourceMetrics"), f"{store.root}/in")
     write_batch(store, read_requests(spark, f"{store.root}/in"), batch_id=1)
     return _current_out(store.tables().current()).drop("last_request_seq")
 

@@ -128,3 +128,25 @@ def requests_from_json(spark: SparkSession, docs: Iterable[dict]) -> DataFrame:
 
 def write_requests(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     df.write.mode(mode).format(fmt).save(path)
+
+
+def write_ordered_requests(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Sorted requests as files of one task each, that arrived a second apart in the order of the sort.
+
+    Readers order requests without arrival numbers by their file's arrival, then by their
+    line, so this is the order of one file that holds them all, which no task has to write."""
+    write_requests(df, path, fmt)
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def files():    # Spark numbers them by the partition, with five digits or more
+        parts = [f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        return sorted(parts, key=lambda f: int(f.getPath().getName().split("-")[1]))
+    found = files()
+    last = max((f.getModificationTime() for f in found), default=0) // 1000 * 1000
+    for i, f in enumerate(reversed(found)):
+        fs.setTimes(f.getPath(), last - 1000 * i, -1)
+    times = [f.getModificationTime() for f in files()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise OSError(f"{path} does not keep the arrival times of its files")

@@ -646,3 +646,38 @@ def test_attribute_table_prunes_days_and_row_groups(spark, tmp_path):
     assert compact_attributes(store, 202401) == store.table("series_attributes").count() == before // 2
     assert found().count() == n
     assert expire(store, "2024-06-01", 30)["series_attributes"] == 1 and store.table("series_attributes").count() == 0
+
+
+def test_ordered_files_are_read_in_the_order_of_the_sort(spark, tmp_path):
+    from metricmart.sources.requests import requests_from_json, write_ordered_requests
+    from metricmart.sources.samples import NOW, gauge, kv, point, request, s
+    docs = [{**request([{**gauge("g", [point(NOW)]), "description": f"line {i}"}], [kv("service.name", s("a"))]),
+             "request_seq": i, "request_part": 0} for i in range(60)]
+    lines = requests_from_json(spark, docs).repartitionByRange(5, "request_seq").sortWithinPartitions(F.col("request_seq").desc())
+    write_ordered_requests(lines.select("resourceMetrics"), f"{tmp_path}/in")
+    assert len(list((tmp_path / "in").glob("part-*.json"))) > 1
+    t = MetricTables.from_requests(read_requests(spark, f"{tmp_path}/in"))
+    assert t.metadata.count() == 60
+    # the last line of the last file: the least number of the last range
+    parts = lines.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("request_seq").alias("n")).orderBy("p").collect()
+    assert [r.metric_description for r in t.current().collect()] == [f"line {parts[-1].n}"]
+
+
+def test_unnumbered_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from metricmart.plans import named_queries as N
+    from metricmart.sources import requests as R
+    written, write = [], R.write_requests
+
+    def noted(df, path, *args):
+        write(df, path, *args)
+        written.append(len(list(Path(path).glob("part-*.json"))))
+    monkeypatch.setattr(R, "write_requests", noted)
+    monkeypatch.setattr(N, "write_requests", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert N.unnumbered_lines(spark, SF).count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert written[0] > 1
