@@ -68,19 +68,27 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
+def keyed_events(events: DataFrame) -> DataFrame:
+    """One row per event with its time and the request it goes to (flat, no shuffle)."""
+    nanos = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                   "cast(ts as timestamp_ntz))") * F.lit(1000)
+    df = events.select("event_id", "user_id", "event_type", "value", "props", nanos.alias("time_unix_nano"))
+    return df.select(
+        "*", F.call_function("div", F.col("time_unix_nano"), F.lit(HOUR_NANOS)).alias("request_seq"),
+        F.call_function("div", F.col("event_id"), F.lit(REQUEST_PART_EVENTS)).alias("request_part"))
+
+
 def event_points(events: DataFrame, variant: str = "clean") -> DataFrame:
     """One row per event with every derived bridge column (flat, no shuffle)."""
+    return points_of(keyed_events(events), variant)
+
+
+def points_of(keyed: DataFrame, variant: str = "clean") -> DataFrame:
+    """``event_points`` of events that have their keys."""
     faulty = variant == "faulty"
-    k = F.get_json_object("props", "$.k").cast("int")
-    nanos = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
-                   "cast(ts as timestamp_ntz))") * F.lit(1000)
-    df = events.select(
+    df = keyed.select(
         "event_id", "user_id", "event_type", "value",
-        k.alias("k"), nanos.alias("time_unix_nano"))
-    rs = F.call_function("div", F.col("time_unix_nano"), F.lit(HOUR_NANOS))
-    df = df.select(
-        "*", rs.alias("request_seq"),
-        F.call_function("div", F.col("event_id"), F.lit(REQUEST_PART_EVENTS)).alias("request_part"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"), "time_unix_nano", "request_seq", "request_part",
         F.pmod("user_id", F.lit(RESOURCES[variant])).alias("res_idx"),
         F.pmod("event_id", F.lit(2)).alias("scope_idx"))
     t = F.col("event_type")
@@ -173,7 +181,9 @@ def requests_from_events(events: DataFrame, variant: str = "clean") -> DataFrame
     req = ["request_seq", "request_part"]
     # One shuffle: every later grouping key starts with the request, so this
     # clustering satisfies all four nesting aggregations without new exchanges.
-    pts = event_points(events, variant).repartition(*req)
+    # The narrow events are shuffled and their points made behind it, by all tasks,
+    # however few row groups (hence reading tasks) the table has.
+    pts = points_of(keyed_events(events).repartition(*req), variant)
 
     # level 1: one metric (event type) of one scope of one resource
     m = (pts.groupBy(*req, "res_idx", "scope_idx", "event_type")
