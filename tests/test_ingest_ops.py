@@ -279,3 +279,36 @@ def test_random_identities_match_python_model(reqs):
         expected[seq] = u - (1 << 64) if u >= 1 << 63 else u
     got = {r.request_seq: r.metric_hash for r in _tables(reqs, *docs).points.collect()}
     assert got == expected
+
+
+def _shuffled_types(df):
+    """Types of the columns that a repartition of the plan moves."""
+    plan, found = df._jdf.queryExecution().optimizedPlan(), []
+
+    def visit(node):
+        if "RepartitionByExpression" in node.getClass().getSimpleName():
+            found.append(node.schema().catalogString())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+    visit(plan)
+    return found
+
+
+def test_bridge_shuffles_events_not_points(spark):
+    import datetime
+
+    from metricmart.sources.events_bridge import requests_from_events
+    events = spark.createDataFrame([(5, datetime.datetime(2024, 1, 1, 0, 0, 5), 3, "click", 1.5, '{"k": 12}')],
+                                   "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    moved = _shuffled_types(requests_from_events(events))
+    assert len(moved) == 1 and "props:string" in moved[0] and "array<" not in moved[0]
+
+
+def test_no_level_is_copied_with_its_elements(reqs):
+    from metricmart.operators.flatten import flatten_batch
+    from metricmart.operators.validate import with_validation
+    plan = flatten_batch(with_validation(reqs(request([gauge("g", [point(NOW)])], [kv("service.name", s("a"))]))))._jdf.queryExecution().sparkPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    kept = [line.split(", [", 1)[1].split("]", 1)[0] for line in generates]
+    assert len(kept) == 4
+    assert not any(c.split("#")[0].strip() in ("rm", "sm", "m", "points", "metrics", "scopes") for k in kept for c in k.split(","))

@@ -681,3 +681,15 @@ def test_unnumbered_lines_are_written_by_several_tasks(spark, tmp_path, monkeypa
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert written[0] > 1
+
+
+def test_requests_of_several_batches_are_nested_once(spark, monkeypatch):
+    from metricmart.plans import named_queries as N
+    taken, write = [], N.write_batch
+
+    def noted(store, requests, *args, **options):
+        taken.append(requests._jdf.queryExecution().optimizedPlan().toString())
+        return write(store, requests, *args, **options)
+    monkeypatch.setattr(N, "write_batch", noted)
+    assert N.compact_with_append(spark, SF).count() == 4
+    assert len(taken) == 3 and not any("Aggregate" in plan for plan in taken)
