@@ -19,7 +19,8 @@ Ids are those of the tokenizers library. Parts of a text that begin with a lone
 space between visible characters have ids of their own (no match of the
 pre-tokenizer reaches over such a place), so the library encodes each distinct
 part once, many together, and a worker keeps the ids of ``CACHE_PARTS`` parts. The
-file must be of byte-level tokens without normalisation; others are refused.
+texts of a run are cut, and their ids joined, as Arrow columns: Python handles
+each distinct part of a run, not each occurrence. The file must be of byte-level tokens without normalisation; others are refused.
 
 Defined results: a NULL or empty text has the end id alone; a document's pieces
 cover its ids once, whatever their number; rows equal in all columns are packed
@@ -39,6 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,26 +102,47 @@ class PartEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > CACHE_PARTS:
             self.kept = {}
-        kept, cut, new = self.kept, [], set()
-        for text in texts:
-            head, *rest = text.split(" ")
-            unknown = [p for p in rest if p not in kept]
-            if rest and _edged(head) or any(map(_edged, unknown)):
-                head, *rest = CUT.split(text)
-                rest = [p[1:] for p in rest]
-                unknown = [p for p in rest if p not in kept]
-            new.update(unknown)
-            cut.append((head, rest))
+        return self._encode(pc.split_pattern(pa.array(texts, pa.string()), " "), texts)
+
+    def _encode(self, lists: pa.ListArray, texts: list[str] | None = None) -> list[bytes]:
+        """Ids of texts given by their parts: what is before the first space, then each part after one.
+
+        With ``texts``, those that have parts with edges of white space are cut at ``CUT`` instead."""
+        if not len(lists):
+            return []
+        kept, starts = self.kept, lists.offsets.to_numpy()
+        starts = starts - starts[0]
+        # a part of many occurrences is looked up once
+        coded = lists.flatten().dictionary_encode()
+        codes, names = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(kept.get, names))
+        unknown = np.array([i for i, own in enumerate(ids) if own is None], np.int64)
+        edged = np.array([_edged(names[i]) for i in unknown.tolist()], bool)
+        if texts is not None and edged.any():
+            loose = np.zeros(len(names), bool)
+            loose[unknown[edged]] = True
+            loose = np.logical_or.reduceat(loose[codes], starts[:-1])
+            cut = [CUT.split(texts[i]) for i in np.flatnonzero(loose).tolist()]
+            cut = pa.array([[head, *(p[1:] for p in rest)] for head, *rest in cut], lists.type)
+            others, own = iter(self._encode(lists.filter(pa.array(~loose)))), iter(self._encode(cut))
+            return [next(own if x else others) for x in loose.tolist()]
+        heads = [names[i] for i in codes[starts[:-1]].tolist()]
+        codes[starts[:-1]] = len(names) + np.arange(len(heads))
+        used = np.zeros(len(names) + len(heads), bool)
+        used[codes] = True
         # a part with edges of white space isn't kept: elsewhere it may be a piece of a match
-        edged = [p for p in new if _edged(p)]
-        once = dict(zip(edged, self._ids([" " + p for p in edged]), strict=True))
-        plain = list(new.difference(edged))
-        for part, ids in zip(plain, self._part_ids(plain), strict=True):
-            (once if len(part) > CACHE_CHARS else kept)[part] = ids
-        heads = self._ids([head for head, _ in cut])
-        if not once:
-            return [h + b"".join([kept[p] for p in rest]) for h, (_, rest) in zip(heads, cut, strict=True)]
-        return [h + b"".join([kept[p] if p in kept else once[p] for p in rest]) for h, (_, rest) in zip(heads, cut, strict=True)]
+        once = unknown[edged & used[unknown]].tolist()
+        for i, own in zip(once, self._ids([" " + names[i] for i in once]), strict=True):
+            ids[i] = own
+        plain = unknown[~edged & used[unknown]].tolist()
+        for i, own in zip(plain, self._part_ids([names[i] for i in plain]), strict=True):
+            ids[i] = own
+            if len(names[i]) <= CACHE_CHARS:
+                kept[names[i]] = own
+        joined = pa.array(ids + self._ids(heads), pa.large_binary()).take(pa.array(codes))
+        _, ends, raw = joined.buffers()
+        cuts, raw = np.frombuffer(ends, np.int64)[starts].tolist(), memoryview(raw or b"")
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=4)

@@ -32,6 +32,32 @@ def test_same_ids_as_the_library(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_part_of_many_occurrences_is_looked_up_once(tokenizer):
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, key, default=None):
+            self.lookups += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.lookups += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            self.lookups += 1
+            return super().__contains__(key)
+
+    encoder = P.PartEncoder(PATH)
+    encoder.kept = Counted()
+    texts = ["to be or not to be " * 300 + "!", "be" + " not to" * 500, "be  to" + " or not" * 200 + " ", "", "be"]
+    for _ in range(2):  # the second time all parts are kept
+        encoder.kept.lookups = 0
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.kept.lookups < 50
+
+
 def check_whole(rows, docs, size):
     """docs: id -> ids. Every id lies in one piece; sequences are gapless and not padded."""
     pieces, sequences = {}, {}
